@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -50,3 +50,37 @@ SELECT doc_id, size, source_size, target,
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
     return mixing.mix(rows).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query(
+    "op9_quality_rules",
+    r"""
+WITH d AS (SELECT doc_id, COALESCE(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+p AS (SELECT doc_id, len(ws) AS n, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT doc_id, n, i,
+        CASE WHEN i + 2 <= n THEN array_to_string(ws[i:i + 2], ' ') END AS g3,
+        CASE WHEN i + 5 <= n THEN array_to_string(ws[i:i + 5], ' ') END AS g6,
+        CASE WHEN i + 59 <= n THEN md5(array_to_string(ws[i:i + 59], ' ')) END AS g60 FROM p),
+f AS (SELECT doc_id, i,
+        g3 IS NOT NULL AND COUNT(*) OVER (PARTITION BY doc_id, g3) > 1 AS r3,
+        g6 IS NOT NULL AND COUNT(*) OVER (PARTITION BY doc_id, g6) > 1 AS r6,
+        g60 IS NOT NULL AND COUNT(*) OVER (PARTITION BY doc_id, g60) > 1 AS r60 FROM g),
+c AS (SELECT doc_id, r60,
+        MAX(r3::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c3,
+        MAX(r6::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS c6 FROM f),
+s AS (SELECT doc_id, SUM(c3)::BIGINT AS n3, SUM(c6)::BIGINT AS n6, BOOL_OR(r60) AS long FROM c GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+u AS (SELECT doc_id, COUNT(*) - COUNT(DISTINCT line) AS dup FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+v AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+        len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, COALESCE(dup, 0)::BIGINT AS n_dup_lines,
+        COALESCE(n3, 0)::BIGINT AS n_repeat_words, COALESCE(n6, 0) AS n6, COALESCE(long, false) AS long
+      FROM w LEFT JOIN s USING (doc_id) LEFT JOIN u USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM v)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 100 * n6 <= 40 * n_words AND NOT long AS kept FROM b
+""",
+)
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = quality_rules.assess(documents(spark, sf_dir))
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
