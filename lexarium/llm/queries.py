@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, mixing, quality_rules
+from . import jaccard_join, language_id, mixing, packing, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -109,3 +109,8 @@ SELECT r.doc_id, COALESCE(MAX(n.n), 0)::BIGINT AS n_shingles, MIN(r.r) AS compon
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = jaccard_join.linked(documents(spark, sf_dir), jaccard_join.Setting(n=4, least=85))
     return got.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op1_best_fit_packing")
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), packing.tokenizer_path("byte_bpe_50k.json"))
