@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, mixing, packing, quality_rules, toxicity
+from . import fingerprint, jaccard_join, language_id, mixing, packing, quality_rules, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -122,3 +122,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     got = toxicity.score(docs, index)
     return got.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
+
+
+@query("op8_fingerprints")
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint(documents(spark, sf_dir))
