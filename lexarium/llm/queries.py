@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, html_extract, jaccard_join, language_id, license_scan, mixing, packing, quality_rules, toxicity
+from . import fingerprint, html_extract, jaccard_join, language_id, license_scan, mixing, packing, quality_rules, toxicity, warc_revisit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -138,3 +138,49 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_license_scan")
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
+
+
+def page_records(pages: DataFrame) -> DataFrame:
+    """Capture records of pages: each page as a full response at ten times its id, and a revisit of it 75 later.
+
+    A page's etag is a digest of its html; every third page sends a date only, every seventh nothing, and the revisit of every fifth
+    page tells of another state.  So pages that share a canonical URL compete as the latest earlier response."""
+    digest = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit("")).cast("binary")), F.lit('"'))
+    number, n = F.col("page_id").cast("string"), F.col("page_id")
+    text = F.lit(None).cast("string")
+    entries = lambda *pairs: F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs]), lambda e: e["value"].isNotNull()))
+    plain = (n % 3 != 0) & (n % 7 != 0)
+    first = entries(("etag", F.when(plain, digest).otherwise(text)), ("last-modified", F.when(n % 7 != 0, F.concat(F.lit("day "), (n % 5).cast("string"))).otherwise(text)), ("content-type", F.lit("text/html")), ("date", F.concat(F.lit("t"), number)), ("content-length", F.length(F.coalesce("html", F.lit(""))).cast("string")))
+    again = entries(("etag", F.when(plain, F.when(n % 5 == 0, F.lit('"other"')).otherwise(F.concat(F.lit("W/"), digest))).otherwise(text)), ("last-modified", F.when(n % 7 != 0, F.concat(F.lit("day "), F.when(n % 5 == 0, F.lit("x")).otherwise((n % 5).cast("string")))).otherwise(text)), ("date", F.concat(F.lit("u"), number)), ("content-length", F.lit("0")), ("expires", F.lit("never")))
+    responses = pages.select((n * 2).alias("record_id"), "url", (n * 10).alias("ts"), F.lit("response").alias("kind"), first.alias("headers"))
+    revisits = pages.select((n * 2 + 1).alias("record_id"), F.concat("url", F.lit("#again")).alias("url"), (n * 10 + 75).alias("ts"), F.lit("revisit").alias("kind"), again.alias("headers"))
+    return responses.unionByName(revisits)
+
+
+@query(
+    "op10_warc_revisits",
+    r"""
+WITH b AS (SELECT page_id AS n, COALESCE(html, '') AS html, regexp_replace(regexp_replace(regexp_replace(url, '^\s+|\s+$', '', 'g'), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.\-]*://', '') AS u FROM pages),
+q AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*', 0)), '^www\.', ''), ':(80|443)$', '') AS host,
+        regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+        array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|fbclid|gclid|msclkid|mc_eid|ref)='))), '&') AS query FROM b),
+c AS (SELECT n, html, concat(host, path, CASE WHEN query <> '' THEN '?' || query ELSE '' END) AS canonical_url, '"' || md5(html) || '"' AS digest, n % 3 <> 0 AND n % 7 <> 0 AS plain FROM q),
+r AS (SELECT canonical_url, 2 * n AS response_id, 10 * n AS response_ts, n, CASE WHEN plain THEN digest END AS etag, CASE WHEN n % 7 <> 0 THEN 'day ' || (n % 5) END AS lm, length(html) AS len FROM c),
+v AS (SELECT canonical_url, 2 * n + 1 AS record_id, 10 * n + 75 AS ts, n, CASE WHEN plain THEN CASE WHEN n % 5 = 0 THEN '"other"' ELSE digest END END AS etag,
+        CASE WHEN plain THEN CASE WHEN n % 5 = 0 THEN '"other"' ELSE 'W/' || digest END END AS sent, CASE WHEN n % 7 <> 0 THEN 'day ' || CASE WHEN n % 5 = 0 THEN 'x' ELSE (n % 5)::VARCHAR END END AS lm FROM c),
+m AS (SELECT v.*, response_id, response_ts, r.n AS rn, r.etag AS retag, r.lm AS rlm, r.len,
+        CASE WHEN response_id IS NULL THEN 'no_response'
+             WHEN v.etag IS NOT NULL AND r.etag IS NOT NULL THEN CASE WHEN v.etag = r.etag THEN 'resolved' ELSE 'mismatch' END
+             WHEN v.lm IS NOT NULL AND r.lm IS NOT NULL THEN CASE WHEN v.lm = r.lm THEN 'resolved' ELSE 'mismatch' END
+             ELSE 'no_validator' END AS outcome
+      FROM v ASOF LEFT JOIN r ON v.canonical_url = r.canonical_url AND v.ts > r.response_ts)
+SELECT record_id, canonical_url, ts, outcome, response_id, response_ts,
+  array_to_string(list_sort(list_filter(CASE WHEN outcome = 'resolved'
+    THEN ['etag: ' || COALESCE(sent, retag), 'last-modified: ' || COALESCE(lm, rlm), 'content-type: text/html', 'date: u' || n, 'content-length: ' || len, 'expires: never']
+    ELSE ['etag: ' || sent, 'last-modified: ' || lm, 'date: u' || n, 'content-length: 0', 'expires: never'] END, lambda x: x IS NOT NULL)), chr(10)) AS headers
+FROM m
+""",
+)
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = warc_revisit.resolve(page_records(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return got.withColumn("headers", warc_revisit.header_text(F.col("headers")))
