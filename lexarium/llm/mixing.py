@@ -71,12 +71,39 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     * equal ids, and repeated rows, are ordered by (key, id, size): equal rows are interchangeable.
     * an empty table gives an empty result; a source of size 0 has target 0 and taken 0.
     """
+    taken = (F.col("epochs") * F.col("size") + F.col("extra")).cast("long")
+    return _placed(rows, weights, max_epochs, share, cut).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, share: float = 1.0) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, whole; those that it doesn't take are gone.
+
+    The cut of a source is a place in its order of keys, so a row is decided by its source's epochs and cut: one small
+    row per source is joined to the texts, which needn't move.  Repeated rows at a cut are taken together."""
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    placed = _placed(sized, weights, max_epochs, share, "document")
+    last = F.max(F.when(F.col("extra") > 0, F.struct("key", F.col("doc_id").cast("string").alias("id"))))
+    cuts = placed.groupBy("skey").agg(F.first("epochs").alias("_epochs"), last.alias("_last"))
+    here = docs.withColumn("_key", _key()).withColumn("skey", _skey()).join(cuts, "skey")
+    under = F.coalesce(F.struct(F.col("_key").alias("key"), F.col("doc_id").cast("string").alias("id")) <= F.col("_last"), F.lit(False))
+    times = F.col("_epochs") + F.when(under, 1).otherwise(0)
+    return here.withColumn("_time", F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<long>")))).select(*docs.columns)
+
+
+def _key() -> Column:
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+
+
+def _skey() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+
+
+def _placed(rows: DataFrame, weights: tuple[int, ...], max_epochs: int, share: float, cut: str) -> DataFrame:
+    """Rows with their place in the mix: ``epochs`` whole repeats of the source and ``extra`` words of this row."""
     if cut not in ("word", "document"):
         raise ValueError(f"cut is 'word' or 'document', not {cut!r}")
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     bucket = F.shiftright(F.conv(F.substring("key", 1, 4), 16, 10).cast("int"), 16 - BUCKET_BITS)
-    skey = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    keyed = rows.select("doc_id", "source", F.col("size").cast("long").alias("size"), key.alias("key"), skey.alias("skey")).withColumn("bucket", bucket)
+    keyed = rows.select("doc_id", "source", F.col("size").cast("long").alias("size"), _key().alias("key"), _skey().alias("skey")).withColumn("bucket", bucket)
     keyed = written(keyed, "mix-keys")  # the texts are read and counted once
 
     buckets = keyed.groupBy("skey", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("bucket_size"))
@@ -89,7 +116,7 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     )
     inside = Window.partitionBy("skey", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = F.floor(F.col("target") + 0.5).cast("long") - F.col("_epochs") * F.col("source_size") - F.col("_before")
+    rest = F.floor(F.col("target") + 0.5).cast("long") - F.col("epochs") * F.col("source_size") - F.col("_before")
     if cut == "word":
         extra = F.greatest(F.lit(0), F.least(F.col("size"), rest))
     else:
@@ -97,6 +124,7 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     return (
         keyed.join(starts, ["skey", "bucket"])
         .withColumn("_before", F.col("bucket_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .withColumn("_epochs", epochs)
-        .select("doc_id", "source", "size", "source_size", "target", (F.col("_epochs") * F.col("size") + extra).cast("long").alias("taken"))
+        .withColumn("epochs", epochs)
+        .withColumn("extra", extra.cast("long"))
+        .select("doc_id", "source", "size", "source_size", "target", "epochs", "extra", "key", "skey")
     )
