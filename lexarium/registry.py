@@ -22,3 +22,11 @@ def query(name: str, oracle: str | None = None):
         return fn
 
     return add
+
+
+def _load() -> None:
+    """Import the modules that register queries."""
+    from .plans import text  # noqa: F401
+
+
+_load()
