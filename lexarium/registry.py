@@ -26,7 +26,7 @@ def query(name: str, oracle: str | None = None):
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from .plans import search, text  # noqa: F401
+    from .plans import catalog, search, text  # noqa: F401
 
 
 _load()
