@@ -26,7 +26,7 @@ def query(name: str, oracle: str | None = None):
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from .plans import catalog, evaluation, search, sync, text  # noqa: F401
+    from .plans import catalog, evaluation, graph, search, sync, text  # noqa: F401
 
 
 _load()
