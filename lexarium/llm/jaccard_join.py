@@ -6,15 +6,15 @@
    over all documents and the most frequent ``FREQUENT`` of them are ordered last, by count; the others come
    before them by hash.  Any one order common to all sets is correct; this one keeps frequent passages
    out of prefixes.
-3. *Prefix postings.* Two sets can only reach the threshold if their prefixes share an n-gram.  Postings of
-   n-grams that one class alone has are dropped.
-4. *Stars.* Within an n-gram's postings each member is first paired with one pivot, which is linear in the
-   group.  Pairs pass the length filter, the positional filter and a suffix filter (a bound on the overlap from
-   counts of n-grams per hash cell), and each remaining pair is verified once on the whole sets.  Components
-   of the links follow.
-5. *Rest.* Pairs whose members are in one component already need no test: they can't change the result.  All
-   others are joined, filtered and verified, so that no link between different components is lost.  While
-   that rest would be large, more stars with other pivots shrink it first.
+3. *Prefix postings.* Two sets can only reach the threshold if their prefixes share ``Setting.common`` n-grams (or
+   all that the smaller overlap needs).  Postings of n-grams that one class alone has are dropped.
+4. *Pairs.* Members of a small group of postings (``Setting.small``) are paired with each other; in a large one each
+   member is first paired with a few pivots, which is linear in the group.  Pairs pass the length filter, the positional
+   filter and a suffix filter (a bound on the overlap from counts of n-grams per hash cell), and each remaining
+   pair is verified once on the whole sets.  Components of the links follow.
+5. *Rest.* Pairs of a large group whose members are in one component already need no test: they can't change the
+   result.  All others are joined, filtered and verified, so that no link between different components is lost.
+   While that rest would be large, more stars with other pivots shrink it first.
 
 The result is exact up to hash collisions (48 bits within a pair of sets, 64 bits between sets).
 """
@@ -42,19 +42,25 @@ class Setting:
     least: int = 80
     per: int = 100
     frequent: int = 1 << 18  # n-grams ordered by count; bounds what is broadcast (2 MB)
-    cells: int = 32  # hash cells of the suffix filter
+    cells: int = 128  # hash cells of the suffix filter
     bitmap_bits: int = 1 << 25  # of the broadcast filter on classes that have a candidate (4 MB)
-    star_rounds: int = 4
+    common: int = 3  # n-grams that two prefixes must share
+    small: int = 32  # groups of up to this many postings are paired at once
+    pivots: int = 16  # members of a larger group that all others are paired with in a round
+    star_rounds: int = 6
 
     def prefix(self, size):
-        """Length of the prefix two sets must share an n-gram in."""
-        return size - -(-self.least * size // self.per) + 1
+        """Length of the prefix that shares ``common`` n-grams with every set within reach, if they share as many at all."""
+        least = -(-self.least * size // self.per)
+        return size - least + np.minimum(self.common, least)
 
 
 #: Grams gathered before counts are taken in the first pass; bounds a task's memory.
 COUNT_EVERY = 4 << 20
 #: A gram is reported from a stretch if this many different sets of the stretch have it.
 COUNT_FROM = 3
+#: Counts of a cell stop here; sets that could have more skip the suffix filter.
+CELL_MOST = 32767
 MASK48 = np.uint64((1 << 48) - 1)
 
 
@@ -98,7 +104,8 @@ def shingle_sets(texts: pa.LargeStringArray, n: int) -> Sets:
         row = np.concatenate([row, short])
         gram = np.concatenate([gram, whole + length[short].astype(np.uint64)])
     gram = tb.mix64(gram) & MASK48
-    key = np.unique((row.astype(np.uint64) << np.uint64(48)) | gram)
+    key = np.sort((row.astype(np.uint64) << np.uint64(48)) | gram)
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
     row, gram = (key >> np.uint64(48)).astype(np.int64), key & MASK48
     size = np.bincount(row, minlength=rows).astype(np.int64)
     mixed = tb.mix64(gram + np.uint64(1))
@@ -120,10 +127,12 @@ def _first_pass(docs: DataFrame, setting: Setting) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def flush(held: list[np.ndarray], id_type: pa.DataType) -> pa.RecordBatch:
-        gram, count = np.unique(np.concatenate(held), return_counts=True)
-        gram, count = gram[count >= COUNT_FROM], count[count >= COUNT_FROM]
+        gram = np.sort(np.concatenate(held))
+        starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
+        count = np.diff(np.append(starts, len(gram)))
+        gram, count = gram[starts][count >= COUNT_FROM], count[count >= COUNT_FROM]
         none = len(gram)
-        return pa.RecordBatch.from_arrays([pa.nulls(none, id_type), pa.nulls(none, pa.int64()), pa.array(count, pa.int64()), pa.nulls(none, pa.list_(pa.int32())), pa.array(gram.view(np.int64))], ["doc_id", "cls", "n", "hist", "gram"])
+        return pa.RecordBatch.from_arrays([pa.nulls(none, id_type), pa.nulls(none, pa.int64()), pa.array(count, pa.int64()), pa.nulls(none, pa.list_(pa.int16())), pa.array(gram.view(np.int64))], ["doc_id", "cls", "n", "hist", "gram"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held, seen = [], 0, set()
@@ -133,7 +142,8 @@ def _first_pass(docs: DataFrame, setting: Setting) -> DataFrame:
             for part in _parts(texts):
                 s = shingle_sets(texts[part.start : part.stop], setting.n)
                 rows = len(s.size)
-                cells = np.bincount(s.row * setting.cells + (s.gram % np.uint64(setting.cells)).astype(np.int64), minlength=rows * setting.cells).astype(np.int32)
+                cells = np.bincount(s.row * setting.cells + (s.gram % np.uint64(setting.cells)).astype(np.int64), minlength=rows * setting.cells)
+                cells = np.minimum(cells, CELL_MOST).astype(np.int16)
                 hist = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * setting.cells), pa.array(cells))
                 none = s.size == 0
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], pa.array(s.cls, mask=none), pa.array(s.size), hist, pa.nulls(rows, pa.int64())], ["doc_id", "cls", "n", "hist", "gram"])
@@ -147,11 +157,11 @@ def _first_pass(docs: DataFrame, setting: Setting) -> DataFrame:
         if n_held:
             yield flush(held, id_type)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, cls long, n long, hist array<int>, gram long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, cls long, n long, hist array<smallint>, gram long")
 
 
 def _prefix_postings(docs: DataFrame, setting: Setting, frequent: np.ndarray) -> DataFrame:
-    """``gram, cls, n, pos, hot`` of every prefix n-gram. ``frequent``: grams from the least to the most frequent."""
+    """``gram, cls, np, hot`` of every prefix n-gram; ``np`` has the set's size above the gram's position. ``frequent``: grams from the least to the most frequent."""
     order = np.argsort(frequent)
     sent = docs.sparkSession.sparkContext.broadcast((frequent[order], order + 1))
 
@@ -179,9 +189,9 @@ def _prefix_postings(docs: DataFrame, setting: Setting, frequent: np.ndarray) ->
                 pos = np.arange(len(row)) - starts[row]
                 take = pos < setting.prefix(s.size[row])
                 row = row[take]
-                yield pa.RecordBatch.from_arrays([pa.array(gram[take].view(np.int64)), pa.array(s.cls[row]), pa.array(s.size[row].astype(np.int32)), pa.array(pos[take].astype(np.int32)), pa.array(late[take] > 0)], ["gram", "cls", "n", "pos", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(gram[take].view(np.int64)), pa.array(s.cls[row]), pa.array((s.size[row] << 32) | pos[take]), pa.array(late[take] > 0)], ["gram", "cls", "np", "hot"])
 
-    return docs.select("text").mapInArrow(run, "gram long, cls long, n int, pos int, hot boolean")
+    return docs.select("text").mapInArrow(run, "gram long, cls long, np long, hot boolean")
 
 
 def _wanted_sets(docs: DataFrame, setting: Setting, bitmap: np.ndarray) -> DataFrame:
@@ -216,33 +226,69 @@ def _bitmap(classes: DataFrame, bits: int) -> np.ndarray:
 
 
 def _possible(setting: Setting, a: str, b: str) -> Column:
-    """Length, positional and suffix filters on two postings of one n-gram."""
-    need = f"{setting.per + setting.least} * {{}} >= {setting.least} * (cast({a}.n as bigint) + {b}.n)"
+    """Length and positional filters on two postings of one n-gram."""
     size = f"least({a}.n, {b}.n) * cast({setting.per} as bigint) >= greatest({a}.n, {b}.n) * cast({setting.least} as bigint)"
-    place = need.format(f"(1 + least({a}.pos, {b}.pos) + least({a}.n - {a}.pos, {b}.n - {b}.pos) - 1)")
-    cells = need.format(f"aggregate(zip_with({a}.hist, {b}.hist, (x, y) -> least(x, y)), 0, (s, x) -> s + x)")
-    return F.expr(f"({size}) AND ({place}) AND ({cells})")
+    place = f"{setting.per + setting.least} * cast(least({a}.pos, {b}.pos) + least({a}.n - {a}.pos, {b}.n - {b}.pos) as bigint) >= {setting.least} * (cast({a}.n as bigint) + {b}.n)"
+    return F.expr(f"({size}) AND ({place})")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, setting: Setting) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose whole sets reach the threshold. ``sets`` has a row per class."""
+def _cells(setting: Setting, a: str, b: str) -> str:
+    """Suffix filter: the smaller count of every hash cell bounds the overlap."""
+    most = f"cast(aggregate(zip_with({a}.hist, {b}.hist, (x, y) -> least(x, y)), 0, (s, x) -> s + x) as bigint)"
+    return f"(least({a}.n, {b}.n) >= {CELL_MOST} OR {setting.per + setting.least} * {most} >= {setting.least} * (cast({a}.n as bigint) + {b}.n))"
+
+
+def _near(pairs: DataFrame, hists: DataFrame, setting: Setting) -> DataFrame:
+    """Distinct ``pairs`` that pass the suffix filter."""
+    near = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for side in ("b", "a"):
+        near = near.join(hists.select(F.col("cls").alias(side), F.struct("n", "hist").alias(f"s{side}")), side)
+    return written(near.where(F.expr(_cells(setting, "sa", "sb"))).select("a", "b"), "pairs")
+
+
+def _links(near: DataFrame, sets: DataFrame, setting: Setting) -> DataFrame:
+    """Those of ``near`` (a, b) whose whole sets reach the threshold; each pair is verified once."""
     a = sets.select(F.col("cls").alias("a"), F.col("grams").alias("ga"))
     b = sets.select(F.col("cls").alias("b"), F.col("grams").alias("gb"))
     both = F.size(F.array_intersect("ga", "gb")).cast("long")
-    union = F.size("ga") + F.size("gb") - both
-    return pairs.join(b, "b").join(a, "a").where(setting.per * both >= setting.least * union).select("a", "b")
+    return near.join(b, "b").join(a, "a").where(setting.per * both >= setting.least * (F.size("ga") + F.size("gb") - both)).select("a", "b")
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    """Postings of grams that several classes have.
+    """Postings of grams that several classes have, with their number ``m``.
 
     Frequent grams are counted by partial aggregation and joined back, so that a hot one is split by
-    the join; others are seldom and are told by a window in one shuffle."""
+    the join; others are seldom: one shuffle brings them together, and a window counts them."""
     gram = Window.partitionBy("gram")
-    rare = postings.where(~F.col("hot")).withColumn("several", F.max("cls").over(gram) != F.min("cls").over(gram)).where("several").drop("several")
-    hot = postings.where("hot")
-    several = hot.groupBy("gram").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("gram")
-    return rare.unionByName(hot.join(several, "gram"))
+    rare = postings.where(~F.col("hot")).select("gram", "cls", "np").repartition("gram").dropDuplicates(["gram", "cls"]).withColumn("m", F.count("*").over(gram)).where("m > 1")
+    hot = postings.where("hot").select("gram", "cls", "np").dropDuplicates(["gram", "cls"])
+    sizes = hot.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
+    size, position = F.shiftright("np", 32).cast("int"), F.col("np").bitwiseAND(0xFFFFFFFF).cast("int")
+    return rare.unionByName(hot.join(sizes, "gram")).select("gram", "cls", size.alias("n"), position.alias("pos"), "m")
+
+
+#: Two members whose n-grams before this one are the same have met there already.
+NOT_MET = "NOT (a.before <=> b.before AND a.before IS NOT NULL)"
+
+
+def _all_pairs(postings: DataFrame, setting: Setting, also: str = "true", last: str = "true") -> DataFrame:
+    """Pairs of classes that share an n-gram here and pass the filters on it, with how many they must share."""
+    a, b = postings.alias("a"), postings.alias("b")
+    met = a.join(b, (F.col("a.gram") == F.col("b.gram")) & F.expr("a.cls < b.cls") & F.expr(also) & _possible(setting, "a", "b") & F.expr(last))
+    overlap = F.ceil(F.lit(setting.least) * (F.col("a.n").cast("long") + F.col("b.n")) / (setting.per + setting.least))
+    return met.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"), F.least(F.lit(setting.common), overlap).alias("need"))
+
+
+def _star(postings: DataFrame, number: int, setting: Setting, also: str = "true") -> DataFrame:
+    """Pairs of each member with its group's pivots. A class draws the same number in all groups, so groups of the same
+    members have the same pivots."""
+    columns = [c for c in ("cls", "n", "pos", "hist", "comp") if c in postings.columns]
+    drawn = F.struct(F.xxhash64("cls", F.lit(number)).alias("draw"), *columns)
+    # the smallest of each hash cell: several pivots from one partial aggregation
+    cell = F.pmod(F.xxhash64("cls", F.lit(number), F.lit("cell")), F.lit(setting.pivots))
+    pivots = postings.groupBy("gram", cell.alias("cell")).agg(F.min(drawn).alias("p"))
+    met = postings.alias("b").join(pivots, "gram").where(F.expr("b.cls <> p.cls") & F.expr(also) & _possible(setting, "p", "b") & F.expr(_cells(setting, "p", "b")))
+    return met.select(F.col("p.cls").alias("a"), F.col("b.cls").alias("b"))
 
 
 def linked(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
@@ -258,42 +304,38 @@ def linked(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     top = counts.orderBy(F.desc("n"), "gram").limit(setting.frequent).toArrow()
     frequent = top.column("gram").to_numpy().astype(np.int64).view(np.uint64)[::-1].copy()
 
-    postings = _prefix_postings(docs, setting, frequent)
-    live = written(_shared(postings).dropDuplicates(["gram", "cls"]), "live")
-    hists = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.first("hist").alias("hist"))
-    candidates = live.select("cls").distinct()
-    live = written(live.drop("hot").join(hists, "cls"), "postings")
-    sets = written(_wanted_sets(docs, setting, _bitmap(candidates, setting.bitmap_bits)).join(candidates, "cls", "left_semi").dropDuplicates(["cls"]), "wanted")
-
-    labelled = live.withColumn("comp", F.col("cls"))
-    stars = None
-    for k in range(setting.star_rounds):
-        # a member of a gram's postings as the pivot of all others; another in every round
-        draw = F.struct("n", "cls", "pos", "hist", "comp") if k == 0 else F.struct(F.xxhash64("cls", F.lit(k)).alias("x"), "n", "cls", "pos", "hist", "comp")
-        pivots = labelled.groupBy("gram").agg(F.min(draw).alias("p")).select("gram", "p.*")
-        pivots = pivots.select("gram", *[F.col(c).alias(f"p_{c}") for c in ("n", "cls", "pos", "hist", "comp")])
-        pairs = labelled.alias("b").join(pivots, "gram").where("b.comp <> p_comp")
-        pairs = pairs.withColumn("a", F.struct(*[F.col(f"p_{c}").alias(c) for c in ("n", "pos", "hist")])).where(_possible(setting, "a", "b"))
-        pairs = pairs.select(F.least("p_cls", "b.cls").alias("a"), F.greatest("p_cls", "b.cls").alias("b")).distinct()
-        edges = _links(pairs, sets, setting)
-        edges = edges if stars is None else edges.unionByName(stars)
-        comps = components(edges)
-        stars = comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))
-        labelled = live.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        # grams whose members are all in one component are done
-        several = labelled.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-        labelled = written(labelled.join(several.select("gram", "m"), "gram"), f"round-{k}")
+    postings = written(_prefix_postings(docs, setting, frequent), "prefixes")
+    live = written(_shared(postings), "postings")
+    hists = written(rows.where("cls IS NOT NULL").select("cls", "n", "hist").dropDuplicates(["cls"]), "cells")
+
+    # Small groups: all pairs, at most ``small`` times as many as postings, and those that share enough n-grams.
+    # Large groups: pivots first; a pair that shares an n-gram of a large group is looked for there, whatever else it shares.
+    few, many = live.where(F.col("m") <= setting.small), live.where(F.col("m") > setting.small)
+    many = many.withColumn("before", F.lag("gram").over(Window.partitionBy("cls").orderBy("pos")))
+    many = written(many.join(hists.select("cls", "hist"), "cls"), "large")
+    found = _all_pairs(few, setting).groupBy("a", "b").agg(F.count("*").alias("k"), F.max("need").alias("need")).where("k >= need").select("a", "b")
+    ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = written(_near(found, hists, setting).unionByName(ordered(_star(many, 0, setting))).distinct(), "pairs")
+    classes = near.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(many.select("cls")).distinct()
+    classes = written(classes, "classes")
+    sets = written(_wanted_sets(docs, setting, _bitmap(classes, setting.bitmap_bits)).join(classes, "cls", "left_semi").dropDuplicates(["cls"]), "wanted")
+    comps = components(_links(near, sets, setting))
+    left = None
+    for k in range(1, setting.star_rounds + 1):
+        # groups whose members are all in one component are done
+        labelled = many.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         by_comp = labelled.groupBy("gram", "comp").agg(F.count("*").alias("k"), F.first("m").alias("m"))
-        rest = by_comp.agg(F.count("*").alias("n"), F.sum(F.col("k") * (F.col("m") - F.col("k"))).alias("pairs"), F.sum("k").alias("rows")).first()
-        if not rest["n"] or rest["pairs"] <= 16 * rest["rows"]:
+        rest = by_comp.where("k < m").agg(F.sum(F.col("k") * (F.col("m") - F.col("k"))).alias("pairs"), F.sum("k").alias("rows")).first()
+        if not rest["rows"]:
+            break
+        labelled = labelled.join(by_comp.where("k < m").select("gram").distinct(), "gram")
+        # pivots go on while they help
+        last = k == setting.star_rounds or rest["pairs"] <= setting.small * rest["rows"] or (left is not None and 2 * rest["pairs"] > left)
+        left = rest["pairs"]
+        pairs = _all_pairs(labelled, setting, f"a.comp <> b.comp AND {NOT_MET}", _cells(setting, "a", "b")).select("a", "b") if last else _star(labelled, k, setting, "b.comp <> p.comp")
+        comps = components(_links(ordered(pairs), sets, setting).unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+        if last:
             break
-        labelled = labelled.drop("m")
-    if rest["n"]:
-        a, b = labelled.alias("a"), labelled.alias("b")
-        before = "a.comp <> b.comp AND (a.n < b.n OR (a.n = b.n AND a.cls < b.cls))"
-        pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & F.expr(before) & _possible(setting, "a", "b"))
-        pairs = pairs.select(F.least("a.cls", "b.cls").alias("a"), F.greatest("a.cls", "b.cls").alias("b")).distinct()
-        comps = components(_links(pairs, sets, setting).unionByName(stars))
 
     named = rows.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     smallest = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
