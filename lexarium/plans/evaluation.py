@@ -1,4 +1,6 @@
-"""Queries of evaluation operators; orders and customers stand for evaluation rows."""
+"""Queries of evaluation operators; orders and customers stand for evaluation rows.
+
+Prices are whole cents, so that means are one division of exact sums in either engine, whatever the order of rows."""
 
 from __future__ import annotations
 
@@ -10,22 +12,22 @@ from ..registry import query
 from ..session import table
 from .inline import Inline
 
-ROWS = "SELECT c_mktsegment AS server, n_name AS model, o_orderpriority AS category, o_orderkey, o_totalprice AS price, o_orderstatus AS status, o_orderdate, o_totalprice > 1000 AS valid FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
+ROWS = "SELECT c_mktsegment AS server, n_name AS model, o_orderpriority AS category, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS price, o_orderstatus AS status, o_orderdate, round(o_totalprice * 100) > 100000 AS valid FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
 
 
 def rows(spark, sf_dir):
     nation = F.broadcast(table(spark, sf_dir, "nation"))  # 25 rows by definition
     customers = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("c_mktsegment").alias("server"), F.col("n_name").alias("model"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("category"), "o_orderdate")
-    return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).withColumn("valid", F.col("price") > 1000)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("price"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("category"), "o_orderdate")
+    return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).withColumn("valid", F.col("price") > 100_000)
 
 
 # observed cells: some are missing, some are outside what was asked for
-CELL = f"(SELECT server, model, category, price > 2000 AS valid FROM ({ROWS}) WHERE o_orderkey % 5 = 0 AND NOT (server = 'BUILDING' AND category LIKE '1%'))"
+CELL = f"(SELECT server, model, category, price > 200000 AS valid FROM ({ROWS}) WHERE o_orderkey % 5 = 0 AND NOT (server = 'BUILDING' AND category LIKE '1%'))"
 
 
 def cells(spark, sf_dir):
-    return rows(spark, sf_dir).where("o_orderkey % 5 = 0 AND NOT (server = 'BUILDING' AND category LIKE '1%')").select("server", "model", "category", (F.col("price") > 2000).alias("valid"))
+    return rows(spark, sf_dir).where("o_orderkey % 5 = 0 AND NOT (server = 'BUILDING' AND category LIKE '1%')").select("server", "model", "category", (F.col("price") > 200_000).alias("valid"))
 
 
 MODELS = Inline({"model": "string"}, [("FRANCE",), ("GERMANY",), ("JAPAN",), ("ATLANTIS",)])
@@ -54,11 +56,11 @@ def matrix_status(spark, sf_dir):
 
 @query(
     "score_matrix",
-    f"SELECT server, model, category, round(AVG(price), 3) AS mean, COUNT(*)::BIGINT AS n FROM ({ROWS}) WHERE valid GROUP BY GROUPING SETS ((server, model), (category, server), (server))",
+    f"SELECT server, model, category, AVG(price) AS mean, COUNT(*)::BIGINT AS n FROM ({ROWS}) WHERE valid GROUP BY GROUPING SETS ((server, model), (category, server), (server))",
 )
 def score_matrix(spark, sf_dir):
     got = ev.means_by(rows(spark, sf_dir), "price", [["server", "model"], ["category", "server"], ["server"]], "valid")
-    return got.withColumn("mean", F.round("mean", 3)).select("server", "model", "category", "mean", "n")
+    return got.select("server", "model", "category", "mean", "n")
 
 
 LATE = "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE price END"
@@ -66,17 +68,16 @@ LATE = "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE price END"
 
 @query(
     "operational_metrics",
-    f"""SELECT server, COUNT(*)::BIGINT AS n, round(AVG(m), 3) AS avg_m, COUNT(m)::BIGINT AS present_m, COUNT(*) FILTER (WHERE m IS NULL)::BIGINT AS missing_m, round(SUM(m), 2) AS sum_m, COUNT(*) FILTER (WHERE status = 'F')::BIGINT AS n_final
+    f"""SELECT server, COUNT(*)::BIGINT AS n, AVG(m) AS avg_m, COUNT(m)::BIGINT AS present_m, COUNT(*) FILTER (WHERE m IS NULL)::BIGINT AS missing_m, SUM(m)::BIGINT AS sum_m, COUNT(*) FILTER (WHERE status = 'F')::BIGINT AS n_final
     FROM (SELECT *, {LATE} AS m FROM ({ROWS})) GROUP BY server""",
 )
 def operational_metrics(spark, sf_dir):
-    got = ev.operational(rows(spark, sf_dir).withColumn("m", F.when(F.col("o_orderkey") % 3 == 0, None).otherwise(F.col("price"))), ["server"], ["m"], "status")
-    return got.withColumn("avg_m", F.round("avg_m", 3)).withColumn("sum_m", F.round("sum_m", 2))
+    return ev.operational(rows(spark, sf_dir).withColumn("m", F.when(F.col("o_orderkey") % 3 == 0, None).otherwise(F.col("price"))), ["server"], ["m"], "status")
 
 
-@query("success_rates", f"SELECT category, server, round(AVG((status = 'F')::INT), 6) AS rate FROM ({ROWS}) GROUP BY ALL")
+@query("success_rates", f"SELECT category, server, AVG((status = 'F')::INT) AS rate FROM ({ROWS}) GROUP BY ALL")
 def success_rates(spark, sf_dir):
-    return rows(spark, sf_dir).groupBy("category", "server").agg(F.round(F.avg((F.col("status") == "F").cast("int")), 6).alias("rate"))
+    return rows(spark, sf_dir).groupBy("category", "server").agg(F.avg((F.col("status") == "F").cast("int")).alias("rate"))
 
 
 def halves(spark, sf_dir):
@@ -90,19 +91,18 @@ def halves(spark, sf_dir):
     "baseline_compare",
     f"""WITH w AS (SELECT * FROM ({ROWS}) WHERE NOT (server = 'MACHINERY' AND model = 'FRANCE')), c AS (SELECT model, server, AVG((status = 'F')::INT) AS rate FROM w WHERE o_orderdate >= TIMESTAMP '1995-06-01' AND model <> 'CHINA' GROUP BY ALL),
     b AS (SELECT model, server, AVG((status = 'F')::INT) AS rate FROM w WHERE o_orderdate < TIMESTAMP '1995-06-01' GROUP BY ALL)
-    SELECT COALESCE(c.model, b.model) AS model, COALESCE(c.server, b.server) AS server, round(c.rate, 6) AS current, round(b.rate, 6) AS baseline,
+    SELECT COALESCE(c.model, b.model) AS model, COALESCE(c.server, b.server) AS server, c.rate AS current, b.rate AS baseline,
       CASE WHEN c.rate - b.rate IS NULL THEN 'inconclusive' WHEN c.rate - b.rate > 0.05 THEN 'better' WHEN c.rate - b.rate < -0.05 THEN 'worse' ELSE 'same' END AS verdict FROM c FULL JOIN b ON c.model = b.model AND c.server = b.server""",
 )
 def baseline_compare(spark, sf_dir):
-    got = ev.compared(*halves(spark, sf_dir), ["model", "server"], "rate")
-    return got.withColumn("current", F.round("current", 6)).withColumn("baseline", F.round("baseline", 6))
+    return ev.compared(*halves(spark, sf_dir), ["model", "server"], "rate")
 
 
-MEANS = f"(SELECT model, server, round(AVG(price), 3) AS mean FROM ({ROWS}) GROUP BY ALL)"
+MEANS = f"(SELECT model, server, AVG(price) AS mean FROM ({ROWS}) GROUP BY ALL)"
 
 
 def means(spark, sf_dir):
-    return rows(spark, sf_dir).groupBy("model", "server").agg(F.round(F.avg("price"), 3).alias("mean"))
+    return rows(spark, sf_dir).groupBy("model", "server").agg(F.avg("price").alias("mean"))
 
 
 @query("server_ranking", f"SELECT model, server, mean, rank::INTEGER AS rank, CASE rank WHEN 1 THEN 'gold' WHEN 2 THEN 'silver' WHEN 3 THEN 'bronze' END AS medal FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY mean DESC, server) AS rank FROM {MEANS})")
@@ -233,8 +233,8 @@ def gate_boundary(spark, sf_dir):
 @query(
     "backend_summary",
     """WITH r AS (SELECT role AS backend, turn % 3 <> 0 AS hit, CASE WHEN turn % 2 = 0 THEN length(text) END AS chars FROM conversations)
-    SELECT backend, COUNT(*)::BIGINT AS n, round(COALESCE(AVG(chars) FILTER (WHERE hit), 0), 4) AS chars_of_hits, round(COUNT(*) FILTER (WHERE hit) / greatest(COUNT(*), 1), 6) AS hit_rate FROM r GROUP BY backend""",
+    SELECT backend, COUNT(*)::BIGINT AS n, COALESCE(AVG(chars) FILTER (WHERE hit), 0) AS chars_of_hits, COUNT(*) FILTER (WHERE hit) / greatest(COUNT(*), 1) AS hit_rate FROM r GROUP BY backend""",
 )
 def backend_summary(spark, sf_dir):
     r = table(spark, sf_dir, "conversations").select(F.col("role").alias("backend"), (F.col("turn") % 3 != 0).alias("hit"), F.when(F.col("turn") % 2 == 0, F.length("text")).alias("chars"))
-    return r.groupBy("backend").agg(F.count("*").alias("n"), F.round(F.coalesce(F.avg(F.when(F.col("hit"), F.col("chars"))), F.lit(0.0)), 4).alias("chars_of_hits"), F.round(F.count_if("hit") / F.count("*"), 6).alias("hit_rate"))
+    return r.groupBy("backend").agg(F.count("*").alias("n"), F.coalesce(F.avg(F.when(F.col("hit"), F.col("chars"))), F.lit(0.0)).alias("chars_of_hits"), (F.count_if("hit") / F.count("*")).alias("hit_rate"))

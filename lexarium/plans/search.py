@@ -106,14 +106,14 @@ def knn_cosine_topk(spark, sf_dir):
 
 @query(
     "knn_label_purity",
-    f"""SELECT own AS label, COUNT(*)::BIGINT AS n, round(AVG((own = other)::INT), 6) AS purity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 9) DESC, neighbor) AS rank FROM ({KNN})) WHERE rank <= 10 GROUP BY own""",
+    f"""SELECT own AS label, COUNT(*)::BIGINT AS n, AVG((own = other)::INT) AS purity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 9) DESC, neighbor) AS rank FROM ({KNN})) WHERE rank <= 10 GROUP BY own""",
 )
 def knn_label_purity(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     near = search.nearest(vectors.where("vec_id % 20 = 0"), vectors, 10)
     own = vectors.select("vec_id", F.col("label").alias("own"))
     other = vectors.select(F.col("vec_id").alias("neighbor"), F.col("label").alias("other"))
-    return near.join(own, "vec_id").join(other, "neighbor").groupBy(F.col("own").alias("label")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("own") == F.col("other")).cast("int")), 6).alias("purity"))
+    return near.join(own, "vec_id").join(other, "neighbor").groupBy(F.col("own").alias("label")).agg(F.count("*").alias("n"), F.avg((F.col("own") == F.col("other")).cast("int")).alias("purity"))
 
 
 @query(
@@ -156,28 +156,28 @@ def first_relevant_rank(spark, sf_dir):
     return hits(spark, sf_dir)
 
 
-@query("hit_and_mrr", f"WITH {HITS} SELECT COUNT(*)::BIGINT AS n, round(AVG((first_rank IS NOT NULL)::INT), 6) AS hit_at_k, round(AVG(COALESCE(1.0 / first_rank, 0)), 6) AS mrr FROM h")
+@query("hit_and_mrr", f"WITH {HITS} SELECT COUNT(*)::BIGINT AS n, AVG((first_rank IS NOT NULL)::INT) AS hit_at_k, round(AVG(COALESCE(1.0 / first_rank, 0)), 6) AS mrr FROM h")
 def hit_and_mrr(spark, sf_dir):
     hit = F.col("first_rank").isNotNull().cast("int")
-    return hits(spark, sf_dir).agg(F.count("*").alias("n"), F.round(F.avg(hit), 6).alias("hit_at_k"), F.round(F.avg(F.coalesce(1 / F.col("first_rank"), F.lit(0.0))), 6).alias("mrr"))
+    return hits(spark, sf_dir).agg(F.count("*").alias("n"), F.avg(hit).alias("hit_at_k"), F.round(F.avg(F.coalesce(1 / F.col("first_rank"), F.lit(0.0))), 6).alias("mrr"))
 
 
 @query(
     "testbench_gate",
     f"""WITH {HITS}, t AS (SELECT COUNT(*)::BIGINT AS total, COUNT(*) FILTER (WHERE first_rank IS NOT NULL AND n_found >= 1)::BIGINT AS passed FROM h)
-    SELECT total, passed, round(CASE WHEN total = 0 THEN 0 ELSE passed / total END, 6) AS pass_rate, CASE WHEN total >= 1 AND passed / greatest(total, 1) >= 0.85 THEN 'pass' ELSE 'fail' END AS decision FROM t""",
+    SELECT total, passed, CASE WHEN total = 0 THEN 0 ELSE passed / total END AS pass_rate, CASE WHEN total >= 1 AND passed / greatest(total, 1) >= 0.85 THEN 'pass' ELSE 'fail' END AS decision FROM t""",
 )
 def testbench_gate(spark, sf_dir):
     from ..operators.evaluation import gate
 
     rows = hits(spark, sf_dir).select((F.col("first_rank").isNotNull() & (F.col("n_found") >= 1)).alias("ok"))
-    return gate(rows, "ok", 0.85, 1).withColumn("pass_rate", F.round("pass_rate", 6))
+    return gate(rows, "ok", 0.85, 1)
 
 
 @query(
     "sufficiency",
     f"""WITH {HITS}, c AS (SELECT h.query_id, h.first_rank IS NOT NULL AS hit, COALESCE(MAX(length(d.text)) FILTER (WHERE f.rank = h.first_rank), 0) AS chars FROM h LEFT JOIN f USING (query_id) LEFT JOIN documents d ON d.doc_id = f.doc GROUP BY ALL)
-    SELECT COUNT(*)::BIGINT AS n, round(AVG((hit AND chars >= 500)::INT), 6) AS one_step, round(AVG(hit::INT), 6) AS two_step, round(COALESCE(AVG(chars) FILTER (WHERE hit), 0), 6) AS mean_chars FROM c""",
+    SELECT COUNT(*)::BIGINT AS n, AVG((hit AND chars >= 500)::INT) AS one_step, AVG(hit::INT) AS two_step, COALESCE(AVG(chars) FILTER (WHERE hit), 0) AS mean_chars FROM c""",
 )
 def sufficiency(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -185,6 +185,6 @@ def sufficiency(spark, sf_dir):
     chars = found.join(docs.select(F.col("doc_id").alias("doc"), F.length("text").alias("chars")), "doc").select("query_id", F.col("rank").alias("first_rank"), "chars")
     rows = hits(spark, sf_dir).join(chars, ["query_id", "first_rank"], "left").select(F.col("first_rank").isNotNull().alias("hit"), F.coalesce("chars", F.lit(0)).alias("chars"))
     return rows.agg(
-        F.count("*").alias("n"), F.round(F.avg((F.col("hit") & (F.col("chars") >= 500)).cast("int")), 6).alias("one_step"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("two_step"),
-        F.round(F.coalesce(F.avg(F.when(F.col("hit"), F.col("chars"))), F.lit(0.0)), 6).alias("mean_chars"),
+        F.count("*").alias("n"), F.avg((F.col("hit") & (F.col("chars") >= 500)).cast("int")).alias("one_step"), F.avg(F.col("hit").cast("int")).alias("two_step"),
+        F.coalesce(F.avg(F.when(F.col("hit"), F.col("chars"))), F.lit(0.0)).alias("mean_chars"),
     )

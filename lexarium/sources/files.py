@@ -21,7 +21,7 @@ def read_pages(spark: SparkSession, root: str, pattern: str = "*.mdx") -> DataFr
     base = F.regexp_replace(F.lit(root.rstrip("/")), r"^file:/*", "/")
     local = F.regexp_replace(F.url_decode(F.regexp_replace(F.col("path"), r"\+", "%2B")), r"^[a-z]+:/*", "/")
     relative = F.regexp_replace(F.substr(local, F.length(base) + 2), r"\.[^./]+$", "")
-    return files.select(relative.alias("path"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    return files.select(relative.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
@@ -79,7 +79,7 @@ def read_feedback(spark: SparkSession, path: str) -> DataFrame:
 
 def icons(raw: DataFrame, name: str, data: str) -> DataFrame:
     """``publisher, icon`` from base64 columns; only what is an SVG."""
-    text = F.decode(F.try_to_binary(F.col(data), F.lit("base64")), F.lit("UTF-8"))
+    text = F.make_valid_utf8(F.try_to_binary(F.col(data), F.lit("base64")).cast("string"))
     return raw.select(F.col(name).alias("publisher"), text.alias("icon")).where(F.contains("icon", F.lit("<svg")))
 
 
