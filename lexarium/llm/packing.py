@@ -36,7 +36,7 @@ class Packing:
 
 
 #: Distinct pre-tokens whose ids a worker remembers.
-REMEMBER = 800_000
+REMEMBER = 400_000
 #: Pieces sorted by length before they are packed: long ones first leave short ones to fill the gaps, and a
 #: stretch well under the number of open bins keeps those open that the short ones need.
 STRETCH = 4096
