@@ -85,6 +85,8 @@ def _window(points: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 def train(samples: dict[str, list[str]], setting: Training = Training()) -> Models:
     """Models from sampled texts by language; languages in code-point order."""
     languages, order = sorted(samples), setting.order
+    if not languages:
+        return Models([], order, [], [], [], [], 0.0)
     counts: list[list[Counter]] = []  # per language, per order: n-gram -> count
     fitted, held = {}, {}
     for lang in languages:
@@ -199,7 +201,7 @@ def cross_entropies(models: Models, texts: pa.LargeStringArray) -> tuple[np.ndar
     """Per text: cross-entropy per character in each language (nan without letters), and its characters."""
     w = tb.words(pc.utf8_lower(texts), NOT_LETTERS)
     n = len(texts)
-    if not len(w.code):
+    if not len(w.code) or not models.languages:
         return np.full((n, len(models.languages)), np.nan), np.zeros(n, np.int64)
     points, word, place = _ngrams(w.vocabulary)
     scores = _score_points(models, points, place)
