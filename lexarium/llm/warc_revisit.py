@@ -11,8 +11,8 @@ part of the records is spread over many tasks.  Everything but the WARC reader i
 
 from __future__ import annotations
 
-import gzip
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -101,31 +101,43 @@ def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers with lower-case names, block) of each record of a WARC file, compressed by record, whole or not at all.
 
     A broken record ends the file: what stands before it is given."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data))
-    try:
-        while line := stream.readline():
-            if not line.strip():
+    stream = io.BytesIO(_plain(data) if data[:2] == b"\x1f\x8b" else data)
+    while line := stream.readline():
+        if not line.strip():
+            continue
+        if not line.startswith(b"WARC/"):
+            return
+        headers, last = {}, ""
+        while (line := stream.readline()).strip():
+            text = line.decode("utf-8", "replace").rstrip("\r\n")
+            if text[:1] in " \t" and last:
+                headers[last] += " " + text.strip()
                 continue
-            if not line.startswith(b"WARC/"):
-                return
-            headers, last = {}, ""
-            while (line := stream.readline()).strip():
-                text = line.decode("utf-8", "replace").rstrip("\r\n")
-                if text[:1] in " \t" and last:
-                    headers[last] += " " + text.strip()
-                    continue
-                name, _, value = text.partition(":")
-                last = name.strip().lower()
-                headers[last] = value.strip()
-            length = headers.get("content-length", "")
-            if not length.isdigit():
-                return
-            block = stream.read(int(length))
-            if len(block) < int(length):
-                return
-            yield headers, block
-    except (EOFError, OSError):
-        return
+            name, _, value = text.partition(":")
+            last = name.strip().lower()
+            headers[last] = value.strip()
+        length = headers.get("content-length", "")
+        if not length.isdigit():
+            return
+        block = stream.read(int(length))
+        if len(block) < int(length):
+            return
+        yield headers, block
+
+
+def _plain(data: bytes) -> bytes:
+    """What gzip members hold, as far as they can be read."""
+    out = []
+    while data:
+        member = zlib.decompressobj(wbits=31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        if not member.eof:
+            break
+        data = member.unused_data
+    return b"".join(out)
 
 
 def write_record(headers: dict[str, str], block: bytes) -> bytes:
