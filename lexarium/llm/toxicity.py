@@ -5,8 +5,9 @@ label; their document frequencies are counted over all documents.  Labelled exam
 (``Setting.toxic`` and ``Setting.clean``), held as an inverted index cut into blocks of examples.  Each
 feature keeps its largest weight per block, so a sum over a query's features bounds every similarity in a block; blocks
 are visited by falling bound until the bound is no better than the k-th similarity found, which makes the
-neighbours exact.  Votes are weighted by squared similarity and by what each example stands for in its class, and
-the share of toxic votes is calibrated by isotonic regression on left-out examples.
+neighbours exact.  Votes are weighted by squared similarity and by what each example stands for in its class, against
+a fixed weight of clean votes, so far neighbours alone don't decide.  The share of toxic votes is calibrated by isotonic
+regression on left-out examples, those without any feature among them.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ class Setting:
     toxic: int = 2000  # bound on sampled toxic examples
     clean: int = 4000  # and on others
     features: int = 1500
-    least_ratio: float = 25.0  # likelihood-ratio statistic from which a feature counts
+    least_ratio: float = 15.0  # likelihood-ratio statistic from which a feature counts
     neighbours: int = 25
+    doubt: float = 0.25  # clean votes that always count, as a share of all neighbours at full similarity
     block: int = 64
     threshold: float = 0.7
 
@@ -53,7 +55,7 @@ class Index:
     names: np.ndarray
     setting: Setting
     prior: float = 0.0
-    nothing: float = 0.0  # calibrated score of a text without any feature
+    nothing: float = 0.0  # score of a text without any feature
     knots: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     values: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
 
@@ -94,12 +96,14 @@ class Index:
         return ids, sims
 
     def vote(self, at: np.ndarray, weight: np.ndarray, without: int = -1) -> tuple[float, np.ndarray]:
+        """Share of toxic votes, and the examples by falling similarity."""
         ids, sims = self.nearest(at, weight, without)
         w = sims.astype(np.float64) ** 2 * self.stands_for[ids]
-        return (float((w * self.toxic[ids]).sum() / w.sum()), ids) if len(ids) else (-1.0, ids)
+        clean = self.setting.doubt * self.setting.neighbours * float(self.stands_for.mean() if len(self.stands_for) else 1)
+        return float((w * self.toxic[ids]).sum() / (w.sum() + clean)), ids[np.lexsort((ids, -sims))]
 
     def calibrated(self, raw: float) -> float:
-        return self.nothing if raw < 0 else float(np.interp(raw, self.knots, self.values))
+        return float(np.interp(raw, self.knots, self.values))
 
 
 def _kinds(vocabulary: pa.Array) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
@@ -203,15 +207,14 @@ def index_of(ids: list, texts: list[str], toxic: np.ndarray, stands_for: np.ndar
     start = np.searchsorted(feat[by], np.arange(total + 1))
     index = Index(features, first, idf, start, place[row[by]], weight[by].astype(np.float32), toxic[chosen].astype(np.float64), stands_for[chosen], np.array(ids, dtype=object)[chosen], setting)
     index.prior = float((stands_for * toxic).sum() / stands_for.sum()) if len(texts) else 0.0
-    none = ~has
-    index.nothing = float(((stands_for * toxic)[none].sum() + index.prior) / (stands_for[none].sum() + 1)) if len(texts) else 0.0
-    if len(chosen):
+    if len(texts):
         index.opened()
         ends = np.searchsorted(row, np.arange(len(texts) + 1))
-        raw = np.array([index.vote(feat[ends[i] : ends[i + 1]], weight[ends[i] : ends[i + 1]].astype(np.float32), int(place[i]))[0] for i in chosen])
-        ok = raw >= 0
-        if ok.any():
-            index.knots, index.values = _isotonic(raw[ok], toxic[chosen][ok].astype(float), stands_for[chosen][ok])
+        raw = np.zeros(len(texts))
+        for i in chosen.tolist():
+            raw[i], _ = index.vote(feat[ends[i] : ends[i + 1]], weight[ends[i] : ends[i + 1]].astype(np.float32), int(place[i]))
+        index.knots, index.values = _isotonic(raw, toxic.astype(float), stands_for.astype(float))
+        index.nothing = index.calibrated(0.0)
     return index
 
 
@@ -271,8 +274,10 @@ def score_texts(index: Index, texts: pa.LargeStringArray) -> tuple[np.ndarray, l
     index.opened()
     n = len(texts)
     row, feat, times = featured(texts, index.features, index.first)
-    weight = _vectors(row, feat, times, index.idf, n).astype(np.float32) if len(row) else np.zeros(0, np.float32)
     score, evidence = np.full(n, index.nothing), [[] for _ in range(n)]
+    if not len(row):
+        return score, evidence
+    weight = _vectors(row, feat, times, index.idf, n).astype(np.float32)
     some, starts = np.unique(row, return_index=True)
     ends = np.append(starts[1:], len(row))
     for i, a, b in zip(some.tolist(), starts.tolist(), ends.tolist(), strict=True):
