@@ -123,3 +123,18 @@ def test_feedback_loop(spark, tmp_path):
     out = []
     mentions.run_once(mentions.testbench_cases(mentions.feedback_stream(spark, folder)), str(tmp_path / "cp"), lambda df, n: out.extend(df.collect()))
     assert [(r["query"], r["expected"]) for r in out] == [("q", "docs/x")]
+
+
+def test_stored_index_answers_like_the_direct_search(spark, small, tmp_path):
+    from lexarium.functions import text
+    from lexarium.operators import index, search
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    empty = spark.createDataFrame([(10_000, "the of", "en", "s", 6)], docs.schema)
+    docs = docs.unionByName(empty)
+    path = str(tmp_path / "index")
+    index.write(docs, "doc_id", text.tokens(F.col("text")), path, buckets=8)
+    asked = search.query_tokens(spark.read.parquet(f"{small}/benchmark.parquet").where("item_id < 5"), "item_id", "text")
+    rows = lambda df: [(r["query_id"], r["rank"], r["doc"], round(r["score"], 6)) for r in df.orderBy("query_id", "rank").collect()]
+    got = index.search(spark, path, asked, 5)
+    assert rows(got) == rows(search.bm25(asked, docs, "doc_id", text.tokens(F.col("text")), 5))
