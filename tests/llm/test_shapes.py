@@ -75,12 +75,32 @@ def test_bins_take_the_best_fit(lengths, most):
         assert bins.n == len(open_bins)
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.text(max_size=120))
-def test_cuts_give_the_tokenizers_ids(text):
+TEXTS = st.lists(st.text(max_size=80) | st.lists(st.sampled_from(["a", "Bc", "é", " ", " ", "\n", ",", ".", "'s", "1", "!", "\t", "_", "<|endoftext|>", "\u00a0", "日", "  ", "\u2028", "the", "²"]), max_size=14).map("".join), max_size=6)
+
+
+@settings(max_examples=150, deadline=None)
+@given(TEXTS)
+def test_ids_are_the_tokenizers(texts):
+    encoder = packing.encoder(packing.tokenizer_path())
+    assert [x.tolist() for x in encoder.encode(texts)] == encoder.defined(texts)
+
+
+def test_every_compared_character():
+    """Each alone, doubled, and between letters, digits, spaces and marks; by the fast library and by the definition."""
     encoder = packing.encoder(packing.tokenizer_path())
-    (got,) = encoder.encode([text])
-    assert np.frombuffer(got, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    list(encoder.encode(["agree"]))
+    assert encoder.fast
+    chars = [chr(c) for c in [*range(0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F), 0x20AC]]
+    texts = [t for c in chars for t in (c, c + c, f"a{c}b", f"1{c}2", f" {c} ", f"!{c}?", f"{c} {c}a", f"a\n{c}\n\n{c}", f"a  {c}'s", f"{c}\xa0{c}")]
+    assert not any(encoder.other(t) for t in texts)
+    assert [encoder.fast.encode_ordinary(t) for t in texts] == encoder.defined(texts)
+
+
+def test_other_vocabularies_and_disagreement():
+    encoder = packing.Encoder(packing.tokenizer_path())
+    encoder.fast = type("Wrong", (), {"encode_ordinary": staticmethod(lambda t: [1])})()
+    assert [x.tolist() for x in encoder.encode(["some text"])] == encoder.defined(["some text"])
+    assert packing.Encoder._ranks("/nowhere.tiktoken") is None
 
 
 def check_packing(rows: pd.DataFrame, docs: list[tuple], width: int = 1024) -> None:
@@ -427,3 +447,11 @@ def test_pipeline_on_odd_rows(spark, odd):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd.where("false"), "").collect() == []
         stage(spark, odd, "").collect()
+
+
+def test_written_tables_can_be_released(spark):
+    from lexarium.llm import durable
+
+    durable.release(spark)
+    df = durable.written(spark.range(3).toDF("x"), "t")
+    assert df.count() == 3 and durable.release(spark) == 1 and durable.release(spark) == 0
