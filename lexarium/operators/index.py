@@ -1,7 +1,7 @@
 """A stored inverted index: postings by token bucket, document lengths' sum, and the counts that BM25 needs.
 
 ``write`` makes three tables below a path; ``search`` answers batches of queries from them.  Postings are partitioned by a hash of the token, so a
-search reads only the buckets of its tokens, and tf, length and df stand in the posting itself: no other table is joined.
+search reads only the buckets of its tokens; tf and document length stand in the posting itself, and only the tokens' df is joined.
 """
 
 from __future__ import annotations
