@@ -205,3 +205,12 @@ def test_retry_helpers():
     assert retry_after("soon") is None and retry_after(None) is None
     assert [backoff(i) for i in (1, 2, 3)] == [1, 2, 4]
     assert backoff(9, most=30) == 30 and backoff(1, told=7) == 7
+
+
+def test_hash_embeddings_are_unit_vectors(spark):
+    from lexarium.operators import records
+
+    df = spark.createDataFrame([(["a", "b", "a"],), ([],), (["a", "b", "a"],)], "t array<string>")
+    rows = [r["e"] for r in df.select(records.hashed_embedding(F.col("t"), 16).alias("e")).collect()]
+    assert rows[0] == rows[2] and len(rows[0]) == 16 and math.isclose(sum(x * x for x in rows[0]), 1)
+    assert rows[1] == [0.0] * 16
