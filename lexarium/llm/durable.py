@@ -17,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.lexarium.scratch", None)
     if found:
         return found.rstrip("/")
-    if not (spark.sparkContext.master or "").startswith("local["):
+    if not ((spark.sparkContext.master or "") + "[").startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     found = tempfile.mkdtemp(prefix="lexarium-")
     spark.conf.set("spark.lexarium.scratch", found)

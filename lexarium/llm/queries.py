@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import importable
 from . import fingerprint, html_extract, jaccard_join, language_id, license_scan, mixing, packing, quality_rules, toxicity, warc_revisit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,10 +17,15 @@ ORACLE: dict[str, str] = {}
 
 def query(name: str, oracle: str | None = None):
     def add(fn):
-        QUERIES[name] = fn
+        @wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            importable(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if oracle:
             ORACLE[name] = oracle
-        return fn
+        return run
 
     return add
 
