@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexarium.llm import jaccard_join, language_id, mixing, packing, quality_rules
 from lexarium.llm.durable import written
+from lexarium.session import importable
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +52,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what lies between two stages is written to the shared folder."""
+    importable(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
