@@ -55,6 +55,8 @@ class Setting:
         return size - least + np.minimum(self.common, least)
 
 
+# Tables with hash cells, and self-joins, ask for a merge join: their files shrink far more than what would be broadcast.
+
 #: Grams gathered before counts are taken in the first pass; bounds a task's memory.
 COUNT_EVERY = 4 << 20
 #: A gram is reported from a stretch if this many different sets of the stretch have it.
@@ -242,7 +244,7 @@ def _near(pairs: DataFrame, hists: DataFrame, setting: Setting) -> DataFrame:
     """Distinct ``pairs`` that pass the suffix filter."""
     near = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for side in ("b", "a"):
-        near = near.join(hists.select(F.col("cls").alias(side), F.struct("n", "hist").alias(f"s{side}")), side)
+        near = near.join(hists.select(F.col("cls").alias(side), F.struct("n", "hist").alias(f"s{side}")).hint("merge"), side)
     return written(near.where(F.expr(_cells(setting, "sa", "sb"))).select("a", "b"), "pairs")
 
 
@@ -274,7 +276,7 @@ NOT_MET = "NOT (a.before <=> b.before AND a.before IS NOT NULL)"
 def _all_pairs(postings: DataFrame, setting: Setting, also: str = "true", last: str = "true") -> DataFrame:
     """Pairs of classes that share an n-gram here and pass the filters on it, with how many they must share."""
     a, b = postings.alias("a"), postings.alias("b")
-    met = a.join(b, (F.col("a.gram") == F.col("b.gram")) & F.expr("a.cls < b.cls") & F.expr(also) & _possible(setting, "a", "b") & F.expr(last))
+    met = a.join(b.hint("merge"), (F.col("a.gram") == F.col("b.gram")) & F.expr("a.cls < b.cls") & F.expr(also) & _possible(setting, "a", "b") & F.expr(last))
     overlap = F.ceil(F.lit(setting.least) * (F.col("a.n").cast("long") + F.col("b.n")) / (setting.per + setting.least))
     return met.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"), F.least(F.lit(setting.common), overlap).alias("need"))
 
@@ -287,7 +289,7 @@ def _star(postings: DataFrame, number: int, setting: Setting, also: str = "true"
     # the smallest of each hash cell: several pivots from one partial aggregation
     cell = F.pmod(F.xxhash64("cls", F.lit(number), F.lit("cell")), F.lit(setting.pivots))
     pivots = postings.groupBy("gram", cell.alias("cell")).agg(F.min(drawn).alias("p"))
-    met = postings.alias("b").join(pivots, "gram").where(F.expr("b.cls <> p.cls") & F.expr(also) & _possible(setting, "p", "b") & F.expr(_cells(setting, "p", "b")))
+    met = postings.alias("b").join(pivots.hint("merge"), "gram").where(F.expr("b.cls <> p.cls") & F.expr(also) & _possible(setting, "p", "b") & F.expr(_cells(setting, "p", "b")))
     return met.select(F.col("p.cls").alias("a"), F.col("b.cls").alias("b"))
 
 
@@ -312,7 +314,7 @@ def linked(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     # Large groups: pivots first; a pair that shares an n-gram of a large group is looked for there, whatever else it shares.
     few, many = live.where(F.col("m") <= setting.small), live.where(F.col("m") > setting.small)
     many = many.withColumn("before", F.lag("gram").over(Window.partitionBy("cls").orderBy("pos")))
-    many = written(many.join(hists.select("cls", "hist"), "cls"), "large")
+    many = written(many.join(hists.select("cls", "hist").hint("merge"), "cls"), "large")
     found = _all_pairs(few, setting).groupBy("a", "b").agg(F.count("*").alias("k"), F.max("need").alias("need")).where("k >= need").select("a", "b")
     ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near = written(_near(found, hists, setting).unionByName(ordered(_star(many, 0, setting))).distinct(), "pairs")
