@@ -22,6 +22,8 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 #: Range buckets of a source: bits taken from the key. 2**12 buckets keep a source of 10**10 rows at 2.4 million rows a bucket.
 BUCKET_BITS = 12
+#: Sources whose cuts are broadcast: some 100 bytes each.
+BROADCAST_SOURCES = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -79,12 +81,15 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
     """The rows of ``docs`` as often as the mix takes them, whole; those that it doesn't take are gone.
 
     The cut of a source is a place in its order of keys, so a row is decided by its source's epochs and cut: one small
-    row per source is joined to the texts, which needn't move.  Repeated rows at a cut are taken together."""
+    row per source.  Up to ``BROADCAST_SOURCES`` of them are broadcast, so the texts needn't move; more are joined by
+    source, where Spark splits a hot one.  Repeated rows at a cut are taken together."""
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
     placed = _placed(sized, weights, max_epochs, share, "document")
     last = F.max(F.when(F.col("extra") > 0, F.struct("key", F.col("doc_id").cast("string").alias("id"))))
     cuts = placed.groupBy("skey").agg(F.first("epochs").alias("_epochs"), last.alias("_last"))
-    here = docs.withColumn("_key", _key()).withColumn("skey", _skey()).join(cuts, "skey")
+    cuts = written(cuts, "mix-cuts")
+    side = F.broadcast(cuts) if cuts.count() <= BROADCAST_SOURCES else cuts
+    here = docs.withColumn("_key", _key()).withColumn("skey", _skey()).join(side, "skey")
     under = F.coalesce(F.struct(F.col("_key").alias("key"), F.col("doc_id").cast("string").alias("id")) <= F.col("_last"), F.lit(False))
     times = F.col("_epochs") + F.when(under, 1).otherwise(0)
     return here.withColumn("_time", F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<long>")))).select(*docs.columns)
