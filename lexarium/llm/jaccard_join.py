@@ -48,6 +48,7 @@ class Setting:
     small: int = 32  # groups of up to this many postings are paired at once
     pivots: int = 16  # members of a larger group that all others are paired with in a round
     star_rounds: int = 6
+    members: int = 256  # of a group that one task compares with all of it in the last round
 
     def prefix(self, size):
         """Length of the prefix that shares ``common`` n-grams with every set within reach, if they share as many at all."""
@@ -274,9 +275,13 @@ NOT_MET = "NOT (a.before <=> b.before AND a.before IS NOT NULL)"
 
 
 def _all_pairs(postings: DataFrame, setting: Setting, also: str = "true", last: str = "true") -> DataFrame:
-    """Pairs of classes that share an n-gram here and pass the filters on it, with how many they must share."""
-    a, b = postings.alias("a"), postings.alias("b")
-    met = a.join(b.hint("merge"), (F.col("a.gram") == F.col("b.gram")) & F.expr("a.cls < b.cls") & F.expr(also) & _possible(setting, "a", "b") & F.expr(last))
+    """Pairs of classes that share an n-gram here and pass the filters on it, with how many they must share.
+
+    A group is split by its members: each part of ``Setting.members`` or so meets the whole group, in a task of its own."""
+    parts = F.ceil(F.col("m") / setting.members).cast("int")
+    a = postings.withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int")).alias("a")
+    b = postings.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("b")
+    met = a.join(b.hint("merge"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.part") == F.col("b.part")) & F.expr("a.cls < b.cls") & F.expr(also) & _possible(setting, "a", "b") & F.expr(last))
     overlap = F.ceil(F.lit(setting.least) * (F.col("a.n").cast("long") + F.col("b.n")) / (setting.per + setting.least))
     return met.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"), F.least(F.lit(setting.common), overlap).alias("need"))
 

@@ -176,7 +176,9 @@ def test_mix_odd_rows(spark):
     assert all(r["taken"] % r["size"] == 0 for r in near if r["size"])
 
 
-def test_mixed_rows_are_what_the_mix_takes(spark, small):
+@pytest.mark.parametrize("most", [0, 1000])
+def test_mixed_rows_are_what_the_mix_takes(spark, small, most, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", most)
     docs = spark.read.parquet(f"{small}/documents.parquet")
     sized = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
     want = {r["doc_id"]: r["taken"] // r["size"] for r in mixing.mix(sized, cut="document").collect() if r["taken"]}
@@ -202,7 +204,7 @@ def copies(seed=3, n=60):
     return out | {n: "", n + 1: "one", n + 2: "one", n + 3: "One two", n + 4: None}
 
 
-@pytest.mark.parametrize("change", [{}, {"small": 2, "pivots": 2}, {"small": 1, "pivots": 1, "star_rounds": 1}, {"common": 1}, {"frequent": 1}, {"bitmap_bits": 1 << 15, "cells": 4}])
+@pytest.mark.parametrize("change", [{}, {"small": 2, "pivots": 2}, {"small": 1, "pivots": 1, "star_rounds": 1, "members": 3}, {"common": 1}, {"frequent": 1}, {"bitmap_bits": 1 << 15, "cells": 4}])
 def test_links_equal_brute_force(spark, change):
     texts = copies()
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
@@ -455,3 +457,9 @@ def test_written_tables_can_be_released(spark):
     durable.release(spark)
     df = durable.written(spark.range(3).toDF("x"), "t")
     assert df.count() == 3 and durable.release(spark) == 1 and durable.release(spark) == 0
+
+
+@pytest.mark.parametrize(("name", "columns"), [("op5_license_scan", "doc_id:bigint,text:string"), ("op9_quality_rules", "doc_id:bigint,text:string"), ("op2_html_extraction", "page_id:bigint,url:string,html:string")])
+def test_scans_read_what_is_used(spark, small, name, columns):
+    plan = queries.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert f"ReadSchema: struct<{columns}>" in plan and "Exchange" not in plan
