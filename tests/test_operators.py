@@ -214,3 +214,12 @@ def test_hash_embeddings_are_unit_vectors(spark):
     rows = [r["e"] for r in df.select(records.hashed_embedding(F.col("t"), 16).alias("e")).collect()]
     assert rows[0] == rows[2] and len(rows[0]) == 16 and math.isclose(sum(x * x for x in rows[0]), 1)
     assert rows[1] == [0.0] * 16
+
+
+def test_plans_prune_columns_and_limit_groups_early(spark, small):
+    from lexarium import registry
+
+    plan = registry.QUERIES["bm25_batch_topk"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and "WindowGroupLimit" in plan and "CartesianProduct" not in plan
+    plan = registry.QUERIES["content_hash"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "source:string" not in plan
