@@ -1,13 +1,12 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
-
-Features are lower-cased words and word beginnings (word families) that a likelihood-ratio test ties to the toxic
-label; their document frequencies are counted over all documents.  Labelled examples are a bounded sample
-(``Setting.toxic`` and ``Setting.clean``), held as an inverted index cut into blocks of examples.  Each
-feature keeps its largest weight per block, so a sum over a query's features bounds every similarity in a block; blocks
-are visited by falling bound until the bound is no better than the k-th similarity found, which makes the
-neighbours exact.  Votes are weighted by squared similarity and by what each example stands for in its class, against
-a fixed weight of clean votes, so far neighbours alone don't decide.  The share of toxic votes is calibrated by isotonic
-regression on left-out examples, those without any feature among them.
+"""Toxicity by nearest labelled examples: exact weighted TF-IDF cosine over all words.
+
+Features are all lower-cased words of the labelled examples and, once more and ``Setting.emphasis`` times as heavy, the words and
+word beginnings (word families) that a likelihood-ratio test ties to the toxic label; their document frequencies are
+counted over all documents.  Labelled examples are a bounded sample (``Setting.toxic`` and ``Setting.clean``), all of them that have a
+word indexed by all their features: postings, and dense rows for the features of many examples.  A text is held against every
+example that shares a feature with it, so neighbours are exact.  Votes are weighted by squared similarity and by what each example stands
+for in its class, against a fixed weight of clean votes, so far neighbours alone don't decide.  The share of toxic votes is calibrated by
+isotonic regression on left-out examples, those without any word among them.
 """
 
 from __future__ import annotations
@@ -24,25 +23,28 @@ from pyspark.sql import functions as F
 from . import textbatch as tb
 
 NOT_LETTERS = r"[^\p{L}\p{M}]+"
-#: Kinds of features: 0 is the word, n the first n letters of a longer word.
-KINDS = (0, 3, 4, 5, 6, 7, 8)
+#: Kinds of features: 0 is the word, n the first n letters of a longer word. The first has every word, the others those that the label favours.
+KINDS = (0, 0, 3, 4, 5, 6, 7, 8)
+#: Features of at least one in so many examples are dense rows. Postings and similarities held at a time.
+DENSE, HELD = 16, 1 << 22
 
 
 @dataclass(frozen=True)
 class Setting:
     toxic: int = 2000  # bound on sampled toxic examples
     clean: int = 4000  # and on others
-    features: int = 1500
+    features: int = 1500  # bound on those that the label favours
     least_ratio: float = 15.0  # likelihood-ratio statistic from which a feature counts
     neighbours: int = 25
     doubt: float = 0.25  # clean votes that always count, as a share of all neighbours at full similarity
-    block: int = 64
+    block: int = 64  # texts held against the examples at a time
+    emphasis: float = 4.0  # weight of what the label favours, beside 1 for every word
     threshold: float = 0.7
 
 
 @dataclass
 class Index:
-    """Block-max inverted index over unit vectors. Postings of feature f: ``ids[start[f]:start[f + 1]]`` and weights."""
+    """Inverted index over unit vectors. Postings of feature f: ``ids[start[f]:start[f + 1]]`` and weights."""
 
     features: list[pa.Array]  # by kind: the strings
     first: list[int]  # number of a kind's first feature
@@ -55,57 +57,86 @@ class Index:
     names: np.ndarray
     setting: Setting
     prior: float = 0.0
-    nothing: float = 0.0  # score of a text without any feature
+    nothing: float = 0.0  # score of a text without any word of the examples
     knots: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     values: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
 
     def opened(self) -> "Index":
-        """With the dense rows and block maxima that searching uses, built once per worker."""
-        if not hasattr(self, "rows"):
-            n, f, b = len(self.toxic), len(self.idf), self.setting.block
-            blocks = -(-max(n, 1) // b)
-            rows = np.zeros((f, blocks * b), np.float32)
-            rows[np.repeat(np.arange(f), np.diff(self.start)), self.ids] = self.weights
-            self.rows, self.most = rows, rows.reshape(f, blocks, b).max(axis=2) if f else np.zeros((0, blocks), np.float32)
+        """With the dense rows of frequent features that searching uses, built once per worker."""
+        if not hasattr(self, "dense"):
+            many = np.diff(self.start) * DENSE >= max(len(self.toxic), 1)
+            self.dense_at = np.where(many, np.cumsum(many) - 1, -1)
+            self.dense = self._rows(np.flatnonzero(many))
         return self
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("rows", "most")}
+    def _rows(self, features: np.ndarray) -> np.ndarray:
+        length = np.diff(self.start)[features]
+        at = _ranges(self.start[features], length)
+        rows = np.zeros((len(features), len(self.toxic)), np.float32)
+        rows[np.repeat(np.arange(len(features)), length), self.ids[at]] = self.weights[at]
+        return rows
+
+    @property
+    def rows(self) -> np.ndarray:
+        """All features as dense rows: for small indexes."""
+        return self._rows(np.arange(len(self.idf)))
 
-    def nearest(self, at: np.ndarray, weight: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("dense", "dense_at")}
+
+    def similarities(self, row: np.ndarray, feat: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        """Cosines of ``n`` texts, given as unit vectors beside (row, feature), to every example. Equal ones come out equal."""
+        size, place = len(self.toxic), self.dense_at[feat]
+        asked = np.zeros((n, len(self.dense)), np.float32)
+        asked[row[place >= 0], place[place >= 0]] = weight[place >= 0]
+        row, feat, weight = row[place < 0], feat[place < 0], weight[place < 0]
+        length = self.start[feat + 1] - self.start[feat]
+        at = _ranges(self.start[feat], length)
+        rare = np.bincount(np.repeat(row * size, length) + self.ids[at], np.repeat(weight, length) * self.weights[at], n * size)
+        return np.round(asked @ self.dense + rare.reshape(n, size), 6)
+
+    def _best(self, sims: np.ndarray) -> np.ndarray:
+        """The k examples of largest positive similarity, falling; of equal ones those first in the index."""
+        k = min(self.setting.neighbours, len(sims))
+        ids = np.flatnonzero((sims > 0) & (sims >= np.partition(sims, len(sims) - k)[len(sims) - k])) if k else np.zeros(0, np.int64)
+        return ids[np.lexsort((ids, -sims[ids]))[:k]]
+
+    def nearest(self, at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The k examples nearest to a unit vector and their cosines, all of them positive; exact."""
-        b, k = self.setting.block, self.setting.neighbours
-        bound = weight @ self.most[at]
-        visit = np.argsort(-bound)
-        ids, sims, worst = np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0
-        own = self.rows[at]
-        for i in range(0, len(visit), 4):
-            blocks = visit[i : i + 4]
-            blocks = blocks[bound[blocks] > worst]
-            if not len(blocks):
-                break
-            cols = (blocks[:, None] * b + np.arange(b)).ravel()
-            got = weight @ own[:, cols]
-            keep = (got > worst) & (cols != without)
-            ids, sims = np.concatenate([ids, cols[keep]]), np.concatenate([sims, got[keep]])
-            if len(ids) > k:
-                top = np.lexsort((ids, -sims))[:k]
-                ids, sims = ids[top], sims[top]
-            if len(ids) == k:
-                worst = float(sims.min())
-        return ids, sims
-
-    def vote(self, at: np.ndarray, weight: np.ndarray, without: int = -1) -> tuple[float, np.ndarray]:
-        """Share of toxic votes, and the examples by falling similarity."""
-        ids, sims = self.nearest(at, weight, without)
-        w = sims.astype(np.float64) ** 2 * self.stands_for[ids]
+        sims = self.opened().similarities(np.zeros(len(at), np.int64), at, weight, 1)[0]
+        ids = self._best(sims)
+        return ids, sims[ids]
+
+    def votes(self, row: np.ndarray, feat: np.ndarray, weight: np.ndarray, n: int, without: np.ndarray | None = None) -> Iterator[tuple[float, np.ndarray]]:
+        """Of each text, the share of toxic votes and the examples by falling similarity; ``without`` has an example to leave out of each."""
+        self.opened()
+        ends = np.searchsorted(row, np.arange(n + 1))
+        cost = np.concatenate([[0], np.cumsum(np.where(self.dense_at[feat] < 0, np.diff(self.start)[feat], 0))])[ends] + np.arange(n + 1) * len(self.toxic)
         clean = self.setting.doubt * self.setting.neighbours * float(self.stands_for.mean() if len(self.stands_for) else 1)
-        return float((w * self.toxic[ids]).sum() / (w.sum() + clean)), ids[np.lexsort((ids, -sims))]
+        i = 0
+        while i < n:
+            j = min(max(i + 1, int(np.searchsorted(cost, cost[i] + HELD, side="right")) - 1), i + self.setting.block, n)
+            at = slice(ends[i], ends[j])
+            sims = self.similarities(row[at] - i, feat[at], weight[at], j - i)
+            if without is not None:
+                some = np.flatnonzero(without[i:j] >= 0)
+                sims[some, without[i:j][some]] = 0
+            for s in sims:
+                ids = self._best(s)
+                w = s[ids].astype(np.float64) ** 2 * self.stands_for[ids]
+                yield float((w * self.toxic[ids]).sum() / (w.sum() + clean)), ids
+            i = j
 
     def calibrated(self, raw: float) -> float:
         return float(np.interp(raw, self.knots, self.values))
 
 
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers of ranges, one after another."""
+    ends = np.cumsum(length)
+    return np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def _kinds(vocabulary: pa.Array) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
     """Per kind: the places in the vocabulary that have such a feature, and the features."""
     length = pc.utf8_length(vocabulary).to_numpy(zero_copy_only=False)
@@ -143,11 +174,13 @@ def featured(texts: pa.LargeStringArray, features: list[pa.Array], first: list[i
 
 
 def _select(texts: list[str], toxic: np.ndarray, setting: Setting) -> list[pa.Array]:
-    """Features by kind that the toxic label favours, by the likelihood ratio of presence in texts."""
+    """Features by kind: all words, and those that the toxic label favours by the likelihood ratio of presence in texts."""
     w = tb.words(pc.utf8_lower(tb.texts_of(pa.array(texts, pa.string()))), NOT_LETTERS)
     scored: list[tuple[float, int, str]] = []
     n1, n0 = toxic.sum(), (1 - toxic).sum()
     for k, (_, place, strings) in enumerate(_kinds(w.vocabulary)):
+        if k == 0 or not 0 < n1 < len(toxic):
+            continue
         coded = strings.dictionary_encode()
         row, got = _spread(w, place, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64))
         size = len(coded.dictionary)
@@ -163,7 +196,7 @@ def _select(texts: list[str], toxic: np.ndarray, setting: Setting) -> list[pa.Ar
         scored += [(-r, k, s) for r, s in zip(ratio[good].tolist(), coded.dictionary.take(pa.array(good)).to_pylist(), strict=True)]
     scored.sort()
     best = scored[: setting.features]
-    return [pa.array(sorted(s for _, kind, s in best if kind == k), pa.large_string()) for k in range(len(KINDS))]
+    return [w.vocabulary.take(pc.array_sort_indices(w.vocabulary))] + [pa.array(sorted(s for _, kind, s in best if kind == k), pa.large_string()) for k in range(1, len(KINDS))]
 
 
 def _vectors(row: np.ndarray, feat: np.ndarray, times: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
@@ -188,31 +221,23 @@ def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
 
 
 def index_of(ids: list, texts: list[str], toxic: np.ndarray, stands_for: np.ndarray, features: list[pa.Array], idf: np.ndarray, setting: Setting) -> Index:
-    """The index over examples that have a feature, calibrated on itself with each example left out in turn."""
+    """The index over examples that have a word, calibrated on itself with each example left out in turn."""
     first = np.concatenate([[0], np.cumsum([len(f) for f in features])[:-1]]).astype(int).tolist()
     total = first[-1] + len(features[-1])
+    idf = idf * np.where(np.arange(total) < first[1], 1.0, setting.emphasis)
     row, feat, times = featured(tb.texts_of(pa.array(texts, pa.string())), features, first)
     weight = _vectors(row, feat, times, idf, len(texts))
     has = np.zeros(len(texts), bool)
     has[row] = True
-    # examples with the same heaviest feature stand together: tight block maxima
-    heavy = np.full(len(texts), total, np.int64)
-    order = np.lexsort((feat, weight, row))
-    heavy[row[order]] = feat[order]
     place = np.full(len(texts), -1, np.int64)
     chosen = np.flatnonzero(has)
-    chosen = chosen[np.lexsort((chosen, heavy[chosen]))]
     place[chosen] = np.arange(len(chosen))
     by = np.lexsort((place[row], feat))
     start = np.searchsorted(feat[by], np.arange(total + 1))
     index = Index(features, first, idf, start, place[row[by]], weight[by].astype(np.float32), toxic[chosen].astype(np.float64), stands_for[chosen], np.array(ids, dtype=object)[chosen], setting)
     index.prior = float((stands_for * toxic).sum() / stands_for.sum()) if len(texts) else 0.0
     if len(texts):
-        index.opened()
-        ends = np.searchsorted(row, np.arange(len(texts) + 1))
-        raw = np.zeros(len(texts))
-        for i in chosen.tolist():
-            raw[i], _ = index.vote(feat[ends[i] : ends[i + 1]], weight[ends[i] : ends[i + 1]].astype(np.float32), int(place[i]))
+        raw = np.array([share for share, _ in index.votes(row, feat, weight.astype(np.float32), len(texts), place)])
         index.knots, index.values = _isotonic(raw, toxic.astype(float), stands_for.astype(float))
         index.nothing = index.calibrated(0.0)
     return index
@@ -241,8 +266,8 @@ def document_frequencies(docs: DataFrame, features: list[pa.Array], first: list[
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], ["feature", "df"])
 
     out = np.zeros(total + 1, np.int64)
-    for r in docs.select("text").mapInArrow(run, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect():
-        out[r["feature"]] = r["df"]
+    got = docs.select("text").mapInArrow(run, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).toArrow()
+    out[got["feature"].to_numpy()] = got["df"].to_numpy()
     return out[:total], int(out[total])
 
 
@@ -262,7 +287,7 @@ def learn(docs: DataFrame, labels: DataFrame, setting: Setting = Setting()) -> I
     got = [by_text[t] for t in sorted(by_text)]
     texts, toxic = [r["text"] for r in got], np.array([r["toxic"] for r in got], np.int64)
     stands_for = np.array([1 / share[t] for t in toxic.tolist()])
-    features = _select(texts, toxic, setting) if 0 < toxic.sum() < len(toxic) else [pa.array([], pa.large_string()) for _ in KINDS]
+    features = _select(texts, toxic, setting)
     first = np.concatenate([[0], np.cumsum([len(f) for f in features])[:-1]]).astype(int).tolist()
     df, n = document_frequencies(docs, features, first)
     idf = np.log((1 + n) / (1 + df)) + 1
@@ -278,10 +303,8 @@ def score_texts(index: Index, texts: pa.LargeStringArray) -> tuple[np.ndarray, l
     if not len(row):
         return score, evidence
     weight = _vectors(row, feat, times, index.idf, n).astype(np.float32)
-    some, starts = np.unique(row, return_index=True)
-    ends = np.append(starts[1:], len(row))
-    for i, a, b in zip(some.tolist(), starts.tolist(), ends.tolist(), strict=True):
-        raw, ids = index.vote(feat[a:b], weight[a:b])
+    some, at = np.unique(row, return_inverse=True)
+    for i, (raw, ids) in zip(some.tolist(), index.votes(at, feat, weight, len(some)), strict=True):
         score[i] = index.calibrated(raw)
         evidence[i] = index.names[ids[:3]].tolist()
     return score, evidence
@@ -290,7 +313,7 @@ def score_texts(index: Index, texts: pa.LargeStringArray) -> tuple[np.ndarray, l
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """``doc_id, score, predicted, evidence`` of every whole text; ``evidence`` has the ids of nearest examples.
 
-    Null and empty texts, and texts without any feature, get the calibrated rate of such examples (0 where there are no
+    Null and empty texts, and texts without any word of the examples, get the calibrated rate of such examples (0 where there are no
     examples at all).  Repeated rows and null ids pass through; other columns are ignored."""
     sent = docs.sparkSession.sparkContext.broadcast(index)
     threshold = index.setting.threshold

@@ -151,6 +151,14 @@ def test_toxicity_finds_new_examples():
     assert score[-1] == index.nothing < 0.3 and any(evidence)
 
 
+def test_toxicity_retrieves_examples_without_toxic_words():
+    index, texts = made_index()
+    assert len(index.names) == len(texts)
+    copies = [i for i in range(len(texts)) if i % 5 and i % 7 == 0]
+    _, evidence = toxicity.score_texts(index, arr([" ".join(texts[i].split()[:-3]) for i in copies]))
+    assert [e[0] for e in evidence] == copies
+
+
 def test_toxicity_on_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1, 1), (2, None, 0), (None, 1, 1), (77, 1, 0)], "doc_id long, toxic int, quality int")
     index = toxicity.learn(odd, labels)
