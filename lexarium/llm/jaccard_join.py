@@ -352,9 +352,12 @@ def linked(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
-    """One row of each group of near copies: that with the smallest ``doc_id`` (of equal ids, one row); rows without words stay."""
-    key = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("n"))
-    keep = linked(docs, setting).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_key")).distinct()
-    # the join and the window share one shuffle of the texts
-    number = F.row_number().over(Window.partitionBy("_key").orderBy(*[F.col(c).asc_nulls_last() for c in docs.columns if c not in ("doc_id", "text")], F.col("text").asc_nulls_last()))
-    return docs.withColumn("_key", key).join(keep, "_key", "left_semi").withColumn("_n", number).where(F.col("_n") == 1).select(*docs.columns)
+    """One row of each group of near copies: that with the smallest ``doc_id``, null last; of equal ids, that with the smallest hash of
+    its text.  Rows of different groups stay, whatever their ids, and so do rows without words; of rows with the same id and text, one stays."""
+    digest = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("-"))
+    name = lambda doc_id, digest: F.concat(F.coalesce(F.concat(F.lit("i"), doc_id.cast("string")), F.lit("n")), F.lit(":"), digest)
+    rows = docs.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", digest.alias("digest")).alias("doc_id"), "text")
+    keep = linked(rows, setting).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(name(F.col("doc_id.doc_id"), F.col("doc_id.digest")).alias("_key")).distinct()
+    # the window cuts repeats in each task before it shuffles, and shares the shuffle with the join
+    number = F.row_number().over(Window.partitionBy("_key").orderBy(*[F.col(c).asc_nulls_last() for c in docs.columns if c not in ("doc_id", "text")], F.lit(0)))
+    return docs.withColumn("_key", name(F.col("doc_id"), digest)).withColumn("_n", number).where(F.col("_n") == 1).join(keep, "_key", "left_semi").select(*docs.columns)

@@ -250,6 +250,16 @@ def test_keep_one_of_each_group(spark, odd):
     assert jaccard_join.linked(odd).count() == len(ODD_ROWS) and jaccard_join.linked(odd.where("false")).collect() == []
 
 
+def test_keep_one_tells_rows_by_group_not_by_id(spark):
+    a, b, *other = ([f"{x}{i}" for i in range(40)] for x in "abcdef")
+    near = [*a[:-1], "z"]
+    rows = [(3, a, "x"), (7, near, "a"), (7, b, "b"), (None, a, "x"), *[(None, t, "x") for t in other], (None, other[0], "y"), (None, None, "x"), (None, [], "x")]
+    docs = spark.createDataFrame([(i, None if t is None else " ".join(t), s) for i, t, s in rows], "doc_id long, text string, source string")
+    got = jaccard_join.keep_one(docs).collect()
+    want = [(3, " ".join(a), "x"), (7, " ".join(b), "b"), *[(None, " ".join(t), "x") for t in other], (None, None, "x"), (None, "", "x")]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 # ---- fingerprints
 
 
