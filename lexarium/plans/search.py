@@ -61,9 +61,7 @@ def corpus_stats(spark, sf_dir):
 
 @query("term_frequencies", f"SELECT doc_id AS doc, token, COUNT(*)::BIGINT AS tf FROM (SELECT doc_id, unnest({duck_tokens('documents.text')}) AS token FROM conversations JOIN documents ON doc_id = conv_id WHERE turn = 0) GROUP BY ALL")
 def term_frequencies(spark, sf_dir):
-    first = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("doc_id"))
-    docs = table(spark, sf_dir, "documents").join(first, "doc_id")
-    return search.postings(docs, "doc_id", text.tokens(F.col("text")))
+    return search.postings(table(spark, sf_dir, "documents"), "doc_id", text.tokens(F.col("text")))
 
 
 GROUPS = Inline({"group": "int", "token": "string"}, [(i, t) for i, g in enumerate(search.SYNONYMS) for t in g if " " not in t] + [(90, "stupid"), (90, "idiot"), (91, "license"), (91, "licensed")])
