@@ -54,3 +54,8 @@ def whole(duck, spark, small, name, cut, instead=""):
 
 def test_term_frequencies_have_every_document(spark, duck, small):
     whole(duck, spark, small, "term_frequencies", "conversations JOIN documents ON doc_id = conv_id WHERE turn = 0", "documents")
+
+
+@pytest.mark.parametrize("name", ["required_matrix", "matrix_status"])
+def test_cells_have_every_order(spark, duck, small, name):
+    whole(duck, spark, small, name, "o_orderkey % 5 = 0 AND ")
