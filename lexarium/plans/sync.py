@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..operators import sync
@@ -17,9 +17,13 @@ LEFT = f"SELECT {PATH} AS path, text AS content FROM documents WHERE doc_id % 9
 RIGHT = f"SELECT {PATH} AS path, CASE WHEN doc_id % 4 = 1 THEN text || chr(10) || 'one more line' ELSE text END AS content FROM documents WHERE doc_id % 7 <> 0"
 
 
+def path_of() -> Column:
+    return F.concat("source", F.lit("/"), (F.col("doc_id") % 50).cast("string"), F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".mdx"))
+
+
 def trees(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    path = F.concat("source", F.lit("/"), (F.col("doc_id") % 50).cast("string"), F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".mdx"))
+    path = path_of()
     left = docs.where("doc_id % 9 <> 0").select(path.alias("path"), F.col("text").alias("content"))
     changed = F.when(F.col("doc_id") % 4 == 1, F.concat("text", F.lit("\none more line"))).otherwise(F.col("text"))
     return left, docs.where("doc_id % 7 <> 0").select(path.alias("path"), changed.alias("content"))
@@ -31,7 +35,7 @@ def inventories(spark, sf_dir):
 
 @query("file_inventory", f"SELECT path, octet_length(encode(content))::BIGINT AS bytes, sha256(content) AS sha256 FROM ({LEFT})")
 def file_inventory(spark, sf_dir):
-    return inventories(spark, sf_dir)[0]
+    return sync.inventory(table(spark, sf_dir, "documents"), path_of(), F.col("text"))
 
 
 BOTH = f"(SELECT COALESCE(l.path, r.path) AS path, l.content AS l, r.content AS r FROM ({LEFT}) l FULL JOIN ({RIGHT}) r ON l.path = r.path)"

@@ -59,3 +59,8 @@ def test_term_frequencies_have_every_document(spark, duck, small):
 @pytest.mark.parametrize("name", ["required_matrix", "matrix_status"])
 def test_cells_have_every_order(spark, duck, small, name):
     whole(duck, spark, small, name, "o_orderkey % 5 = 0 AND ")
+
+
+@pytest.mark.parametrize("name, cut", [("feedback_cases", " WHERE event_id % 5 <> 0"), ("file_inventory", " WHERE doc_id % 9 <> 0")])
+def test_cases_and_inventory_have_every_row(spark, duck, small, name, cut):
+    whole(duck, spark, small, name, cut)
