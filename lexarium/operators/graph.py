@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,40 +84,42 @@ def introduced(current: DataFrame, before: DataFrame, keys: list[str]) -> DataFr
     return current.join(before.select(*keys), keys, "left_anti")
 
 
-def resolved_aliases(redirects: DataFrame, most: int = 20) -> DataFrame:
-    """``source, final`` of every redirect; a cycle has no final route. A recursive query with the routes visited as its guard."""
-    spark = redirects.sparkSession
-    view = f"redirects_{uuid.uuid4().hex}"
-    redirects.select("source", "destination").createOrReplaceTempView(view)
-    got = spark.sql(f"""
-        WITH RECURSIVE walk(source, at, seen, cycle) AS (
-            SELECT source, destination, array(source), destination = source FROM {view}
-            UNION ALL
-            SELECT w.source, r.destination, array_append(w.seen, w.at), array_contains(w.seen, r.destination) OR r.destination = w.at
-            FROM walk w JOIN {view} r ON r.source = w.at WHERE NOT w.cycle AND size(w.seen) < {most}
-        )
-        SELECT source, at, size(seen) AS steps, cycle FROM walk
-    """)
-    last = got.groupBy("source").agg(F.max_by("at", "steps").alias("final"), F.max("cycle").alias("cycle"))
-    return last.select("source", F.when(~F.col("cycle"), F.col("final")).alias("final"))
-
-
-def closure(edges: DataFrame, most: int = 10) -> DataFrame:
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage: a checkpoint where the session names a folder for them, else a local one."""
+    reliable = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") is not None
+    return df.checkpoint() if reliable else df.localCheckpoint()
+
+
+def resolved_aliases(redirects: DataFrame) -> DataFrame:
+    """``source, final`` of every redirect; a cycle, or a walk into one, has no final route. Of a repeated source, the smallest destination counts.
+
+    Pointer doubling: every round doubles the steps of each walk. A walk longer than the number of sources visits one again, so the rounds
+    end by themselves: what is then still at a source is in a cycle."""
+    walks = _cut(redirects.groupBy("source").agg(F.min("destination").alias("at")))
+    steps, most = 1, walks.count()
+    while steps <= most:
+        jump = walks.select(F.col("source").alias("at"), F.col("at").alias("next"))
+        walks = _cut(walks.join(jump, "at", "left").select("source", F.coalesce("next", "at").alias("at")))
+        steps *= 2
+    cyclic = walks.select(F.col("source").alias("at"), F.lit(True).alias("cycle"))
+    return walks.join(cyclic, "at", "left").select("source", F.when(F.col("cycle").isNull(), F.col("at")).alias("final"))
+
+
+def closure(edges: DataFrame) -> DataFrame:
     """``root, node, depth``: all that a node reaches, each with its least depth.
 
-    A breadth-first loop: every step joins the frontier to the edges and drops what is known; it ends when nothing is new.  The frontier is cut from its
-    lineage by a checkpoint where the session names a folder for them."""
-    spark = edges.sparkSession
-    reliable = spark.sparkContext.getConf().get("spark.checkpoint.dir") is not None
-    known = edges.where("source <> target").select(F.col("source").alias("root"), F.col("target").alias("node"), F.lit(1).alias("depth")).distinct()
-    frontier = known
-    for depth in range(2, most + 1):
-        step = frontier.join(edges.select(F.col("source").alias("node"), "target"), "node").select("root", F.col("target").alias("node"), F.lit(depth).alias("depth")).where("root <> node").distinct()
-        frontier = step.join(known.select("root", "node"), ["root", "node"], "left_anti")
-        frontier = frontier.checkpoint() if reliable else frontier.persist()
-        if frontier.isEmpty():
-            break
+    A breadth-first loop: every step joins the frontier to the edges and drops what is known; it ends when nothing is new, however deep.
+    The frontier is cut from its lineage at every step, what is known now and then."""
+    pairs = _cut(edges.where("source <> target").select("source", "target").distinct())
+    known = frontier = pairs.select(F.col("source").alias("root"), F.col("target").alias("node"), F.lit(1).alias("depth"))
+    depth = 1
+    while not frontier.isEmpty():
+        depth += 1
+        step = frontier.join(pairs.select(F.col("source").alias("node"), "target"), "node").select("root", F.col("target").alias("node"), F.lit(depth).alias("depth")).where("root <> node").distinct()
+        frontier = _cut(step.join(known.select("root", "node"), ["root", "node"], "left_anti"))
         known = known.unionByName(frontier)
+        if depth % 8 == 0:
+            known = _cut(known)
     return known
 
 

@@ -124,6 +124,16 @@ def test_scoreboard_bands_and_rankings(spark):
     assert (got["n_groups"], got["n_orders"], got["agree"]) == (2, 2, False)
 
 
+def test_long_chains_are_followed_to_their_end(spark):
+    n = 25
+    chain = [(f"c{i:02}", f"c{i + 1:02}") for i in range(n)]
+    ring = [(f"r{i:02}", f"r{(i + 1) % n:02}") for i in range(n)] + [("into", "r03")]
+    got = {r["source"]: r["final"] for r in graph.resolved_aliases(spark.createDataFrame(chain + ring, "source string, destination string")).collect()}
+    assert got == {s: f"c{n:02}" for s, _ in chain} | {s: None for s, _ in ring}
+    edges = spark.createDataFrame(chain[:14], "source string, target string")
+    assert {(r["root"], r["node"], r["depth"]) for r in graph.closure(edges).collect()} == {(f"c{i:02}", f"c{j:02}", j - i) for i in range(14) for j in range(i + 1, 15)}
+
+
 def test_closure_and_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "x")], "source string, target string")
     assert {(r["root"], r["node"], r["depth"]) for r in graph.closure(edges).collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("b", "a", 2), ("c", "a", 1), ("c", "b", 2)}
