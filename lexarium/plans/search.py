@@ -59,7 +59,7 @@ def corpus_stats(spark, sf_dir):
     return n.agg(F.count("*").alias("total_docs"), F.round(F.avg("n"), 6).alias("avg_len"), F.max("n").alias("max_len"))
 
 
-@query("term_frequencies", f"SELECT doc_id AS doc, token, COUNT(*)::BIGINT AS tf FROM (SELECT doc_id, unnest({duck_tokens('documents.text')}) AS token FROM conversations JOIN documents ON doc_id = conv_id WHERE turn = 0) GROUP BY ALL")
+@query("term_frequencies", f"SELECT doc_id AS doc, token, COUNT(*)::BIGINT AS tf FROM (SELECT doc_id, unnest({duck_tokens('text')}) AS token FROM documents) GROUP BY ALL")
 def term_frequencies(spark, sf_dir):
     return search.postings(table(spark, sf_dir, "documents"), "doc_id", text.tokens(F.col("text")))
 

@@ -33,7 +33,7 @@ def inventories(spark, sf_dir):
     return [sync.inventory(t, F.col("path"), F.col("content")) for t in trees(spark, sf_dir)]
 
 
-@query("file_inventory", f"SELECT path, octet_length(encode(content))::BIGINT AS bytes, sha256(content) AS sha256 FROM ({LEFT})")
+@query("file_inventory", f"SELECT path, octet_length(encode(content))::BIGINT AS bytes, sha256(content) AS sha256 FROM (SELECT {PATH} AS path, text AS content FROM documents)")
 def file_inventory(spark, sf_dir):
     return sync.inventory(table(spark, sf_dir, "documents"), path_of(), F.col("text"))
 

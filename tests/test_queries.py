@@ -44,23 +44,3 @@ def test_query_matches_sql(spark, duck, small, name):
 
 def test_most_queries_have_a_twin():
     assert len(registry.ORACLE) >= 0.9 * len(registry.QUERIES)
-
-
-def whole(duck, spark, small, name, cut, instead=""):
-    """A query against its twin without the cut that the twin makes."""
-    want = duck.sql(registry.ORACLE[name].replace(cut, instead)).df()
-    assert rows_of(registry.QUERIES[name](spark, small).toPandas()) == rows_of(want)
-
-
-def test_term_frequencies_have_every_document(spark, duck, small):
-    whole(duck, spark, small, "term_frequencies", "conversations JOIN documents ON doc_id = conv_id WHERE turn = 0", "documents")
-
-
-@pytest.mark.parametrize("name", ["required_matrix", "matrix_status"])
-def test_cells_have_every_order(spark, duck, small, name):
-    whole(duck, spark, small, name, "o_orderkey % 5 = 0 AND ")
-
-
-@pytest.mark.parametrize("name, cut", [("feedback_cases", " WHERE event_id % 5 <> 0"), ("file_inventory", " WHERE doc_id % 9 <> 0")])
-def test_cases_and_inventory_have_every_row(spark, duck, small, name, cut):
-    whole(duck, spark, small, name, cut)
