@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexarium.llm import jaccard_join, language_id, mixing, packing, quality_rules
-from lexarium.llm.durable import written
 from lexarium.session import importable
+from lexarium.storage import mark, new_path, release
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,11 +51,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what lies between two stages is written to the shared folder."""
+    """All stages over ``documents``; what lies between two stages is written to the shared folder, and freed with all that its stage wrote
+    once the next stage's result is there."""
     importable(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
+        began = mark()
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = written(docs, name.replace(" ", "-"))
+            path = new_path(spark, name.replace(" ", "-"))
+            docs.write.option("compression", "zstd").parquet(path)
+            # the stage's own tables, and the table before; the new one is the last of the list
+            release(spark, began - (i > 0), -1)
+            docs = spark.read.schema(docs.schema).parquet(path)
     return docs
