@@ -1,44 +1,5 @@
-"""Lineage cuts that survive the loss of an executor: tables in the shared checkpoint folder."""
+"""Lineage cuts of the training-data operators: tables in the shared checkpoint folder."""
 
-from __future__ import annotations
+from ..storage import mark, release, shared_dir, written
 
-import contextlib
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-_WRITTEN: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; in local mode a temporary folder is set if it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.lexarium.scratch", None)
-    if found:
-        return found.rstrip("/")
-    if not ((spark.sparkContext.master or "") + "[").startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    found = tempfile.mkdtemp(prefix="lexarium-")
-    spark.conf.set("spark.lexarium.scratch", found)
-    return found
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet under the shared folder and read back: the plan starts anew from the files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexarium/{uuid.uuid4().hex}-{label}"
-    df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> int:
-    """Delete what ``written`` wrote in this process; to be called once no DataFrame that reads it is needed. Returns how many tables went."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    gone = 0
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        with contextlib.suppress(Exception):  # the folder may be gone with its session
-            gone += bool(path.getFileSystem(conf).delete(path, True))
-    return gone
+__all__ = ["mark", "release", "shared_dir", "written"]

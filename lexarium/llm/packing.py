@@ -35,17 +35,21 @@ class Packing:
 
 #: Characters on which both libraries were compared one by one: Latin, general punctuation, the euro sign.
 COMPARED = r"[^\x00-\u024F\u2010-\u2027\u2030-\u205E\u20AC]"
+#: Characters without white space between, or of white space alone, from which the faster library's merging would take long.
+LONG_RUN = 4096
 #: Pieces sorted by length before they are packed: long ones first leave short ones to fill the gaps, and a
 #: stretch well under the number of open bins keeps those open that the short ones need.
 STRETCH = 4096
 
 
 class Encoder:
-    """Ids of texts by a ``tokenizers`` file of byte-level BPE.
+    """Ids of texts by a ``tokenizers`` file of byte-level BPE, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them: a text that
+    spells an added token, such as an end mark, has that token's id there.
 
     Where the same vocabulary stands beside it as ranks (``.tiktoken``), a faster library that gives the same ids does most of the
-    work: for texts of compared characters, and only if it agrees with ``tokenizers`` on the first texts that a worker sees.  All
-    other texts go to ``tokenizers`` itself, whose ids are the definition."""
+    work: for texts of compared characters that spell no added token and have no run of ``LONG_RUN`` characters, and only if it agrees with
+    ``tokenizers`` on the first 64 texts that a worker sees, each up to 20,000 characters.  All other texts go to ``tokenizers``
+    itself, whose ids are the definition."""
 
     def __init__(self, path: str):
         import re
@@ -53,8 +57,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.other = re.compile(COMPARED).search
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.other = re.compile("|".join([COMPARED, *map(re.escape, added)])).search
+        self.special = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
+        self.run = re.compile(rf"\S{{{LONG_RUN}}}|\s{{{LONG_RUN}}}").search
         self.fast = self._ranks(path.removesuffix(".json") + ".tiktoken")
         self.agreed = False
 
@@ -75,15 +81,23 @@ class Encoder:
     def defined(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def plain(self, text: str) -> bool:
+        """Whether the faster library may take this text."""
+        if (self.special if text.isascii() else self.other)(text):
+            return False
+        return len(text) < LONG_RUN or not self.run(text)
+
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         if self.fast and not self.agreed:
             some = [t[:20_000] for t in texts[:64]]
+            some = [t for t in some if self.plain(t)]
             self.agreed = all(a == self.fast.encode_ordinary(t) for t, a in zip(some, self.defined(some), strict=True))
             self.fast = self.fast if self.agreed else None
         for text in texts:
-            if self.fast and (text.isascii() or not self.other(text)):
-                yield np.array(self.fast.encode_ordinary(text), "<u4")
+            if self.fast and self.plain(text):
+                # an array from the start: a list of the ids of a very long text would take many times its size
+                yield self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
             else:
                 yield np.array(self.defined([text])[0], "<u4")
 
@@ -193,29 +207,35 @@ def pack(docs: DataFrame, tokenizer: str | None = None, setting: Packing = Packi
 
     A null or empty text is one piece, the end id.  Repeated rows are packed as often as they are there, a null
     ``doc_id`` stays null; other columns are ignored; an empty table gives an empty result.  Sequence numbers are unique
-    and not contiguous.  The order of packing depends on ids, pieces and lengths alone, so a task that runs again
-    gives the same places."""
+    and not contiguous, however the result is coalesced, dealt anew or united: a packing share has its number as a column.  The order of packing
+    depends on ids, pieces and lengths alone, so a task that runs again gives the same places."""
     every = written(pieces(docs, setting, tokenizer or tokenizer_path()), "pieces")
     full = every.where(F.col("length") == setting.length)
     rest = every.where(F.col("length") < setting.length)
-    n_tasks = max(1, -(-rest.count() // setting.pieces_per_task))
+    shares = max(1, -(-rest.count() // setting.pieces_per_task))
+    names = [f.name for f in every.schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        # even numbers: sequences packed here, dealt to tasks in turn; odd numbers: full pieces
-        bins = Bins(setting.length, setting.open_bins, 2 * TaskContext.get().partitionId(), 2 * n_tasks)
+        bins, share = None, None
         for table in stretches(batches):
-            length = table.column("length").to_numpy()
-            order = np.argsort(-length, kind="stable")
-            placed = np.empty((len(length), 2), np.int64)
-            for i, n in zip(order.tolist(), length[order].tolist(), strict=True):
-                placed[i] = bins.put(n)
-            out = table.append_column("sequence_id", pa.array(placed[:, 0])).append_column("offset", pa.array(placed[:, 1]))
-            yield from out.combine_chunks().to_batches()
-
-    order = F.xxhash64("doc_id", "piece", "ids_crc32")
-    dealt = rest.withColumn("_h", order).repartition(n_tasks, "_h").sortWithinPartitions("_h", "doc_id", "piece", "ids_crc32", "length", "start").drop("_h")
+            numbers = table.column("share").to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(numbers)) + 1, [len(numbers)]])
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if share != numbers[a]:
+                    share = numbers[a]
+                    # even numbers: sequences packed here, dealt to shares in turn; odd numbers: full pieces
+                    bins = Bins(setting.length, setting.open_bins, 2 * int(share), 2 * shares)
+                part = table.slice(a, b - a)
+                length = part.column("length").to_numpy()
+                order = np.argsort(-length, kind="stable")
+                placed = np.empty((len(length), 2), np.int64)
+                for i, n in zip(order.tolist(), length[order].tolist(), strict=True):
+                    placed[i] = bins.put(n)
+                out = part.select(names).append_column("sequence_id", pa.array(placed[:, 0])).append_column("offset", pa.array(placed[:, 1]))
+                yield from out.combine_chunks().to_batches()
+
+    dealt = rest.withColumn("_h", F.xxhash64("doc_id", "piece", "ids_crc32")).withColumn("share", F.pmod("_h", F.lit(shares)).cast("int"))
+    dealt = dealt.repartition(shares, "share").sortWithinPartitions("share", "_h", "doc_id", "piece", "ids_crc32", "length", "start").drop("_h")
     packed = dealt.mapInArrow(run, every.schema.add("sequence_id", "long").add("offset", "long"))
     alone = full.withColumn("sequence_id", F.monotonically_increasing_id() * 2 + 1).withColumn("offset", F.lit(0).cast("long"))
     return packed.unionByName(alone)

@@ -15,6 +15,14 @@ SPACES = r"[\x20\x09-\x0D]+"
 SLICE_BYTES = 4 << 20
 
 
+def free(name: str, columns: list[str]) -> str:
+    """A column name that isn't among ``columns``, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts_of(column) -> pa.LargeStringArray:
     """A column as one large-string array, null as the empty text. Large offsets: a split may outgrow 2 GB."""
     if isinstance(column, pa.ChunkedArray):
