@@ -1,15 +1,18 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags.  The first pass classifies blocks: parts that markup declares to be
-something else (navigation, forms, adverts, comments ...) and link-dense blocks are bad; blocks that are long enough
-and dense enough in stop words are good, with a lower bar inside an article; the others are ambiguous.  In the second
-pass an ambiguous block inherits the label of the nearest decided block, first of its own region.
+A page is cut into blocks at block-level tags.  The first pass classifies each block by itself: link-dense blocks and those in parts that HTML
+itself declares to be something else (navigation, forms, footers ...) are bad; long blocks are good if they are dense enough in stop words and,
+outside articles, bad if they have hardly any, measured against the page's own density, so that a page in another language is judged by
+length and links; all others are ambiguous.  A class name or id that speaks of something beside the text is evidence: a plain one (``advert``, ``comments``) decides,
+a doubtful one (``related``, ``discussion``) only together with low density or links.  In the second pass an ambiguous block inherits the label
+of the nearest decided block, first of its own parent, then of its own article.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,9 +23,11 @@ from pyspark.sql import DataFrame
 @dataclass(frozen=True)
 class Rules:
     long_chars: int = 80  # blocks under this are ambiguous
-    stop_share: float = 0.2  # share of stop words of a good block outside an article
-    stop_share_article: float = 0.0  # and inside one: lists of names and tables are content there
+    stop_share: float = 0.2  # share of stop words from which a long block is good
+    stop_least: float = 0.06  # and under which it is bad
+    page_part: float = 0.5  # both bars are at most this part of the page's median share
     link_share: float = 0.5  # share of characters in links from which a block is bad
+    doubt_links: float = 0.2  # the same bar where a name raises doubt
 
 
 # Frequent function words of English, French, German and Spanish.
@@ -49,57 +54,82 @@ HOLDS_NO_BLOCK = HEADINGS | {"p", "hr", "legend", "option"}
 #: Siblings that end an element whose own end tag is left out.
 ENDED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th", "tr"), "th": ("td", "th", "tr"), "tr": ("tr",)}
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-# Parts of class names and ids that name something beside the main text.
-DROPPED_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promoted promotion banner "
-    "sidebar sidenav rail widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs topbar masthead footer toc "
-    "cookie cookies consent gdpr notice notices notification alert popup popover modal overlay paywall newsletter subscribe subscription signup login register "
-    "social share sharing shares sharebar related recommended recommendations comment comments commentlist disqus respond replies reply discussion "
-    "pagination pager toolbar skip searchform searchbox form hidden copyright legal disclaimer outbrain taboola".split()
+#: Elements whose long blocks need no stop words: listings and tables are content without them.
+SPARSE_TAGS = frozenset("pre td th dd".split())
+# Parts of class names and ids that name something beside the main text; the plain ones, and the doubtful ones.
+PLAIN_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors outbrain taboola "
+    "sidebar sidenav menu menus nav navbar navigation breadcrumb breadcrumbs masthead footer pagination pager topbar "
+    "cookie cookies consent gdpr notice notices notification popup popover modal paywall newsletter subscribe subscription signup login searchform searchbox "
+    "comment comments commentlist disqus".split()
 )
-#: Before such a name the class only says that the part has or stands beside one.
-NOT_ITSELF = frozenset("has with no without".split())
+DOUBTFUL_NAMES = frozenset(
+    "banner header rail widget widgets toc promo promoted promotion alert overlay register social share sharing shares sharebar related recommended recommendations "
+    "respond replies reply discussion toolbar skip form hidden copyright legal disclaimer".split()
+)
+#: After such a word the name only says that the part has, or is about, one.
+NOT_ITSELF = frozenset("has with no without not hide show category tag type format status".split())
+#: What names an article that is a reader's comment.
+COMMENT_NAMES = frozenset("comment comments reply respond".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*+>?|<\?[^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|[^<]++|<",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-
-
-def _names_other(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether the attributes say that the element isn't main text."""
-    if not attributes or tag in ("html", "body") or tag == "main":
-        return False
-    for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" and not m[2] and not m[3]:
-            return True
-        if name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN_STYLE.search(value):
-            return True
-        if name == "role" and value.lower() in DROPPED_ROLES:
-            return True
-        if name in ("class", "id"):
-            before = ""
-            for word in _NAME.findall(value):
-                word = word.lower()
-                if word in DROPPED_NAMES and before not in NOT_ITSELF and not (word == "banner" and in_article):
-                    return True
-                if word == "header" and not in_article and before in ("", "site", "page", "top", "main", "global"):
-                    return True
-                before = word
-    return False
+_TOLD = re.compile(r"class|id|role|hidden|style", re.I)
+#: Evidence of an element's attributes.
+NOTHING, DOUBT, OTHER, HIDDEN = 0, 1, 2, 3
+
+
+def attributes_of(raw: str) -> dict[str, str]:
+    """Attributes by lower-case name, the first of equal names."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def evidence(tag: str, raw: str, in_article: bool) -> int:
+    """What the attributes say of an element. Names count for block-level elements, but not for headings and the page's frame."""
+    if not raw or not _TOLD.search(raw):
+        return NOTHING
+    told = attributes_of(raw)
+    if "hidden" in told and told["hidden"].lower() != "until-found" or told.get("aria-hidden", "").lower() == "true" or _HIDDEN_STYLE.search(told.get("style", "")):
+        return HIDDEN
+    if tag not in BLOCK_TAGS or tag in HEADINGS or tag in ("html", "body", "main"):
+        return NOTHING
+    if told.get("role", "").lower() in DROPPED_ROLES:
+        return OTHER
+    worst = NOTHING
+    for token in f"{told.get('class', '')} {told.get('id', '')}".split():
+        words = [w.lower() for w in _NAME.findall(token)]
+        if tag in ARTICLE_TAGS:
+            if words and words[0] in COMMENT_NAMES:
+                return OTHER
+            continue
+        for before, word in zip(["", *words], words, strict=False):
+            if before in NOT_ITSELF:
+                continue
+            if word in PLAIN_NAMES:
+                return OTHER
+            if word in DOUBTFUL_NAMES and not (in_article and word in ("banner", "header")):
+                worst = DOUBT
+    return worst
 
 
 @dataclass
 class Block:
     text: str
     link_chars: int
-    dropped: bool
-    region: int  # 0 outside articles
+    other: bool  # declared to be something else
+    doubt: int  # the element whose name raises doubt, 0 for none
+    article: int  # 0 outside articles
+    parent: int  # the innermost block-level element around
     heading: bool
+    sparse: bool
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -107,23 +137,33 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     link_parts: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, dropped from here on, region
-    dropped, region, regions, in_link, heading = False, 0, 0, 0, False
+    stack: list[tuple[str, bool, int, int, int, bool]] = []  # tag, and from here on: other, doubt, article, parent, mute
+    held: Counter[str] = Counter()  # tags on the stack
+    number = 0
+    other, doubt, article, parent, mute = False, 0, 0, 0, False
+    in_link = link_inside = heading = sparse = False
+    last = ""  # the last block-level start tag
 
     def flush() -> None:
-        nonlocal heading
+        nonlocal heading, sparse
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 links = len(" ".join(html.unescape("".join(link_parts)).split())) if link_parts else 0
-                out.append(Block(text, links, dropped, region, heading))
+                out.append(Block(text, links, other, doubt, article, parent, heading, sparse))
             parts.clear()
             link_parts.clear()
-        heading = False
+        heading = sparse = False
 
     def restore() -> None:
-        nonlocal dropped, region
-        dropped, region = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        nonlocal other, doubt, article, parent, mute
+        other, doubt, article, parent, mute = stack[-1][1:] if stack else (False, 0, 0, 0, False)
+
+    def drop(k: int) -> None:
+        for x in stack[k:]:
+            held[x[0]] -= 1
+        del stack[k:]
+        restore()
 
     pos, n, match = 0, len(page), _TOKEN.match
     while pos < n:
@@ -131,27 +171,31 @@ def blocks_of(page: str) -> list[Block]:
         pos = m.end()
         tag = m[2] or m[5]
         if tag is None:
-            if page[m.start()] != "<" or m.end() - m.start() == 1:
+            if not mute and (page[m.start()] != "<" or m.end() - m.start() == 1):
                 parts.append(m[0])
                 if in_link:
                     link_parts.append(m[0])
             continue
         tag, closing, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
+        block = tag in BLOCK_TAGS
+        if block and link_inside:
+            # a link that began inside a paragraph, heading or cell ends with it, if its own end was left out
+            in_link = link_inside = False
         if closing:
             if tag == "a":
-                in_link = 0
-                continue
-            if tag in BLOCK_TAGS:
+                in_link = link_inside = False
+            if block:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    flush()
-                    del stack[k:]
-                    restore()
-                    break
-                # an inline end tag doesn't close containers
-                if tag not in BLOCK_TAGS and stack[k][0] in BLOCK_TAGS and stack[k][0] not in LOOSE_TAGS:
-                    break
+            if held[tag]:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == tag:
+                        if any(x[0] in BLOCK_TAGS for x in stack[k:]):
+                            flush()
+                        drop(k)
+                        break
+                    # an inline end tag doesn't close containers
+                    if not block and stack[k][0] in BLOCK_TAGS and stack[k][0] not in LOOSE_TAGS:
+                        break
             continue
         if tag in RAW_TAGS:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, pos)
@@ -161,35 +205,34 @@ def blocks_of(page: str) -> list[Block]:
             parts.append(" ")
             continue
         if tag == "a":
-            in_link = 1
-        block = tag in BLOCK_TAGS
+            in_link, link_inside = True, last in LOOSE_TAGS
         if block:
             flush()
-            # a new block ends a dropped element that can't hold it
+            last = tag
+            # a new block ends an element that can't hold it
             while stack and (stack[-1][0] in HOLDS_NO_BLOCK or tag in ENDED_BY.get(stack[-1][0], ())):
-                stack.pop()
-                restore()
+                drop(len(stack) - 1)
             if tag in ARTICLE_TAGS:
                 # an article starts: navigation or a header left open ended before
                 while stack and stack[-1][0] in ("nav", "head"):
-                    stack.pop()
-                    restore()
+                    drop(len(stack) - 1)
             elif tag == "body":
-                stack.clear()
-                restore()
-            heading = tag in HEADINGS
+                drop(0)
+            heading, sparse = tag in HEADINGS, tag in SPARSE_TAGS
         if tag in VOID_TAGS:
             continue
-        other = tag in DROPPED_TAGS or (tag == "header" and not region) or _names_other(tag, attributes, region > 0)
-        if other or (block and tag not in LOOSE_TAGS):
-            if tag in ARTICLE_TAGS and not dropped and not other:
-                if not region:
-                    regions += 1
-                    region = regions
-            elif other and not block:
-                flush()
-            dropped = dropped or other
-            stack.append((tag, dropped, region))
+        told = evidence(tag, attributes, article > 0)
+        gone = told >= OTHER or tag in DROPPED_TAGS or (tag == "header" and not article)
+        if gone or told or (block and tag not in LOOSE_TAGS):
+            number += 1
+            if tag in ARTICLE_TAGS and not other and not gone and not article:
+                article = number
+            # an inline part that isn't seen leaves its block whole
+            other, mute = other or (gone and block), mute or (gone and not block)
+            doubt = number if told == DOUBT else doubt
+            parent = number if block else parent
+            stack.append((tag, other, doubt, article, parent, mute))
+            held[tag] += 1
     flush()
     return out
 
@@ -197,66 +240,99 @@ def blocks_of(page: str) -> list[Block]:
 GOOD, BAD, OPEN = 1, -1, 0
 
 
-def first_pass(block: Block, rules: Rules) -> int:
-    if block.dropped or block.link_chars >= rules.link_share * len(block.text):
+def stop_share(text: str) -> float:
+    """Share of stop words among the words; what isn't a letter at a word's ends doesn't count."""
+    words = [w.lower() for w in _WORDS.findall(text)]
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+_WORDS = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+
+
+def bars(blocks: list[Block], rules: Rules) -> tuple[float, float]:
+    """The page's bars on stop words: the rules', or less where the page's own long blocks are poor in them."""
+    shares = sorted(stop_share(b.text) for b in blocks if not b.other and not b.sparse and len(b.text) >= rules.long_chars and b.link_chars < rules.doubt_links * len(b.text))
+    median = shares[len(shares) // 2] if shares else 1.0
+    return min(rules.stop_share, rules.page_part * median), min(rules.stop_least, rules.page_part * median)
+
+
+def first_pass(block: Block, good: float, least: float, rules: Rules) -> int:
+    """Label of a block by itself, given the page's bars."""
+    links = rules.doubt_links if block.doubt else rules.link_share
+    if block.other or block.link_chars >= links * len(block.text):
         return BAD
     if len(block.text) < rules.long_chars:
         return OPEN
-    words = [w for w in (w.strip(".,;:!?()[]\"'«»").lower() for w in block.text.split()) if w]
-    share = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    return GOOD if share >= (rules.stop_share_article if block.region else rules.stop_share) else OPEN
+    share = stop_share(block.text)
+    if share >= good:
+        return GOOD
+    if block.doubt:
+        return BAD
+    # lists of names, figures and the like are content in an article: there the blocks around decide
+    return BAD if share < least and not (block.sparse or block.article) else OPEN
 
 
 def second_pass(blocks: list[Block], labels: list[int]) -> list[int]:
-    """Labels with every open one decided.
+    """Labels with every ambiguous block decided.
 
-    The nearest decided blocks before and after count, those of the same region first (in an article, only those that
-    aren't declared something else).  If they differ, the nearer wins; at equal distance a heading follows
-    the block after it and other blocks are bad.  Without any decided neighbour of use, blocks are good in an article, or if the page has no good block."""
+    The nearest decided blocks before and after count: those of the same parent if there are any, else those of the same article, or, outside
+    articles, of the page.  If they differ, the nearer wins; at equal distance a heading follows the block after it and other blocks
+    are bad.  What a doubtful name surrounds is decided by blocks inside it only, and bad without any.  Outside articles blocks are bad if an article has
+    good blocks.  Without any decided neighbour blocks are good in an article, or if the page has no good block."""
     n = len(blocks)
-    any_good, any_article = GOOD in labels, any(b.region and not b.dropped for b in blocks)
-
-    def sweep(order: Iterator[int]) -> tuple[list, list]:
-        own: dict[int, tuple[int, int]] = {}
-        last = None
-        same, every = [None] * n, [None] * n
+    any_good = GOOD in labels
+    articles = any(b.article and label == GOOD for b, label in zip(blocks, labels, strict=True))
+
+    def scopes(b: Block) -> list[tuple]:
+        if b.doubt:
+            return [("doubt", b.doubt)]
+        return [("parent", b.parent), ("article", b.article)]
+
+    def sweep(order: Iterator[int]) -> list[list]:
+        """Of each block, the nearest decided one that came before, by scope."""
+        last: dict[tuple, tuple[int, int]] = {}
+        seen: list[list] = [[]] * n
         for i in order:
-            same[i], every[i] = own.get(blocks[i].region), last
+            b = blocks[i]
+            seen[i] = [last.get(scope) for scope in scopes(b)]
             if labels[i] != OPEN:
-                last = (i, labels[i])
-                if not (blocks[i].region and blocks[i].dropped):
-                    own[blocks[i].region] = last
-        return same, every
-
-    same_before, before = sweep(range(n))
-    same_after, after = sweep(range(n - 1, -1, -1))
+                last["parent", b.parent] = (i, labels[i])
+                if b.doubt:
+                    last["doubt", b.doubt] = (i, labels[i])
+                # what is declared something else inside an article says nothing of the article
+                if not (b.article and (b.other or b.doubt)):
+                    last["article", b.article] = (i, labels[i])
+        return seen
+
+    before, after = sweep(iter(range(n))), sweep(iter(range(n - 1, -1, -1)))
     out = list(labels)
-    for i in range(n):
+    for i, b in enumerate(blocks):
+        if articles and not b.article:
+            out[i] = BAD
+            continue
         if labels[i] != OPEN:
             continue
-        if blocks[i].region:
-            a, b = same_before[i], same_after[i]
-        else:
-            a, b = before[i], after[i]
-        if not any_good and not (blocks[i].region == 0 and any_article):
-            out[i] = GOOD
-        elif a is None and b is None:
-            out[i] = GOOD if blocks[i].region else BAD
-        elif a is None or b is None:
-            out[i] = (a or b)[1]
-        elif a[1] == b[1]:
-            out[i] = a[1]
-        elif i - a[0] != b[0] - i:
-            out[i] = a[1] if i - a[0] < b[0] - i else b[1]
+        x, y = next(((x, y) for x, y in zip(before[i], after[i], strict=True) if x or y), (None, None))
+        if not any_good:
+            out[i] = BAD if b.doubt else GOOD
+        elif x is None and y is None:
+            out[i] = GOOD if b.article and not b.doubt else BAD
+        elif x is None or y is None:
+            out[i] = (x or y)[1]
+        elif x[1] == y[1]:
+            out[i] = x[1]
+        elif i - x[0] != y[0] - i:
+            out[i] = x[1] if i - x[0] < y[0] - i else y[1]
         else:
-            out[i] = b[1] if blocks[i].heading else BAD
+            out[i] = y[1] if b.heading else BAD
     return out
 
 
 def main_text(page: str | None, rules: Rules = Rules()) -> str:
     """Blocks of the main text joined by newlines; empty if there are none."""
     blocks = blocks_of(page or "")
-    labels = second_pass(blocks, [first_pass(b, rules) for b in blocks])
+    good, least = bars(blocks, rules)
+    labels = second_pass(blocks, [first_pass(b, good, least, rules) for b in blocks])
     return "\n".join(b.text for b, label in zip(blocks, labels, strict=True) if label == GOOD)
 
 
