@@ -8,19 +8,21 @@ the Jaccard likeness of phrase sets, which follows compression distance (Raff an
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Hashes of a fingerprint; the standard error of a likeness of 0.5 is 0.044.
 SIZE = 128
 #: Rows of one range of ids; a range's texts are read by one task, one after another.
 ROWS_PER_RANGE = 4096
-#: Bound on the ranges, whose first ids are broadcast (80 KB).
-MOST_RANGES = 10_000
+#: Bound on the ranges, whose first keys are broadcast (1.7 MB), and keys sampled for each range to find them (at most 54 MB to the driver).
+MOST_RANGES, SAMPLED = 100_000, 32
+#: Bytes of a key: whether there is an id, the id, a hash of the text; as bytes they sort in this order.
+KEY = 17
 
 
 def phrases(text: str, known: set[str] | None = None) -> list[str]:
@@ -82,16 +84,44 @@ def both(text: str, keep: int, tail: str) -> tuple[np.ndarray, np.ndarray]:
     return signature(np.concatenate([shared, first])), signature(np.concatenate([shared, second]))
 
 
-def _starts(docs: DataFrame) -> list[int]:
-    """First ids of ranges of about ``ROWS_PER_RANGE`` rows, the smallest id first; at most ``MOST_RANGES``."""
-    n, least = docs.agg(F.count("*"), F.min("doc_id")).first()
-    if least is None:
-        return []
-    ranges = min(MOST_RANGES, n // ROWS_PER_RANGE)
-    if ranges < 2:
-        return [least]
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]
-    return sorted({least, *cuts})
+def keys_of(batch: pa.RecordBatch) -> np.ndarray:
+    """Keys of rows (``doc_id, text``): null ids first, then by id, equal ids by a hash of their texts. So many rows of one id are many keys."""
+    import xxhash
+
+    null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+    ids = batch.column(0).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+    texts = np.fromiter((xxhash.xxh3_64_intdigest(t.as_py() or "") for t in batch.column(1)), np.uint64, len(ids))
+    raw = np.zeros((len(ids), KEY), np.uint8)
+    raw[:, 0] = ~null
+    raw[:, 1:9] = (ids.view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    raw[:, 9:] = texts.astype(">u8").view(np.uint8).reshape(-1, 8)
+    return raw.reshape(-1).view(f"S{KEY}")
+
+
+def _starts(docs: DataFrame) -> np.ndarray:
+    """First keys of ranges of about ``ROWS_PER_RANGE`` rows, the smallest key of all first; at most ``MOST_RANGES``."""
+    n = docs.count()
+    ranges = max(1, min(MOST_RANGES, n // ROWS_PER_RANGE))
+    share = min(1.0, SAMPLED * ranges / max(n, 1)) if ranges > 1 else 0.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = None
+        for batch in batches:
+            if batch.num_rows:
+                keys = keys_of(batch)
+                least = min(*keys.tolist(), least) if least is not None else min(keys.tolist())
+                drawn = np.array([zlib.crc32(k) < share * 2**32 for k in keys.tolist()], bool)
+                yield pa.RecordBatch.from_arrays([pa.array([k.ljust(KEY, b"\0") for k in keys[drawn].tolist()], pa.binary()), pa.array(np.zeros(drawn.sum(), bool))], ["key", "least"])
+        if least is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([bytes(least).ljust(KEY, b"\0")], pa.binary()), pa.array([True])], ["key", "least"])
+
+    got = docs.mapInArrow(run, "key binary, least boolean").toArrow()
+    keys = np.array(got.column("key").to_pylist(), dtype=f"S{KEY}")
+    if not len(keys):
+        return keys
+    drawn = np.sort(keys[~got.column("least").to_numpy()])
+    cuts = drawn[[i * len(drawn) // ranges for i in range(1, ranges)]] if len(drawn) else drawn
+    return np.unique(np.append(cuts, np.sort(keys)[:1]))
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -101,35 +131,35 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     (after the last row: the first).  Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next``.
 
-    ``doc_id`` is a whole number.  Null ids come first, equal ids are ordered by their texts; a null text is empty, and two
+    ``doc_id`` is a whole number.  Null ids come first, equal ids are ordered by a hash of their texts; a null text is empty, and two
     empty texts are alike (1); other columns are ignored; an empty table gives an empty result; a single row is its own
-    successor.  Texts are shuffled once, into ranges of ids.  The first row of each range goes to the range before as well,
+    successor.  Texts are shuffled once, into ranges of (id, hash of the text), so rows of one id, or without any, are many ranges' work; rows
+    equal in both are one range's, where each text is parsed once.  The first row of each range goes to the range before as well,
     and the first of all to the last, so that every row meets its successor in one task, however texts are dealt."""
     docs = docs.select("doc_id", "text")
-    starts = _starts(docs.select("doc_id"))
-    n = max(1, len(starts))
-    nulls = docs.where("doc_id IS NULL").limit(1).count() > 0
-    sent = docs.sparkSession.sparkContext.broadcast(np.array(starts, np.int64))
+    sent = docs.sparkSession.sparkContext.broadcast(_starts(docs))
+    n = max(1, len(sent.value))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = sent.value
+        bounds, copied = sent.value, set()
         for batch in batches:
-            null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
-            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            at = np.maximum(np.searchsorted(bounds, ids, side="right") - 1, 0)
-            at[null] = 0
-            start = ~null & (at > 0) & (bounds[at] == ids) if len(bounds) else np.zeros(len(at), bool)
-            first = null if nulls else (ids == bounds[0])
-            for rows, to, extra in ((np.arange(len(at)), at, False), (np.flatnonzero(start), at[start] - 1, True), (np.flatnonzero(first), np.full(first.sum(), n - 1), True)):
+            if not batch.num_rows:
+                continue
+            keys = keys_of(batch)
+            at = np.maximum(np.searchsorted(bounds, keys, side="right") - 1, 0)
+            key = [k.ljust(KEY, b"\0") for k in keys.tolist()]
+            start = [i for i in np.flatnonzero(bounds[at] == keys).tolist() if at[i] not in copied and not copied.add(at[i])]
+            for rows, to, extra in ((range(len(at)), at, False), (start, (at[start] - 1) % n, True)):
                 if len(rows):
-                    got = batch.take(pa.array(rows)) if extra else batch
-                    yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(np.full(len(rows), extra)), *got.columns], ["to", "extra", "doc_id", "text"])
+                    got = batch.take(pa.array(rows, pa.int64())) if extra else batch
+                    columns = [pa.array(to, pa.int32()), pa.array(np.full(len(rows), extra)), pa.array([key[i] for i in rows], pa.binary()), *got.columns]
+                    yield pa.RecordBatch.from_arrays(columns, ["to", "extra", "key", "doc_id", "text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = docs.mapInArrow(deal, f"to int, extra boolean, doc_id {kind}, text string")
-    # a range's own rows come before the copies, whose ids may be the smallest of all
-    dealt = dealt.repartition(n, "to").sortWithinPartitions("to", "extra", F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")))
-    return dealt.mapInArrow(_walk, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    dealt = docs.mapInArrow(deal, f"to int, extra boolean, key binary, doc_id {kind}, text string")
+    # a range's own rows come before the copies, whose keys may be the smallest of all
+    dealt = dealt.repartition(n, "to").sortWithinPartitions("to", "extra", "key")
+    return dealt.drop("key").mapInArrow(_walk, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,6 +169,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list[tuple] = []
     last = None  # (to, id, text): waits for its successor
     pending = None  # (row without near_next, signature): waits for the successor's signature
+    same = None  # the last pair of text and tail, and their signatures
     id_type = pa.int64()
 
     def done() -> pa.RecordBatch:
@@ -155,7 +186,9 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if last is not None and last[0] == to:
                 keep = len(last[2]) - len(last[2]) // 4
                 tail = text[: len(last[2]) // 4]
-                own, edited = both(last[2], keep, tail)
+                if same is None or same[0] != (last[2], tail):  # rows of one id and text are parsed once
+                    same = ((last[2], tail), both(last[2], keep, tail))
+                own, edited = same[1]
                 if pending is not None:
                     out.append((*pending[0], likeness(pending[1], own)))
                 sha = hashlib.sha256((last[2][:keep] + tail).encode("utf-8")).hexdigest()
