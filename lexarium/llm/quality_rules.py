@@ -5,6 +5,10 @@ at once, so the work is in numpy sorts).  The ranks of each doubling round give
 common prefix of neighbouring suffixes; its intervals are the maximal repeated substrings.
 The union of their spans gives the share of words that lie in a repeat, and the longest
 repeat is the largest common prefix.  Documents never meet: a repeat counts within one text.
+
+Doubling ends at the first power of two over all limits: no rule asks how much longer a repeat is, and every place
+inside a longer one starts a repeat of that length itself, so the union of spans is the same.  That bounds a round's tables, of
+4 bytes a word, to a handful, however long and repetitive a text is.
 """
 
 from __future__ import annotations
@@ -48,38 +52,44 @@ FIELDS = [
 DDL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_long_repeat_words long, longest_repeat long, base_failed boolean, kept boolean"
 
 
-def longest_repeats(row: np.ndarray, code: np.ndarray) -> np.ndarray:
+def longest_repeats(row: np.ndarray, code: np.ndarray, enough: int | None = None) -> np.ndarray:
     """For each word position, the length in words of the longest substring that starts there and occurs
-    elsewhere in the same row: the larger common prefix with the two neighbours in the suffix array."""
+    elsewhere in the same row: the larger common prefix with the two neighbours in the suffix array.  With ``enough``, lengths of at least that
+    many words are told apart no more: any such is at least ``enough`` and at most the length."""
     n = len(code)
     if n == 0:
         return np.zeros(0, np.int64)
     end = np.searchsorted(row, row, side="right")  # first position after the row
     count, rank = _group_starts(row, code)
-    ranks, width = [rank], 1
+    # a very long text is one slice: big temporaries go as soon as they are used
+    small = np.int32 if n < 1 << 31 else np.int64
+    ranks, width = [rank.astype(small)], 1
     active = np.flatnonzero(count > 1)
-    while len(active):
+    while len(active) and (enough is None or width < enough):
+        key = rank[active] * (n + 2)
         step = active + width
         inside = step < end[active]
-        follow = np.zeros(len(active), np.int64)
-        follow[inside] = rank[step[inside]] + 1
-        order = np.argsort(rank[active] * (n + 2) + follow)
-        a, r, f = active[order], rank[active][order], follow[order]
-        new_r = np.ones(len(a), bool)
-        new_r[1:] = r[1:] != r[:-1]
-        new_group = new_r.copy()
-        new_group[1:] |= f[1:] != f[:-1]
-        at = np.arange(len(a))
-        base = np.maximum.accumulate(np.where(new_r, at, 0))
-        start = np.maximum.accumulate(np.where(new_group, at, 0))
-        rank = rank.copy()
-        rank[a] = r + (start - base)
-        sizes = np.diff(np.append(np.flatnonzero(new_group), len(a)))
-        active = a[np.repeat(sizes, sizes) > 1]
-        ranks.append(rank)
+        key[inside] += rank[step[inside]] + 1
+        del step, inside
+        order = np.argsort(key)
+        active, key = active[order], key[order]
+        del order
+        new_group = np.ones(len(key), bool)
+        new_group[1:] = key[1:] != key[:-1]
+        key //= n + 2
+        new_rank = np.ones(len(key), bool)
+        new_rank[1:] = key[1:] != key[:-1]
+        at = np.arange(len(key))
+        key += np.maximum.accumulate(np.where(new_group, at, 0))
+        key -= np.maximum.accumulate(np.where(new_rank, at, 0))
+        rank[active] = key
+        del at, key, new_rank
+        sizes = np.diff(np.append(np.flatnonzero(new_group), len(new_group)))
+        active = active[np.repeat(sizes > 1, sizes)]
+        ranks.append(rank.astype(small))
         width *= 2
-    suffixes = np.empty(n, np.int64)
-    suffixes[rank] = np.arange(n)
+    # ties that are left share ``width`` words: any order of them will do
+    suffixes = np.argsort(rank, kind="stable")
     left, right = suffixes[:-1], suffixes[1:]
     common = np.zeros(max(0, n - 1), np.int64)
     live = np.flatnonzero(ranks[0][left] == ranks[0][right]) if n > 1 else np.zeros(0, np.int64)
@@ -130,7 +140,7 @@ def measure(texts: pa.LargeStringArray, limits: Limits = Limits()) -> pa.RecordB
     distinct = np.unique(line_row * (len(flat) + 1) + coded) // (len(flat) + 1)
     dup_lines = np.bincount(line_row, minlength=n) - np.bincount(distinct, minlength=n)
 
-    repeats = longest_repeats(w.row, w.code)
+    repeats = longest_repeats(w.row, w.code, max(limits.window, limits.repeat_words, limits.longest_repeat))
     in_windows = covered(w.row, repeats, limits.window, n)
     in_long = covered(w.row, repeats, limits.repeat_words, n)
     longest = np.zeros(n, np.int64)
@@ -146,7 +156,8 @@ def assess(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     A null or empty text has no words: all counts are 0, it fails.  A null ``doc_id`` and repeated rows pass
     through, one row each; other columns are ignored; an empty table gives an empty result.  A task holds
-    slices of at most 4 MB of text, or one longer text."""
+    slices of at most 4 MB of text, or one longer text.  ``longest_repeat`` is exact up to the largest limit, and beyond it some number
+    between the limit and the length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
