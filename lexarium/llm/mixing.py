@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import textbatch as tb
 from .durable import written
 
 #: Words, as runs of anything but ASCII white space.
@@ -82,17 +83,21 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
 
     The cut of a source is a place in its order of keys, so a row is decided by its source's epochs and cut: one small
     row per source.  Up to ``BROADCAST_SOURCES`` of them are broadcast, so the texts needn't move; more are joined by
-    source, where Spark splits a hot one.  Repeated rows at a cut are taken together."""
+    source, where Spark splits a hot one.  Repeated rows at a cut are taken together.  Columns of any names pass through.  A null ``doc_id`` has one key,
+    so rows without ids lie in one bucket of their source: give rows ids if many have none."""
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
     placed = _placed(sized, weights, max_epochs, share, "document")
     last = F.max(F.when(F.col("extra") > 0, F.struct("key", F.col("doc_id").cast("string").alias("id"))))
     cuts = placed.groupBy("skey").agg(F.first("epochs").alias("_epochs"), last.alias("_last"))
     cuts = written(cuts, "mix-cuts")
     side = F.broadcast(cuts) if cuts.count() <= BROADCAST_SOURCES else cuts
-    here = docs.withColumn("_key", _key()).withColumn("skey", _skey()).join(side, "skey")
-    under = F.coalesce(F.struct(F.col("_key").alias("key"), F.col("doc_id").cast("string").alias("id")) <= F.col("_last"), F.lit(False))
-    times = F.col("_epochs") + F.when(under, 1).otherwise(0)
-    return here.withColumn("_time", F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<long>")))).select(*docs.columns)
+    mine = {name: tb.free(name, docs.columns) for name in ("key", "skey", "_epochs", "_last", "time")}
+    side = side.select(*[F.col(c).alias(mine[c]) for c in ("skey", "_epochs", "_last")])
+    here = docs.withColumn(mine["key"], _key()).withColumn(mine["skey"], _skey()).join(side, mine["skey"])
+    under = F.coalesce(F.struct(F.col(mine["key"]).alias("key"), F.col("doc_id").cast("string").alias("id")) <= F.col(mine["_last"]), F.lit(False))
+    times = F.col(mine["_epochs"]) + F.when(under, 1).otherwise(0)
+    every = F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<long>"))
+    return here.withColumn(mine["time"], F.explode(every)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def _key() -> Column:
