@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -28,24 +30,31 @@ def sections(pages: DataFrame, key: str, content: str) -> DataFrame:
     return parts.withColumn("section", F.row_number().over(Window.partitionBy(key).orderBy("_s")) - 1).drop("_s")
 
 
+def windows(line: str, ends: list[int], most: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Cut points of a line whose sentences end at ``ends``: each window takes as many whole sentences as fit, the next starts
+    ``overlap`` characters before its end, past white space, and what no sentence end is in reach of is cut hard."""
+    start = taken = 0
+    while taken < len(ends):
+        if ends[taken] - start > most:
+            yield start, start + most
+            start += most
+            continue
+        taken = bisect_right(ends, start + most)
+        end = ends[taken - 1]
+        yield start, end
+        start = max(start, end - overlap) if overlap > 0 else end
+        while start < len(line) and line[start].isspace():
+            start += 1
+
+
 def split_with_overlap(body: str, most: int, overlap: int) -> list[str]:
-    """Pieces of at most ``most`` characters: sentences are gathered, each new piece starts with the last ``overlap``
-    characters of the one before, and what has no sentence end in reach is cut hard. Nothing is lost."""
+    """Pieces of at most ``most`` characters: the text in sentences, as one line, cut into ``windows``. Nothing is lost; a text that fits stays as it is."""
     if len(body) <= most:
         return [body]
-    pieces: list[str] = []
-    held = ""
-    for sentence in filter(None, (s.strip() for s in re.split(r"(?<=[.!?])\s+", body))):
-        longer = f"{held} {sentence}" if held else sentence
-        if len(longer) > most:
-            if held:
-                pieces.append(held)
-                longer = f"{held[-overlap:] if overlap > 0 else ''} {sentence}".strip()
-            while len(longer) > most:
-                pieces.append(longer[:most])
-                longer = longer[most:]
-        held = longer
-    return [*pieces, held] if held else pieces
+    sentences = [s for s in (s.strip() for s in re.split(r"(?<=[.!?])\s+", body)) if s]
+    line = " ".join(sentences)
+    ends = [end - 1 for end in accumulate(len(s) + 1 for s in sentences)]
+    return [line[a:b] for a, b in windows(line, ends, most, overlap)]
 
 
 def chunks(pages: DataFrame, path: str, content: str, most: int = 4000, overlap: int = 400) -> DataFrame:

@@ -65,12 +65,32 @@ SECRETS = Inline(
 
 @query(
     "redaction_rules",
-    "SELECT * FROM (VALUES (1, 'token = [REDACTED], ok'), (2, 'Authorization: [REDACTED]' || chr(10) || 'next'), (3, 'see <PATH>, and <PATH>'), (4, 'Bearer [REDACTED]'), (5, 'password=[REDACTED] pat=[REDACTED].'), (6, 'plain text stays https://site.example/a/b'), (7, '[REDACTED]'), (8, NULL)) AS t(id, redacted)",
+    """SELECT * FROM (VALUES (1, 'token = [REDACTED], ok'), (2, 'Authorization: [REDACTED]' || chr(10) || 'next'), (3, 'see <PATH>, and <PATH>'), (4, 'Bearer [REDACTED]'), (5, 'password=[REDACTED] pat=[REDACTED].'), (6, 'plain text stays https://site.example/a/b'), (7, '[REDACTED]'), (8, NULL)) AS t(id, redacted)""",
 )
 def redaction_rules(spark, sf_dir):
     return redaction.mapped(SECRETS.df(spark), "id", "raw", "redacted", redaction.linked)
 
 
+@query(
+    "order_diagnostics",
+    """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'order ' || o_orderkey || ' token=[REDACTED], rest' WHEN 1 THEN 'see <PATH>, then [doc](/docs/' || o_custkey || ')' WHEN 2 THEN 'Authorization=[REDACTED]'
+    WHEN 3 THEN 'open https://h.example/o/' || o_orderkey || '?sig=[REDACTED]&page=2 now' WHEN 4 THEN 'x [REDACTED] y' ELSE 'order ' || o_orderkey || ' is ' || o_orderstatus END AS redacted FROM orders""",
+)
+def order_diagnostics(spark, sf_dir):
+    """A diagnostic of every order, in six shapes."""
+    n, key = F.col("o_orderkey") % 6, F.col("o_orderkey").cast("string")
+    shapes = [
+        F.concat(F.lit("order "), key, F.lit(" token="), F.md5(key), F.lit(", rest")),
+        F.concat(F.lit("see /home/u"), key, F.lit("/f.txt, then [doc](/docs/"), F.col("o_custkey").cast("string"), F.lit(")")),
+        F.concat(F.lit("authorization = Basic "), F.base64(F.encode(key, "UTF-8")), F.lit(" more")),
+        F.concat(F.lit("open https://h.example/o/"), key, F.lit("?sig="), F.md5(key), F.lit("&page=2 now")),
+        F.concat(F.lit("x p%61ssword%3D"), key, F.lit(" y")),
+        F.concat(F.lit("order "), key, F.lit(" is "), F.col("o_orderstatus")),
+    ]
+    raw = F.element_at(F.array(*shapes), (n + 1).cast("int"))
+    return redaction.mapped(table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")), "o_orderkey", "raw", "redacted", redaction.linked)
+
+
 JSONS = Inline({"id": "int", "raw": "string"}, [(1, '{"b": 1, "a": [2, {"z": null}]}'), (2, '{"a": 1, "a": 2}'), (3, "nope"), (4, '{"x": NaN}'), (5, '"t"')])
 
 
@@ -84,7 +104,7 @@ UNICODE = Inline({"id": "int", "raw": "string"}, [(1, "Crème Brûlée  & more")
 
 @query("ascii_slugs", "SELECT * FROM (VALUES (1, 'creme-brulee-more'), (2, 'a-`code`-[x]'), (3, 'fineprint')) AS t(id, slug)")
 def ascii_slugs(spark, sf_dir):
-    return redaction.mapped(UNICODE.df(spark), "id", "raw", "slug", redaction.ascii_slug)
+    return redaction.slugs(UNICODE.df(spark), "id", "raw")
 
 
 @query("normal_texts", "SELECT * FROM (VALUES (1, 'crème brûlée more'), (2, 'a code x'), (3, 'ﬁne print')) AS t(id, normal)")

@@ -197,6 +197,36 @@ def test_redaction(raw, gone):
     assert gone not in redaction.redacted(raw)[0]
 
 
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        ("authorization = Basic dXNlcjpwYXNz more", "Authorization=[REDACTED]"),
+        ('log {"authorization": "Basic abc", "x": 1}', "log Authorization=[REDACTED]"),
+        ("x %61uthorization%3A Basic abc\nnext", "[REDACTED]\nnext"),
+        ("%61uthorization%3A\n folded secret\nnext", "[REDACTED]\nnext"),
+        ("a=%2Fhome%2Fme%2Fsecret.txt.", "<PATH>."),
+        ("%2541%2542 stays", "%2541%2542 stays"),
+        ("a\x001\x00b", "a\x001\x00b"),
+        ("https://me:pw@h.example/x?id_token=1&a=2#code=3", "https://[REDACTED]@h.example/x?id_token=[REDACTED]&a=2#code=[REDACTED]"),
+        ("[d](/docs/a) and /docs/b but '/home/x y/z' and ~/f", "[d](/docs/a) and /docs/b but '<PATH>' and <PATH>"),
+        ("%" + "25" * 30 + "41", "[REDACTED]"),
+    ],
+)
+def test_answers_keep_links_and_nothing_secret(raw, want):
+    assert redaction.linked(raw) == want
+
+
+def test_diagnostics_hide_assignments_and_paths():
+    assert redaction.redacted("authorization = Basic dXNlcjpwYXNz more")[0] == "Authorization=[REDACTED]"
+    assert redaction.redacted("at /srv/x, D:\\a\\b; in /work", places=(("/work", "<ROOT>"),))[0] == "at <PATH>, <PATH>; in <ROOT>"
+
+
+def test_visible_text_shapes():
+    page = "<head><title>T</title></head><svg><text>s</text></svg><!-- c --><article>A &amp; B<style>x{}</style></article> out <main>M<article>N</article></main><template>t</template>"
+    assert redaction.visible_text(page) == "A & B M N"
+    assert redaction.visible_text("<p>1 &lt; 2</p><script>never ends") == "1 < 2"
+
+
 def test_redaction_bounds_and_nesting():
     assert redaction.redacted("y " * 9000, 100) == ("y " * 50 + "...[truncated]", True)
     got = redaction.nested({"password": "x", "input": [1], "deep": {"a": {"b": {"c": 1}}}, "list": list(range(30)), "n": float("nan")})
