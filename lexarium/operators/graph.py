@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import link_target
+from ..storage import written
 
 LINK = r"""\[[^\]]*\]\(\s*(<[^>]*>|[^)\s]+)[^)]*\)|href=["']([^"']+)["']"""
 
@@ -85,9 +86,8 @@ def introduced(current: DataFrame, before: DataFrame, keys: list[str]) -> DataFr
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage: a checkpoint where the session names a folder for them, else a local one."""
-    reliable = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") is not None
-    return df.checkpoint() if reliable else df.localCheckpoint()
+    """``df`` without its lineage, as a table in the shared folder."""
+    return written(df, "graph")
 
 
 def resolved_aliases(redirects: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,12 +89,22 @@ def digest(weeks: DataFrame, months: DataFrame, week: str, month_: str) -> DataF
 
 
 def dispatched_once(found: DataFrame, days: int) -> DataFrame:
-    """First mention of each id, and any that comes over ``days`` days after the last dispatched one.
+    """First mention of each id, and any that comes over ``days`` days after the last dispatched one: ``id, ts``.
 
-    A dispatch restarts the period and a skipped mention doesn't, so it is a fold over an id's mentions in order; their times
-    alone are gathered, after other columns are set aside."""
+    A dispatch restarts the period and a skipped mention doesn't, so it is a fold over an id's mentions in order.  Ids and times alone are shuffled and sorted;
+    the fold streams through them and remembers one time, however many mentions an id has."""
     gap = days * 86_400_000_000
-    times = found.groupBy("id").agg(F.array_sort(F.collect_list(F.unix_micros(F.col("ts").cast("timestamp")))).alias("t"))
-    step = lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) > gap), F.concat(acc, F.array(t))).otherwise(acc)
-    kept = times.select("id", F.explode(F.aggregate("t", F.array().cast("array<long>"), step)).alias("at"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_id, last = None, None
+        for batch in batches:
+            kept = []
+            for i, (name, at) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if last is None or name != last_id or at - last > gap:
+                    last_id, last = name, at
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    times = found.select("id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).where("at IS NOT NULL")
+    kept = times.repartition("id").sortWithinPartitions("id", "at").mapInArrow(fold, times.schema)
     return kept.select("id", F.timestamp_micros("at").alias("ts"))

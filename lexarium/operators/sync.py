@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors
 from ..functions.text import digest
+from .ordering import running
 
 ORDER = ("add", "modify", "remove", "preserve")
 
@@ -101,34 +103,34 @@ def atomic_groups(plan: DataFrame, position: str = "seq") -> DataFrame:
     pairs = path_conflicts(plan).join(at, "path").join(at.select(F.col("path").alias("ancestor"), F.col("_p").alias("_q")), "ancestor")
     spans = pairs.select(F.least("_p", "_q").alias("lo"), F.greatest("_p", "_q").alias("hi"))
     reach = spans.groupBy(F.col("lo").alias("_p")).agg(F.max("hi").alias("hi"))
-    ordered = Window.orderBy(position)  # a plan is a list of file operations in one order
-    rows = plan.join(reach.withColumnRenamed("_p", position), position, "left").withColumn("_far", F.max(F.coalesce("hi", F.col(position))).over(ordered.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = running(plan.join(reach.withColumnRenamed("_p", position), position, "left"), position, "_far", F.coalesce("hi", F.col(position)), F.max, before=True)
     starts = F.when(F.col("_far").isNull() | (F.col("_far") < F.col(position)), 1).otherwise(0)
-    return rows.withColumn("group_no", F.sum(starts).over(ordered)).drop("hi", "_far")
+    return running(rows, position, "group_no", starts, F.sum, before=False).drop("hi", "_far")
 
 
 def planned_batches(plan: DataFrame, max_files: int, max_bytes: int, position: str = "seq") -> DataFrame:
     """``plan`` with ``batch_no`` from 1: groups in order fill a batch until a ceiling would be passed (both inclusive).
 
-    Filling is a fold over the ordered groups (one row per group: a plan is bounded by the files of one release), so it runs in one task.  A group that
+    Filling is a fold over the groups in order, so it is one task's; it streams, and holds a batch of rows.  A group that
     alone passes a ceiling is an error."""
     grouped = plan if "group_no" in plan.columns else atomic_groups(plan, position)
     sizes = grouped.groupBy("group_no").agg(F.count("*").alias("files"), F.sum("payload_bytes").alias("bytes"))
 
-    def fold(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole = pd.concat(list(rows)).sort_values("group_no")
-        number, files, size, out = 1, 0, 0, []
-        for group, f, b in whole[["group_no", "files", "bytes"]].itertuples(index=False):
-            if f > max_files or b > max_bytes:
-                raise ValueError(f"group {group} has {f} files and {b} bytes, above {max_files} and {max_bytes}")
-            if files and (files + f > max_files or size + b > max_bytes):
-                number, files, size = number + 1, 0, 0
-            files, size = files + f, size + b
-            out.append((group, number))
-        yield pd.DataFrame(out, columns=["group_no", "batch_no"])
-
-    numbers = sizes.coalesce(1).mapInPandas(fold, "group_no long, batch_no long")
-    return grouped.join(numbers, "group_no")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, files, size = 1, 0, 0
+        for batch in batches:
+            numbers = []
+            for group, f, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if f > max_files or b > max_bytes:
+                    raise ValueError(f"group {group} has {f} files and {b} bytes, above {max_files} and {max_bytes}")
+                if files and (files + f > max_files or size + b > max_bytes):
+                    number, files, size = number + 1, 0, 0
+                files, size = files + f, size + b
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.int64())], ["group_no", "batch_no"])
+
+    ordered = sizes.select("group_no", "files", "bytes").orderBy("group_no").coalesce(1)
+    return grouped.join(ordered.mapInArrow(fold, "group_no long, batch_no long"), "group_no")
 
 
 def assigned_once(plan: DataFrame, batches: DataFrame, key: str = "id") -> DataFrame:

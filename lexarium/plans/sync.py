@@ -6,6 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..operators import sync
+from ..operators.ordering import numbered
 from ..registry import query
 from ..session import table
 from .inline import Inline
@@ -89,7 +90,7 @@ def decision_order(spark, sf_dir):
 
 
 def sequenced(spark, sf_dir):
-    return plan(spark, sf_dir).withColumn("seq", F.row_number().over(Window.orderBy(sync.decision_order(F.col("decision")), "path")))
+    return numbered(plan(spark, sf_dir), [sync.decision_order(F.col("decision")), F.col("path")])
 
 
 @query("batch_pack")
