@@ -6,10 +6,17 @@ search reads only the buckets of its tokens; tf and document length stand in the
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .search import B, K1, idf, top
+from ..sources import files
+from ..storage import exists, shared_dir
+from .search import B, K1, embedded, idf, top
+from .sync import index_diff
 
 
 #: Tasks that a frequent token's postings are dealt to.
@@ -53,8 +60,65 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, query_key
     return top(totals, [query_key], [F.round("score", 9).desc(), F.col("doc")], k).select(query_key, "rank", "doc", "score")
 
 
+def stored(docs: DataFrame, key: str, text_column: str, tokens: Column, buckets: int = 64) -> str:
+    """Path of the index of a table of files, written once for each state of the files in a session, and anew if it has gone.
+
+    A state is the files' names, lengths and times; searches, term statistics and term frequencies of that state all read what was written."""
+    spark = docs.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    state = [key, text_column, str(buckets), tokens._jc.toString(), spark.sparkContext.applicationId]
+    for name in sorted(docs.inputFiles()):
+        at = jvm.org.apache.hadoop.fs.Path(name)
+        status = at.getFileSystem(conf).getFileStatus(at)
+        state += [name, str(status.getLen()), str(status.getModificationTime())]
+    state = "\n".join(state)
+    path = _STORED.get(state)
+    if path is None or not exists(spark, f"{path}/corpus/_SUCCESS"):
+        path = _STORED[state] = f"{shared_dir(spark)}/lexarium/index-{uuid.uuid4().hex}"
+        write(docs, key, tokens, path, buckets)
+    return path
+
+
+_STORED: dict[str, str] = {}
+
+
+def term_frequencies(spark: SparkSession, path: str) -> DataFrame:
+    """``doc, token, tf`` of an index."""
+    return spark.read.parquet(f"{path}/postings").where("bucket >= 0").select("doc", "token", "tf")
+
+
+def term_stats(spark: SparkSession, path: str) -> DataFrame:
+    """``token, df, total``: the corpus is one row."""
+    total = spark.read.parquet(f"{path}/corpus").first()["total"]
+    return spark.read.parquet(f"{path}/terms").select("token", "df", F.lit(total).alias("total"))
+
+
+# ---- chunks with vectors
+
+CHUNKS = "chunk_id string, path string, title string, description string, heading string, content string, content_hash string, embedding array<float>"
+
+
 def chunk_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Keys and hashes of a stored chunk table: three columns of the scan."""
     return spark.read.parquet(path).select("chunk_id", "path", "content_hash")
 
 
+def synced(spark: SparkSession, path: str, chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]] | None = None, recreate: bool = False, dry_run: bool = False) -> dict[str, int]:
+    """Bring the chunk table at ``path`` to ``chunks`` (columns of ``CHUNKS`` but the vector): how many were new, changed, unchanged and deleted.
+
+    Only new and changed chunks are embedded.  The next version is written whole and then pointed to (``files.point_to``), so readers see one state or the other; a run
+    that is repeated finds nothing to do.  ``recreate`` takes the table for empty, ``dry_run`` only counts."""
+    now = None if recreate else files.current(spark, path)
+    names = [f.name for f in T.StructType.fromDDL(CHUNKS)]
+    empty = spark.createDataFrame([], CHUNKS)
+    old = spark.read.parquet(now).select(*names) if now else empty
+    states = index_diff(chunks, old, "chunk_id", "content_hash")
+    counts = {r["state"]: r["n"] for r in states.groupBy("state").agg(F.count("*").alias("n")).collect()}
+    counts = {s: counts.get(s, 0) for s in ("new", "changed", "unchanged", "deleted")}
+    if dry_run or (now and not counts["new"] + counts["changed"] + counts["deleted"]):
+        return counts
+    fresh = chunks.join(states.where("state IN ('new', 'changed')").select("chunk_id"), "chunk_id", "left_semi").drop("embedding")
+    fresh = embedded(fresh, "content", "embedding", embed) if embed else fresh.withColumn("embedding", F.lit(None).cast("array<float>"))
+    kept = old.join(states.where("state = 'unchanged'").select("chunk_id"), "chunk_id", "left_semi")
+    files.point_to(spark, path, kept.unionByName(fresh.select(*names)))
+    return counts

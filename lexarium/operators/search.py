@@ -6,12 +6,19 @@ queries is scored by equi-joins on tokens, so any number of queries is one pass
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import tokens as token_list
 
 K1, B = 1.5, 0.75
+#: Synonyms that are broadcast; a longer dictionary is joined.
+MOST_TERMS = 100_000
 
 # Groups of search terms that stand for each other.
 SYNONYMS = (
@@ -83,11 +90,22 @@ def query_tokens(queries: DataFrame, key: str, text: str, name: str = "query_id"
     return queries.select(F.col(key).alias(name), F.explode(token_list(F.col(text))).alias("token"))
 
 
-def expanded(queries: DataFrame, groups: DataFrame, key: str = "query_id") -> DataFrame:
-    """Query tokens with the other tokens of their synonym groups added. ``groups``: ``group, token``; a small dictionary."""
-    mine = queries.join(F.broadcast(groups), "token").select(key, "group").distinct()
-    other = mine.join(F.broadcast(groups), "group").select(key, "token").distinct()
-    return queries.unionByName(other.join(queries.select(key, "token").distinct(), [key, "token"], "left_anti"))
+def expanded(queries: DataFrame, key: str, text: str, groups: DataFrame, name: str = "query_id") -> DataFrame:
+    """``name, token`` of queries, with the tokens of the other members of their synonym groups added, each once.
+
+    ``groups``: ``group, term``, a small dictionary; a term may be several words, and is there when its tokens stand together in the query."""
+    listed = groups.select("group", token_list(F.col("term")).alias("words")).where(F.size("words") > 0)
+    longest = listed.agg(F.max(F.size("words"))).first()[0] or 1
+    own = queries.select(F.col(key).alias(name), token_list(F.col(text)).alias("words"))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - (n - 1), F.lit(0)) + 1), lambda i: F.array_join(F.slice("words", i, n), " "))
+    spans = F.flatten(F.array(*[F.when(F.size("words") >= n, runs(n)).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1)]))
+    named = listed.select("group", F.array_join("words", " ").alias("term"), "words")
+    if listed.count() <= MOST_TERMS:
+        named = F.broadcast(named)
+    mine = own.select(name, F.explode(F.array_distinct(spans)).alias("term")).join(named.select("group", "term"), "term").select(name, "group").distinct()
+    other = mine.join(named.select("group", F.explode("words").alias("token")), "group").select(name, "token").distinct()
+    rows = own.select(name, F.explode("words").alias("token"))
+    return rows.unionByName(other.join(rows.distinct(), [name, "token"], "left_anti"))
 
 
 def best_part(scored: DataFrame, whole: str, part: str, score: str) -> DataFrame:
@@ -116,16 +134,72 @@ def dot(a: Column, b: Column) -> Column:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 2000) -> DataFrame:
     """Exact cosine neighbours of a stated query set among all vectors, themselves excluded: ``key, neighbor, rank, sim``.
 
-    Queries are taken in blocks of about ``block``, so what is broadcast stays bounded however many there are; the vectors stream by each
-    block, and each task keeps k rows per query before the shuffle."""
-    unit = lambda df, name: df.select(F.col(key).alias(name), F.col(vector).alias(f"v_{name}"), F.sqrt(dot(F.col(vector), F.col(vector))).alias(f"n_{name}"))
-    every = unit(vectors, "neighbor")
-    blocks = max(1, -(-queries.count() // block))
+    Queries are taken in blocks of about ``block``, each sent to all tasks as one matrix; vectors stream by as Arrow batches and are multiplied with it, and a task
+    keeps the k nearest of each query, so what is shuffled is k rows a query and task.  Ties go to the smaller neighbour.  A vector without length has no
+    similarity."""
+    spark, blocks = queries.sparkSession, max(1, -(-queries.count() // block))
+    kind = vectors.schema[key].dataType.simpleString()
     out = None
     for i in range(blocks):
-        mine = unit(queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i), key)
-        pairs = every.join(F.broadcast(mine), F.col("neighbor") != F.col(key))
-        sims = pairs.select(key, "neighbor", (dot(F.col(f"v_{key}"), F.col("v_neighbor")) / (F.col(f"n_{key}") * F.col("n_neighbor"))).alias("sim"))
-        found = top(sims, [key], [F.round("sim", 9).desc(), F.col("neighbor")], k)
-        out = found if out is None else out.unionByName(found)
+        mine = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i).select(key, vector).toArrow()
+        out_block = _block_nearest(vectors.select(key, vector), spark.sparkContext.broadcast((mine.column(0).to_numpy(), _units(mine.column(1).combine_chunks()))), k, key, kind)
+        out = out_block if out is None else out.unionByName(out_block)
     return out
+
+
+def _units(vectors: pa.Array) -> np.ndarray:
+    rows = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+def _block_nearest(vectors: DataFrame, sent, k: int, key: str, kind: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, asked = sent.value
+        best_sim, best_id = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            other = batch.column(0).to_numpy(zero_copy_only=False)
+            sims = np.round(asked @ _units(batch.column(1)).T, 9)
+            sims[(ids[:, None] == other[None, :]) | np.isnan(sims)] = -np.inf
+            sims, names = np.hstack([best_sim, sims]), np.hstack([best_id, np.broadcast_to(other, (len(ids), len(other)))])
+            at = np.lexsort((names, -sims))[:, :k]
+            best_sim, best_id = np.take_along_axis(sims, at, 1), np.take_along_axis(names, at, 1)
+        found = np.isfinite(best_sim)
+        row = np.nonzero(found)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(ids)[row]), pa.array(best_id[found]), pa.array(best_sim[found])], [key, "neighbor", "sim"])
+
+    sims = vectors.mapInArrow(run, f"{key} {kind}, neighbor {kind}, sim double")
+    return top(sims, [key], [F.col("sim").desc(), F.col("neighbor")], k).select(key, "neighbor", "sim", "rank")
+
+
+def embedded(rows: DataFrame, text: str, out: str, embed: Callable[[list[str]], list[list[float]]], batch: int = 100) -> DataFrame:
+    """``rows`` with ``out``, the vectors that ``embed`` gives for the texts, ``batch`` at a time, in each task. Null texts are embedded as empty ones.
+
+    ``embed`` is the caller's: a model in the worker, or a client that ``campaign.retried`` guards."""
+    at = rows.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in batches:
+            for start in range(0, found.num_rows, batch):
+                part = found.slice(start, batch)
+                vectors = embed([t or "" for t in part.column(at).to_pylist()])
+                if len(vectors) != part.num_rows:
+                    raise ValueError(f"{len(vectors)} vectors for {part.num_rows} texts")
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([list(map(float, v)) for v in vectors], pa.list_(pa.float32()))], [*part.schema.names, out])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))]))
+
+
+def reranked(found: DataFrame, query: str, text: str, score: Callable[[list[str], list[str]], list[float]], k: int, by: str = "query_id") -> DataFrame:
+    """The first ``k`` of each query's rows by the caller's ``score(queries, texts)``, in place of their rank; ties keep the order they had."""
+    q, t = found.columns.index(query), found.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = score(batch.column(q).to_pylist(), [x or "" for x in batch.column(t).to_pylist()]) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([float(s) for s in scores], pa.float64())], [*batch.schema.names, "_score"])
+
+    scored = found.mapInArrow(run, T.StructType([*found.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return top(scored.withColumnRenamed("rank", "_before"), [by], [F.col("_score").desc(), F.col("_before")], k).withColumnRenamed("_score", "rerank_score").drop("_before")

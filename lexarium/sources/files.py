@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sync import upserted
+from ..storage import exists
 
 MODEL = "id string, displayName string, publisher string, latestVersion string, regions map<string,array<string>>"
 
@@ -107,22 +108,33 @@ def write_shards(rows: DataFrame, shard: Column, path: str) -> None:
     rows.withColumn("shard", shard).write.mode("overwrite").partitionBy("shard").json(path)
 
 
-def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, keys: list[str]) -> str:
-    """Incoming rows into a table of versions: ``path/v<n>`` is written whole, then the pointer file names it, so readers never see a
-    half-written state. Returns the new version's folder. The pointer goes through Hadoop's file system, as tables do."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/current")
-    fs = pointer.getFileSystem(conf)
-    now = -1
-    if fs.exists(pointer):
-        now = int(spark.read.text(f"{path}/current").first()["value"])
-        incoming = upserted(spark.read.parquet(f"{path}/v{now}"), incoming, keys)
-    incoming.write.mode("overwrite").parquet(f"{path}/v{now + 1}")
-    stream = fs.create(pointer, True)
-    stream.write(bytearray(str(now + 1).encode()))
+def current(spark: SparkSession, path: str) -> str | None:
+    """Folder of the version that a table of versions points to; null if there is none."""
+    return f"{path}/v{spark.read.text(f'{path}/current').first()['value']}" if exists(spark, f"{path}/current") else None
+
+
+def point_to(spark: SparkSession, path: str, rows: DataFrame) -> str:
+    """``rows`` as the next version of a table of versions: ``path/v<n>`` is written whole, then the pointer file names it, so readers never see a
+    half-written state. Returns the version's folder. The pointer goes through Hadoop's file system, as tables do."""
+    now = current(spark, path)
+    number = int(now.rpartition("/v")[2]) + 1 if now else 0
+    rows.write.mode("overwrite").parquet(f"{path}/v{number}")
+    put_text(spark, f"{path}/current", str(number))
+    return f"{path}/v{number}"
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in any of Hadoop's file systems."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    stream.write(bytearray(text.encode()))
     stream.close()
-    return f"{path}/v{now + 1}"
+
+
+def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, keys: list[str]) -> str:
+    """Incoming rows into a table of versions, in place of those of the same keys. Returns the new version's folder."""
+    now = current(spark, path)
+    return point_to(spark, path, upserted(spark.read.parquet(now), incoming, keys) if now else incoming)
 
 
 def manifest_text(plan: dict) -> str:
