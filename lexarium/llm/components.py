@@ -46,10 +46,11 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, max_rounds: int = 60, local: int = LOCAL_EDGES) -> DataFrame:
     """``edges``: ``a long, b long``.  Returns ``node long, comp long`` for every node of an edge between
     two different nodes; ``comp`` is the smallest node of its component.  No edges: no rows."""
-    stars = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    stars = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     stars = written(stars, "edges")
     if stars.count() <= local:
         return written(stars.coalesce(1).mapInArrow(_settle, "node long, comp long"), "components")
+    stars = stars.distinct()
     before = None
     for _ in range(max_rounds):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
