@@ -2,9 +2,12 @@
 
 Features are all lower-cased words of the labelled examples and, once more and ``Setting.emphasis`` times as heavy, the words and
 word beginnings (word families) that a likelihood-ratio test ties to the toxic label; their document frequencies are
-counted over all documents.  Labelled examples are a bounded sample (``Setting.toxic`` and ``Setting.clean``), all of them that have a
-word indexed by all their features: postings, and dense rows for the features of many examples.  A text is held against every
-example that shares a feature with it, so neighbours are exact.  Votes are weighted by squared similarity and by what each example stands
+counted over all documents.  Labelled examples are a sample bounded in rows and bytes, all of them that have a
+word indexed by all their features.
+
+The index is block-max: examples lie in blocks of like ones, postings by feature and block, and beside each such run stands its largest weight.
+The sum of these bounds what any example of a block can reach; blocks are opened by falling bound until the next can't hold
+one of the nearest, so neighbours are exact and most blocks stay closed.  Votes are weighted by squared similarity and by what each example stands
 for in its class, against a fixed weight of clean votes, so far neighbours alone don't decide.  The share of toxic votes is calibrated by
 isotonic regression on left-out examples, those without any word among them.
 """
@@ -21,35 +24,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
+from .durable import written
 
 NOT_LETTERS = r"[^\p{L}\p{M}]+"
 #: Kinds of features: 0 is the word, n the first n letters of a longer word. The first has every word, the others those that the label favours.
 KINDS = (0, 0, 3, 4, 5, 6, 7, 8)
-#: Features of at least one in so many examples are dense rows. Postings and similarities held at a time.
-DENSE, HELD = 16, 1 << 22
+#: Hashed dimensions by which like examples are brought together.
+SKETCH = 64
+#: Decimals of a similarity: equal ones come out equal. A bound must fall short by more than this before its block stays closed.
+DIGITS, MARGIN = 6, 4e-6
 
 
 @dataclass(frozen=True)
 class Setting:
     toxic: int = 2000  # bound on sampled toxic examples
     clean: int = 4000  # and on others
+    sample_bytes: int = 64 << 20  # bound on their texts together
     features: int = 1500  # bound on those that the label favours
     least_ratio: float = 15.0  # likelihood-ratio statistic from which a feature counts
     neighbours: int = 25
     doubt: float = 0.25  # clean votes that always count, as a share of all neighbours at full similarity
-    block: int = 64  # texts held against the examples at a time
+    block: int = 32  # examples of a block
     emphasis: float = 4.0  # weight of what the label favours, beside 1 for every word
     threshold: float = 0.7
 
 
 @dataclass
 class Index:
-    """Inverted index over unit vectors. Postings of feature f: ``ids[start[f]:start[f + 1]]`` and weights."""
+    """Block-max inverted index over unit vectors.  Feature f has the runs ``runs[f]:runs[f + 1]``; run r lies in block ``run_block[r]``, weighs
+    at most ``run_max[r]``, and has the postings ``run_start[r]:run_start[r + 1]`` of ``ids`` and ``weights``."""
 
     features: list[pa.Array]  # by kind: the strings
     first: list[int]  # number of a kind's first feature
     idf: np.ndarray
-    start: np.ndarray
+    runs: np.ndarray
+    run_block: np.ndarray
+    run_max: np.ndarray
+    run_start: np.ndarray
     ids: np.ndarray
     weights: np.ndarray
     toxic: np.ndarray
@@ -60,72 +71,57 @@ class Index:
     nothing: float = 0.0  # score of a text without any word of the examples
     knots: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     values: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
-
-    def opened(self) -> "Index":
-        """With the dense rows of frequent features that searching uses, built once per worker."""
-        if not hasattr(self, "dense"):
-            many = np.diff(self.start) * DENSE >= max(len(self.toxic), 1)
-            self.dense_at = np.where(many, np.cumsum(many) - 1, -1)
-            self.dense = self._rows(np.flatnonzero(many))
-        return self
-
-    def _rows(self, features: np.ndarray) -> np.ndarray:
-        length = np.diff(self.start)[features]
-        at = _ranges(self.start[features], length)
-        rows = np.zeros((len(features), len(self.toxic)), np.float32)
-        rows[np.repeat(np.arange(len(features)), length), self.ids[at]] = self.weights[at]
-        return rows
-
-    @property
-    def rows(self) -> np.ndarray:
-        """All features as dense rows: for small indexes."""
-        return self._rows(np.arange(len(self.idf)))
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("dense", "dense_at")}
-
-    def similarities(self, row: np.ndarray, feat: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-        """Cosines of ``n`` texts, given as unit vectors beside (row, feature), to every example. Equal ones come out equal."""
-        size, place = len(self.toxic), self.dense_at[feat]
-        asked = np.zeros((n, len(self.dense)), np.float32)
-        asked[row[place >= 0], place[place >= 0]] = weight[place >= 0]
-        row, feat, weight = row[place < 0], feat[place < 0], weight[place < 0]
-        length = self.start[feat + 1] - self.start[feat]
-        at = _ranges(self.start[feat], length)
-        rare = np.bincount(np.repeat(row * size, length) + self.ids[at], np.repeat(weight, length) * self.weights[at], n * size)
-        return np.round(asked @ self.dense + rare.reshape(n, size), 6)
-
-    def _best(self, sims: np.ndarray) -> np.ndarray:
-        """The k examples of largest positive similarity, falling; of equal ones those first in the index."""
-        k = min(self.setting.neighbours, len(sims))
-        ids = np.flatnonzero((sims > 0) & (sims >= np.partition(sims, len(sims) - k)[len(sims) - k])) if k else np.zeros(0, np.int64)
-        return ids[np.lexsort((ids, -sims[ids]))[:k]]
-
-    def nearest(self, at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples nearest to a unit vector and their cosines, all of them positive; exact."""
-        sims = self.opened().similarities(np.zeros(len(at), np.int64), at, weight, 1)[0]
-        ids = self._best(sims)
+    opened: int = 0  # blocks that searches opened, and could have opened
+    closed: int = 0
+
+    def nearest(self, feat: np.ndarray, weight: np.ndarray, k: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples nearest to a unit vector and their cosines, all positive, falling; of equal ones those first in the index. Exact."""
+        size, k = len(self.toxic), self.setting.neighbours if k is None else k
+        blocks = -(-size // self.setting.block)
+        length = self.runs[feat + 1] - self.runs[feat]
+        run, w = _ranges(self.runs[feat], length), np.repeat(weight, length).astype(np.float64)
+        block = self.run_block[run]
+        bound = np.bincount(block, w * self.run_max[run], blocks)
+        by_bound = np.argsort(-bound, kind="stable")
+        sims = np.zeros(size)
+
+        def open_blocks(chosen: np.ndarray) -> None:
+            some = chosen[block]
+            r = run[some]
+            n = self.run_start[r + 1] - self.run_start[r]
+            at = _ranges(self.run_start[r], n)
+            sims[:] += np.bincount(self.ids[at], np.repeat(w[some], n) * self.weights[at], size)
+            self.opened += int(chosen.sum())
+
+        first = np.zeros(blocks, bool)
+        first[by_bound[: -(-2 * k // self.setting.block)]] = True
+        first &= bound > 0
+        open_blocks(first)
+        enough = np.partition(sims, size - k)[size - k] if size > k else 0.0
+        rest = ~first & (bound > 0) & (bound >= enough - MARGIN)
+        if rest.any():
+            open_blocks(rest)
+        self.closed += int(blocks - first.sum() - rest.sum())
+        sims = np.round(sims, DIGITS)
+        least = np.partition(sims, size - k)[size - k] if size > k else 0.0
+        ids = np.flatnonzero((sims > 0) & (sims >= least))
+        ids = ids[np.lexsort((ids, -sims[ids]))[:k]]
         return ids, sims[ids]
 
     def votes(self, row: np.ndarray, feat: np.ndarray, weight: np.ndarray, n: int, without: np.ndarray | None = None) -> Iterator[tuple[float, np.ndarray]]:
-        """Of each text, the share of toxic votes and the examples by falling similarity; ``without`` has an example to leave out of each."""
-        self.opened()
+        """Of each text, given as unit vectors beside (row, feature), the share of toxic votes and the examples by falling similarity;
+        ``without`` has an example to leave out of each."""
         ends = np.searchsorted(row, np.arange(n + 1))
-        cost = np.concatenate([[0], np.cumsum(np.where(self.dense_at[feat] < 0, np.diff(self.start)[feat], 0))])[ends] + np.arange(n + 1) * len(self.toxic)
-        clean = self.setting.doubt * self.setting.neighbours * float(self.stands_for.mean() if len(self.stands_for) else 1)
-        i = 0
-        while i < n:
-            j = min(max(i + 1, int(np.searchsorted(cost, cost[i] + HELD, side="right")) - 1), i + self.setting.block, n)
-            at = slice(ends[i], ends[j])
-            sims = self.similarities(row[at] - i, feat[at], weight[at], j - i)
+        k = self.setting.neighbours
+        clean = self.setting.doubt * k * float(self.stands_for.mean() if len(self.stands_for) else 1)
+        for i in range(n):
+            at = slice(ends[i], ends[i + 1])
+            ids, sims = self.nearest(feat[at], weight[at], k + (without is not None))
             if without is not None:
-                some = np.flatnonzero(without[i:j] >= 0)
-                sims[some, without[i:j][some]] = 0
-            for s in sims:
-                ids = self._best(s)
-                w = s[ids].astype(np.float64) ** 2 * self.stands_for[ids]
-                yield float((w * self.toxic[ids]).sum() / (w.sum() + clean)), ids
-            i = j
+                other = ids != without[i]
+                ids, sims = ids[other][:k], sims[other][:k]
+            w = sims**2 * self.stands_for[ids]
+            yield float((w * self.toxic[ids]).sum() / (w.sum() + clean)), ids
 
     def calibrated(self, raw: float) -> float:
         return float(np.interp(raw, self.knots, self.values))
@@ -176,13 +172,16 @@ def featured(texts: pa.LargeStringArray, features: list[pa.Array], first: list[i
 def _select(texts: list[str], toxic: np.ndarray, setting: Setting) -> list[pa.Array]:
     """Features by kind: all words, and those that the toxic label favours by the likelihood ratio of presence in texts."""
     w = tb.words(pc.utf8_lower(tb.texts_of(pa.array(texts, pa.string()))), NOT_LETTERS)
+    # presence counts: each word of a text once
+    pair = np.unique(w.row * max(len(w.vocabulary), 1) + w.code)
+    present = tb.Words(w.n_rows, pair // max(len(w.vocabulary), 1), pair % max(len(w.vocabulary), 1), w.vocabulary)
     scored: list[tuple[float, int, str]] = []
     n1, n0 = toxic.sum(), (1 - toxic).sum()
     for k, (_, place, strings) in enumerate(_kinds(w.vocabulary)):
         if k == 0 or not 0 < n1 < len(toxic):
             continue
         coded = strings.dictionary_encode()
-        row, got = _spread(w, place, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+        row, got = _spread(present, place, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64))
         size = len(coded.dictionary)
         pair = np.unique(row * max(size, 1) + got)
         row, got = pair // max(size, 1), pair % max(size, 1)
@@ -220,6 +219,28 @@ def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     return knots, np.array([b[0] for b in blocks for _ in range(2)])
 
 
+def _alike(row: np.ndarray, feat: np.ndarray, weight: np.ndarray, n: int, groups: int, rounds: int = 6) -> np.ndarray:
+    """An order of ``n`` unit vectors that brings like ones together: means of hashed vectors, refined a few times from evenly spaced ones."""
+    h = tb.mix64(feat.astype(np.uint64))
+    sign = np.where(h >> np.uint64(63), 1.0, -1.0)
+    x = np.bincount(row * SKETCH + (h % np.uint64(SKETCH)).astype(np.int64), weight * sign, n * SKETCH).reshape(n, SKETCH)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    centres = x[np.argsort(x[:, 0], kind="stable")[np.linspace(0, n - 1, max(1, min(groups, n))).astype(int)]]
+    for _ in range(rounds):
+        near = (x @ centres.T).argmax(axis=1)
+        sums = np.stack([np.bincount(near, x[:, d], len(centres)) for d in range(SKETCH)], axis=1)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norm > 0, sums / np.maximum(norm, 1e-12), centres)
+    close, between = x @ centres.T, centres @ centres.T
+    near = close.argmax(axis=1)
+    # groups follow one another by likeness, so a block that two share is of like ones too
+    rank, here, left = np.zeros(len(centres), np.int64), 0, np.ones(len(centres), bool)
+    for i in range(len(centres)):
+        rank[here], left[here] = i, False
+        here = int(np.where(left, between[here], -np.inf).argmax())
+    return np.lexsort((-close[np.arange(n), near], rank[near]))
+
+
 def index_of(ids: list, texts: list[str], toxic: np.ndarray, stands_for: np.ndarray, features: list[pa.Array], idf: np.ndarray, setting: Setting) -> Index:
     """The index over examples that have a word, calibrated on itself with each example left out in turn."""
     first = np.concatenate([[0], np.cumsum([len(f) for f in features])[:-1]]).astype(int).tolist()
@@ -229,15 +250,25 @@ def index_of(ids: list, texts: list[str], toxic: np.ndarray, stands_for: np.ndar
     weight = _vectors(row, feat, times, idf, len(texts))
     has = np.zeros(len(texts), bool)
     has[row] = True
-    place = np.full(len(texts), -1, np.int64)
     chosen = np.flatnonzero(has)
+    if len(chosen):
+        compact = np.cumsum(has) - 1
+        chosen = chosen[_alike(compact[row], feat, weight, len(chosen), max(1, len(chosen) // (2 * setting.block)))]
+    place = np.full(len(texts), -1, np.int64)
     place[chosen] = np.arange(len(chosen))
     by = np.lexsort((place[row], feat))
-    start = np.searchsorted(feat[by], np.arange(total + 1))
-    index = Index(features, first, idf, start, place[row[by]], weight[by].astype(np.float32), toxic[chosen].astype(np.float64), stands_for[chosen], np.array(ids, dtype=object)[chosen], setting)
+    at, of, heavy = place[row[by]], feat[by], weight[by].astype(np.float32)
+    new = np.ones(len(by), bool)
+    new[1:] = (of[1:] != of[:-1]) | (at[1:] // setting.block != at[:-1] // setting.block)
+    start = np.flatnonzero(new)
+    run_max = np.maximum.reduceat(heavy, start) if len(start) else np.zeros(0, np.float32)
+    index = Index(
+        features, first, idf, np.searchsorted(of[start], np.arange(total + 1)), (at[start] // setting.block).astype(np.int32), run_max, np.append(start, len(by)), at.astype(np.int32), heavy,
+        toxic[chosen].astype(np.float64), stands_for[chosen], np.array(ids, dtype=object)[chosen], setting,
+    )
     index.prior = float((stands_for * toxic).sum() / stands_for.sum()) if len(texts) else 0.0
     if len(texts):
-        raw = np.array([share for share, _ in index.votes(row, feat, weight.astype(np.float32), len(texts), place)])
+        raw = np.array([share for share, _ in index.votes(row, feat, weight, len(texts), place)])
         index.knots, index.values = _isotonic(raw, toxic.astype(float), stands_for.astype(float))
         index.nothing = index.calibrated(0.0)
     return index
@@ -274,35 +305,48 @@ def document_frequencies(docs: DataFrame, features: list[pa.Array], first: list[
 def learn(docs: DataFrame, labels: DataFrame, setting: Setting = Setting()) -> Index:
     """The index from ``text`` and ``toxic`` of labelled rows outside the held-out fold.
 
-    A bounded sample of each class is drawn by a hash of the id and gathered; rows with a null label are ignored; equal texts
-    count once.  The sampled labels, at most ``toxic + clean`` or so, are what is broadcast to the documents."""
+    A sample of each class is drawn by a hash of the id, at most ``toxic`` and ``clean`` texts or so and ``sample_bytes`` together, by falling share of
+    the draw; rows with a null label are ignored; equal texts count once, with the smallest id.  The sampled labels are what is broadcast to the
+    documents; the texts go by the shared folder, and only what is within the bounds comes to the driver, however often an id is repeated."""
     rows = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     bound = {1: setting.toxic, 0: setting.clean}
     share = {k: min(1.0, bound[k] / max(counts.get(k, 0), 1)) for k in bound}
     draw = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
-    drawn = rows.where(draw < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
-    got = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(drawn), "doc_id").collect()
-    by_text = {r["text"]: r for r in sorted(got, key=lambda r: (str(r["doc_id"]), r["toxic"]), reverse=True)}
-    got = [by_text[t] for t in sorted(by_text)]
-    texts, toxic = [r["text"] for r in got], np.array([r["toxic"] for r in got], np.int64)
-    stands_for = np.array([1 / share[t] for t in toxic.tolist()])
+    part = draw / F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
+    drawn = rows.withColumn("draw", part).where("draw < 1")
+    found = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(drawn), "doc_id")
+    sample = written(found.select("doc_id", "toxic", "draw", F.md5(F.col("text").cast("binary")).alias("digest"), F.octet_length("text").alias("size"), "text"), "labelled")
+    best = F.min(F.struct(F.col("doc_id").cast("string").alias("name"), "toxic", "doc_id", "draw"))
+    listed = sample.groupBy("digest").agg(best.alias("best"), F.first("size").alias("size")).orderBy("best.draw", "digest").limit(setting.toxic + setting.clean + 1000)
+    picked, held = [], 0
+    for r in listed.collect():
+        held += r["size"]
+        if held > setting.sample_bytes and picked:
+            break
+        picked.append(r)
+    before = {k: sum(r["best"]["toxic"] == k for r in picked) for k in bound}
+    weight = {k: counts.get(k, 0) / before[k] if before[k] else 1.0 for k in bound}
+    wanted = docs.sparkSession.createDataFrame([(r["digest"],) for r in picked], "digest string")
+    got = {r["digest"]: r["text"] for r in sample.join(F.broadcast(wanted), "digest").dropDuplicates(["digest"]).select("digest", "text").collect()}
+    picked.sort(key=lambda r: r["digest"])
+    texts, toxic = [got[r["digest"]] for r in picked], np.array([r["best"]["toxic"] for r in picked], np.int64)
+    stands_for = np.array([weight[t] for t in toxic.tolist()])
     features = _select(texts, toxic, setting)
     first = np.concatenate([[0], np.cumsum([len(f) for f in features])[:-1]]).astype(int).tolist()
     df, n = document_frequencies(docs, features, first)
     idf = np.log((1 + n) / (1 + df)) + 1
-    return index_of([r["doc_id"] for r in got], texts, toxic, stands_for, features, idf, setting)
+    return index_of([r["best"]["doc_id"] for r in picked], texts, toxic, stands_for, features, idf, setting)
 
 
 def score_texts(index: Index, texts: pa.LargeStringArray) -> tuple[np.ndarray, list[list]]:
     """Score and nearest examples (at most three names) of each text."""
-    index.opened()
     n = len(texts)
     row, feat, times = featured(texts, index.features, index.first)
     score, evidence = np.full(n, index.nothing), [[] for _ in range(n)]
     if not len(row):
         return score, evidence
-    weight = _vectors(row, feat, times, index.idf, n).astype(np.float32)
+    weight = _vectors(row, feat, times, index.idf, n)
     some, at = np.unique(row, return_inverse=True)
     for i, (raw, ids) in zip(some.tolist(), index.votes(at, feat, weight, len(some)), strict=True):
         score[i] = index.calibrated(raw)
