@@ -4,11 +4,13 @@ The templates' words build one suffix automaton.  A text's words stream through
 statistics: at every word the length of the longest template substring that ends there.  A phrase occurs
 where that length reaches the phrase's and the automaton's state, or one of its suffix links, is the phrase's.
 Long matches, each located in its templates, are chained per template when they follow one another in both
-the text and the template; the chain's covered share of the template decides whether the licence is there.
+the text and the template; the chain's covered share of the template decides whether the licence is there.  Templates are whole
+licences, their paragraphs, and the sentences that name a licence (``licences``).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -16,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import licences
 from . import textbatch as tb
 
 #: What parts words: every ASCII character but digits and lower-case letters.
@@ -24,36 +27,44 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Phrases whose places are counted, with their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Sentences by which public licences are known, with SPDX-like labels of the method's own.
-TEMPLATES = (
-    ("MIT", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"),
-    ("MIT", "released under the mit license"),
-    ("MIT", "licensed under the mit license"),
-    ("Apache-2.0", "licensed under the apache license version 2 0"),
-    ("Apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    ("GPL-3.0", "this work is licensed under the gnu general public license version 3"),
-    ("GPL-2.0", "this work is licensed under the gnu general public license version 2"),
-    ("GPL", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("LGPL", "under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("AGPL", "under the terms of the gnu affero general public license as published by the free software foundation"),
-    ("BSD", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("ISC", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("MPL-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("CC-BY-NC-4.0", "licensed under cc by nc 4 0"),
-    ("CC-BY-4.0", "licensed under cc by 4 0"),
-    ("CC-BY-SA-4.0", "licensed under cc by sa 4 0"),
-    ("CC-BY", "this work is licensed under a creative commons attribution license"),
-    ("CC0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
-    ("Unlicense", "this is free and unencumbered software released into the public domain"),
-)
+
+
+@dataclass(frozen=True)
+class Template:
+    label: str
+    family: str  # of the labels that a family's templates give one counts
+    words: tuple[str, ...]
 
 
 @dataclass(frozen=True)
 class Rules:
     least_match: int = 3  # words of a match that chains
     gap: int = 12  # words of the text that a chain may skip between two matches
-    covered: float = 0.8  # share of a template's words from which its label is given
+    covered: float = 0.8  # share of a template's words from which it is there
     short: int = 15  # templates under this many words must be covered whole: such differ by a word or two
+    paragraph: int = 12  # paragraphs of licences of at least this many words are templates of their own
+
+
+_BREAKS = re.compile(NOT_WORD)
+
+
+def words_of(text: str) -> tuple[str, ...]:
+    """Words of a text, as the scan takes them."""
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    return tuple(w for w in _BREAKS.split(lower) if w)
+
+
+def templates_of(bodies=licences.BODIES, notes=licences.NOTES, least: int = Rules.paragraph) -> tuple[Template, ...]:
+    """Whole licences, their paragraphs, and notes.  A paragraph that several labels of a family share gives the family's name."""
+    out = [Template(label, family, words_of(text)) for label, family, text in (*bodies, *notes)]
+    owners: dict[tuple[str, tuple[str, ...]], list[str]] = {}
+    for label, family, text in bodies:
+        for part in text.split("\n\n"):
+            words = words_of(part)
+            if len(words) >= least and words != words_of(text):
+                owners.setdefault((family, words), []).append(label)
+    out += [Template(labels[0] if len(set(labels)) == 1 else family, family, words) for (family, words), labels in owners.items()]
+    return tuple(out)
 
 
 @dataclass
@@ -111,19 +122,20 @@ class Scanner:
     automaton: Automaton
     phrases: list[tuple[list[int], str]]
     phrase_at: list[list[tuple[int, int]]]  # by state: (words, phrase) of the phrases that are suffixes of its strings
+    templates: tuple[Template, ...]
     lengths: list[int]  # of the templates
-    labels: list[str]
     rules: Rules
     pairs: np.ndarray  # whether a word follows another somewhere in a template or phrase; the last row and column: unknown words
 
     @staticmethod
-    def build(phrases=PHRASES, templates=TEMPLATES, rules: Rules = Rules()) -> "Scanner":
+    def build(phrases=PHRASES, templates: tuple[Template, ...] | None = None, rules: Rules = Rules()) -> "Scanner":
         """The automaton of all templates and phrases; its size is that of their words, whatever is scanned."""
         vocabulary: dict[str, int] = {}
-        coded = lambda text: [vocabulary.setdefault(w, len(vocabulary)) for w in text.split()]
+        templates = templates_of(least=rules.paragraph) if templates is None else templates
+        coded = lambda words: [vocabulary.setdefault(w, len(vocabulary)) for w in words]
         automaton = Automaton()
-        sequences = [coded(t) for _, t in templates]
-        own = [(coded(p), label) for p, label in phrases]
+        sequences = [coded(t.words) for t in templates]
+        own = [(coded(p.split()), label) for p, label in phrases]
         for k, words in enumerate([*sequences, *(w for w, _ in own)]):
             automaton.add(k, words)
         automaton.close()
@@ -139,7 +151,7 @@ class Scanner:
         pairs = np.zeros((len(vocabulary) + 1, len(vocabulary) + 1), bool)
         for words in [*sequences, *(w for w, _ in own)]:
             pairs[words[:-1], words[1:]] = True
-        return Scanner(vocabulary, automaton, own, at, [len(s) for s in sequences], [label for label, _ in templates], rules, pairs)
+        return Scanner(vocabulary, automaton, own, at, templates, [len(s) for s in sequences], rules, pairs)
 
     def statistics(self, words: list[int], breaks: list[bool]) -> Iterator[tuple[int, int, int]]:
         """(index, state, length) of the longest match that ends at each word. ``breaks``: no match spans this word and the one before."""
@@ -155,8 +167,12 @@ class Scanner:
             length += 1
             yield i, state, length
 
-    def scan(self, at: list[int], words: list[int], breaks: list[bool]) -> tuple[list[tuple[int, int]], dict[int, tuple[float, int, int]]]:
-        """Phrase places as (start, phrase), and per template the best chain's (share, start, end in the text).
+    def least(self, template: int) -> float:
+        return 1.0 if self.lengths[template] < self.rules.short else self.rules.covered
+
+    def scan(self, at: list[int], words: list[int], breaks: list[bool]) -> tuple[list[tuple[int, int]], float, dict[int, list[tuple[int, int, int]]]]:
+        """Phrase places as (start, phrase), the largest share of a template that a chain covers, and per template that is there its spans: (words covered,
+        first, last), apart from each other.
 
         ``at``: places in the text of ``words``, all known ones."""
         places: list[tuple[int, int]] = []
@@ -171,17 +187,18 @@ class Scanner:
             before = (at[i], state, length)
         if before and before[2] >= self.rules.least_match:
             matches.append(before)
-        return places, self._chains(matches)
+        return places, *self._chains(matches)
 
-    def _chains(self, matches: list[tuple[int, int, int]]) -> dict[int, tuple[float, int, int]]:
+    def _chains(self, matches: list[tuple[int, int, int]]) -> tuple[float, dict[int, list[tuple[int, int, int]]]]:
         """Matches are joined per template while both their text places and their template places rise."""
-        best: dict[int, tuple[float, int, int]] = {}
+        best = 0.0
+        found: dict[int, list[tuple[int, int, int]]] = {}
         ends: dict[int, list[tuple[int, int, int, int]]] = {}  # template -> chains: text end, template end, covered, text start
         for end, state, length in matches:
             for template, at in self.automaton.places[state]:
                 if template >= len(self.lengths) or at < length:
                     continue
-                chains = [c for c in ends.get(template, []) if end - length + 1 - c[0] <= self.rules.gap + 1]
+                chains = [c for c in ends.get(template, ()) if end - length + 1 - c[0] <= self.rules.gap + 1]
                 here = (end, at, length, end - length + 1)
                 for text_end, template_end, covered, start in chains:
                     new = min(length, end - text_end, at - template_end)
@@ -190,9 +207,23 @@ class Scanner:
                 chains.append(here)
                 ends[template] = chains  # all of them end within the gap before this match
                 share = here[2] / self.lengths[template]
-                if share > best.get(template, (0.0, 0, 0))[0]:
-                    best[template] = (share, here[3], end)
-        return best
+                best = max(best, share)
+                if share >= self.least(template):
+                    spans, span = found.setdefault(template, []), (here[2], here[3], end)
+                    if not spans or here[3] > spans[-1][2]:
+                        spans.append(span)
+                    elif here[2] > spans[-1][0]:
+                        spans[-1] = span
+        return min(best, 1.0), found
+
+    def labels_of(self, found: dict[int, list[tuple[int, int, int]]]) -> set[str]:
+        """Of each family the label of the template with most words covered, of equals that with the larger share, then the first."""
+        most: dict[str, tuple] = {}
+        for t, spans in found.items():
+            covered = max(s[0] for s in spans)
+            rank = (covered, covered / self.lengths[t], -t)
+            most[self.templates[t].family] = max(most.get(self.templates[t].family, rank), rank)
+        return {self.templates[-rank[2]].label for rank in most.values()}
 
 
 def scan_texts(scanner: Scanner, texts: pa.LargeStringArray) -> list[tuple]:
@@ -214,15 +245,12 @@ def scan_texts(scanner: Scanner, texts: pa.LargeStringArray) -> list[tuple]:
         if not len(mine):
             out.append((total, 0, None, None, "", "", 0.0, []))
             continue
-        places, chains = scanner.scan((mine - bounds[i]).tolist(), code[mine].tolist(), (~joined[mine]).tolist())
+        places, best, found = scanner.scan((mine - bounds[i]).tolist(), code[mine].tolist(), (~joined[mine]).tolist())
         base = {scanner.phrases[p][1] for _, p in places}
         starts = [s for s, _ in places]
-        least = [1.0 if size < scanner.rules.short else scanner.rules.covered for size in scanner.lengths]
-        found = {t: c for t, c in chains.items() if c[0] >= least[t]}
-        labels = base | {scanner.labels[t] for t in found}
-        score = 1.0 if base else max((c[0] for c in chains.values()), default=0.0)
-        spans = [{"label": scanner.labels[t], "start": c[1], "end": c[2], "covered": c[0]} for t, c in sorted(found.items())]
-        out.append((total, len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), min(1.0, score), spans))
+        labels = base | scanner.labels_of(found)
+        spans = [{"label": scanner.templates[t].label, "start": s[1], "end": s[2], "covered": min(1.0, s[0] / scanner.lengths[t])} for t in sorted(found) for s in found[t]]
+        out.append((total, len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if base else best, spans))
     return out
 
 
@@ -230,8 +258,8 @@ def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     """``doc_id`` with what is found in every whole text.
 
     ``n_base`` counts every place of a phrase, overlapping ones too; ``first_word`` and ``last_word`` are the first and last
-    starts.  ``labels`` adds those of templates of which a chain covers enough.  ``score`` is 1 with a phrase, else
-    the largest covered share of a template.  ``spans``: of the covered templates, label, first and last word, share.  Null and empty texts have no words and
+    starts.  ``labels`` adds, of each family of licences, that of the template of which chains cover most words, if they cover enough of it.  ``score`` is 1
+    with a phrase, else the largest covered share of a template.  ``spans``: of the covered templates, label, first and last word, share.  Null and empty texts have no words and
     nothing else.  Repeated rows and a null ``doc_id`` pass through; other columns are ignored."""
     scanner = scanner or Scanner.build()
     sent = docs.sparkSession.sparkContext.broadcast(scanner)
