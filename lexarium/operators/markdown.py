@@ -8,10 +8,17 @@ from __future__ import annotations
 
 import json
 import re
+import textwrap
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.paths import resolved
+from ..sources.landed import yaml_of
+from ..storage import written
 
 # Callout words and their components.
 CALLOUTS = {"TIP": "Tip", "NOTE": "Note", "WARNING": "Warning", "IMPORTANT": "Info", "CAUTION": "Danger"}
@@ -189,21 +196,122 @@ def zones(titles: dict[str, str]) -> Callable[[str], str]:
         for item in [*groups, *blank]:
             if isinstance(item, str):
                 out.append(item)
-            elif len(item) == 1:
+                continue
+            pivots = [p for p, _ in item]
+            if len(pivots) == 1:
                 out += item[0][1]
-            else:
-                name = re.sub(r"[^a-zA-Z0-9_-]+", "-", "__".join(sorted({p for p, _ in item}))).strip("-") or "default"
-                if name not in shown:
-                    options = json.dumps([{"id": p, "title": titles.get(p, p.replace("-", " ").title())} for p, _ in item], ensure_ascii=False)
-                    shown[name] = f'options={{{options}}} defaultValue="{item[0][0]}"'
-                    out += [f'<ZonePivot group="{name}" {shown[name]} />', ""]
-                for pivot, lines in item:
-                    out += [f'<ZoneContent group="{name}" value="{pivot}" {shown[name]}>', "", *lines, "", "</ZoneContent>"]
+                continue
+            name = group_name(pivots)
+            if name not in shown:
+                listed = json.dumps([{"id": p, "title": titles.get(p, p.replace("-", " ").title())} for p in pivots], ensure_ascii=False)
+                shown[name] = f'options={{{listed}}}', f'values={{{json.dumps(pivots, ensure_ascii=False)}}}', f'defaultValue="{pivots[0]}"'
+                options, _, default = shown[name]
+                out += [f'<ZonePivot group="{name}" {options} {default} />', ""]
+            for pivot, lines in item:
+                out += [f'<ZoneContent group="{name}" value="{pivot}" {" ".join(shown[name])}>', "", *lines, "", "</ZoneContent>"]
         return "\n".join(out)
 
     return step
 
 
+def group_name(pivots: list[str]) -> str:
+    """A group's name: its pivots in order, without signs that an attribute can't have."""
+    return "-".join(re.findall(r"[A-Za-z0-9_-]+", "__".join(sorted(set(pivots))))).strip("-") or "default"
+
+
+def zone_import(text: str) -> str:
+    """Pages with zones import their components, once."""
+    line = 'import { ZoneContent, ZonePivot } from "/snippets/zone-pivot.jsx"'
+    uses = re.search(r"<Zone(?:Pivot|Content)\b", text)
+    return f"{line}\n\n{text}" if uses and 'from "/snippets/zone-pivot.jsx"' not in text else text
+
+
+def code_groups(text: str) -> str:
+    """Tab groups of nothing but code become code groups, each block under its tab's title; up to twenty characters beside the code don't matter."""
+    fence = re.compile(r"(```)(\w*)([^\n]*)\n(.*?)\n?(```)", re.S)
+
+    def one(m: re.Match) -> str:
+        blocks: list[str] = []
+        for title, body in re.findall(r'<Tab\s+title="([^"]+)">\n?(.*?)</Tab>', m[1], re.S):
+            body = textwrap.dedent(body)
+            found = fence.findall(body)
+            if not found or len(fence.sub("", body).strip()) > 20:
+                return m[0]
+            blocks += [f"```{lang}{rest.rstrip() or (lang and ' ' + title)}\n{code}\n```" for _, lang, rest, code, _ in found]
+        return "<CodeGroup>\n" + "\n\n".join(blocks) + "\n</CodeGroup>" if blocks else m[0]
+
+    return re.sub(r"<Tabs>(.*?)</Tabs>", one, text, flags=re.S)
+
+
+def list_components(text: str) -> str:
+    """Components that stand indented in list items move to the margin, with a blank line before and after: inside an item they would end it."""
+    names = "Frame|Note|Info|Tip|Warning|Danger"
+    lines, out, i, listed = text.split("\n"), [], 0, False
+    while i < len(lines):
+        line = lines[i]
+        if re.match(r"\s*(?:\d+\.|[-*])\s", line):
+            listed = True
+        elif line[:1] not in ("", " ", "\t"):
+            listed = False
+        opened = listed and re.match(rf"(\s+)<({names})(?=[\s>/])", line)
+        if not opened:
+            out.append(line)
+            i += 1
+            continue
+        last = i if re.search(r"/>\s*$", line) and f"</{opened[2]}>" not in line else next((j for j in range(i, len(lines)) if f"</{opened[2]}>" in lines[j]), len(lines) - 1)
+        if out and out[-1].strip():
+            out.append("")
+        out += [x[len(opened[1]) :] if x.startswith(opened[1]) else x.strip() for x in lines[i : last + 1]]
+        i = last + 1
+        if i < len(lines) and lines[i].strip():
+            out.append("")
+    return "\n".join(out)
+
+
+def code_references(text: str) -> str:
+    """References to code that isn't at hand as blocks that name the file."""
+    return re.sub(r"\[!code-(\w+)\[[^\]]*\]\(([^)]+)\)\]", lambda m: f"```{m[1]}\n// See: {m[2].split('?')[0].rstrip('/').split('/')[-1]}\n```", text)
+
+
+@dataclass(frozen=True)
+class Site:
+    """Where links lead that leave the pages: paths that begin with one of ``prefixes`` are the site's, and so are pages of the repositories ``siblings``, below ``base``."""
+
+    address: str = ""
+    prefixes: tuple[str, ...] = ()
+    siblings: tuple[str, ...] = ()
+    base: str = ""
+
+
+def links(outputs: dict[str, str], site: Site = Site()) -> Callable[[str], str]:
+    """Links of one page: to other pages by ``outputs`` (target as written, without anchor, to output path), to the site's other parts by address, others without
+    query and suffix; an empty link is its text."""
+    sibling = re.compile(rf"^(?:\.\./)+({'|'.join(map(re.escape, site.siblings))})/(.*?)\.md$")
+
+    def one(m: re.Match) -> str:
+        text, href = m[1], m[2].replace("\\", "/")
+        bare = href.split("?")[0]
+        target, mark, anchor = bare.partition("#")
+        if bare.startswith(("http://", "https://")):
+            return f"[{text}]({href})"
+        if not target and not anchor:
+            return text or m[0]
+        if bare.startswith(site.prefixes):
+            return f"[{text}]({site.address}{bare})"
+        if not target.endswith(".md"):
+            return f"[{text}]({bare})"
+        outside = site.siblings and sibling.match(target)
+        if target in outputs:
+            target = "/" + outputs[target]
+        elif outside:
+            target = f"{site.address}{site.base}/{outside[1]}/{outside[2]}"
+        else:
+            target = target.removesuffix(".md")
+        return f"[{text}]({target}{mark}{anchor})"
+
+    return lambda text: re.sub(r"(?<!!)\[([^\]]*)\]\(([^)]+)\)", one, text)
+
+
 def tables(text: str) -> str:
     """Delimiter rows with as many cells as their headers; run twice it changes nothing more."""
     lines = text.split("\n")
@@ -289,35 +397,113 @@ def page(text: str, steps: list[Callable[[str], str]]) -> str:
     return f"---\n{head}---\n\n{tidy(body)}"
 
 
-def standard_steps(titles: dict[str, str] | None = None, keep: str = "current", drop: str = "classic") -> list[Callable[[str], str]]:
-    """The steps in their order, which is part of their meaning."""
-    return [monikers(keep, drop), zones(titles or {}), in_prose(callouts), in_prose(quoted_blocks), columns, images, image_paths, tabs, in_prose(tables), in_prose(html_comments), in_prose(void_tags), in_prose(orphan_tags), in_prose(angle_brackets), in_prose(braces)]
+def standard_steps(titles: dict[str, str] | None = None, keep: str = "current", drop: str = "classic", outputs: dict[str, str] | None = None, site: Site = Site()) -> list[Callable[[str], str]]:
+    """The steps in their order, which is part of their meaning. ``outputs``: a page's link targets; without them links stay as they are."""
+    linked = [in_prose(links(outputs, site))] if outputs is not None else []
+    return [
+        monikers(keep, drop), in_prose(callouts), in_prose(quoted_blocks), zones(titles or {}), tabs, images, image_paths, columns, *linked, code_references,
+        in_prose(tables), in_prose(html_comments), in_prose(void_tags), in_prose(orphan_tags), in_prose(angle_brackets), in_prose(braces), list_components, code_groups, zone_import,
+    ]
 
 
-def faq(title: str, sections: list[dict]) -> str:
+def faq(title: str, sections: list[dict], summary: str = "") -> str:
     """A question list (``name``, ``questions`` of ``question`` and ``answer``) as a page."""
-    out = [f"---\ntitle: {json.dumps(title, ensure_ascii=False)}\n---\n"]
+    head = f"title: {json.dumps(title, ensure_ascii=False)}\n" + (f"description: {json.dumps(summary.strip(), ensure_ascii=False)}\n" if summary.strip() else "")
+    out = [f"---\n{head}---\n"]
     for s in sections:
-        out.append(f"## {s['name']}\n")
-        out += [f"### {q['question'].strip()}\n\n{q['answer'].strip()}\n" for q in s.get("questions", [])]
+        if s.get("name"):
+            out.append(f"## {s['name']}\n")
+        for q in s.get("questions") or []:
+            asked, answer = (q.get("question") or "").strip(), (q.get("answer") or "").strip()
+            out += [f"### {asked}\n"] * bool(asked) + [f"{answer}\n"] * bool(answer)
     return "\n".join(out)
 
 
-def with_includes(text: str, bodies: dict[str, str], most: int = 5) -> str:
-    """Includes replaced by their bodies, which may include more, to a depth of ``most``; unknown ones are empty."""
-    if most <= 0:
-        return text
-    return re.sub(r"\[!INCLUDE\s*\[[^\]]*\]\(([^)]+)\)\]", lambda m: with_includes(bodies.get(m[1], ""), bodies, most - 1), text)
-
+def faq_page(text: str) -> str | None:
+    """A question list in YAML as a page; null for YAML that holds nothing. Titles and summaries may stand in its metadata."""
+    data = yaml_of(text)
+    if not isinstance(data, dict) or not data:
+        return None
+    meta = data.get("metadata") or {}
+    return faq(data.get("title") or meta.get("title") or "FAQ", data.get("sections") or [], data.get("summary") or meta.get("description") or "")
+
+
+INCLUDE = r"\[!INCLUDE\s*\[[^\]]*\]\(([^)]+)\)\]"
+SAMPLE = r'(?m)^([ \t]*):::code\s+language="(\w+)"\s+source="([^"]+)"(?:[ \t]+[^:\n]*)?:*'
+
+
+def _replaced(rows: DataFrame, found: DataFrame, path: str, content: str) -> DataFrame:
+    """``path, content`` with each ``literal`` of ``found`` (``path, literal, body``) replaced; a page's literals are few."""
+    pairs = found.groupBy(path).agg(F.array_sort(F.collect_list(F.struct("literal", "body"))).alias("_pairs"))
+    text = F.aggregate(F.coalesce("_pairs", F.array().cast("array<struct<literal:string,body:string>>")), F.col(content), lambda acc, p: F.replace(acc, p["literal"], p["body"]))
+    return rows.select(path, content).join(pairs, path, "left").select(path, text.alias(content))
+
+
+def inlined(pages: DataFrame, includes: DataFrame, path: str = "path", content: str = "content", depth: int = 5) -> DataFrame:
+    """``path, content`` of pages with their includes in place, and those that includes include, to ``depth``; unknown ones are empty.
+
+    ``includes``: ``path, content``.  References are resolved against the file that holds them.  Includes are put together first, one level a round, as joins; then each
+    page takes finished bodies."""
+    literal = re.sub(r"\(\[\^\)\]\+\)", r"[^)]+", INCLUDE)
+
+    def step(rows: DataFrame, bodies: DataFrame) -> DataFrame:
+        refs = rows.select(path, F.explode(F.array_distinct(F.regexp_extract_all(content, F.lit(literal), 0))).alias("literal"))
+        folder = F.regexp_replace(path, r"/?[^/]*$", "")
+        refs = refs.withColumn("_target", resolved(F.regexp_extract("literal", INCLUDE, 1), folder))
+        known = bodies.select(F.col("path").alias("_target"), F.col("content").alias("body"))
+        return _replaced(rows, refs.join(known, "_target", "left").select(path, "literal", F.coalesce("body", F.lit("")).alias("body")), path, content)
+
+    body = F.regexp_replace(F.trim("content"), r"(?s)^---\s*\n.*?\n---\s*\n", "")
+    raw = bodies = written(includes.select("path", body.alias("content")), "includes")
+    for _ in range(depth):
+        if bodies.where(F.col("content").rlike(INCLUDE)).isEmpty():
+            break
+        bodies = written(step(raw.select(F.col("path").alias(path), F.col("content").alias(content)), bodies).select(F.col(path).alias("path"), F.col(content).alias("content")), "includes")
+    return step(pages, bodies)
+
+
+def with_samples(pages: DataFrame, samples: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """``path, content`` of pages with code directives as blocks of the sample files (``path, content``), indented as the directive was; a file that isn't there is named."""
+    rows = pages.select(path, F.explode(F.array_distinct(F.regexp_extract_all(content, F.lit(SAMPLE), 0))).alias("literal"))
+    part = lambda i: F.regexp_extract("literal", SAMPLE, i)
+    rows = rows.withColumn("_source", F.regexp_replace(part(3), r"^[~/]+", ""))
+    files = samples.select(F.regexp_replace("path", r"^[~/]+", "").alias("_source"), F.regexp_replace("content", r"^\s+|\s+$", "").alias("_code"))
+    code = F.coalesce("_code", F.concat(F.lit("// Source: "), F.element_at(F.split("_source", "/"), -1), F.lit(" (not available)")))
+    block = F.concat(part(1), F.lit("```"), part(2), F.lit("\n"), F.regexp_replace(code, F.lit(r"(?m)^(?=.)"), part(1)), F.lit("\n"), part(1), F.lit("```"))
+    return _replaced(pages, rows.join(files, "_source", "left").select(path, "literal", block.alias("body")), path, content)
+
+
+def link_outputs(pages: DataFrame, routes: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """``path, outputs``: for each page the map of its link targets to other pages, as ``links`` takes it. ``routes``: ``source_path, output_path``."""
+    hrefs = F.transform(F.regexp_extract_all(content, F.lit(r"(?<!!)\[[^\]]*\]\(([^)]+)\)"), 1), lambda h: F.regexp_replace(F.replace(h, F.lit("\\"), F.lit("/")), r"[?#].*$", ""))
+    refs = pages.select(path, F.explode(F.array_distinct(F.filter(hrefs, lambda h: h.endswith(".md")))).alias("href"))
+    refs = refs.withColumn("source_path", resolved(F.col("href"), F.regexp_replace(path, r"/?[^/]*$", "")))
+    return refs.join(routes.select("source_path", "output_path"), "source_path").groupBy(path).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("href", "output_path")))).alias("outputs"))
+
+
+def converted(
+    pages: DataFrame, path: str, content: str, steps: list[Callable[[str], str]] | None = None, titles: dict[str, str] | None = None,
+    includes: DataFrame | None = None, samples: DataFrame | None = None, routes: DataFrame | None = None, site: Site = Site(),
+) -> DataFrame:
+    """``path, page`` of every page: includes and code samples in place, links rewritten, then the steps, in one Arrow pass.
+
+    What a page draws from other tables comes by joins; a page meets only its own."""
+    rows = pages.select(path, content)
+    if includes is not None:
+        rows = inlined(rows, includes, path, content)
+    if samples is not None:
+        rows = with_samples(rows, samples, path, content)
+    kind = pages.schema[path].dataType.simpleString()
+    if routes is not None:
+        rows = rows.join(link_outputs(rows, routes, path, content), path, "left")
 
-def converted(pages: DataFrame, path: str, content: str, steps: list[Callable[[str], str]] | None = None) -> DataFrame:
-    """``path, page`` of every page."""
-    steps = steps or standard_steps()
+    linked = routes is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        standard = steps or standard_steps(titles)
         for batch in batches:
-            made = [page(t or "", steps) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], ["path", "page"])
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            own = [standard] * len(texts) if not linked else [steps or standard_steps(titles, outputs=dict(o or []), site=site) for o in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([page(t, s) for t, s in zip(texts, own, strict=True)], pa.string())], ["path", "page"])
 
-    kind = pages.schema[path].dataType.simpleString()
-    return pages.select(path, content).mapInArrow(run, f"path {kind}, page string")
+    return rows.mapInArrow(run, f"path {kind}, page string")
