@@ -93,12 +93,6 @@ def sequenced(spark, sf_dir):
     return numbered(plan(spark, sf_dir), [sync.decision_order(F.col("decision")), F.col("path")])
 
 
-@query("batch_pack")
-def batch_pack(spark, sf_dir):
-    """Batches of the plan: at most 50 files and 400,000 bytes each."""
-    return sync.planned_batches(sequenced(spark, sf_dir), 50, 400_000).groupBy("batch_no").agg(F.count("*").alias("files"), F.sum("payload_bytes").alias("bytes"), F.min("seq").alias("first"), F.max("seq").alias("last"))
-
-
 @query("partition_check", "SELECT NULL::VARCHAR AS id, NULL::VARCHAR AS problem WHERE false UNION ALL SELECT 'zz', 'extra'")
 def partition_check(spark, sf_dir):
     rows = sequenced(spark, sf_dir)

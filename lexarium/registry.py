@@ -35,7 +35,7 @@ def query(name: str, oracle: str | None = None):
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from .plans import catalog, evaluation, graph, pages, records, search, sessions, sync, text  # noqa: F401
+    from .plans import catalog, evaluation, graph, landed, pages, records, search, sessions, sync, text  # noqa: F401
 
 
 _load()

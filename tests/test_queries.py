@@ -19,6 +19,10 @@ def duck(small):
     return con
 
 
+#: Queries that SQL can't say, and the rows they give at least on the smallest tables.
+WITHOUT_TWIN = {"chunk_overlap": 200, "visible_text": 1, "redacted_documents": 200, "converted_pages": 200, "hashed_embeddings": 80}
+
+
 def rows_of(frame: pd.DataFrame) -> list[tuple]:
     def cell(v):
         if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
@@ -35,7 +39,8 @@ def rows_of(frame: pd.DataFrame) -> list[tuple]:
 def test_query_matches_sql(spark, duck, small, name):
     got = registry.QUERIES[name](spark, small).toPandas()
     if name not in registry.ORACLE:
-        assert len(got) >= 0
+        # every input row gives rows; what they hold is tested by brute force elsewhere
+        assert name in WITHOUT_TWIN and len(got) >= WITHOUT_TWIN[name]
         return
     want = duck.sql(registry.ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
