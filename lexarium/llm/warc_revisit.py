@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import store_of
+
 # Response headers that a 304 updates in the stored response.
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 # Query parameters that don't choose the content.
@@ -264,11 +266,9 @@ def read_warc(spark: SparkSession, path: str, most: int = MOST_PAYLOAD) -> DataF
     ``most`` bytes has no payload and no HTTP headers, and is marked ``truncated`` by ``size``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                store, at = fs.FileSystem.from_uri(name.replace("file:///", "file:/").replace("file:/", "file:///"))
+                store, at = store_of(name)
                 rows, held = [], 0
                 with store.open_input_stream(at, compression=None) as stream:
                     for head, block in records_of(stream, most):
