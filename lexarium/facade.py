@@ -66,7 +66,10 @@ class Library:
         """Pages of the best matching section, with titles."""
         best = graph.matched_sections(self.nav, self.spark.createDataFrame([(name,)], "asked string"))
         group = self.nav.where("kind = 'group'").join(best.select(F.col("section").alias("value")), "value").select(F.col("node_id").alias("g"))
-        inside = self.nav.where("kind = 'page'").join(F.broadcast(group), F.expr("startswith(node_id, g)")).select("node_id", F.col("value").alias("path"))
+        parts = F.split(F.regexp_replace("node_id", "/$", ""), "/")
+        above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.lit("/")))
+        pages = self.nav.where("kind = 'page'").select("node_id", F.col("value").alias("path"), F.explode(above).alias("g"))
+        inside = pages.join(group, "g").select("node_id", "path").distinct()
         titles = self.pages.select("path", text.title(F.col("content")).alias("title"))
         return inside.join(titles, "path", "left").select("node_id", "path", F.coalesce(text.or_none(F.col("title")), F.col("path")).alias("title")).orderBy("node_id")
 

@@ -35,6 +35,18 @@ def hit_share(expected: Column, found: Column) -> Column:
     return F.when(F.size(expected) == 0, 1.0).otherwise(F.size(F.filter(expected, lambda e: F.array_contains(found, e))) / F.size(expected))
 
 
+def suffix_hits(found: DataFrame, cases: DataFrame, case: str = "case_id") -> DataFrame:
+    """``case, first_rank`` of every case: the least rank of a found path that equals an expected one or ends with a slash and its last part; null for a miss.
+
+    ``found``: ``case, rank, path``; ``cases``: ``case, expected`` (an array).  Both sides meet by the last part, so nothing is held against all paths."""
+    last = lambda p: F.element_at(F.split(p, "/"), -1)
+    wanted = cases.select(case, F.explode("expected").alias("_e")).withColumn("_last", last(F.col("_e")))
+    ranked = found.withColumn("_last", last(F.col("path")))
+    met = ranked.join(wanted, [case, "_last"]).where((F.col("path") == F.col("_e")) | F.col("path").endswith(F.concat(F.lit("/"), F.col("_last"))))
+    first = met.groupBy(case).agg(F.min("rank").alias("first_rank"))
+    return cases.select(case).distinct().join(first, case, "left")
+
+
 def composite(parts: list[tuple[Column, float]]) -> Column:
     return reduce(lambda a, b: a + b, [c * w for c, w in parts])
 

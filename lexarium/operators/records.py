@@ -104,7 +104,7 @@ def hashed_embedding(tokens: Column, size: int = 64) -> Column:
     """Unit vector of signed token counts by hash: the offline stand-in for a remote embedding, all built-in expressions."""
     place = lambda t: F.pmod(F.xxhash64(t), F.lit(size))
     sign = lambda t: F.when(F.pmod(F.shiftright(F.xxhash64(t), 33), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    # one pass over the distinct places that occur, then a dense vector
+    # each of the ``size`` places adds up what falls there: built-in, at the price of that many passes over the pairs
     pairs = F.transform(tokens, lambda t: F.struct(place(t).alias("p"), sign(t).alias("s")))
     dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(F.filter(pairs, lambda x: x["p"] == i), F.lit(0.0), lambda acc, x: acc + x["s"]))
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))

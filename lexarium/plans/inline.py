@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,3 +38,18 @@ class Inline:
         names = ", ".join(self.columns)
         casts = ", ".join(f"CAST({n} AS {DUCK[t]}) AS {n}" for n, t in self.columns.items())
         return f"(SELECT {casts} FROM (VALUES {', '.join('(' + ', '.join(map(_sql, r)) + ')' for r in self.rows)}) AS t({names}))"
+
+
+class Grown(Inline):
+    """Literal rows, and rows of the same columns made from a table: ``more(spark, sf_dir)``, and ``more_sql``, the SELECT that makes the same."""
+
+    def __init__(self, columns: dict[str, str], rows: list[tuple], more: Callable[[SparkSession, str], DataFrame], more_sql: str):
+        super().__init__(columns, rows)
+        self.more, self.more_sql = more, more_sql
+
+    def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return super().df(spark).unionByName(self.more(spark, sf_dir))
+
+    @property
+    def sql(self) -> str:
+        return f"(SELECT * FROM {super().sql} UNION ALL BY NAME {self.more_sql})"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import index, markdown, redaction, sync
+from ..operators import evaluation, index, markdown, redaction, sync
 from ..registry import query
 from ..session import table
 from ..sources import files, landed
@@ -161,3 +161,28 @@ def _rewritten(raw: str) -> str:
 
     row = json.loads(raw)
     return markdown.links(row.get("outputs") or {})(row["content"])
+
+
+@query(
+    "suffix_hits",
+    """WITH f AS (SELECT l_orderkey AS case_id, l_linenumber AS rank, CASE l_partkey % 3 WHEN 0 THEN 'docs/p' || (l_partkey % 5) WHEN 1 THEN 'other/x/p' || (l_partkey % 5) ELSE 'docs/xp' || (l_partkey % 5) END AS path FROM lineitem),
+    c AS (SELECT o_orderkey AS case_id, unnest(['docs/p' || (o_custkey % 5), 'p' || (o_custkey % 4)]) AS e FROM orders)
+    SELECT o_orderkey AS case_id, MIN(rank) FILTER (WHERE path = e OR ends_with(path, '/' || regexp_extract(e, '[^/]*$')))::INTEGER AS first_rank FROM orders LEFT JOIN c ON c.case_id = o_orderkey LEFT JOIN f ON f.case_id = o_orderkey GROUP BY o_orderkey""",
+)
+def suffix_hits(spark, sf_dir):
+    """Orders as cases, their lines as found paths."""
+    n = (F.col("l_partkey") % 5).cast("string")
+    path = F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("docs/p"), n)).when(F.col("l_partkey") % 3 == 1, F.concat(F.lit("other/x/p"), n)).otherwise(F.concat(F.lit("docs/xp"), n))
+    found = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("rank"), path.alias("path"))
+    expected = F.array(F.concat(F.lit("docs/p"), (F.col("o_custkey") % 5).cast("string")), F.concat(F.lit("p"), (F.col("o_custkey") % 4).cast("string")))
+    cases = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), expected.alias("expected"))
+    return evaluation.suffix_hits(found, cases)
+
+
+@query("file_hashes", "SELECT 'd' || doc_id || '.txt' AS path, octet_length(encode(text))::BIGINT AS bytes, sha256(text) AS sha256 FROM documents WHERE doc_id < 40")
+def file_hashes(spark, sf_dir):
+    """Inventory of files on disk: the first documents, a file each (a fixture of files, so few)."""
+    root = new_path(spark, "files")
+    docs = table(spark, sf_dir, "documents").where("doc_id < 40")
+    files.write_pages(docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("page")), root, ".txt")
+    return files.inventory(spark, root)

@@ -19,7 +19,7 @@ from .text import PAGES, duck_strip
     SELECT path, (row_number() OVER (PARTITION BY path ORDER BY s) - 1)::INTEGER AS section, heading, length(body)::INTEGER AS n FROM g WHERE body <> ''""",
 )
 def section_headings(spark, sf_dir):
-    return chunking.sections(PAGES.df(spark), "path", "content").select("path", "section", "heading", F.length("body").alias("n"))
+    return chunking.sections(PAGES.df(spark, sf_dir), "path", "content").select("path", "section", "heading", F.length("body").alias("n"))
 
 
 @query(

@@ -37,6 +37,53 @@ def tool_pairing(spark, sf_dir):
     return sessions.paired_tools(events, "session")
 
 
+def event_logs(spark, sf_dir):
+    """An event log of every user: turns, tool calls and ends, messages, broken lines and now and then a result."""
+    e = table(spark, sf_dir, "events")
+    n, kind = F.col("event_id"), F.col("event_type")
+    none = lambda t: F.lit(None).cast(t)
+    data = lambda **f: F.struct(*[f.get(c, none(t)).cast(t).alias(c) for c, t in (("turn", "string"), ("text", "string"), ("tool", "string"), ("call", "string"), ("ok", "boolean"), ("tokens", "long"), ("code", "int"))])
+    line = lambda name, **f: F.to_json(F.struct(F.lit(name).alias("type"), data(**f).alias("data")))
+    call = F.floor(n / 40).cast("string")
+    log = (
+        F.when(n % 997 == 0, line("result", code=n % 3)).when(kind == "error", F.lit("not json")).when(kind == "signup", line("turn", turn=(n % 7).cast("string"))).when(kind == "click", line("tool_start", tool=F.lit("search"), call=call))
+        .when(kind == "purchase", line("tool_end", tool=F.when(n % 5 == 0, "other").otherwise("search"), call=call, ok=F.col("value") > 20)).otherwise(line("message", text=F.concat(F.lit("v"), n.cast("string")), tokens=n % 11))
+    )
+    lines = e.select("user_id", F.struct("event_id", log.alias("line")).alias("l")).groupBy("user_id").agg(F.array_sort(F.collect_list("l")).alias("ls"))
+    return lines.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("raw"))
+
+
+EVENT_LINES = """l AS (SELECT 'u' || user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS number, event_id AS n, value,
+      CASE WHEN event_id % 997 = 0 THEN 'result' WHEN event_type = 'error' THEN 'bad' WHEN event_type = 'signup' THEN 'turn' WHEN event_type = 'click' THEN 'tool_start' WHEN event_type = 'purchase' THEN 'tool_end' ELSE 'message' END AS type FROM events)"""
+
+
+@query(
+    "event_session_metrics",
+    f"""WITH {EVENT_LINES}, e AS (SELECT *, MIN(number) FILTER (WHERE type = 'result') OVER (PARTITION BY session) AS stop FROM l), m AS (SELECT *, stop IS NULL OR number <= stop AS live FROM e),
+    s AS (SELECT session, COUNT(DISTINCT n % 7) FILTER (WHERE live AND type = 'turn')::BIGINT AS turns, COUNT(*) FILTER (WHERE live AND type = 'tool_start')::BIGINT AS tool_calls,
+      COUNT(*) FILTER (WHERE live AND type = 'tool_end' AND NOT value > 20)::BIGINT AS tool_errors, COALESCE(SUM(n % 11) FILTER (WHERE live AND type = 'message'), 0)::BIGINT AS tokens,
+      arg_max('v' || n, number) FILTER (WHERE live AND type = 'message') AS answer, MAX(number) FILTER (WHERE live AND type = 'message') AS al, MAX(number) FILTER (WHERE live AND type = 'tool_end' AND value > 20) AS tl,
+      MAX(n % 3) FILTER (WHERE live AND type = 'result')::INTEGER AS code, COUNT(*) FILTER (WHERE NOT live)::BIGINT AS after_result, COUNT(*) FILTER (WHERE type = 'bad') AS bad FROM m GROUP BY session)
+    SELECT session, turns, tool_calls, tool_errors, tokens, answer, code, after_result, concat_ws('|', CASE WHEN bad > 0 THEN 'bad-line' END, CASE WHEN after_result > 0 THEN 'after-result' END, CASE WHEN code IS NULL THEN 'no-result' END, CASE WHEN al < tl THEN 'answer-before-tool' END) AS errors FROM s""",
+)
+def event_session_metrics(spark, sf_dir):
+    """Metrics of every user's log."""
+    events = sessions.parsed(sessions.bounded_lines(event_logs(spark, sf_dir), "session", "raw", 1 << 40, 1 << 30))
+    return sessions.metrics(events, "session").drop("bad_lines").withColumn("errors", F.array_join("errors", "|"))
+
+
+@query(
+    "event_tool_pairing",
+    f"""WITH {EVENT_LINES}, a AS (SELECT session, (n // 40)::VARCHAR AS call, COUNT(*) AS starts FROM l WHERE type = 'tool_start' GROUP BY ALL), b AS (SELECT session, (n // 40)::VARCHAR AS call, COUNT(*) AS ends, MIN(CASE WHEN n % 5 = 0 THEN 'other' ELSE 'search' END) AS tool FROM l WHERE type = 'tool_end' GROUP BY ALL)
+    SELECT COALESCE(a.session, b.session) AS session, COALESCE(a.call, b.call) AS call, CASE WHEN starts IS NULL THEN 'orphan' WHEN ends IS NULL THEN 'open' WHEN starts > 1 OR ends > 1 THEN 'repeated' WHEN tool <> 'search' THEN 'renamed' ELSE 'paired' END AS outcome
+    FROM a FULL JOIN b ON a.session = b.session AND a.call = b.call""",
+)
+def event_tool_pairing(spark, sf_dir):
+    """Tool calls of every user's log with their ends."""
+    events = sessions.parsed(sessions.bounded_lines(event_logs(spark, sf_dir), "session", "raw", 1 << 40, 1 << 30))
+    return sessions.paired_tools(events, "session")
+
+
 @query(
     "byte_budget",
     r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),

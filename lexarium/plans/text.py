@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import labels, paths, text
 from ..registry import query
 from ..session import table
-from .inline import Inline
+from .inline import Grown, Inline
 
 STOP = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
 B = r"[ \t\n\x0B\f\r]"
@@ -37,7 +37,17 @@ def duck_title(x: str) -> str:
     return rf"COALESCE(NULLIF({duck_field(x, 'title')}, ''), {duck_strip(rf"regexp_extract({x}, '(?m)^#\s+([^\n]+)$', 1)")})"
 
 
-PAGES = Inline(
+def document_pages(spark, sf_dir):
+    """A page of every document: front matter, two headings and the text."""
+    n, docs = F.col("doc_id").cast("string"), table(spark, sf_dir, "documents")
+    content = F.concat(F.lit('---\ntitle: "Doc '), n, F.lit('"\ndescription: in '), F.col("source"), F.lit("\n---\n# Heading "), n, F.lit("\nlead\n## Part "), n, F.lit("\n"), F.col("text"))
+    return docs.select(F.concat(F.lit("docs/"), "source", F.lit("/d"), n).alias("path"), content.alias("content"))
+
+
+DOCUMENT_PAGES = """SELECT 'docs/' || source || '/d' || doc_id AS path,
+    '---' || chr(10) || 'title: "Doc ' || doc_id || '"' || chr(10) || 'description: in ' || source || chr(10) || '---' || chr(10) || '# Heading ' || doc_id || chr(10) || 'lead' || chr(10) || '## Part ' || doc_id || chr(10) || text AS content FROM documents"""
+
+PAGES = Grown(
     {"path": "string", "content": "string"},
     [
         ("agents/overview", '---\ntitle: "Agent Overview"\ndescription: All about agents\nkeep: 1\n---\n# Heading one\n\nAgents *run* tools. See [the guide](guide.md).\n'),
@@ -48,6 +58,8 @@ PAGES = Inline(
         ("a/b", ""),
         ("guide/fence", "---\ntitle: Fence\n---\nIntro\n## One\ntext\n```\n## not a heading\n```\n### Two\nmore\n##### five\n"),
     ],
+    document_pages,
+    DOCUMENT_PAGES,
 )
 
 
@@ -57,12 +69,12 @@ PAGES = Inline(
 )
 def page_titles(spark, sf_dir):
     c = F.col("content")
-    return PAGES.df(spark).select("path", text.title(c).alias("title"), text.description(c).alias("description"), text.plain(c).alias("plain"))
+    return PAGES.df(spark, sf_dir).select("path", text.title(c).alias("title"), text.description(c).alias("description"), text.plain(c).alias("plain"))
 
 
 @query("page_tokens", f"SELECT path, array_to_string({duck_tokens(f"concat_ws(' ', {duck_title('content')}, {duck_title('content')}, {duck_field('content', 'description')}, {duck_plain('content')})")}, ' ') AS tokens FROM {PAGES.sql}")
 def page_tokens(spark, sf_dir):
-    return PAGES.df(spark).select("path", F.array_join(text.page_tokens(F.col("content")), " ").alias("tokens"))
+    return PAGES.df(spark, sf_dir).select("path", F.array_join(text.page_tokens(F.col("content")), " ").alias("tokens"))
 
 
 @query(
@@ -285,4 +297,4 @@ def route_rules(spark, sf_dir):
 
 @query("empty_pages", f"""SELECT path, {duck_strip(r"regexp_replace(regexp_replace(regexp_replace(content, '(?s)^---\n.*?\n---\s*(?:\n|$)', ''), '(?s)\{/\*.*?\*/\}', '', 'g'), '(?s)<!--.*?-->', '', 'g')")} = '' AS empty FROM {PAGES.sql}""")
 def empty_pages(spark, sf_dir):
-    return PAGES.df(spark).select("path", text.empty_page(F.col("content")).alias("empty"))
+    return PAGES.df(spark, sf_dir).select("path", text.empty_page(F.col("content")).alias("empty"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import re
 import tempfile
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,12 +28,36 @@ def read_pages(spark: SparkSession, root: str, pattern: str = "*.mdx") -> DataFr
     return files.select(relative.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
+def store_of(path: str):
+    """File system and path in it of a Hadoop path, for streams that workers open."""
+    from pyarrow import fs
+
+    if "://" in path and not path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), os.path.abspath(re.sub(r"^file:/*", "/", path))
+
+
 def inventory(spark: SparkSession, root: str) -> DataFrame:
-    """``path, bytes, sha256`` of every file below ``root``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.regexp_replace(F.lit(root.rstrip("/")), r"^file:/*", "/")
-    local = F.regexp_replace(F.col("path"), r"^[a-z]+:/*", "/")
-    return files.select(F.substr(local, F.length(base) + 2).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """``path, bytes, sha256`` of every file below ``root``, empty ones too. The driver lists names; contents stream through the workers, so their size doesn't matter."""
+    from pyarrow import fs
+
+    store, base = store_of(root)
+    found = [i for i in store.get_file_info(fs.FileSelector(base, recursive=True)) if i.type == fs.FileType.File]
+    names = pa.table({"path": pa.array([i.path.removeprefix(base).lstrip("/") for i in found], pa.string()), "bytes": pa.array([i.size for i in found], pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, below = store_of(root)
+        for batch in batches:
+            sums = []
+            for name in batch.column(0).to_pylist():
+                digest = hashlib.sha256()
+                with own.open_input_stream(f"{below.rstrip('/')}/{name}", compression=None) as stream:
+                    while part := stream.read(1 << 20):
+                        digest.update(part)
+                sums.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.string())], ["path", "bytes", "sha256"])
+
+    return spark.createDataFrame(names).repartition(max(1, min(1000, len(found) // 16))).mapInArrow(run, "path string, bytes long, sha256 string")
 
 
 def toc_entries(items: list[dict], above: tuple[str, ...] = ()) -> Iterator[dict]:
@@ -103,6 +130,83 @@ def write_lines(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_line_granular(rows: DataFrame, header: dict, member: str, path: str, order: list[str]) -> None:
+    """One JSON document whose header keys stand first, then its members one a line in order, so a changed member is a changed line. A shard of a catalogue: the driver writes
+    it as rows come, one at a time."""
+    head = json.dumps(header, sort_keys=True, separators=(",", ":"), ensure_ascii=False)[1:-1]
+
+    def lines() -> Iterator[str]:
+        yield "{" + (head + "," if head else "") + f"{json.dumps(member)}:[\n"
+        before = ""
+        for r in rows.orderBy(*order).select(F.to_json(F.struct(*rows.columns)).alias("j")).toLocalIterator():
+            yield before + r["j"]
+            before = ",\n"
+        yield "\n]}\n"
+
+    write_atomically(path, lines())
+
+
+def write_pages(pages: DataFrame, root: str, suffix: str = ".mdx") -> int:
+    """A file for each ``path, page`` below ``root``, written by the tasks; how many. Paths that lead outside are an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = store_of(root)
+        n = 0
+        for batch in batches:
+            for path, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if ".." in path.split("/"):
+                    raise ValueError(f"{path} leads outside")
+                at = f"{base.rstrip('/')}/{path.lstrip('/')}{suffix}"
+                store.create_dir(at.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(at) as out:
+                    out.write((page or "").encode("utf-8"))
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return pages.select("path", "page").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def copy_images(references: DataFrame, source: str, target: str) -> list[str]:
+    """Local images of ``reference`` (paths below ``source``) as files by name in one folder, the first of a name; addresses and missing files go. Returns the names."""
+    import shutil
+
+    done: list[str] = []
+    os.makedirs(target, exist_ok=True)
+    for r in references.select("reference").distinct().orderBy("reference").toLocalIterator():
+        path, name = r["reference"], r["reference"].split("/")[-1]
+        found = os.path.realpath(os.path.join(source, path))
+        if path.startswith(("/", "http")) or name in done or not found.startswith(os.path.realpath(source) + os.sep) or not os.path.isfile(found):
+            continue
+        if not os.path.exists(os.path.join(target, name)):
+            shutil.copyfile(found, os.path.join(target, name))
+        done.append(name)
+    return done
+
+
+def write_testbench(cases: DataFrame, path: str) -> int:
+    """Distinct cases (``query, expected``) as a JSON array; how many. A testbench is a file that people edit, so it is one."""
+    rows = [{"query": r["query"], "expected_paths": [r["expected"]], "min_results": 1} for r in cases.select("query", "expected").distinct().orderBy("query", "expected").toLocalIterator()]
+    write_atomically(path, json.dumps(rows, indent=2, ensure_ascii=False) + "\n")
+    return len(rows)
+
+
+def enriched_spec(spec: str, examples: dict[str, object], samples: dict[str, list[dict]] | None = None) -> str:
+    """An API description with examples and code samples by operation id, where an operation has none of its own."""
+    data = json.loads(spec)
+    for methods in (data.get("paths") or {}).values():
+        for operation in methods.values() if isinstance(methods, dict) else ():
+            if not isinstance(operation, dict):
+                continue
+            own = operation.get("operationId")
+            if samples and own in samples:
+                operation.setdefault("x-codeSamples", samples[own])
+            for status, answer in (operation.get("responses") or {}).items():
+                for body in (answer.get("content") or {}).values() if str(status).startswith("2") else ():
+                    if own in examples and "example" not in body and "examples" not in body:
+                        body["example"] = examples[own]
+    return json.dumps(data, indent=2, ensure_ascii=False) + "\n"
+
+
 def write_shards(rows: DataFrame, shard: Column, path: str) -> None:
     """Rows in folders by shard."""
     rows.withColumn("shard", shard).write.mode("overwrite").partitionBy("shard").json(path)
@@ -142,13 +246,13 @@ def manifest_text(plan: dict) -> str:
     return json.dumps(plan, indent=2, sort_keys=True, ensure_ascii=False) + "\n"
 
 
-def write_atomically(path: str, text: str) -> None:
-    """A small driver-side file that is either the old or the new one."""
+def write_atomically(path: str, text: str | Iterator[str]) -> None:
+    """A small driver-side file, from a text or its parts, that is either the old or the new one."""
     folder = os.path.dirname(path) or "."
     os.makedirs(folder, exist_ok=True)
     handle, held = tempfile.mkstemp(dir=folder)
     with os.fdopen(handle, "w", encoding="utf-8") as f:
-        f.write(text)
+        f.writelines([text] if isinstance(text, str) else text)
     os.replace(held, path)
 
 

@@ -312,3 +312,37 @@ def test_watchdog_and_discovery(spark):
     assert got["servers"]["a"]["tools"] == ["f", "s"] and got["servers"]["b"]["status"] == "unavailable" and got["hybrid"]["status"] == "not_configured"
     assert got["hosted"]["endpoints"]["/x"]["status"] == "unreachable" and got["hosted"]["endpoints"]["/mcp"]["http_status"] == 200
     assert reports.discovery(seen, {}, {})["hosted"] == {"status": "skipped"}
+
+
+# ---- writers
+
+
+def test_pages_images_and_testbench_are_written(spark, tmp_path):
+    pages = spark.createDataFrame([("a/b c", "# é"), ("d", None)], "path string, page string")
+    assert files.write_pages(pages, str(tmp_path / "out")) == 2
+    assert (tmp_path / "out" / "a" / "b c.mdx").read_text() == "# é" and (tmp_path / "out" / "d.mdx").read_text() == ""
+    got = {r["path"]: (r["bytes"], r["sha256"][:6]) for r in files.inventory(spark, str(tmp_path / "out")).collect()}
+    assert got["a/b c.mdx"][0] == 4 and set(got) == {"a/b c.mdx", "d.mdx"}
+    with pytest.raises(Exception, match="leads outside"):
+        files.write_pages(spark.createDataFrame([("../x", "y")], "path string, page string"), str(tmp_path / "out"))
+    (tmp_path / "src" / "m").mkdir(parents=True)
+    (tmp_path / "src" / "m" / "i.png").write_bytes(b"1")
+    (tmp_path / "src" / "i.png").write_bytes(b"2")
+    refs = spark.createDataFrame([("m/i.png",), ("i.png",), ("http://x/y.png",), ("gone.png",), ("../out/d.mdx",)], "reference string")
+    assert files.copy_images(refs, str(tmp_path / "src"), str(tmp_path / "img")) == ["i.png"] and (tmp_path / "img" / "i.png").read_bytes() == b"2"
+    cases = spark.createDataFrame([("q", "p"), ("q", "p"), ("a", "b")], "query string, expected string")
+    assert files.write_testbench(cases, str(tmp_path / "bench.json")) == 2
+    assert [c["query"] for c in json.loads((tmp_path / "bench.json").read_text())] == ["a", "q"]
+
+
+def test_line_granular_json_and_spec_examples(spark, tmp_path):
+    rows = spark.createDataFrame([("b", 2), ("a", 1)], "id string, n int")
+    files.write_line_granular(rows, {"total": 2, "at": "x"}, "models", str(tmp_path / "m.json"), ["id"])
+    text = (tmp_path / "m.json").read_text()
+    assert json.loads(text) == {"at": "x", "total": 2, "models": [{"id": "a", "n": 1}, {"id": "b", "n": 2}]} and text.count("\n") == 4
+    files.write_line_granular(rows.limit(0), {}, "models", str(tmp_path / "e.json"), ["id"])
+    assert json.loads((tmp_path / "e.json").read_text()) == {"models": []}
+    spec = {"paths": {"/w": {"get": {"operationId": "l", "responses": {"200": {"content": {"application/json": {}}}, "404": {"content": {"application/json": {}}}}}, "post": {"operationId": "p", "responses": {"201": {"content": {"application/json": {"example": "own"}}}}}, "parameters": []}}}
+    got = json.loads(files.enriched_spec(json.dumps(spec), {"l": {"x": 1}, "p": "given"}, {"l": [{"lang": "py"}]}))["paths"]["/w"]
+    assert got["get"]["responses"]["200"]["content"]["application/json"] == {"example": {"x": 1}} and got["get"]["responses"]["404"]["content"]["application/json"] == {}
+    assert got["post"]["responses"]["201"]["content"]["application/json"] == {"example": "own"} and got["get"]["x-codeSamples"] == [{"lang": "py"}]
