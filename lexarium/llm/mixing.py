@@ -23,6 +23,8 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 #: Range buckets of a source: bits taken from the key. 2**12 buckets keep a source of 10**10 rows at 2.4 million rows a bucket.
 BUCKET_BITS = 12
+#: Copies of equal rows (id, source and size) that one task makes.
+COPIES = 1 << 16
 #: Sources whose cuts are broadcast: some 100 bytes each.
 BROADCAST_SOURCES = 100_000
 
@@ -71,7 +73,7 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     * ``cut="word"``: the row at the cut gives just the words that are missing, so a source's taken
       words are its target, rounded.  ``cut="document"``: that row is taken if at least half of it fits.
     * null ``source`` is a source of its own, last in order; null ``doc_id`` is keyed as the text ``null``.
-    * equal ids, and repeated rows, are ordered by (key, id, size): equal rows are interchangeable.
+    * equal ids, and repeated rows, are ordered by (key, id, size): equal rows are interchangeable, and counted before they are shuffled.
     * an empty table gives an empty result; a source of size 0 has target 0 and taken 0.
     """
     taken = (F.col("epochs") * F.col("size") + F.col("extra")).cast("long")
@@ -83,8 +85,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
 
     The cut of a source is a place in its order of keys, so a row is decided by its source's epochs and cut: one small
     row per source.  Up to ``BROADCAST_SOURCES`` of them are broadcast, so the texts needn't move; more are joined by
-    source, where Spark splits a hot one.  Repeated rows at a cut are taken together.  Columns of any names pass through.  A null ``doc_id`` has one key,
-    so rows without ids lie in one bucket of their source: give rows ids if many have none."""
+    source, where Spark splits a hot one.  Repeated rows at a cut are taken together.  Columns of any names pass through."""
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
     placed = _placed(sized, weights, max_epochs, share, "document")
     last = F.max(F.when(F.col("extra") > 0, F.struct("key", F.col("doc_id").cast("string").alias("id"))))
@@ -114,9 +115,10 @@ def _placed(rows: DataFrame, weights: tuple[int, ...], max_epochs: int, share: f
         raise ValueError(f"cut is 'word' or 'document', not {cut!r}")
     bucket = F.shiftright(F.conv(F.substring("key", 1, 4), 16, 10).cast("int"), 16 - BUCKET_BITS)
     keyed = rows.select("doc_id", "source", F.col("size").cast("long").alias("size"), _key().alias("key"), _skey().alias("skey")).withColumn("bucket", bucket)
-    keyed = written(keyed, "mix-keys")  # the texts are read and counted once
-
-    buckets = keyed.groupBy("skey", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("bucket_size"))
+    # rows that agree in all that counts are one group: an id, or its absence, that many rows share is no bucket's burden
+    same = keyed.groupBy("skey", "bucket", "key", "doc_id", "size").agg(F.first("source").alias("source"), F.count("*").alias("copies"))
+    same = written(same, "mix-groups")  # the texts are read and counted once
+    buckets = same.groupBy("skey", "bucket").agg(F.first("source").alias("source"), F.sum(F.col("size") * F.col("copies")).alias("bucket_size"))
     sizes = buckets.groupBy("skey").agg(F.first("source").alias("source"), F.sum("bucket_size").alias("source_size"))
     ahead = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -125,16 +127,19 @@ def _placed(rows: DataFrame, weights: tuple[int, ...], max_epochs: int, share: f
         .select("skey", "bucket", "bucket_start", "source_size", "target")
     )
     inside = Window.partitionBy("skey", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("bucket_start") + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0))
+    groups = same.join(starts, ["skey", "bucket"]).withColumn("_start", before)
+    if same.where(F.col("copies") > COPIES).isEmpty():
+        rows = groups.withColumn("_copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
+    else:  # the copies of a large group are dealt out before they are made
+        chunks = written(groups, "mix-starts").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / COPIES).cast("int")))).repartition("key", "size", "_chunk")
+        last = F.least((F.col("_chunk") + 1) * COPIES, F.col("copies")) - 1
+        rows = chunks.withColumn("_copy", F.explode(F.sequence((F.col("_chunk") * COPIES).cast("long"), last.cast("long"))))
+    rows = rows.withColumn("_before", F.col("_start") + F.col("_copy") * F.col("size"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.floor(F.col("target") + 0.5).cast("long") - F.col("epochs") * F.col("source_size") - F.col("_before")
     if cut == "word":
         extra = F.greatest(F.lit(0), F.least(F.col("size"), rest))
     else:
         extra = F.when((rest > 0) & (2 * rest >= F.col("size")), F.col("size")).otherwise(F.lit(0))
-    return (
-        keyed.join(starts, ["skey", "bucket"])
-        .withColumn("_before", F.col("bucket_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .withColumn("epochs", epochs)
-        .withColumn("extra", extra.cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "epochs", "extra", "key", "skey")
-    )
+    return rows.withColumn("epochs", epochs).withColumn("extra", extra.cast("long")).select("doc_id", "source", "size", "source_size", "target", "epochs", "extra", "key", "skey")

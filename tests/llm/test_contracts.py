@@ -112,6 +112,28 @@ def test_mixed_passes_columns_of_any_name(spark):
     assert got.columns == docs.columns and {(r["_key"], r["skey"], r["Time"]) for r in got.collect()} == {(i, "k", f"x{i}") for i in range(5)}
 
 
+@pytest.mark.parametrize("copies", [1, 3, 1 << 16])
+def test_mix_of_rows_without_ids(spark, monkeypatch, copies):
+    monkeypatch.setattr(mixing, "COPIES", copies)
+    rnd = random.Random(1)
+    rows = [(rnd.choice([None, None, 7, i]), rnd.choice("ab"), rnd.choice([1, 2, 5])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    got = mixing.mix(docs).collect()
+    assert Counter((r["doc_id"], r["source"], r["size"]) for r in got) == Counter(rows)
+    for source in "ab":
+        mine = [r for r in got if r["source"] == source]
+        total, target = sum(r["size"] for r in mine), mine[0]["target"]
+        # the mix in order of keys, row by row
+        order = sorted(mine, key=lambda r: (hashlib.md5(str("null" if r["doc_id"] is None else r["doc_id"]).encode()).hexdigest(), r["doc_id"] or 0, r["size"]))
+        epochs, left = int(target // total), int(target + 0.5)
+        want, left = Counter(), left - epochs * total
+        for r in order:
+            more = max(0, min(r["size"], left))
+            left -= r["size"]
+            want[r["doc_id"], r["size"], epochs * r["size"] + more] += 1
+        assert Counter((r["doc_id"], r["size"], r["taken"]) for r in mine) == want
+
+
 # ---- fingerprints
 
 
