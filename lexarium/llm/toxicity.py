@@ -5,15 +5,18 @@ word beginnings (word families) that a likelihood-ratio test ties to the toxic l
 counted over all documents.  Labelled examples are a sample bounded in rows and bytes, all of them that have a
 word indexed by all their features.
 
-The index is block-max: examples lie in blocks of like ones, postings by feature and block, and beside each such run stands its largest weight.
-The sum of these bounds what any example of a block can reach; blocks are opened by falling bound until the next can't hold
-one of the nearest, so neighbours are exact and most blocks stay closed.  Votes are weighted by squared similarity and by what each example stands
+The index is block-max: examples lie in blocks of like ones.  Rare features have postings; frequent ones a row over all examples, and the largest
+weight of each block.  What the rare features give is added up exactly; with the block maxima of the frequent ones it bounds what any example of a block can
+reach.  Blocks are opened by falling bound until the next can't hold one of the nearest, so neighbours are exact and other blocks stay closed.  Texts are
+held against a block together.  Votes are weighted by squared similarity and by what each example stands
 for in its class, against a fixed weight of clean votes, so far neighbours alone don't decide.  The share of toxic votes is calibrated by
-isotonic regression on left-out examples, those without any word among them.
+isotonic regression on left-out examples, those without any word among them.  Features are chosen and the index is built in tasks; the driver
+passes them on.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,6 +36,13 @@ KINDS = (0, 0, 3, 4, 5, 6, 7, 8)
 SKETCH = 64
 #: Decimals of a similarity: equal ones come out equal. A bound must fall short by more than this before its block stays closed.
 DIGITS, MARGIN = 6, 4e-6
+#: Features of at least one in so many examples are frequent. Postings and similarities held at a time.
+FREQUENT, HELD = 16, 1 << 22
+#: Labelled texts that are cut into words at a time while features are chosen and indexed.
+AT_ONCE = 512
+
+
+EXAMPLES = pa.schema([("digest", pa.string()), ("label", pa.int32()), ("weight", pa.float64()), ("text", pa.string())])
 
 
 @dataclass(frozen=True)
@@ -45,22 +55,19 @@ class Setting:
     neighbours: int = 25
     doubt: float = 0.25  # clean votes that always count, as a share of all neighbours at full similarity
     block: int = 32  # examples of a block
+    batch: int = 128  # texts held against the blocks at a time
     emphasis: float = 4.0  # weight of what the label favours, beside 1 for every word
     threshold: float = 0.7
 
 
 @dataclass
 class Index:
-    """Block-max inverted index over unit vectors.  Feature f has the runs ``runs[f]:runs[f + 1]``; run r lies in block ``run_block[r]``, weighs
-    at most ``run_max[r]``, and has the postings ``run_start[r]:run_start[r + 1]`` of ``ids`` and ``weights``."""
+    """Inverted index over unit vectors. Postings of feature f: ``ids[start[f]:start[f + 1]]``, rising, and ``weights``."""
 
     features: list[pa.Array]  # by kind: the strings
     first: list[int]  # number of a kind's first feature
     idf: np.ndarray
-    runs: np.ndarray
-    run_block: np.ndarray
-    run_max: np.ndarray
-    run_start: np.ndarray
+    start: np.ndarray
     ids: np.ndarray
     weights: np.ndarray
     toxic: np.ndarray
@@ -71,57 +78,91 @@ class Index:
     nothing: float = 0.0  # score of a text without any word of the examples
     knots: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     values: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
-    opened: int = 0  # blocks that searches opened, and could have opened
+    opened: int = 0  # blocks that searches opened, and those that stayed closed
     closed: int = 0
 
-    def nearest(self, feat: np.ndarray, weight: np.ndarray, k: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples nearest to a unit vector and their cosines, all positive, falling; of equal ones those first in the index. Exact."""
-        size, k = len(self.toxic), self.setting.neighbours if k is None else k
-        blocks = -(-size // self.setting.block)
-        length = self.runs[feat + 1] - self.runs[feat]
-        run, w = _ranges(self.runs[feat], length), np.repeat(weight, length).astype(np.float64)
-        block = self.run_block[run]
-        bound = np.bincount(block, w * self.run_max[run], blocks)
-        by_bound = np.argsort(-bound, kind="stable")
-        sims = np.zeros(size)
+    def unfolded(self) -> "Index":
+        """With the rows and block maxima of frequent features that searching uses, made once per worker."""
+        if not hasattr(self, "rows"):
+            size = len(self.toxic)
+            many = np.flatnonzero(np.diff(self.start) * FREQUENT >= max(size, 1))
+            self.row_of = np.full(len(self.idf), -1, np.int64)
+            self.row_of[many] = np.arange(len(many))
+            length = np.diff(self.start)[many]
+            at = _ranges(self.start[many], length)
+            self.rows = np.zeros((len(many), size), np.float32)
+            self.rows[np.repeat(np.arange(len(many)), length), self.ids[at]] = self.weights[at]
+            self.blocks = np.arange(0, size, self.setting.block)
+            self.maxima = np.maximum.reduceat(self.rows, self.blocks, axis=1) if size else np.zeros((len(many), 0), np.float32)
+        return self
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("rows", "row_of", "maxima", "blocks")}
+
+    def similarities(self, row: np.ndarray, feat: np.ndarray, weight: np.ndarray, n: int, k: int) -> np.ndarray:
+        """Cosines of ``n`` texts, given as unit vectors beside (row, feature), to examples: exact for all that can be among the ``k`` nearest, 0 for others."""
+        size, place = len(self.toxic), self.row_of[feat]
+        often = place >= 0
+        asked = np.zeros((n, len(self.rows)), np.float32)
+        asked[row[often], place[often]] = weight[often]
+        row, feat, weight = row[~often], feat[~often], weight[~often]
+        length = self.start[feat + 1] - self.start[feat]
+        at = _ranges(self.start[feat], length)
+        rare = np.bincount(np.repeat(row * size, length) + self.ids[at], np.repeat(weight, length) * self.weights[at], n * size).reshape(n, size)
+        bound = asked @ self.maxima + np.maximum.reduceat(rare, self.blocks, axis=1)
+        sims = np.zeros((n, size))
 
         def open_blocks(chosen: np.ndarray) -> None:
-            some = chosen[block]
-            r = run[some]
-            n = self.run_start[r + 1] - self.run_start[r]
-            at = _ranges(self.run_start[r], n)
-            sims[:] += np.bincount(self.ids[at], np.repeat(w[some], n) * self.weights[at], size)
+            for b in np.flatnonzero(chosen.any(axis=0)).tolist():
+                texts, block = np.flatnonzero(chosen[:, b]), slice(b * self.setting.block, (b + 1) * self.setting.block)
+                sims[texts, block] = np.round(asked[texts] @ self.rows[:, block] + rare[texts, block], DIGITS)
             self.opened += int(chosen.sum())
 
-        first = np.zeros(blocks, bool)
-        first[by_bound[: -(-2 * k // self.setting.block)]] = True
+        some = min(len(self.blocks), -(-2 * k // self.setting.block))
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, np.argpartition(-bound, some - 1, axis=1)[:, :some], True, axis=1)
         first &= bound > 0
         open_blocks(first)
-        enough = np.partition(sims, size - k)[size - k] if size > k else 0.0
-        rest = ~first & (bound > 0) & (bound >= enough - MARGIN)
-        if rest.any():
-            open_blocks(rest)
-        self.closed += int(blocks - first.sum() - rest.sum())
-        sims = np.round(sims, DIGITS)
-        least = np.partition(sims, size - k)[size - k] if size > k else 0.0
+        enough = np.partition(sims, size - k, axis=1)[:, size - k] if size > k else np.zeros(n)
+        rest = ~first & (bound > 0) & (bound >= enough[:, None] - MARGIN)
+        open_blocks(rest)
+        self.closed += int(bound.size - first.sum() - rest.sum())
+        return sims
+
+    def _best(self, sims: np.ndarray, k: int) -> np.ndarray:
+        """The k examples of largest positive similarity, falling; of equal ones those first in the index."""
+        least = np.partition(sims, len(sims) - k)[len(sims) - k] if len(sims) > k else 0.0
         ids = np.flatnonzero((sims > 0) & (sims >= least))
-        ids = ids[np.lexsort((ids, -sims[ids]))[:k]]
+        return ids[np.lexsort((ids, -sims[ids]))[:k]]
+
+    def nearest(self, feat: np.ndarray, weight: np.ndarray, k: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples nearest to a unit vector and their cosines, all positive, falling. Exact."""
+        k = self.setting.neighbours if k is None else k
+        if not len(self.toxic):
+            return np.zeros(0, np.int64), np.zeros(0)
+        sims = self.unfolded().similarities(np.zeros(len(feat), np.int64), feat, weight, 1, k)[0]
+        ids = self._best(sims, k)
         return ids, sims[ids]
 
     def votes(self, row: np.ndarray, feat: np.ndarray, weight: np.ndarray, n: int, without: np.ndarray | None = None) -> Iterator[tuple[float, np.ndarray]]:
         """Of each text, given as unit vectors beside (row, feature), the share of toxic votes and the examples by falling similarity;
         ``without`` has an example to leave out of each."""
+        self.unfolded()
+        size, k = len(self.toxic), self.setting.neighbours
         ends = np.searchsorted(row, np.arange(n + 1))
-        k = self.setting.neighbours
+        cost = np.concatenate([[0], np.cumsum(np.where(self.row_of[feat] < 0, np.diff(self.start)[feat], 0))])[ends] + np.arange(n + 1) * size
         clean = self.setting.doubt * k * float(self.stands_for.mean() if len(self.stands_for) else 1)
-        for i in range(n):
-            at = slice(ends[i], ends[i + 1])
-            ids, sims = self.nearest(feat[at], weight[at], k + (without is not None))
-            if without is not None:
-                other = ids != without[i]
-                ids, sims = ids[other][:k], sims[other][:k]
-            w = sims**2 * self.stands_for[ids]
-            yield float((w * self.toxic[ids]).sum() / (w.sum() + clean)), ids
+        i = 0
+        while i < n:
+            j = min(max(i + 1, int(np.searchsorted(cost, cost[i] + HELD, side="right")) - 1), i + self.setting.batch, n)
+            at = slice(ends[i], ends[j])
+            for m, sims in enumerate(self.similarities(row[at] - i, feat[at], weight[at], j - i, k + (without is not None)), i):
+                ids = self._best(sims, k + (without is not None))
+                if without is not None:
+                    ids = ids[ids != without[m]][:k]
+                w = sims[ids] ** 2 * self.stands_for[ids]
+                yield float((w * self.toxic[ids]).sum() / (w.sum() + clean)), ids
+            i = j
 
     def calibrated(self, raw: float) -> float:
         return float(np.interp(raw, self.knots, self.values))
@@ -169,33 +210,51 @@ def featured(texts: pa.LargeStringArray, features: list[pa.Array], first: list[i
     return key // total, key % total, times
 
 
+def _presence(texts: list[str], toxic: np.ndarray, kind: int) -> pa.Table:
+    """``feature, toxic, clean``: how many texts of each label have a feature, words cut a few texts at a time."""
+    out = []
+    for start in range(0, len(texts), AT_ONCE):
+        w = tb.words(pc.utf8_lower(tb.texts_of(pa.array(texts[start : start + AT_ONCE], pa.string()))), NOT_LETTERS)
+        place, strings = next((place, strings) for k, (_, place, strings) in enumerate(_kinds(w.vocabulary)) if k == kind)
+        coded = strings.dictionary_encode()
+        row, got = _spread(w, place, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+        size = max(len(coded.dictionary), 1)
+        pair = np.unique(row * size + got)
+        label = toxic[start : start + AT_ONCE][pair // size]
+        count = lambda x: pa.array(np.bincount((pair % size)[label == x], minlength=len(coded.dictionary)).astype(np.int64))  # noqa: B023, E731
+        out.append(pa.table({"feature": coded.dictionary, "toxic": count(1), "clean": count(0)}))
+    if not out:
+        return pa.table({"feature": pa.array([], pa.large_string()), "toxic": pa.array([], pa.int64()), "clean": pa.array([], pa.int64())})
+    found = pa.concat_tables(out).group_by("feature").aggregate([("toxic", "sum"), ("clean", "sum")])
+    return found.rename_columns(["feature", "toxic", "clean"]).sort_by("feature")
+
+
 def _select(texts: list[str], toxic: np.ndarray, setting: Setting) -> list[pa.Array]:
     """Features by kind: all words, and those that the toxic label favours by the likelihood ratio of presence in texts."""
-    w = tb.words(pc.utf8_lower(tb.texts_of(pa.array(texts, pa.string()))), NOT_LETTERS)
-    # presence counts: each word of a text once
-    pair = np.unique(w.row * max(len(w.vocabulary), 1) + w.code)
-    present = tb.Words(w.n_rows, pair // max(len(w.vocabulary), 1), pair % max(len(w.vocabulary), 1), w.vocabulary)
+    every = _presence(texts, toxic, 0).column("feature").combine_chunks()
     scored: list[tuple[float, int, str]] = []
     n1, n0 = toxic.sum(), (1 - toxic).sum()
-    for k, (_, place, strings) in enumerate(_kinds(w.vocabulary)):
-        if k == 0 or not 0 < n1 < len(toxic):
-            continue
-        coded = strings.dictionary_encode()
-        row, got = _spread(present, place, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64))
-        size = len(coded.dictionary)
-        pair = np.unique(row * max(size, 1) + got)
-        row, got = pair // max(size, 1), pair % max(size, 1)
-        a = np.bincount(got, weights=toxic[row], minlength=size)
-        b = np.bincount(got, minlength=size) - a
+    for k in range(1, len(KINDS)) if 0 < n1 < len(toxic) else ():
+        found = _presence(texts, toxic, k)
+        a, b = (found.column(c).to_numpy().astype(np.float64) for c in ("toxic", "clean"))
         with np.errstate(divide="ignore", invalid="ignore"):
             share = (a + b) / (n1 + n0)
-            part = lambda x, n: np.where(x > 0, x * np.log(x / (n * share)), 0) + np.where(n - x > 0, (n - x) * np.log((n - x) / (n * (1 - share))), 0)
+            part = lambda x, n: np.where(x > 0, x * np.log(x / (n * share)), 0) + np.where(n - x > 0, (n - x) * np.log((n - x) / (n * (1 - share))), 0)  # noqa: B023, E731
             ratio = np.nan_to_num(2 * (part(a, n1) + part(b, n0)))
         good = np.flatnonzero((ratio >= setting.least_ratio) & (a * n0 > 3 * b * n1))
-        scored += [(-r, k, s) for r, s in zip(ratio[good].tolist(), coded.dictionary.take(pa.array(good)).to_pylist(), strict=True)]
+        scored += [(-r, k, s) for r, s in zip(ratio[good].tolist(), found.column("feature").take(pa.array(good)).to_pylist(), strict=True)]
     scored.sort()
     best = scored[: setting.features]
-    return [w.vocabulary.take(pc.array_sort_indices(w.vocabulary))] + [pa.array(sorted(s for _, kind, s in best if kind == k), pa.large_string()) for k in range(1, len(KINDS))]
+    return [every] + [pa.array(sorted(s for _, kind, s in best if kind == k), pa.large_string()) for k in range(1, len(KINDS))]
+
+
+def _featured_all(texts: list[str], features: list[pa.Array], first: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``featured`` of many texts, a few at a time."""
+    parts = []
+    for start in range(0, len(texts), AT_ONCE):
+        row, feat, times = featured(tb.texts_of(pa.array(texts[start : start + AT_ONCE], pa.string())), features, first)
+        parts.append((row + start, feat, times))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
 
 
 def _vectors(row: np.ndarray, feat: np.ndarray, times: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
@@ -246,7 +305,7 @@ def index_of(ids: list, texts: list[str], toxic: np.ndarray, stands_for: np.ndar
     first = np.concatenate([[0], np.cumsum([len(f) for f in features])[:-1]]).astype(int).tolist()
     total = first[-1] + len(features[-1])
     idf = idf * np.where(np.arange(total) < first[1], 1.0, setting.emphasis)
-    row, feat, times = featured(tb.texts_of(pa.array(texts, pa.string())), features, first)
+    row, feat, times = _featured_all(texts, features, first)
     weight = _vectors(row, feat, times, idf, len(texts))
     has = np.zeros(len(texts), bool)
     has[row] = True
@@ -257,13 +316,8 @@ def index_of(ids: list, texts: list[str], toxic: np.ndarray, stands_for: np.ndar
     place = np.full(len(texts), -1, np.int64)
     place[chosen] = np.arange(len(chosen))
     by = np.lexsort((place[row], feat))
-    at, of, heavy = place[row[by]], feat[by], weight[by].astype(np.float32)
-    new = np.ones(len(by), bool)
-    new[1:] = (of[1:] != of[:-1]) | (at[1:] // setting.block != at[:-1] // setting.block)
-    start = np.flatnonzero(new)
-    run_max = np.maximum.reduceat(heavy, start) if len(start) else np.zeros(0, np.float32)
     index = Index(
-        features, first, idf, np.searchsorted(of[start], np.arange(total + 1)), (at[start] // setting.block).astype(np.int32), run_max, np.append(start, len(by)), at.astype(np.int32), heavy,
+        features, first, idf, np.searchsorted(feat[by], np.arange(total + 1)), place[row[by]].astype(np.int32), weight[by].astype(np.float32),
         toxic[chosen].astype(np.float64), stands_for[chosen], np.array(ids, dtype=object)[chosen], setting,
     )
     index.prior = float((stands_for * toxic).sum() / stands_for.sum()) if len(texts) else 0.0
@@ -327,20 +381,44 @@ def learn(docs: DataFrame, labels: DataFrame, setting: Setting = Setting()) -> I
         picked.append(r)
     before = {k: sum(r["best"]["toxic"] == k for r in picked) for k in bound}
     weight = {k: counts.get(k, 0) / before[k] if before[k] else 1.0 for k in bound}
-    wanted = docs.sparkSession.createDataFrame([(r["digest"],) for r in picked], "digest string")
-    got = {r["digest"]: r["text"] for r in sample.join(F.broadcast(wanted), "digest").dropDuplicates(["digest"]).select("digest", "text").collect()}
-    picked.sort(key=lambda r: r["digest"])
-    texts, toxic = [got[r["digest"]] for r in picked], np.array([r["best"]["toxic"] for r in picked], np.int64)
-    stands_for = np.array([weight[t] for t in toxic.tolist()])
-    features = _select(texts, toxic, setting)
+    spark = docs.sparkSession
+    wanted = spark.createDataFrame([(r["digest"], r["best"]["toxic"], weight[r["best"]["toxic"]]) for r in picked], "digest string, label int, weight double")
+    names = {r["digest"]: r["best"]["doc_id"] for r in picked}
+    chosen = sample.select("digest", "text").join(F.broadcast(wanted), "digest").dropDuplicates(["digest"]).select("digest", "label", "weight", "text")
+    chosen = written(chosen.coalesce(1).sortWithinPartitions("digest"), "examples").coalesce(1).sortWithinPartitions("digest")
+
+    def held_rows(batches: Iterator[pa.RecordBatch]) -> tuple[list, np.ndarray, np.ndarray, list[str]]:
+        rows = pa.Table.from_batches(list(batches), schema=EXAMPLES)
+        return rows.column("digest").to_pylist(), rows.column("label").to_numpy().astype(np.int64), rows.column("weight").to_numpy(), rows.column("text").to_pylist()
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, toxic, _, texts = held_rows(batches)
+        for kind, strings in enumerate(_select(texts, toxic, setting)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(strings), kind, np.int32)), strings.cast(pa.string())], ["kind", "feature"])
+
+    got = chosen.mapInArrow(select, "kind int, feature string").toArrow()
+    kinds = got.column("kind").to_numpy()
+    features = [x.take(pc.array_sort_indices(x)) for x in (got.column("feature").filter(pa.array(kinds == k)).combine_chunks().cast(pa.large_string()) for k in range(len(KINDS)))]
     first = np.concatenate([[0], np.cumsum([len(f) for f in features])[:-1]]).astype(int).tolist()
     df, n = document_frequencies(docs, features, first)
     idf = np.log((1 + n) / (1 + df)) + 1
-    return index_of([r["best"]["doc_id"] for r in picked], texts, toxic, stands_for, features, idf, setting)
+    sent = spark.sparkContext.broadcast((features, idf))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests, toxic, stands_for, texts = held_rows(batches)
+        index = index_of(digests, texts, toxic, stands_for, *sent.value, setting)
+        blob = pickle.dumps(index, 5)
+        yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["index"])
+
+    index = pickle.loads(chosen.mapInArrow(build, "index binary").first()["index"])
+    sent.destroy()
+    index.names = np.array([names[d] for d in index.names.tolist()], dtype=object)
+    return index
 
 
 def score_texts(index: Index, texts: pa.LargeStringArray) -> tuple[np.ndarray, list[list]]:
     """Score and nearest examples (at most three names) of each text."""
+    index.unfolded()
     n = len(texts)
     row, feat, times = featured(texts, index.features, index.first)
     score, evidence = np.full(n, index.nothing), [[] for _ in range(n)]
