@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import tokens as token_list
 from ..sources import files
 from ..storage import exists, shared_dir
-from .search import B, K1, embedded, idf, top
+from .search import SYNONYMS, B, K1, embedded, expanded, fused, idf, nearest, top
 from .sync import index_diff
 
 
@@ -103,6 +104,36 @@ def chunk_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("chunk_id", "path", "content_hash")
 
 
+SYNONYM_COLUMNS = "`group` int, term string"
+
+
+def create(spark: SparkSession, path: str, synonyms: tuple[tuple[str, ...], ...] = SYNONYMS, recreate: bool = False) -> bool:
+    """An empty chunk table with its synonyms at ``path``, unless there is one; with ``recreate`` in any case. Whether it was made."""
+    if files.current(spark, path) and not recreate:
+        return False
+    spark.createDataFrame([(i, t) for i, g in enumerate(synonyms) for t in g], SYNONYM_COLUMNS).write.mode("overwrite").parquet(f"{path}/synonyms")
+    files.point_to(spark, path, spark.createDataFrame([], CHUNKS))
+    return True
+
+
+def hybrid(spark: SparkSession, path: str, queries: DataFrame, k: int, embed: Callable[[list[str]], list[list[float]]] | None = None, wide: int = 30) -> DataFrame:
+    """Top ``k`` pages of each query (``query_id string, q``): ``query_id, rank, path, chunk_id, title, heading, score``.
+
+    Chunks are ranked by BM25 over the queries with their synonyms and, with ``embed``, by the cosine of vectors, ``wide`` of each; the lists are fused by reciprocal ranks, and a page
+    counts by its best chunk.  The lexical index of the table's version is written by the first search of a session."""
+    chunks = spark.read.parquet(files.current(spark, path))
+    words = token_list(F.concat_ws(" ", "title", "heading", "content"))
+    asked = expanded(queries, "query_id", "q", spark.read.parquet(f"{path}/synonyms"))
+    lists = [search(spark, stored(chunks, "chunk_id", "content", words), asked, wide).select("query_id", F.col("doc").alias("chunk_id"), "rank")]
+    if embed:
+        vectors = embedded(queries.select(F.col("query_id").alias("chunk_id"), "q"), "q", "embedding", embed)
+        near = nearest(vectors, chunks.where("embedding IS NOT NULL"), wide, "chunk_id")
+        lists.append(near.select(F.col("chunk_id").alias("query_id"), F.col("neighbor").alias("chunk_id"), "rank"))
+    scored = fused(lists, ["query_id", "chunk_id"]).join(chunks.select("chunk_id", "path", "title", "heading"), "chunk_id")
+    best = top(scored, ["query_id", "path"], [F.round("rrf", 9).desc(), F.col("chunk_id")], 1).drop("rank")
+    return top(best, ["query_id"], [F.round("rrf", 9).desc(), F.col("path")], k).select("query_id", "rank", "path", "chunk_id", "title", "heading", F.col("rrf").alias("score"))
+
+
 def synced(spark: SparkSession, path: str, chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]] | None = None, recreate: bool = False, dry_run: bool = False) -> dict[str, int]:
     """Bring the chunk table at ``path`` to ``chunks`` (columns of ``CHUNKS`` but the vector): how many were new, changed, unchanged and deleted.
 

@@ -142,11 +142,16 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id",
     out = None
     for i in range(blocks):
         mine = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i).select(key, vector).toArrow()
-        out_block = _block_nearest(vectors.select(key, vector), spark.sparkContext.broadcast((mine.column(0).to_numpy(), _units(mine.column(1).combine_chunks()))), k, key, kind)
+        out_block = _block_nearest(vectors.select(key, vector), spark.sparkContext.broadcast((_names(mine.column(0)), _units(mine.column(1).combine_chunks()), mine.schema.field(0).type)), k, key, kind)
         out = out_block if out is None else out.unionByName(out_block)
     return out
 
 
+def _names(ids: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Ids as an array that sorts: numbers, or texts of one width."""
+    return ids.to_numpy(zero_copy_only=False) if isinstance(ids, pa.Array) and pa.types.is_integer(ids.type) else np.array(ids.to_pylist()) if len(ids) else np.zeros(0, np.int64 if pa.types.is_integer(ids.type) else "U1")
+
+
 def _units(vectors: pa.Array) -> np.ndarray:
     rows = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -155,12 +160,12 @@ def _units(vectors: pa.Array) -> np.ndarray:
 
 def _block_nearest(vectors: DataFrame, sent, k: int, key: str, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, asked = sent.value
-        best_sim, best_id = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+        ids, asked, id_type = sent.value
+        best_sim, best_id = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.asarray(ids).dtype)
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
-            other = batch.column(0).to_numpy(zero_copy_only=False)
+            other = _names(batch.column(0))
             sims = np.round(asked @ _units(batch.column(1)).T, 9)
             sims[(ids[:, None] == other[None, :]) | np.isnan(sims)] = -np.inf
             sims, names = np.hstack([best_sim, sims]), np.hstack([best_id, np.broadcast_to(other, (len(ids), len(other)))])
@@ -168,7 +173,7 @@ def _block_nearest(vectors: DataFrame, sent, k: int, key: str, kind: str) -> Dat
             best_sim, best_id = np.take_along_axis(sims, at, 1), np.take_along_axis(names, at, 1)
         found = np.isfinite(best_sim)
         row = np.nonzero(found)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(ids)[row]), pa.array(best_id[found]), pa.array(best_sim[found])], [key, "neighbor", "sim"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[row].tolist(), id_type), pa.array(best_id[found].tolist(), id_type), pa.array(best_sim[found])], [key, "neighbor", "sim"])
 
     sims = vectors.mapInArrow(run, f"{key} {kind}, neighbor {kind}, sim double")
     return top(sims, [key], [F.col("sim").desc(), F.col("neighbor")], k).select(key, "neighbor", "sim", "rank")

@@ -173,6 +173,21 @@ def test_chunk_table_is_brought_up_to_date(spark, tmp_path):
     assert index.synced(spark, path, chunk([("a", "x")]), embed, recreate=True)["new"] == 1
 
 
+def test_hybrid_search_over_chunks(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    embed = lambda texts: [[float(t.count("a")), float(t.count("z")), 0.1] for t in texts]
+    assert index.create(spark, path) and not index.create(spark, path)
+    rows = [("c1", "p1", "Deploy", "quota limits here"), ("c2", "p1", "Deploy", "a a a a"), ("c3", "p2", "Other", "z z z z zebra"), ("c4", "p3", "Throttle", "throttle everything")]
+    chunks = spark.createDataFrame([(c, p, t, "d", "h", x, x) for c, p, t, x in rows], "chunk_id string, path string, title string, description string, heading string, content string, content_hash string")
+    index.synced(spark, path, chunks, embed)
+    asked = spark.createDataFrame([("q1", "rate limit"), ("q2", "zebra zz"), ("q3", "the of")], "query_id string, q string")
+    lexical = [(r["query_id"], r["rank"], r["path"], r["chunk_id"]) for r in index.hybrid(spark, path, asked, 5).orderBy("query_id", "rank").collect()]
+    assert [x[:3] for x in lexical] == [("q1", 1, "p3"), ("q1", 2, "p1"), ("q2", 1, "p2")] and lexical[1][3] == "c1"
+    both = index.hybrid(spark, path, asked, 2, embed).orderBy("query_id", "rank").collect()
+    assert {r["query_id"] for r in both} == {"q1", "q2", "q3"} and max(r["rank"] for r in both) == 2
+    assert next(r["path"] for r in both if r["query_id"] == "q2" and r["rank"] == 1) == "p2"
+
+
 def test_resources_prompts_and_backends(spark, caplog):
     pages = spark.createDataFrame([("a/b/c", "# T\ntext")], "path string, content string")
 
