@@ -31,18 +31,19 @@ def catalog_shards(spark, sf_dir):
     regions = F.create_map(F.lit("std"), F.array(F.lit("eu"), F.col("p_type")))
     models = table(spark, sf_dir, "part").select(F.concat(F.lit("m"), key_text()).alias("id"), F.col("p_name").alias("displayName"), F.col("p_brand").alias("publisher"), F.col("p_size").cast("string").alias("latestVersion"), regions.alias("regions"))
     path = new_path(spark, "shards")
-    shard = models.groupBy(F.pmod(F.xxhash64("id"), F.lit(3)).alias("shard")).agg(F.lit("today").alias("generatedAt"), F.collect_list(F.struct("id", "displayName", "publisher", "latestVersion", "regions")).alias("models"))
+    shard = models.groupBy(F.expr("cast(substring(id, 2) as bigint) div 100").alias("shard")).agg(F.lit("today").alias("generatedAt"), F.collect_list(F.struct("id", "displayName", "publisher", "latestVersion", "regions")).alias("models"))
     shard.write.partitionBy("shard").json(path)  # one object a file
     got = files.read_catalog(spark, [path])
     flat = F.flatten(F.transform(F.map_entries("regions"), lambda e: F.transform(e["value"], lambda r: F.concat(e["key"], F.lit(":"), r))))
     return got.select("id", "displayName", "publisher", "latestVersion", F.array_join(flat, ",").alias("regions"))
 
 
-def chunk_versions(spark, sf_dir):
+def chunk_versions(spark, sf_dir, later: str = "doc_id % 9 <> 0"):
+    """A table before and after: the two sides of a sync."""
     docs = table(spark, sf_dir, "documents")
     chunk = lambda text: docs.select("doc_id", F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), F.concat(F.lit("p"), (F.col("doc_id") % 10).cast("string")).alias("path"), F.lit("t").alias("title"), F.lit("").alias("description"), F.lit("h").alias("heading"), text.alias("content"), F.sha2(F.encode(text, "UTF-8"), 256).alias("content_hash"))
     before = chunk(F.col("text")).where("doc_id % 7 <> 0").drop("doc_id")
-    after = chunk(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).where("doc_id % 9 <> 0").drop("doc_id")
+    after = chunk(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).where(later).drop("doc_id")
     return before, after
 
 
@@ -51,11 +52,11 @@ def lengths(texts: list[str]) -> list[list[float]]:
     return [[float(len(t)), float(len(t.split()))] for t in texts]
 
 
-@query("chunk_metadata", "SELECT 'c' || doc_id AS chunk_id, 'p' || (doc_id % 10) AS path, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS content_hash FROM documents WHERE doc_id % 9 <> 0")
+@query("chunk_metadata", "SELECT 'c' || doc_id AS chunk_id, 'p' || (doc_id % 10) AS path, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS content_hash FROM documents")
 def chunk_metadata(spark, sf_dir):
-    """Keys and hashes of a chunk table after two syncs."""
+    """Keys and hashes of a chunk table after two syncs, the second of all documents."""
     path = new_path(spark, "chunks")
-    for version in chunk_versions(spark, sf_dir):
+    for version in chunk_versions(spark, sf_dir, "true"):
         index.synced(spark, path, version, lengths)
     return index.chunk_metadata(spark, files.current(spark, path))
 
@@ -131,14 +132,14 @@ def stream_answers(spark, sf_dir):
 
 @query(
     "fetched_pages",
-    "SELECT url AS route, CASE WHEN page_id % 11 <> 0 THEN 200 END AS status, CASE WHEN page_id % 11 <> 0 THEN length(html) END::INTEGER AS chars, (page_id % 11 <> 0 AND octet_length(encode(html)) > 3000) AS oversize, page_id FROM pages WHERE octet_length(encode(html)) <= 3000 OR page_id % 11 = 0",
+    "SELECT url AS route, page_id, CASE WHEN page_id % 11 <> 0 THEN 200 END AS status, page_id % 11 <> 0 AND octet_length(encode(html)) > 3000 AS oversize, CASE WHEN page_id % 11 <> 0 AND octet_length(encode(html)) <= 3000 THEN length(html) END::INTEGER AS chars FROM pages",
 )
 def fetched_pages(spark, sf_dir):
-    """Fetched pages, some of which failed, those within the bound."""
+    """Fetched pages, some of which failed, and the lengths of those within the bound."""
     failed = F.col("page_id") % 11 == 0
     raw = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("route"), F.lit(200).alias("status"), F.when(~failed, F.col("html")).alias("body"), F.col("url").alias("final_url"), F.when(failed, "timeout").alias("error"))
-    got = landed.fetched_pages(raw.withColumn("route", F.struct("route", "page_id")), 3000).where("NOT oversize")
-    return got.select("route.route", "status", F.length("body").alias("chars"), "oversize", "route.page_id")
+    got = landed.fetched_pages(raw.withColumn("route", F.struct("route", "page_id")), 3000)
+    return got.select("route.route", "route.page_id", "status", "oversize", F.when(~F.col("oversize"), F.length("body")).alias("chars"))
 
 
 @query("page_inlining", "SELECT 'docs/p' || p_partkey AS path, 'x ' || (CASE p_size % 3 WHEN 0 THEN 'leaf' WHEN 1 THEN 'one leaf' ELSE '' END) || ' [' || p_name || '](/out/' || p_size || '#a)' AS page FROM part")
@@ -179,10 +180,10 @@ def suffix_hits(spark, sf_dir):
     return evaluation.suffix_hits(found, cases)
 
 
-@query("file_hashes", "SELECT 'd' || doc_id || '.txt' AS path, octet_length(encode(text))::BIGINT AS bytes, sha256(text) AS sha256 FROM documents WHERE doc_id < 40")
+@query("file_hashes", "SELECT 's' || (s_nationkey % 3) || '/n' || s_suppkey || '.txt' AS path, octet_length(encode(s_name))::BIGINT AS bytes, sha256(s_name) AS sha256 FROM supplier")
 def file_hashes(spark, sf_dir):
-    """Inventory of files on disk: the first documents, a file each (a fixture of files, so few)."""
+    """Inventory of files on disk: one for every supplier."""
     root = new_path(spark, "files")
-    docs = table(spark, sf_dir, "documents").where("doc_id < 40")
-    files.write_pages(docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("page")), root, ".txt")
+    path = F.concat(F.lit("s"), (F.col("s_nationkey") % 3).cast("string"), F.lit("/n"), F.col("s_suppkey").cast("string"))
+    files.write_pages(table(spark, sf_dir, "supplier").select(path.alias("path"), F.col("s_name").alias("page")), root, ".txt")
     return files.inventory(spark, root)

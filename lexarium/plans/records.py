@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -162,13 +163,14 @@ def two_phase_sync(spark, sf_dir):
 
 @query(
     "captions",
-    f"""WITH s AS (SELECT conv_id, turn, unnest(string_split(text, '. ')) AS s, generate_subscripts(string_split(text, '. '), 1) AS i, list_distinct({duck_tokens("substr(text, 1, 40)")}) AS q FROM conversations),
+    f"""WITH s AS (SELECT conv_id, turn, unnest(string_split(text, '. ')) AS s, generate_subscripts(string_split(text, '. '), 1) AS i, q FROM (SELECT *, list_distinct({duck_tokens("COALESCE(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '')")}) AS q FROM conversations)),
     c AS (SELECT conv_id, turn, s, row_number() OVER (PARTITION BY conv_id, turn ORDER BY len(list_intersect(list_distinct({duck_tokens('s')}), q)) DESC, i) AS n FROM s) SELECT conv_id, turn, s AS caption FROM c WHERE n = 1""",
 )
 def captions(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
-    asked = text.tokens(F.substring("text", 1, 40))
-    return rows.select("conv_id", "turn", search.caption(F.split("text", r"\. "), asked).alias("caption"))
+    before = F.lag("text", 1, "").over(Window.partitionBy("conv_id").orderBy("turn"))
+    asked = rows.withColumn("asked", text.tokens(before))
+    return asked.select("conv_id", "turn", search.caption(F.split("text", r"\. "), F.col("asked")).alias("caption"))
 
 
 @query("front_matter_lines", "SELECT * FROM (VALUES (1, 'Quoted', NULL), (2, 'plain text', 'x: y'), (3, NULL, NULL), (4, 'it''s', '''')) AS t(id, title, other)")

@@ -38,7 +38,7 @@ def tool_pairing(spark, sf_dir):
 
 
 def event_logs(spark, sf_dir):
-    """An event log of every user: turns, tool calls and ends, messages, broken lines and now and then a result."""
+    """Event logs of every user, a log for each stretch of events: turns, tool calls and ends, messages, broken lines and now and then a result."""
     e = table(spark, sf_dir, "events")
     n, kind = F.col("event_id"), F.col("event_type")
     none = lambda t: F.lit(None).cast(t)
@@ -49,11 +49,12 @@ def event_logs(spark, sf_dir):
         F.when(n % 997 == 0, line("result", code=n % 3)).when(kind == "error", F.lit("not json")).when(kind == "signup", line("turn", turn=(n % 7).cast("string"))).when(kind == "click", line("tool_start", tool=F.lit("search"), call=call))
         .when(kind == "purchase", line("tool_end", tool=F.when(n % 5 == 0, "other").otherwise("search"), call=call, ok=F.col("value") > 20)).otherwise(line("message", text=F.concat(F.lit("v"), n.cast("string")), tokens=n % 11))
     )
-    lines = e.select("user_id", F.struct("event_id", log.alias("line")).alias("l")).groupBy("user_id").agg(F.array_sort(F.collect_list("l")).alias("ls"))
-    return lines.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("raw"))
+    session = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), F.expr("event_id div 5000").cast("string"))
+    lines = e.select(session.alias("session"), F.struct("event_id", log.alias("line")).alias("l")).groupBy("session").agg(F.array_sort(F.collect_list("l")).alias("ls"))
+    return lines.select("session", F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("raw"))
 
 
-EVENT_LINES = """l AS (SELECT 'u' || user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS number, event_id AS n, value,
+EVENT_LINES = """l AS (SELECT 'u' || user_id || '-' || (event_id // 5000) AS session, row_number() OVER (PARTITION BY user_id, event_id // 5000 ORDER BY event_id) AS number, event_id AS n, value,
       CASE WHEN event_id % 997 = 0 THEN 'result' WHEN event_type = 'error' THEN 'bad' WHEN event_type = 'signup' THEN 'turn' WHEN event_type = 'click' THEN 'tool_start' WHEN event_type = 'purchase' THEN 'tool_end' ELSE 'message' END AS type FROM events)"""
 
 
