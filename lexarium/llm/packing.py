@@ -208,7 +208,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, setting: Packing = Packi
     A null or empty text is one piece, the end id.  Repeated rows are packed as often as they are there, a null
     ``doc_id`` stays null; other columns are ignored; an empty table gives an empty result.  Sequence numbers are unique
     and not contiguous, however the result is coalesced, dealt anew or united: a packing share has its number as a column.  The order of packing
-    depends on ids, pieces and lengths alone, so a task that runs again gives the same places."""
+    depends on ids, pieces, lengths and the written pieces' places alone, so a task that runs again gives the same places."""
     every = written(pieces(docs, setting, tokenizer or tokenizer_path()), "pieces")
     full = every.where(F.col("length") == setting.length)
     rest = every.where(F.col("length") < setting.length)
@@ -234,7 +234,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, setting: Packing = Packi
                 out = part.select(names).append_column("sequence_id", pa.array(placed[:, 0])).append_column("offset", pa.array(placed[:, 1]))
                 yield from out.combine_chunks().to_batches()
 
-    dealt = rest.withColumn("_h", F.xxhash64("doc_id", "piece", "ids_crc32")).withColumn("share", F.pmod("_h", F.lit(shares)).cast("int"))
+    # rows without ids that are equal are dealt out by their place in the table of pieces
+    place = F.when(F.col("doc_id").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1024)))
+    dealt = rest.withColumn("_h", F.xxhash64("doc_id", "piece", "ids_crc32", place)).withColumn("share", F.pmod("_h", F.lit(shares)).cast("int"))
     dealt = dealt.repartition(shares, "share").sortWithinPartitions("share", "_h", "doc_id", "piece", "ids_crc32", "length", "start").drop("_h")
     packed = dealt.mapInArrow(run, every.schema.add("sequence_id", "long").add("offset", "long"))
     alone = full.withColumn("sequence_id", F.monotonically_increasing_id() * 2 + 1).withColumn("offset", F.lit(0).cast("long"))

@@ -48,6 +48,21 @@ def test_sequences_stay_apart_however_the_result_is_dealt(spark, change):
     check_packing(packed.toPandas(), [(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def test_equal_rows_without_ids_are_dealt_out(spark):
+    rows = [(None, "the same text")] * 40 + [(i, "the same text") for i in range(10)] + [(None, None)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    packed = packing.pack(docs, setting=packing.Packing(pieces_per_task=8)).toPandas()
+    check_packing(packed, rows)
+    assert packed[packed.doc_id.isna() & (packed.length > 1)].sequence_id.nunique() > 1
+
+
+def test_very_long_texts_are_cut_into_pieces():
+    long = "word and the " * 400_000 + "<|endoftext|>"
+    ids = next(iter(packing.encoder(packing.tokenizer_path()).encode([long])))
+    plain = next(iter(packing.encoder(packing.tokenizer_path()).encode([long.removesuffix("<|endoftext|>")])))
+    assert len(ids) > 1_000_000 and (ids[-1], len(ids)) == (50256, len(plain) + 1) and (ids[:-1] == plain).all()
+
+
 # ---- near copies
 
 

@@ -229,10 +229,11 @@ def test_shingle_sets(texts, n):
     assert len(set(same.values())) == len(same)
 
 
-@pytest.mark.parametrize("local", [0, 10**6])
-def test_components(spark, local):
+@pytest.mark.parametrize(("local", "degree"), [(0, 1 << 16), (0, 3), (10**6, 3)])
+def test_components(spark, local, degree, monkeypatch):
+    monkeypatch.setattr(components, "HOT_DEGREE", degree)
     rnd = random.Random(2)
-    links = [(rnd.randrange(80), rnd.randrange(80)) for _ in range(70)] + [(100 + i, 101 + i) for i in range(30)] + [(5, 5)]
+    links = [(rnd.randrange(80), rnd.randrange(80)) for _ in range(70)] + [(100 + i, 101 + i) for i in range(30)] + [(5, 5)] + [(200, 201 + i) for i in range(40)]
     edges = spark.createDataFrame(links, "a long, b long")
     got = {r["node"]: r["comp"] for r in components.components(edges, local=local).collect()}
     nodes = {x for a, b in links if a != b for x in (a, b)}
