@@ -155,6 +155,15 @@ def output_errors(rows: DataFrame, previous: DataFrame, needed: list[str], direc
     return stats.select(F.explode(F.array_compact(F.array(*rules))).alias("e")).select("e.*")
 
 
-def next_phase(mirror_differs: bool, generated_differs: bool) -> str:
+def next_phase(mirror_differs: Column, generated_differs: Column) -> Column:
     """What a two-phase sync does: the mirror first, then the primary copy, else nothing."""
-    return "mirror" if mirror_differs else "primary" if generated_differs else "noop"
+    return F.when(mirror_differs, "mirror").when(generated_differs, "primary").otherwise("noop")
+
+
+def sync_phases(mirror: DataFrame, primary: DataFrame, generated: DataFrame, by: str, keys: list[str], fields: list[str]) -> DataFrame:
+    """``by, phase, changes`` of every catalogue: its mirror follows the primary copy first; then what was generated is staged, with how many rows differ. ``by`` is one of ``keys``."""
+    count = lambda a, b, name: compared(a, b, keys, fields).groupBy(by).agg(F.count_if(F.col("change") != "same").alias(name))
+    both = count(mirror, primary, "_m").join(count(primary, generated, "_g"), by, "full_outer")
+    behind, fresh = F.coalesce("_m", F.lit(0)), F.coalesce("_g", F.lit(0))
+    phase = next_phase(behind > 0, fresh > 0)
+    return both.select(by, phase.alias("phase"), F.when(phase == "mirror", behind).when(phase == "primary", fresh).otherwise(0).alias("changes"))

@@ -152,13 +152,20 @@ def icon_source(spark, sf_dir):
     return files.icons(raw, "name", "data")
 
 
-STATES = Inline({"mirror": "string", "primary": "string", "generated": "string"}, [("x", "x", "x"), ("x", "y", "y"), ("x", "x", "y"), ("x", "y", "z")])
-
-
-@query("two_phase_sync", f"SELECT mirror, \"primary\", generated, CASE WHEN \"primary\" <> mirror THEN 'mirror' WHEN generated <> \"primary\" THEN 'primary' ELSE 'noop' END AS phase FROM {STATES.sql.replace('primary', '\"primary\"')}")
+@query(
+    "two_phase_sync",
+    """WITH v AS (SELECT p_brand AS publisher, p_name AS name, substr(p_brand, 7, 1)::INT AS g, p_partkey AS id FROM part),
+    m AS (SELECT publisher, id, CASE WHEN g = 1 AND id % 5 = 0 THEN NULL ELSE name END AS name, g FROM v), s AS (SELECT publisher, COUNT(*) FILTER (WHERE g = 1 AND id % 5 = 0) AS behind, COUNT(*) FILTER (WHERE g IN (1, 2) AND id % 7 = 0) AS fresh FROM v GROUP BY publisher)
+    SELECT publisher, CASE WHEN behind > 0 THEN 'mirror' WHEN fresh > 0 THEN 'primary' ELSE 'noop' END AS phase, CASE WHEN behind > 0 THEN behind WHEN fresh > 0 THEN fresh ELSE 0 END::BIGINT AS changes FROM s""",
+)
 def two_phase_sync(spark, sf_dir):
-    rows = STATES.rows  # three catalogue versions each; the decision is the driver's
-    return spark.createDataFrame([(m, p, g, catalog.next_phase(p != m, g != p)) for m, p, g in rows], "mirror string, primary string, generated string, phase string")
+    """Catalogues by brand: some mirrors miss rows of the primary copy, some generated ones changed or lost some."""
+    primary = table(spark, sf_dir, "part").select(F.col("p_brand").alias("publisher"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    group = F.substring("publisher", 7, 1).cast("int")
+    mirror = primary.where(~((group == 1) & (F.col("id") % 5 == 0)))
+    changed = primary.withColumn("name", F.when(group.isin(1, 2) & (F.col("id") % 14 == 0), F.concat("name", F.lit("!"))).otherwise(F.col("name")))
+    generated = changed.where(~(group.isin(1, 2) & (F.col("id") % 14 == 7)))
+    return catalog.sync_phases(mirror, primary, generated, "publisher", ["publisher", "id"], ["name"])
 
 
 @query(

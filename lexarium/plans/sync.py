@@ -15,7 +15,7 @@ PATH = "source || '/' || (doc_id % 50)::VARCHAR || '/doc' || doc_id::VARCHAR ||
 RULES = [("directory", "src3"), ("file", "src1/1/doc1.mdx"), ("directory", "nowhere")]
 RULE = f"CASE {' '.join(f"WHEN path = '{p}' OR ({str(k == 'directory').upper()} AND starts_with(path, '{p}/')) THEN '{k}:{p}'" for k, p in RULES)} END"
 LEFT = f"SELECT {PATH} AS path, text AS content FROM documents WHERE doc_id % 9 <> 0"
-RIGHT = f"SELECT {PATH} AS path, CASE WHEN doc_id % 4 = 1 THEN text || chr(10) || 'one more line' ELSE text END AS content FROM documents WHERE doc_id % 7 <> 0"
+RIGHT = f"SELECT {PATH} AS path, CASE doc_id % 4 WHEN 1 THEN text || chr(10) || 'one more line' WHEN 2 THEN 'first of two' || chr(10) || chr(10) || text WHEN 3 THEN regexp_replace(text, '\\n[^\\n]*$', '') ELSE text END AS content FROM documents WHERE doc_id % 7 <> 0"
 
 
 def path_of() -> Column:
@@ -26,7 +26,8 @@ def trees(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     path = path_of()
     left = docs.where("doc_id % 9 <> 0").select(path.alias("path"), F.col("text").alias("content"))
-    changed = F.when(F.col("doc_id") % 4 == 1, F.concat("text", F.lit("\none more line"))).otherwise(F.col("text"))
+    n = F.col("doc_id") % 4
+    changed = F.when(n == 1, F.concat("text", F.lit("\none more line"))).when(n == 2, F.concat(F.lit("first of two\n\n"), "text")).when(n == 3, F.regexp_replace("text", r"\n[^\n]*\z", "")).otherwise(F.col("text"))
     return left, docs.where("doc_id % 7 <> 0").select(path.alias("path"), changed.alias("content"))
 
 
@@ -113,7 +114,7 @@ def tree_totals(spark, sf_dir):
     return sync.tree_compare(*trees(spark, sf_dir)).groupBy("side").agg(F.count("*").alias("n"), F.sum("word_delta").alias("word_delta"))
 
 
-@query("line_diff", f"SELECT path, 1::BIGINT AS added, 0::BIGINT AS removed FROM {BOTH} WHERE l IS NOT NULL AND r IS NOT NULL AND l <> r")
+@query("line_diff", f"SELECT path, (CASE d WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END)::BIGINT AS added, (d = 3)::BIGINT AS removed FROM (SELECT *, regexp_extract(path, 'doc([0-9]+)', 1)::BIGINT % 4 AS d FROM {BOTH}) WHERE l IS NOT NULL AND r IS NOT NULL AND l <> r")
 def line_diff(spark, sf_dir):
     return sync.line_diff(*trees(spark, sf_dir))
 
