@@ -65,7 +65,7 @@ COUNT_EVERY = 4 << 20
 COUNT_FROM = 3
 #: Names that two unlike sets may share before the run gives up: at 10**10 sets three are expected.
 MOST_CLASHES = 100_000
-#: Tasks that a component, or a class of many copies, is dealt to when rows get their ids.
+#: Tasks that a large group, a component, or a class of many copies, is dealt to.
 SALTS = 32
 #: Copies from which a class is dealt out, and how many such classes are broadcast (1 MB): any other class has fewer copies, or
 #: less than one in so many of all rows.
@@ -321,7 +321,10 @@ def _unsettled(many: DataFrame, comps: DataFrame) -> DataFrame:
     labelled = base.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     by_comp = labelled.groupBy("gram", "comp").agg(F.count("*").alias("k"))
     groups = by_comp.groupBy("gram").agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp"))["comp"].alias("top")).where("comps > 1")
-    return written(labelled.join(groups.select("gram", "top"), "gram"), "unsettled")
+    # a group is dealt to several tasks: ``groups`` has one row for at least ``small`` of the others, so its copies are few
+    dealt = labelled.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
+    copied = groups.select("gram", "top", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return written(dealt.join(copied, ["gram", "salt"]).drop("salt"), "unsettled")
 
 
 def _star(postings: DataFrame, number: int, setting: Setting, also: str = "true") -> DataFrame:
