@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import chunking, markdown, redaction
 from ..registry import query
 from ..session import table
-from .inline import Inline
+from .inline import Grown, Inline
 from .text import PAGES, duck_strip
 
 
@@ -91,25 +91,42 @@ def order_diagnostics(spark, sf_dir):
     return redaction.mapped(table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")), "o_orderkey", "raw", "redacted", redaction.linked)
 
 
-JSONS = Inline({"id": "int", "raw": "string"}, [(1, '{"b": 1, "a": [2, {"z": null}]}'), (2, '{"a": 1, "a": 2}'), (3, "nope"), (4, '{"x": NaN}'), (5, '"t"')])
+def part_texts(spark, sf_dir, raw):
+    """``id, raw``: a text made of every part, ids after those of the literal rows."""
+    return table(spark, sf_dir, "part").select((F.col("p_partkey") + 1000).cast("int").alias("id"), raw.alias("raw"))
 
 
-@query("canonical_json", """SELECT * FROM (VALUES (1, '{"a":[2,{"z":null}],"b":1}'), (2, NULL), (3, NULL), (4, NULL), (5, '"t"')) AS t(id, canonical)""")
+def part_json(spark, sf_dir):
+    n, name = F.col("p_partkey"), F.col("p_name")
+    whole = F.concat(F.lit('{"size": '), F.col("p_size").cast("string"), F.lit(', "name":  "'), name, F.lit('", "brand": {"b": [1, 2], "a": null}}'))
+    twice = F.concat(F.lit('{"name": 1, "name": "'), name, F.lit('"}'))
+    return part_texts(spark, sf_dir, F.when(n % 7 == 0, twice).when(n % 11 == 0, F.concat(name, F.lit("}"))).otherwise(whole))
+
+
+JSONS = Grown({"id": "int", "raw": "string"}, [(1, '{"b": 1, "a": [2, {"z": null}]}'), (2, '{"a": 1, "a": 2}'), (3, "nope"), (4, '{"x": NaN}'), (5, '"t"')], part_json, "SELECT NULL AS id, NULL AS raw WHERE false")
+
+
+@query("canonical_json", """SELECT * FROM (VALUES (1, '{"a":[2,{"z":null}],"b":1}'), (2, NULL), (3, NULL), (4, NULL), (5, '"t"')) AS t(id, canonical)
+    UNION ALL SELECT (p_partkey + 1000)::INTEGER, CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 THEN '{"brand":{"a":null,"b":[1,2]},"name":"' || p_name || '","size":' || p_size || '}' END FROM part""")
 def canonical_json(spark, sf_dir):
-    return redaction.mapped(JSONS.df(spark), "id", "raw", "canonical", redaction.canonical_json)
+    return redaction.mapped(JSONS.df(spark, sf_dir), "id", "raw", "canonical", redaction.canonical_json)
+
+
+def part_names(spark, sf_dir):
+    return part_texts(spark, sf_dir, F.concat(F.lit("Crème "), F.col("p_name"), F.lit(" &amp;  "), F.col("p_size").cast("string"), F.lit("_ﬂ!")))
 
 
-UNICODE = Inline({"id": "int", "raw": "string"}, [(1, "Crème Brûlée  & more"), (2, "a `code` [x]"), (3, "ﬁne—print")])
+UNICODE = Grown({"id": "int", "raw": "string"}, [(1, "Crème Brûlée  & more"), (2, "a `code` [x]"), (3, "ﬁne—print")], part_names, "SELECT NULL AS id, NULL AS raw WHERE false")
 
 
-@query("ascii_slugs", "SELECT * FROM (VALUES (1, 'creme-brulee-more'), (2, 'a-`code`-[x]'), (3, 'fineprint')) AS t(id, slug)")
+@query("ascii_slugs", "SELECT * FROM (VALUES (1, 'creme-brulee-more'), (2, 'a-`code`-[x]'), (3, 'fineprint')) AS t(id, slug) UNION ALL SELECT (p_partkey + 1000)::INTEGER, 'creme-' || replace(p_name, ' ', '-') || '-amp-' || p_size || '_fl' FROM part")
 def ascii_slugs(spark, sf_dir):
-    return redaction.slugs(UNICODE.df(spark), "id", "raw")
+    return redaction.slugs(UNICODE.df(spark, sf_dir), "id", "raw")
 
 
-@query("normal_texts", "SELECT * FROM (VALUES (1, 'crème brûlée more'), (2, 'a code x'), (3, 'ﬁne print')) AS t(id, normal)")
+@query("normal_texts", "SELECT * FROM (VALUES (1, 'crème brûlée more'), (2, 'a code x'), (3, 'ﬁne print')) AS t(id, normal) UNION ALL SELECT (p_partkey + 1000)::INTEGER, 'crème ' || p_name || ' ' || p_size || '_ﬂ' FROM part")
 def normal_texts(spark, sf_dir):
-    return redaction.mapped(UNICODE.df(spark), "id", "raw", "normal", redaction.normal_text)
+    return redaction.mapped(UNICODE.df(spark, sf_dir), "id", "raw", "normal", redaction.normal_text)
 
 
 @query("converted_pages")

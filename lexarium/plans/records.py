@@ -59,9 +59,13 @@ SPEC = json.dumps({"paths": {"/w": {"get": {"summary": "List", "operationId": "l
 SPECS = Inline({"content": "string"}, [(SPEC,)])
 
 
-@query("api_operations", "SELECT * FROM (VALUES ('/w', 'get', 'T', 'List'), ('/w', 'post', 'default', 'POST /w'), ('/x', 'delete', 'default', 'DELETE /x')) AS t(path, method, tag, summary)")
+@query("api_operations", """SELECT * FROM (VALUES ('/w', 'get', 'T', 'List'), ('/w', 'post', 'default', 'POST /w'), ('/x', 'delete', 'default', 'DELETE /x')) AS t(path, method, tag, summary)
+    UNION ALL SELECT '/p/' || p_partkey, 'get', p_brand, p_name FROM part UNION ALL SELECT '/p/' || p_partkey, 'put', 'default', 'PUT /p/' || p_partkey FROM part WHERE p_size % 2 = 0""")
 def api_operations(spark, sf_dir):
-    return files.operations_of(SPECS.df(spark), "content")
+    n = F.col("p_partkey").cast("string")
+    put = F.concat(F.lit('"put": {"x-excluded": '), F.when(F.col("p_size") % 2 == 0, "false").otherwise("true"), F.lit("}"))
+    spec = F.concat(F.lit('{"paths": {"/p/'), n, F.lit('": {"parameters": [], "get": {"tags": ["'), "p_brand", F.lit('"], "summary": "'), "p_name", F.lit('"}, '), put, F.lit("}}}"))
+    return files.operations_of(SPECS.df(spark).unionByName(table(spark, sf_dir, "part").select(spec.alias("content"))), "content")
 
 
 OPS = Inline({"operation": "string", "example": "string"}, [("l", "own"), ("p", None), ("q", None)])
@@ -180,9 +184,12 @@ def captions(spark, sf_dir):
     return asked.select("conv_id", "turn", search.caption(F.split("text", r"\. "), F.col("asked")).alias("caption"))
 
 
-@query("front_matter_lines", "SELECT * FROM (VALUES (1, 'Quoted', NULL), (2, 'plain text', 'x: y'), (3, NULL, NULL), (4, 'it''s', '''')) AS t(id, title, other)")
+@query("front_matter_lines", "SELECT * FROM (VALUES (1, 'Quoted', NULL), (2, 'plain text', 'x: y'), (3, NULL, NULL), (4, 'it''s', '''')) AS t(id, title, other) UNION ALL SELECT (p_partkey + 1000)::INTEGER, p_name, CASE p_size % 3 WHEN 0 THEN p_type WHEN 1 THEN 'x: ' || p_brand END FROM part")
 def front_matter_lines(spark, sf_dir):
     blocks = spark.createDataFrame([(1, 'title: "Quoted"\nx: 1'), (2, "a: b\ntitle:   plain text  \nother: 'x: y'"), (3, "subtitle: no"), (4, "title: it's\nother: '")], "id int, block string")
+    other = F.element_at(F.array(F.concat(F.lit("other:  "), "p_type"), F.concat(F.lit("other: 'x: "), "p_brand", F.lit("'")), F.lit("nothing: 1")), (F.col("p_size") % 3 + 1).cast("int"))
+    parts = table(spark, sf_dir, "part").select((F.col("p_partkey") + 1000).cast("int").alias("id"), F.concat(F.lit('subtitle: no\ntitle: "'), "p_name", F.lit('"\n'), other, F.lit("\ntitle: later")).alias("block"))
+    blocks = blocks.unionByName(parts)
     return blocks.select("id", text.front_matter_line(F.col("block"), "title").alias("title"), text.front_matter_line(F.col("block"), "other").alias("other"))
 
 

@@ -10,7 +10,7 @@ from ..functions import text
 from ..operators import sessions, validation
 from ..registry import query
 from ..session import table
-from .inline import Inline
+from .inline import Grown, Inline
 
 
 def _log(*events) -> str:
@@ -216,18 +216,30 @@ def url_allowlist(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.array_sort(text.addresses(F.concat_ws(" ", "url", "html"), ("https://",))), " ").alias("urls"))
 
 
-ISSUES = Inline(
+def part_issues(spark, sf_dir):
+    """An issue of every part, whose marker is whole, short, broken, twice or not there."""
+    name = F.col("p_name")
+    marker = lambda fields: F.concat(F.lit("<!-- report: "), fields, F.lit(" -->"))
+    whole = marker(F.concat(F.lit('{"run": "1", "key": "'), name, F.lit('"}')))
+    shapes = F.array(F.concat(name, F.lit("\n"), whole), marker(F.concat(F.lit('{"key": "'), name, F.lit('"}'))), marker(name), F.concat(whole, F.lit("\n"), whole), F.concat(F.lit("see "), whole))
+    return table(spark, sf_dir, "part").select((F.col("p_partkey") + 1000).cast("int").alias("number"), F.element_at(shapes, (F.col("p_size") % 5 + 1).cast("int")).alias("body"))
+
+
+PART_OUTCOMES = "SELECT (p_partkey + 1000)::INTEGER AS number, ['valid', 'mismatched', 'malformed', 'repeated', 'missing'][p_size % 5 + 1] AS outcome FROM part"
+ISSUES = Grown(
     {"number": "int", "body": "string"},
     [(1, 'text\n<!-- report: {"key": "a", "run": "1"} -->\nmore'), (2, "no marker"), (3, '<!-- report: {"key": "a"} -->'), (4, "<!-- report: nonsense -->"), (5, '<!-- report: {"key": "a", "run": "1"} -->\n<!-- report: {"key": "b", "run": "2"} -->'), (6, ' <!-- report: {"key": "a", "run": "1"} -->')],
+    part_issues,
+    "SELECT NULL AS number, NULL AS body WHERE false",
 )
 
 
-@query("marker_identity", "SELECT * FROM (VALUES (1, 'valid'), (2, 'missing'), (3, 'mismatched'), (4, 'malformed'), (5, 'repeated'), (6, 'missing')) AS t(number, outcome)")
+@query("marker_identity", f"SELECT * FROM (VALUES (1, 'valid'), (2, 'missing'), (3, 'mismatched'), (4, 'malformed'), (5, 'repeated'), (6, 'missing')) AS t(number, outcome) UNION ALL {PART_OUTCOMES}")
 def marker_identity(spark, sf_dir):
-    return ISSUES.df(spark).select("number", validation.marker_outcome(F.col("body"), "report", ("key", "run")).alias("outcome"))
+    return ISSUES.df(spark, sf_dir).select("number", validation.marker_outcome(F.col("body"), "report", ("key", "run")).alias("outcome"))
 
 
-@query("cleanup_counts", "SELECT * FROM (VALUES ('valid', 1::BIGINT), ('missing', 2), ('mismatched', 1), ('malformed', 1), ('repeated', 1)) AS t(outcome, n)")
+@query("cleanup_counts", f"SELECT outcome, SUM(n)::BIGINT AS n FROM (SELECT * FROM (VALUES ('valid', 1::BIGINT), ('missing', 2), ('mismatched', 1), ('malformed', 1), ('repeated', 1)) AS t(outcome, n) UNION ALL SELECT outcome, COUNT(*) FROM ({PART_OUTCOMES}) GROUP BY outcome) GROUP BY outcome")
 def cleanup_counts(spark, sf_dir):
     return marker_identity(spark, sf_dir).groupBy("outcome").agg(F.count("*").alias("n"))
 
@@ -235,7 +247,10 @@ def cleanup_counts(spark, sf_dir):
 LISTING = Inline({"id": "int", "body": "string"}, [(1, '{"value": [{"name": "a", "version": "1"}], "token": "t"}'), (2, '{"token": null}'), (3, '{"value": [{"name": "a"}]}'), (4, '{"value": []}')])
 
 
-@query("page_contract", "SELECT * FROM (VALUES (1, ''), (2, 'no-list'), (3, 'incomplete-member'), (4, '')) AS t(id, errors)")
+@query("page_contract", "SELECT * FROM (VALUES (1, ''), (2, 'no-list'), (3, 'incomplete-member'), (4, '')) AS t(id, errors) UNION ALL SELECT (p_partkey + 1000)::INTEGER, ['', 'incomplete-member', 'no-list'][p_size % 3 + 1] FROM part")
 def page_contract(spark, sf_dir):
-    raw = LISTING.df(spark).select("id", F.from_json("body", "value array<struct<name:string,version:string>>, token string").alias("j")).select("id", "j.*")
+    member = F.concat(F.lit('{"name": "'), "p_name", F.lit('"'), F.when(F.col("p_size") % 3 == 1, "}").otherwise(F.concat(F.lit(', "version": "'), F.col("p_size").cast("string"), F.lit('"}'))))
+    body = F.when(F.col("p_size") % 3 == 2, '{"token": "t"}').otherwise(F.concat(F.lit('{"value": [{"name": "a", "version": "1"}, '), member, F.lit('], "token": null}')))
+    pages = table(spark, sf_dir, "part").select((F.col("p_partkey") + 1000).cast("int").alias("id"), body.alias("body"))
+    raw = LISTING.df(spark).unionByName(pages).select("id", F.from_json("body", "value array<struct<name:string,version:string>>, token string").alias("j")).select("id", "j.*")
     return validation.page_errors(raw, "value").select("id", F.array_join("errors", "|").alias("errors"))
