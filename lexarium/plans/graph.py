@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import graph
 from ..registry import query
 from ..session import table
-from .inline import Inline
+from .inline import Grown, Inline
 
 NAV = [{"group": "Get started", "pages": ["index", "quickstart", {"group": "Agents", "pages": ["agents/overview", "agents/how-to/deploy"]}]}, {"group": "Models & data", "pages": ["models/catalog", {"group": "Empty", "pages": []}]}, "changelog"]
 NAV_ROWS = Inline(
@@ -92,26 +92,42 @@ def route_conflicts(spark, sf_dir):
     return graph.unique_routes(MANIFEST.df(spark), "name", "source", "seq")
 
 
-PAGES = Inline(
+def part_pages(spark, sf_dir):
+    """A page of every part, with two internal links, one of them twice, and some that are none."""
+    n, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    link = F.concat(F.lit("[a](../x/q"), size, F.lit("?v=1)"))
+    body = F.concat(link, F.lit(' and <a href="/docs/'), "p_brand", F.lit('.mdx#s">b</a> '), link, F.lit(" `[c](no)` ![i](i.png) [m](mailto:x@y)\n```\n[d](gone)\n```"))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("parts/p"), n).alias("route"), body.alias("content"))
+
+
+def part_routes(spark, sf_dir):
+    """Routes of half the sizes that parts have."""
+    return table(spark, sf_dir, "part").where("p_size % 2 = 0").select(F.concat(F.lit("x/q"), F.col("p_size").cast("string")).alias("route")).distinct()
+
+
+PAGES = Grown(
     {"route": "string", "content": "string"},
     [
         ("agents/overview", "See [a](../models/catalog) and [b](/index#top), [c](how-to/deploy.mdx) `[code](x)` <a href=\"/missing\">m</a> [ext](https://e.example) [img](pic.png) [up](../../../x)"),
         ("models/catalog", "```\n[fenced](nope)\n```\n[gone](./old-page) [gone again](./old-page) <!-- [hidden](zz) --> [dir](/agents/)"),
         ("index", "[self](#a) [mail](mailto:x@y) [ok](agents/overview)"),
     ],
+    part_pages,
+    "SELECT NULL AS route, NULL AS content WHERE false",
 )
-ROUTES = Inline({"route": "string"}, [("agents/overview",), ("models/catalog",), ("index",), ("agents/how-to/deploy",)])
-LINKS = "(VALUES ('agents/overview', '../models/catalog', 'models/catalog'), ('agents/overview', '/index#top', 'index'), ('agents/overview', 'how-to/deploy.mdx', 'agents/how-to/deploy'), ('agents/overview', '/missing', 'missing'), ('agents/overview', '../../../x', ''), ('models/catalog', './old-page', 'models/old-page'), ('models/catalog', '/agents/', 'agents'), ('index', 'agents/overview', 'agents/overview')) AS t(route, link, target)"
+ROUTES = Grown({"route": "string"}, [("agents/overview",), ("models/catalog",), ("index",), ("agents/how-to/deploy",)], part_routes, "SELECT DISTINCT 'x/q' || p_size AS route FROM part WHERE p_size % 2 = 0")
+LINKS = """(SELECT * FROM (VALUES ('agents/overview', '../models/catalog', 'models/catalog'), ('agents/overview', '/index#top', 'index'), ('agents/overview', 'how-to/deploy.mdx', 'agents/how-to/deploy'), ('agents/overview', '/missing', 'missing'), ('agents/overview', '../../../x', ''), ('models/catalog', './old-page', 'models/old-page'), ('models/catalog', '/agents/', 'agents'), ('index', 'agents/overview', 'agents/overview')) AS t(route, link, target)
+    UNION ALL SELECT 'parts/p' || p_partkey, unnest(['../x/q' || p_size || '?v=1', '/docs/' || p_brand || '.mdx#s']), unnest(['x/q' || p_size, 'docs/' || split_part(p_brand, '#', 1)]) FROM part)"""
 
 
 @query("page_links", f"SELECT * FROM {LINKS}")
 def page_links(spark, sf_dir):
-    return graph.links_of(PAGES.df(spark), "route", "content")
+    return graph.links_of(PAGES.df(spark, sf_dir), "route", "content")
 
 
 @query("broken_links", f"SELECT route, link, target FROM {LINKS} WHERE target <> '' AND target NOT IN (SELECT route FROM {ROUTES.sql})")
 def broken_links(spark, sf_dir):
-    return graph.broken(graph.links_of(PAGES.df(spark), "route", "content"), ROUTES.df(spark))
+    return graph.broken(graph.links_of(PAGES.df(spark, sf_dir), "route", "content"), ROUTES.df(spark, sf_dir))
 
 
 KNOWN = Inline({"route": "string", "link": "string", "target": "string"}, [("models/catalog", "/agents/", "agents")])
