@@ -58,7 +58,7 @@ def split_with_overlap(body: str, most: int, overlap: int) -> list[str]:
 
 
 def chunks(pages: DataFrame, path: str, content: str, most: int = 4000, overlap: int = 400) -> DataFrame:
-    """``chunk_id, path, title, description, heading, content, char_count, content_hash``: sections cut with overlap, prefixed by title and heading."""
+    """``chunk_id, path, title, description, heading, content, char_count, content_hash, section, part``: sections cut with overlap, prefixed by title and heading."""
     page_title = F.coalesce(text.or_none(text.title(F.col(content))), F.element_at(F.split(path, "/"), -1))
     meta = pages.select(F.col(path).alias("path"), page_title.alias("title"), text.description(F.col(content)).alias("description"))
     parts = sections(pages.select(F.col(path).alias("path"), F.col(content).alias("content")), "path", "content").join(meta, "path")
@@ -71,4 +71,4 @@ def chunks(pages: DataFrame, path: str, content: str, most: int = 4000, overlap:
     rows = whole.select("path", "title", "description", "heading", "section", "whole").mapInPandas(cut, "path string, title string, description string, heading string, section int, pieces array<string>")
     rows = rows.select("path", "title", "description", "heading", "section", F.posexplode("pieces").alias("part", "content"))
     raw_id = F.concat(F.col("path"), F.lit("#"), text.slug(F.col("heading")), F.lit("#"), F.col("section"), F.lit("-"), F.col("part"))
-    return rows.select(text.safe_key(raw_id).alias("chunk_id"), "path", "title", "description", "heading", "content", F.length("content").alias("char_count"), F.sha2(F.encode("content", "UTF-8"), 256).alias("content_hash"))
+    return rows.select(text.safe_key(raw_id).alias("chunk_id"), "path", "title", "description", "heading", "content", F.length("content").alias("char_count"), F.sha2(F.encode("content", "UTF-8"), 256).alias("content_hash"), "section", "part")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import chunking, markdown, redaction
 from ..registry import query
 from ..session import table
 from .inline import Grown, Inline
-from .text import PAGES, duck_strip
+from .text import PAGES, B, duck_strip, duck_title
 
 
 @query(
@@ -22,6 +23,25 @@ def section_headings(spark, sf_dir):
     return chunking.sections(PAGES.df(spark, sf_dir), "path", "content").select("path", "section", "heading", F.length("body").alias("n"))
 
 
+SLUG = f"COALESCE(NULLIF(regexp_replace(regexp_replace(regexp_replace({duck_strip('lower(heading)')}, '[^a-z0-9 \\t\\n\\x0B\\f\\r-]', '', 'g'), '{B}+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'section')"
+
+
+@query(
+    "section_chunks",
+    rf"""WITH l AS (SELECT path, content, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT path, content, string_split(regexp_replace(content, '(?s)^---\n.*?---\n', ''), chr(10)) AS ls FROM {PAGES.sql})),
+    m AS (SELECT *, SUM(regexp_matches(line, '^#{{2,4}}\s+')::INT) OVER (PARTITION BY path ORDER BY i) AS s FROM l),
+    g AS (SELECT path, any_value(content) AS content, s, COALESCE(NULLIF(MAX(CASE WHEN regexp_matches(line, '^#{{2,4}}\s+') THEN {duck_strip("regexp_replace(line, '^#{2,4}\\s+', '')")} END), ''), 'Introduction') AS heading, {duck_strip("string_agg(line, chr(10) ORDER BY i)")} AS body FROM m GROUP BY path, s),
+    n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY s) - 1 AS section, COALESCE(NULLIF({duck_title('content')}, ''), regexp_extract(path, '[^/]*$')) AS title FROM g WHERE body <> ''),
+    c AS (SELECT *, {duck_strip("title || ' > ' || heading || chr(10) || chr(10) || body")} AS whole FROM n)
+    SELECT translate(replace(to_base64(encode(path || '#' || {SLUG} || '#' || section || '-0')), '=', ''), '+/', '-_') AS chunk_id, path, title, heading, length(whole)::INTEGER AS char_count, sha256(whole) AS content_hash FROM c WHERE length(whole) <= 4000""",
+)
+def section_chunks(spark, sf_dir):
+    """Chunks of the sections that are one chunk, of all pages."""
+    rows = chunking.chunks(PAGES.df(spark, sf_dir), "path", "content")
+    alone = rows.withColumn("parts", F.count("*").over(Window.partitionBy("path", "section"))).where("parts = 1")
+    return alone.select("chunk_id", "path", "title", "heading", "char_count", "content_hash")
+
+
 @query(
     "heading_counts",
     r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, (COUNT(*) FILTER (WHERE regexp_matches(line, '^#{2,4}\s+')))::BIGINT AS n FROM l GROUP BY doc_id""",
