@@ -57,7 +57,7 @@ class Setting:
         return size - least + np.minimum(self.common, least)
 
 
-# Tables with hash cells, and self-joins, ask for a merge join: their files shrink far more than what would be broadcast.
+# Tables with hash cells or salted copies, and self-joins, ask for a merge join: their files shrink far more than what would be broadcast.
 
 #: Grams gathered before counts are taken in the first pass; bounds a task's memory.
 COUNT_EVERY = 4 << 20
@@ -324,7 +324,7 @@ def _unsettled(many: DataFrame, comps: DataFrame) -> DataFrame:
     # a group is dealt to several tasks: ``groups`` has one row for at least ``small`` of the others, so its copies are few
     dealt = labelled.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
     copied = groups.select("gram", "top", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return written(dealt.join(copied, ["gram", "salt"]).drop("salt"), "unsettled")
+    return written(dealt.join(copied.hint("merge"), ["gram", "salt"]).drop("salt"), "unsettled")
 
 
 def _star(postings: DataFrame, number: int, setting: Setting, also: str = "true") -> DataFrame:
@@ -407,7 +407,7 @@ def linked(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     inside, smallest = _smallest(comps, classes)
     salted = inside.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    named = salted.join(smallest.withColumn("salt", every), ["comp", "salt"]).select(F.col("node").alias("cls"), "id")
+    named = salted.join(smallest.withColumn("salt", every).hint("merge"), ["comp", "salt"]).select(F.col("node").alias("cls"), "id")
     again = classes.where("copies > 1").select("cls", "least")
     ids = named.join(again, "cls", "full_outer").select("cls", F.coalesce("id", "least").alias("id"))
 
@@ -416,7 +416,7 @@ def linked(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     dealt = dealt.withColumn("salt", F.when(F.col("hot"), F.pmod("row", F.lit(SALTS))).otherwise(0).cast("int"))
     spread = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     ids = ids.join(hot, "cls", "left").select("cls", "id", F.explode(spread).alias("salt"))
-    out = dealt.join(ids, ["cls", "salt"], "left")
+    out = dealt.join(ids.hint("merge"), ["cls", "salt"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "cls", F.coalesce("id", "doc_id").alias("component_id"))
 
 
