@@ -116,9 +116,10 @@ def _starts(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([bytes(least).ljust(KEY, b"\0")], pa.binary()), pa.array([True])], ["key", "least"])
 
     got = docs.mapInArrow(run, "key binary, least boolean").toArrow()
-    keys = np.array(got.column("key").to_pylist(), dtype=f"S{KEY}")
-    if not len(keys):
-        return keys
+    column = got.column("key").combine_chunks()
+    if not len(column):
+        return np.zeros(0, f"S{KEY}")
+    keys = np.frombuffer(column.buffers()[2], f"S{KEY}", len(column), column.offset * KEY)  # all of one length, one after another
     drawn = np.sort(keys[~got.column("least").to_numpy()])
     cuts = drawn[[i * len(drawn) // ranges for i in range(1, ranges)]] if len(drawn) else drawn
     return np.unique(np.append(cuts, np.sort(keys)[:1]))
