@@ -22,26 +22,42 @@ from .sync import index_diff
 
 #: Tasks that a frequent token's postings are dealt to.
 SALTS = 16
+#: Bytes of a table's files for each bucket of its index.
+BUCKET_BYTES = 64 << 20
+#: Tokens of a batch of queries that are broadcast: some 60 bytes each.
+BROADCAST_TOKENS = 100_000
 
 
 def _bucket(token: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
+def _runs(sorted_tokens: str) -> Column:
+    """``token, tf`` of every distinct token of a sorted array column: where runs begin, and how far it is to the next."""
+    s, n = F.col(sorted_tokens), F.size(sorted_tokens)
+    begins = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+    ends = lambda starts: F.concat(F.slice(starts, 2, F.size(starts)), F.array(n + 1))
+    # a one-element array binds the beginnings, so they are found once
+    runs = F.transform(F.array(begins), lambda starts: F.zip_with(starts, ends(starts), lambda x, y: F.struct(F.get(s, x - 1).alias("token"), (y - x).cast("long").alias("tf"))))
+    return F.when(n > 0, F.get(runs, F.lit(0)))
+
+
 def write(docs: DataFrame, key: str, tokens: Column, path: str, buckets: int = 64) -> None:
-    """Index of ``docs``. Texts are read and cut once; postings are sorted by token and document in each file."""
-    base = docs.select(F.col(key).alias("doc"), tokens.alias("t")).select("doc", F.size("t").cast("long").alias("n"), "t")
-    # documents without tokens count for the mean: they are kept as a posting of no token
-    rows = base.select("doc", "n", F.explode_outer("t").alias("token"))
-    post = rows.groupBy("doc", "token").agg(F.first("n").alias("n"), F.count("token").alias("tf"))
+    """Index of ``docs``. Texts are read and cut once, a document's tokens are counted where it lies, and postings move once: to ``SALTS`` tasks for each
+    bucket, so a token of many documents is several tasks' work, and a bucket is at most so many files, sorted by token and document."""
+    base = docs.select(F.col(key).alias("doc"), F.sort_array(tokens).alias("t"))
+    counted = base.select("doc", F.size("t").cast("long").alias("n"), _runs("t").alias("runs"))
+    # every document has a posting of no token besides, which counts it and its length, also where it has no token
+    none = F.array(F.struct(F.lit(None).cast("string").alias("token"), F.lit(0).cast("long").alias("tf")))
+    post = counted.select("doc", "n", F.explode(F.concat(none, F.coalesce("runs", F.array().cast("array<struct<token:string,tf:bigint>>")))).alias("r")).select("doc", "n", "r.token", "r.tf")
     placed = post.withColumn("bucket", F.when(F.col("token").isNull(), -1).otherwise(_bucket(F.col("token"), buckets)))
-    # a token of many documents is written by several tasks
-    placed = placed.repartition("bucket", "token", F.pmod(F.xxhash64("doc"), F.lit(SALTS))).sortWithinPartitions("bucket", "token", "doc")
+    placed = placed.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(SALTS))).sortWithinPartitions("bucket", "token", "doc")
     placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     spark = docs.sparkSession
     stored = spark.read.parquet(f"{path}/postings")
-    stored.where("bucket >= 0").groupBy("bucket", "token").agg(F.count("*").alias("df")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
-    lengths = stored.groupBy("doc").agg(F.first("n").alias("n"))
+    terms = stored.where("bucket >= 0").groupBy("bucket", "token").agg(F.count("*").alias("df")).repartition("bucket")
+    terms.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    lengths = stored.where("bucket = -1")
     lengths.agg(F.count("*").alias("total"), F.greatest(F.avg("n"), F.lit(1.0)).alias("mean"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/corpus")
 
 
@@ -51,32 +67,37 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, query_key
     ``queries`` is a batch that a caller asks; its distinct buckets, at most as many as the index has, are pushed into the scan as partitions."""
     corpus = spark.read.parquet(f"{path}/corpus").first()
     asked = queries.groupBy(query_key, "token").agg(F.count("*").alias("times")).withColumn("bucket", _bucket(F.col("token"), corpus["buckets"]))
-    wanted = [r["bucket"] for r in asked.select("bucket").distinct().collect()]
+    sizes = asked.groupBy("bucket").agg(F.count("*").alias("n")).collect()
+    wanted = [r["bucket"] for r in sizes]
     post = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(wanted))
     terms = spark.read.parquet(f"{path}/terms").where(F.col("bucket").isin(wanted))
-    scored = post.join(asked.join(terms, ["bucket", "token"]), ["bucket", "token"])
+    weighed = asked.join(terms, ["bucket", "token"])
+    # a batch of few tokens goes to the postings; of a larger one, the postings go to the tokens
+    scored = post.join(F.broadcast(weighed) if sum(r["n"] for r in sizes) <= BROADCAST_TOKENS else weighed, ["bucket", "token"])
     norm = 1 - B + B * (F.col("n") / F.lit(corpus["mean"]))
     part = F.col("times") * idf(F.lit(corpus["total"]), F.col("df")) * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * norm)
     totals = scored.groupBy(query_key, "doc").agg(F.sum(part).alias("score")).where("score > 0")
     return top(totals, [query_key], [F.round("score", 9).desc(), F.col("doc")], k).select(query_key, "rank", "doc", "score")
 
 
-def stored(docs: DataFrame, key: str, text_column: str, tokens: Column, buckets: int = 64) -> str:
+def stored(docs: DataFrame, key: str, how: str, tokens: Column, buckets: int | None = None) -> str:
     """Path of the index of a table of files, written once for each state of the files in a session, and anew if it has gone.
 
-    A state is the files' names, lengths and times; searches, term statistics and term frequencies of that state all read what was written."""
+    A state is the files' names, lengths and times, and ``how``, the caller's name for the way that ``tokens`` cuts texts; searches, term statistics and
+    term frequencies of that state all read what was written.  Without ``buckets`` there is one for each ``BUCKET_BYTES`` of the files, from 8 to 4096."""
     spark = docs.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    state = [key, text_column, str(buckets), tokens._jc.toString(), spark.sparkContext.applicationId]
+    state, size = [key, how, str(buckets), spark.sparkContext.applicationId], 0
     for name in sorted(docs.inputFiles()):
         at = jvm.org.apache.hadoop.fs.Path(name)
         status = at.getFileSystem(conf).getFileStatus(at)
+        size += status.getLen()
         state += [name, str(status.getLen()), str(status.getModificationTime())]
     state = "\n".join(state)
     path = _STORED.get(state)
     if path is None or not exists(spark, f"{path}/corpus/_SUCCESS"):
         path = _STORED[state] = f"{shared_dir(spark)}/lexarium/index-{uuid.uuid4().hex}"
-        write(docs, key, tokens, path, buckets)
+        write(docs, key, tokens, path, buckets or max(8, min(4096, size // BUCKET_BYTES)))
     return path
 
 
@@ -124,7 +145,7 @@ def hybrid(spark: SparkSession, path: str, queries: DataFrame, k: int, embed: Ca
     chunks = spark.read.parquet(files.current(spark, path))
     words = token_list(F.concat_ws(" ", "title", "heading", "content"))
     asked = expanded(queries, "query_id", "q", spark.read.parquet(f"{path}/synonyms"))
-    lists = [search(spark, stored(chunks, "chunk_id", "content", words), asked, wide).select("query_id", F.col("doc").alias("chunk_id"), "rank")]
+    lists = [search(spark, stored(chunks, "chunk_id", "title, heading, content", words), asked, wide).select("query_id", F.col("doc").alias("chunk_id"), "rank")]
     if embed:
         vectors = embedded(queries.select(F.col("query_id").alias("chunk_id"), "q"), "q", "embedding", embed)
         near = nearest(vectors, chunks.where("embedding IS NOT NULL"), wide, "chunk_id")

@@ -138,3 +138,22 @@ def test_stored_index_answers_like_the_direct_search(spark, small, tmp_path):
     rows = lambda df: [(r["query_id"], r["rank"], r["doc"], round(r["score"], 6)) for r in df.orderBy("query_id", "rank").collect()]
     got = index.search(spark, path, asked, 5)
     assert rows(got) == rows(search.bm25(asked, docs, "doc_id", text.tokens(F.col("text")), 5))
+
+
+def test_an_index_is_written_once_for_each_state(spark, tmp_path):
+    import shutil
+
+    from lexarium.functions import text
+    from lexarium.operators import index
+
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(1, "one two"), (2, "two three")], "doc_id int, text string").write.parquet(path)
+    at = lambda: index.stored(spark.read.parquet(path), "doc_id", "text", text.tokens(F.col("text")), 4)
+    first = at()
+    assert at() == first and index.term_stats(spark, first).where("token = 'two'").first()["df"] == 2
+    assert {(r["doc"], r["token"], r["tf"]) for r in index.term_frequencies(spark, first).collect()} == {(1, "one", 1), (1, "two", 1), (2, "two", 1), (2, "three", 1)}
+    spark.createDataFrame([(3, "four")], "doc_id int, text string").write.mode("append").parquet(path)
+    second = at()
+    assert second != first
+    shutil.rmtree(second.removeprefix("file:"))
+    assert at() != second
