@@ -156,7 +156,7 @@ def assess(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     A null or empty text has no words: all counts are 0, it fails.  A null ``doc_id`` and repeated rows pass
     through, one row each; other columns are ignored; an empty table gives an empty result.  A task holds
-    slices of at most 4 MB of text, or one longer text.  ``longest_repeat`` is exact up to the largest limit, and beyond it some number
+    slices of at most 2 MB of text, or one longer text.  ``longest_repeat`` is exact up to the largest limit, and beyond it some number
     between the limit and the length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 #: White space that ends a word: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 #: Bytes of text in one slice; one longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def free(name: str, columns: list[str]) -> str:

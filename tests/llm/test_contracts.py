@@ -5,11 +5,9 @@ from __future__ import annotations
 import hashlib
 import io
 import random
-import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -40,9 +38,7 @@ def test_sequences_stay_apart_however_the_result_is_dealt(spark, change):
     docs = spark.createDataFrame([(i, "some words of a text " * (i % 7 * 20 + 1)) for i in range(60)], "doc_id long, text string").repartition(5)
     packed = packing.pack(docs, setting=packing.Packing(pieces_per_task=8))
     if change == "union":
-        half = docs.where("doc_id % 2 = 0")
-        packed = packed.unionByName(packed.limit(0)).coalesce(2)
-        assert half.count() == 30
+        packed = packed.where("doc_id % 2 = 0").unionByName(packed.where("doc_id % 2 = 1")).coalesce(2)
     else:
         packed = packed.coalesce(1) if change == "coalesce" else packed.repartition(3, "doc_id")
     check_packing(packed.toPandas(), [(r["doc_id"], r["text"]) for r in docs.collect()])
@@ -67,8 +63,8 @@ def test_very_long_texts_are_cut_into_pieces():
 
 
 def test_sets_of_one_name_are_told_apart(spark, monkeypatch):
-    """First names of three bits: many sets share one, and go by the second. Python workers import the module anew, so the few bits come with the rows."""
-    texts = {i: t for i, t in copies(5, 40).items()}
+    """Sets under a name that others share go by their second one, and shared names are noticed."""
+    texts = copies(5, 40)
     whole = jaccard_join.shingle_sets(tb.texts_of(pa.array(list(texts.values()), pa.string())), 4)
     assert len({*zip(whole.cls.tolist(), whole.alt.tolist(), strict=True)}) == len(set(whole.cls.tolist()))
     clash = np.sort(whole.cls[whole.size > 0][:2])
@@ -76,21 +72,13 @@ def test_sets_of_one_name_are_told_apart(spark, monkeypatch):
     named = np.isin(whole.cls, clash)
     assert (again.cls[named] == whole.alt[named]).all() and (again.cls[~named] == whole.cls[~named]).all()
 
-    real = jaccard_join._first_pass
-
-    def first(docs, setting):
-        # 0 stands for the name of all sets whose name is divisible by 3
-        return real(docs, setting).withColumn("cls", F.when(F.col("cls") % 3 == 0, F.lit(clash_name)).otherwise(F.col("cls")))
-
-    clash_name = int(whole.cls[whole.size > 0][0])
-    monkeypatch.setattr(jaccard_join, "_first_pass", first)
-    real_sets = jaccard_join.shingle_sets
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    # only the first pass is changed: the classes table must notice that one name has several second names
+    # the first pass gives a third of all names as one: the classes must show that it has several second names
+    real, name = jaccard_join._first_pass, int(whole.cls[whole.size > 0][0])
+    monkeypatch.setattr(jaccard_join, "_first_pass", lambda docs, setting: real(docs, setting).withColumn("cls", F.when(F.col("cls") % 3 == 0, F.lit(name)).otherwise(F.col("cls"))))
     monkeypatch.setattr(jaccard_join, "MOST_CLASHES", 0)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     with pytest.raises(RuntimeError, match="clash"):
         jaccard_join.linked(docs, jaccard_join.Setting(n=4, least=85))
-    assert real_sets is jaccard_join.shingle_sets
 
 
 def test_keep_one_by_row_against_brute_force(spark):
@@ -378,8 +366,3 @@ def test_warc_files_stream(monkeypatch):
 def test_warc_dates():
     assert warc_revisit.micros("1970-01-01T00:00:01.5Z") == 1_500_000 == warc_revisit.micros("1970-01-01T00:00:01.500000")
     assert warc_revisit.micros("1970-01-01T01:00:00+01:00") == 0 and warc_revisit.micros("soon") is None and warc_revisit.micros(None) is None
-
-
-def test_crc_of_ids_is_the_contracts(spark, small):
-    rows = packing.pack(spark.read.parquet(f"{small}/documents.parquet").limit(3)).toPandas()
-    assert rows.ids_crc32.between(0, 2**32 - 1).all() and zlib.crc32(b"") == 0 and isinstance(rows, pd.DataFrame)
