@@ -158,8 +158,8 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     dealt = docs.mapInArrow(deal, f"to int, extra boolean, key binary, doc_id {kind}, text string")
-    # a range's own rows come before the copies, whose keys may be the smallest of all
-    dealt = dealt.repartition(n, "to").sortWithinPartitions("to", "extra", "key")
+    # a range is a task: by hash several would meet in one. Its own rows come before the copies, whose keys may be the smallest of all
+    dealt = dealt.repartitionById(n, "to").sortWithinPartitions("to", "extra", "key")
     return dealt.drop("key").mapInArrow(_walk, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

@@ -156,6 +156,9 @@ def test_successors_of_repeated_and_null_ids(spark, monkeypatch):
         want[name, len(text), hashlib.sha256(edited.encode()).hexdigest()] += 1
     assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
     assert len(fingerprint._starts(docs)) > 5
+    # a range is a task, so no task has more than one range's rows; equal rows stay together
+    tasks = fingerprint.fingerprint(docs).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) == len(fingerprint._starts(docs))
 
 
 def plain_fingerprint(text, hashes=128):
