@@ -237,7 +237,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, setting: Packing = Packi
     # rows without ids that are equal are dealt out by their place in the table of pieces
     place = F.when(F.col("doc_id").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1024)))
     dealt = rest.withColumn("_h", F.xxhash64("doc_id", "piece", "ids_crc32", place)).withColumn("share", F.pmod("_h", F.lit(shares)).cast("int"))
-    dealt = dealt.repartition(shares, "share").sortWithinPartitions("share", "_h", "doc_id", "piece", "ids_crc32", "length", "start").drop("_h")
+    # a share is a task: by hash several would meet in one
+    dealt = dealt.repartitionById(shares, "share").sortWithinPartitions("share", "_h", "doc_id", "piece", "ids_crc32", "length", "start").drop("_h")
     packed = dealt.mapInArrow(run, every.schema.add("sequence_id", "long").add("offset", "long"))
     alone = full.withColumn("sequence_id", F.monotonically_increasing_id() * 2 + 1).withColumn("offset", F.lit(0).cast("long"))
     return packed.unionByName(alone)

@@ -44,6 +44,13 @@ def test_sequences_stay_apart_however_the_result_is_dealt(spark, change):
     check_packing(packed.toPandas(), [(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def test_a_share_is_a_task(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string").repartition(4)
+    packed = packing.pack(docs, setting=packing.Packing(pieces_per_task=10))
+    found = packed.select(F.spark_partition_id().alias("task"), F.expr("sequence_id div 2 % 20").alias("share")).distinct().collect()
+    assert len(found) == len({r["task"] for r in found}) == len({r["share"] for r in found}) == 20
+
+
 def test_equal_rows_without_ids_are_dealt_out(spark):
     rows = [(None, "the same text")] * 40 + [(i, "the same text") for i in range(10)] + [(None, None)] * 5
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
