@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import importable
-from . import fingerprint, html_extract, jaccard_join, language_id, license_scan, mixing, packing, quality_rules, toxicity, warc_revisit
+from . import fingerprint, html_extract, jaccard_join, language_id, license_scan, mixing, multi_index, packing, quality_rules, resampling, toxicity, warc_revisit, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -191,3 +191,24 @@ FROM m
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = warc_revisit.resolve(page_records(spark.read.parquet(f"{sf_dir}/pages.parquet")))
     return got.withColumn("headers", warc_revisit.header_text(F.col("headers")))
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+@query("op11_multi_index")
+def op11_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = embeddings(spark, sf_dir)
+    return multi_index.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = embeddings(spark, sf_dir)
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
+@query("op13_resampling")
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
