@@ -56,9 +56,11 @@ class Index:
 
 
 def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances of all pairs of rows; good to rounding of the squared lengths."""
+    """Squared distances of all pairs of rows; good to rounding of the squared lengths, infinite where those overflow."""
     with np.errstate(over="ignore", invalid="ignore"):
-        return np.maximum((a * a).sum(1)[:, None] - 2 * (a @ b.T) + (b * b).sum(1)[None, :], 0)
+        found = np.maximum((a * a).sum(1)[:, None] - 2 * (a @ b.T) + (b * b).sum(1)[None, :], 0)
+    found[np.isnan(found)] = np.inf
+    return found
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -78,7 +80,8 @@ def centroids_of(points: np.ndarray, k: int, iterations: int) -> np.ndarray:
         near = np.concatenate([squares(points[i : i + 4096], found).argmin(1) for i in range(0, len(points), 4096)])
         many = np.bincount(near, minlength=len(found))
         order = np.argsort(near, kind="stable")
-        sums = np.add.reduceat(points[order], np.minimum(np.cumsum(many) - many, len(points) - 1), axis=0)
+        with np.errstate(over="ignore", invalid="ignore"):
+            sums = np.add.reduceat(points[order], np.minimum(np.cumsum(many) - many, len(points) - 1), axis=0)
         found = np.where(many[:, None] > 0, sums / np.maximum(many, 1)[:, None], found)
     return found
 
@@ -193,7 +196,8 @@ def _best(ids: np.ndarray, asked: np.ndarray, x: np.ndarray, names: pa.ListArray
         near = np.where(met, near, np.inf)
     # one more than k, as an entry may hold the query's id alone; rounding of the products is far below the slack
     most = np.partition(near, k, axis=1)[:, k] if near.shape[1] > k + 1 else np.full(len(ids), np.inf)
-    slack = 1e-9 * ((asked * asked).sum(1) + (x * x).sum(1).max(initial=0))
+    with np.errstate(over="ignore"):
+        slack = 1e-9 * ((asked * asked).sum(1) + (x * x).sum(1).max(initial=0))
     keep = ~(near > (most + slack)[:, None])
     if met is not None:
         keep &= met

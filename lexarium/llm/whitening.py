@@ -142,12 +142,11 @@ def lanczos(product: Callable[[np.ndarray], np.ndarray], size: int, wanted: int,
         # the space is spent, the residuals are rounding, or they were nearly and no longer fall
         if basis.shape[1] >= size or worst <= setting.residual or worst < 1e3 * setting.residual and stale >= 3:
             break
+        # outside the whole basis, also where only its best part goes on
+        block = _orthogonal(image, basis, rng, size - basis.shape[1], 1e-12 * scale)
         if basis.shape[1] + block.shape[1] > most:
-            keep = 2 * wanted
+            keep = most // 2
             basis, images = basis @ inner[:, :keep], images @ inner[:, :keep]
-        block = _orthogonal(image, basis, rng, size - basis.shape[1], 1e-12 * scale)
-        if not block.shape[1]:
-            break
     return top, ritz, residuals, passes
 
 

@@ -30,15 +30,23 @@ ODD = [(None, [1.0, 2.0, 3.0, 4.0]), (900, None), (901, []), (902, [1.0, 2.0]),
 # ---- multi-index
 
 
+def distance(a, b):
+    """Squares summed in order; Python's own sum would correct for rounding."""
+    total = 0.0
+    for x, y in zip(a, b, strict=True):
+        total += (x - y) * (x - y)
+    return math.sqrt(total)
+
+
 def plain_nearest(rows, k=10, every=100):
     """``query_id, rank, vec_id, score`` by comparing all pairs of given rows."""
     good = [(i, np.array(v, np.float32).astype(float)) for i, v in rows if i is not None and v is not None and len(v) == 4 and all(c is not None and math.isfinite(c) for c in v) and any(v)]
     out, queries_ = [], {}
     for i, v in good:
         if i % every == 0:
-            queries_[i] = min((tuple(v), v), (tuple(queries_[i]), queries_[i]))[1] if i in queries_ else v
+            queries_[i] = np.array(min(tuple(v), tuple(queries_.get(i, v))))
     for q, v in queries_.items():
-        near = {(math.sqrt(sum((a - b) ** 2 for a, b in zip(v, w, strict=True))), i, tuple(w)) for i, w in good if i != q}
+        near = {(distance(v, w), i, tuple(w)) for i, w in good if i != q}
         out += [(q, r, i, s) for r, (s, i, _) in enumerate(sorted(near)[:k], 1)]
     return sorted(out)
 
@@ -73,7 +81,7 @@ def test_recall_on_the_given_table(spark):
     assert multi_index.recall(got, spark.createDataFrame(best, "query_id long, vec_id long")) >= 0.9
     at = {int(i): v for i, v in zip(rows.vec_id, x, strict=True)}
     for r in got.collect():
-        assert r["score"] == math.sqrt(sum((a - b) ** 2 for a, b in zip(at[r["query_id"]].tolist(), at[r["vec_id"]].tolist(), strict=True)))
+        assert r["score"] == distance(at[r["query_id"]].tolist(), at[r["vec_id"]].tolist())
 
 
 def test_measured_recall_is_reached_by_few_entries_in_clusters(spark):
