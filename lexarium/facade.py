@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import graph, search
+from .operators import graph, index, search, segments
+from .storage import exists, new_path
 from .streaming.mentions import append_feedback
 
 
@@ -37,6 +38,7 @@ class Library:
     def __init__(self, spark: SparkSession, pages: DataFrame, nav: list | None = None, backend: Backend | Callable[[str, int], DataFrame] | None = None, rewrite: Callable[[str], str] = lambda q: q):
         self.spark, self.pages, self.backend, self.rewrite = spark, pages, backend, rewrite
         self.config = nav or []
+        self._own: str | None = None
         self.nav = graph.flattened(spark, self.config)
 
     def search_docs(self, query: str, limit: int = 10) -> DataFrame:
@@ -50,10 +52,21 @@ class Library:
             except Exception:  # whatever a caller's backend raises, the lexical index answers instead
                 log.warning("the search backend failed", exc_info=True)
         asked = search.query_tokens(self.spark.createDataFrame([(1, query)], "id int, q string"), "id", "q")
-        ranked = search.bm25(asked, self.pages, "path", text.page_tokens(F.col("content")), limit).drop("query_id")
+        ranked = index.search(self.spark, self._index(), asked, limit).drop("query_id")
         meta = self.pages.select(F.col("path").alias("doc"), text.title(F.col("content")).alias("title"), text.description(F.col("content")).alias("description"))
         return ranked.join(meta, "doc").select("rank", F.col("doc").alias("path"), "title", "description", F.round("score", 4).alias("score")).orderBy("rank")
 
+    def _index(self) -> str:
+        """Path of the index of the pages: that of their files' state, or one made by the first search for pages that aren't files."""
+        words = text.page_tokens(F.col("content"))
+        try:
+            return index.stored(self.pages, "path", "page", words)
+        except ValueError:
+            if self._own is None or not exists(self.spark, f"{self._own}/current"):
+                self._own = new_path(self.spark, "pages-index")
+                segments.create(self.pages, "path", words, self._own)
+            return self._own
+
     def get_doc(self, path: str) -> DataFrame:
         """The page at a path, else the first whose path ends with it."""
         asked = self.spark.createDataFrame([(path,)], "asked string")

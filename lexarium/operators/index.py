@@ -1,128 +1,78 @@
-"""A stored inverted index: postings by token bucket, document lengths' sum, and the counts that BM25 needs.
+"""Stored indexes: of a table of files, found again by what the table is, and of chunk tables with vectors.
 
-``write`` makes three tables below a path; ``search`` answers batches of queries from them.  Postings are partitioned by a hash of the token, so a
-search reads only the buckets of its tokens; tf and document length stand in the posting itself, and only the tokens' df is joined.
-"""
+Postings, their search and their upkeep are ``segments``'; here stand the tables that are indexed."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import tokens as token_list
 from ..sources import files
-from ..storage import exists, shared_dir
-from .search import SYNONYMS, B, K1, embedded, expanded, fused, idf, nearest, top
+from ..storage import exists, new_path
+from . import neighbors, segments
+from .search import SYNONYMS, embedded, expanded, fused, top
+from .segments import search, term_frequencies, term_stats
 from .sync import index_diff
 
+__all__ = ["chunk_metadata", "create", "hybrid", "search", "stored", "synced", "term_frequencies", "term_stats"]
 
-#: Tasks that a frequent token's postings are dealt to.
-SALTS = 16
-#: Bytes of a table's files for each bucket of its index.
-BUCKET_BYTES = 64 << 20
-#: Tokens of a batch of queries that are broadcast: some 60 bytes each.
-BROADCAST_TOKENS = 100_000
 
+def stored(docs: DataFrame, key: str, how: str, tokens: Column) -> str:
+    """Path of the index of a table of files, written once for each state of the table in a session, and anew if it has gone (``storage.release`` frees it).
 
-def _bucket(token: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
+    A state is the table's plan, so a filtered table isn't the whole one, the names, lengths and times of its files, and ``how``, the caller's name for the way that ``tokens`` cuts texts.
+    A table that doesn't come from files alone has no state to know it by and is an error: index it by ``segments.create``."""
+    spark, state = docs.sparkSession, _state(docs)
+    if state is None:
+        raise ValueError("the table has no files to know it by")
+    for plan, known, path in _STORED:
+        if known == (key, how, state, spark.sparkContext.applicationId) and plan.sameSemantics(docs) and exists(spark, f"{path}/current"):
+            return path
+    path = new_path(spark, "index")
+    segments.create(docs, key, tokens, path)
+    _STORED.append((docs, (key, how, state, spark.sparkContext.applicationId), path))
+    return path
 
 
-def _runs(sorted_tokens: str) -> Column:
-    """``token, tf`` of every distinct token of a sorted array column: where runs begin, and how far it is to the next."""
-    s, n = F.col(sorted_tokens), F.size(sorted_tokens)
-    begins = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
-    ends = lambda starts: F.concat(F.slice(starts, 2, F.size(starts)), F.array(n + 1))
-    # a one-element array binds the beginnings, so they are found once
-    runs = F.transform(F.array(begins), lambda starts: F.zip_with(starts, ends(starts), lambda x, y: F.struct(F.get(s, x - 1).alias("token"), (y - x).cast("long").alias("tf"))))
-    return F.when(n > 0, F.get(runs, F.lit(0)))
+#: Tables, the states they were in, and their indexes.
+_STORED: list[tuple[DataFrame, tuple, str]] = []
 
 
-def write(docs: DataFrame, key: str, tokens: Column, path: str, buckets: int = 64) -> None:
-    """Index of ``docs``. Texts are read and cut once, a document's tokens are counted where it lies, and postings move once: to ``SALTS`` tasks for each
-    bucket, so a token of many documents is several tasks' work, and a bucket is at most so many files, sorted by token and document."""
-    base = docs.select(F.col(key).alias("doc"), F.sort_array(tokens).alias("t"))
-    counted = base.select("doc", F.size("t").cast("long").alias("n"), _runs("t").alias("runs"))
-    # every document has a posting of no token besides, which counts it and its length, also where it has no token
-    none = F.array(F.struct(F.lit(None).cast("string").alias("token"), F.lit(0).cast("long").alias("tf")))
-    post = counted.select("doc", "n", F.explode(F.concat(none, F.coalesce("runs", F.array().cast("array<struct<token:string,tf:bigint>>")))).alias("r")).select("doc", "n", "r.token", "r.tf")
-    placed = post.withColumn("bucket", F.when(F.col("token").isNull(), -1).otherwise(_bucket(F.col("token"), buckets)))
-    placed = placed.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(SALTS))).sortWithinPartitions("bucket", "token", "doc")
-    placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    spark = docs.sparkSession
-    stored = spark.read.parquet(f"{path}/postings")
-    terms = stored.where("bucket >= 0").groupBy("bucket", "token").agg(F.count("*").alias("df")).repartition("bucket")
-    terms.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
-    lengths = stored.where("bucket = -1")
-    lengths.agg(F.count("*").alias("total"), F.greatest(F.avg("n"), F.lit(1.0)).alias("mean"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/corpus")
-
-
-def search(spark: SparkSession, path: str, queries: DataFrame, k: int, query_key: str = "query_id") -> DataFrame:
-    """Top ``k`` of each query (``query_id, token`` per occurrence): ``query_id, rank, doc, score``, as ``search.bm25`` gives it.
-
-    ``queries`` is a batch that a caller asks; its distinct buckets, at most as many as the index has, are pushed into the scan as partitions."""
-    corpus = spark.read.parquet(f"{path}/corpus").first()
-    asked = queries.groupBy(query_key, "token").agg(F.count("*").alias("times")).withColumn("bucket", _bucket(F.col("token"), corpus["buckets"]))
-    sizes = asked.groupBy("bucket").agg(F.count("*").alias("n")).collect()
-    wanted = [r["bucket"] for r in sizes]
-    post = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(wanted))
-    terms = spark.read.parquet(f"{path}/terms").where(F.col("bucket").isin(wanted))
-    weighed = asked.join(terms, ["bucket", "token"])
-    # a batch of few tokens goes to the postings; of a larger one, the postings go to the tokens
-    scored = post.join(F.broadcast(weighed) if sum(r["n"] for r in sizes) <= BROADCAST_TOKENS else weighed, ["bucket", "token"])
-    norm = 1 - B + B * (F.col("n") / F.lit(corpus["mean"]))
-    part = F.col("times") * idf(F.lit(corpus["total"]), F.col("df")) * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * norm)
-    totals = scored.groupBy(query_key, "doc").agg(F.sum(part).alias("score")).where("score > 0")
-    return top(totals, [query_key], [F.round("score", 9).desc(), F.col("doc")], k).select(query_key, "rank", "doc", "score")
-
-
-def stored(docs: DataFrame, key: str, how: str, tokens: Column, buckets: int | None = None) -> str:
-    """Path of the index of a table of files, written once for each state of the files in a session, and anew if it has gone.
-
-    A state is the files' names, lengths and times, and ``how``, the caller's name for the way that ``tokens`` cuts texts; searches, term statistics and
-    term frequencies of that state all read what was written.  Without ``buckets`` there is one for each ``BUCKET_BYTES`` of the files, from 8 to 4096."""
+def _state(docs: DataFrame) -> tuple | None:
+    """Number, bytes and a digest of the names, lengths and times of a table's files, found by one small job; null if a leaf of the plan isn't files."""
     spark = docs.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    state, size = [key, how, str(buckets), spark.sparkContext.applicationId], 0
-    for name in sorted(docs.inputFiles()):
-        at = jvm.org.apache.hadoop.fs.Path(name)
-        status = at.getFileSystem(conf).getFileStatus(at)
-        size += status.getLen()
-        state += [name, str(status.getLen()), str(status.getModificationTime())]
-    state = "\n".join(state)
-    path = _STORED.get(state)
-    if path is None or not exists(spark, f"{path}/corpus/_SUCCESS"):
-        path = _STORED[state] = f"{shared_dir(spark)}/lexarium/index-{uuid.uuid4().hex}"
-        write(docs, key, tokens, path, buckets or max(8, min(4096, size // BUCKET_BYTES)))
-    return path
-
-
-_STORED: dict[str, str] = {}
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    if any("relation" not in leaves.apply(i).nodeName().lower() or leaves.apply(i).nodeName() == "LocalRelation" for i in range(leaves.size())):
+        return None
+    names = docs.inputFiles()
+    if not names:
+        return None
+    listed = spark.read.format("binaryFile").load(names).select("path", "modificationTime", "length")
+    return tuple(listed.agg(F.count("*"), F.sum("length"), F.bit_xor(F.xxhash64("path", "modificationTime", "length"))).first())
 
 
-def term_frequencies(spark: SparkSession, path: str) -> DataFrame:
-    """``doc, token, tf`` of an index."""
-    return spark.read.parquet(f"{path}/postings").where("bucket >= 0").select("doc", "token", "tf")
+# ---- chunks with vectors
 
+CHUNKS = "chunk_id string, path string, title string, description string, heading string, content string, content_hash string, embedding array<float>"
+_NAMES = [column.split()[0] for column in CHUNKS.split(", ")]
 
-def term_stats(spark: SparkSession, path: str) -> DataFrame:
-    """``token, df, total``: the corpus is one row."""
-    total = spark.read.parquet(f"{path}/corpus").first()["total"]
-    return spark.read.parquet(f"{path}/terms").select("token", "df", F.lit(total).alias("total"))
 
+def _words() -> Column:
+    return token_list(F.concat_ws(" ", "title", "heading", "content"))
 
-# ---- chunks with vectors
 
-CHUNKS = "chunk_id string, path string, title string, description string, heading string, content string, content_hash string, embedding array<float>"
+def chunks_of(spark: SparkSession, path: str) -> DataFrame:
+    """The chunks of a chunk table as they are now."""
+    found = segments.rows(spark, path) if files.current(spark, path) else None
+    return found if found is not None else spark.createDataFrame([], CHUNKS)
 
 
 def chunk_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Keys and hashes of a stored chunk table: three columns of the scan."""
-    return spark.read.parquet(path).select("chunk_id", "path", "content_hash")
+    return chunks_of(spark, path).select("chunk_id", "path", "content_hash")
 
 
 SYNONYM_COLUMNS = "`group` int, term string"
@@ -133,22 +83,21 @@ def create(spark: SparkSession, path: str, synonyms: tuple[tuple[str, ...], ...]
     if files.current(spark, path) and not recreate:
         return False
     spark.createDataFrame([(i, t) for i, g in enumerate(synonyms) for t in g], SYNONYM_COLUMNS).write.mode("overwrite").parquet(f"{path}/synonyms")
-    files.point_to(spark, path, spark.createDataFrame([], CHUNKS))
+    segments.create(spark.createDataFrame([], CHUNKS), "chunk_id", _words(), path, _NAMES)
     return True
 
 
-def hybrid(spark: SparkSession, path: str, queries: DataFrame, k: int, embed: Callable[[list[str]], list[list[float]]] | None = None, wide: int = 30) -> DataFrame:
+def hybrid(spark: SparkSession, path: str, queries: DataFrame, k: int, embed: Callable[[list[str]], list[list[float]]] | None = None, wide: int = 30, near_at: str | None = None) -> DataFrame:
     """Top ``k`` pages of each query (``query_id string, q``): ``query_id, rank, path, chunk_id, title, heading, score``.
 
     Chunks are ranked by BM25 over the queries with their synonyms and, with ``embed``, by the cosine of vectors, ``wide`` of each; the lists are fused by reciprocal ranks, and a page
-    counts by its best chunk.  The lexical index of the table's version is written by the first search of a session."""
-    chunks = spark.read.parquet(files.current(spark, path))
-    words = token_list(F.concat_ws(" ", "title", "heading", "content"))
+    counts by its best chunk.  ``near_at``: an inverted file of the chunks' vectors (``neighbors.build``), in whose nearest cells they are then sought."""
+    chunks = chunks_of(spark, path)
     asked = expanded(queries, "query_id", "q", spark.read.parquet(f"{path}/synonyms"))
-    lists = [search(spark, stored(chunks, "chunk_id", "title, heading, content", words), asked, wide).select("query_id", F.col("doc").alias("chunk_id"), "rank")]
+    lists = [search(spark, path, asked, wide).select("query_id", F.col("doc").alias("chunk_id"), "rank")]
     if embed:
         vectors = embedded(queries.select(F.col("query_id").alias("chunk_id"), "q"), "q", "embedding", embed)
-        near = nearest(vectors, chunks.where("embedding IS NOT NULL"), wide, "chunk_id")
+        near = neighbors.search(spark, near_at, vectors, wide, key="chunk_id") if near_at else neighbors.nearest(vectors, chunks, wide, "chunk_id")
         lists.append(near.select(F.col("chunk_id").alias("query_id"), F.col("neighbor").alias("chunk_id"), "rank"))
     scored = fused(lists, ["query_id", "chunk_id"]).join(chunks.select("chunk_id", "path", "title", "heading"), "chunk_id")
     best = top(scored, ["query_id", "path"], [F.round("rrf", 9).desc(), F.col("chunk_id")], 1).drop("rank")
@@ -158,19 +107,21 @@ def hybrid(spark: SparkSession, path: str, queries: DataFrame, k: int, embed: Ca
 def synced(spark: SparkSession, path: str, chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]] | None = None, recreate: bool = False, dry_run: bool = False) -> dict[str, int]:
     """Bring the chunk table at ``path`` to ``chunks`` (columns of ``CHUNKS`` but the vector): how many were new, changed, unchanged and deleted.
 
-    Only new and changed chunks are embedded.  The next version is written whole and then pointed to (``files.point_to``), so readers see one state or the other; a run
-    that is repeated finds nothing to do.  ``recreate`` takes the table for empty, ``dry_run`` only counts."""
-    now = None if recreate else files.current(spark, path)
-    names = [f.name for f in T.StructType.fromDDL(CHUNKS)]
-    empty = spark.createDataFrame([], CHUNKS)
-    old = spark.read.parquet(now).select(*names) if now else empty
+    Only new and changed chunks are embedded, and only they are written, as a segment of the index; those that changed or went are marked in it.  Segments are joined when enough of a size are
+    there.  A run that is repeated finds nothing to do.  ``recreate`` takes the table for empty, ``dry_run`` only counts."""
+    old = spark.createDataFrame([], CHUNKS) if recreate else chunks_of(spark, path)
     states = index_diff(chunks, old, "chunk_id", "content_hash")
     counts = {r["state"]: r["n"] for r in states.groupBy("state").agg(F.count("*").alias("n")).collect()}
     counts = {s: counts.get(s, 0) for s in ("new", "changed", "unchanged", "deleted")}
-    if dry_run or (now and not counts["new"] + counts["changed"] + counts["deleted"]):
+    there = bool(files.current(spark, path)) and not recreate
+    if dry_run or (there and not counts["new"] + counts["changed"] + counts["deleted"]):
         return counts
     fresh = chunks.join(states.where("state IN ('new', 'changed')").select("chunk_id"), "chunk_id", "left_semi").drop("embedding")
     fresh = embedded(fresh, "content", "embedding", embed) if embed else fresh.withColumn("embedding", F.lit(None).cast("array<float>"))
-    kept = old.join(states.where("state = 'unchanged'").select("chunk_id"), "chunk_id", "left_semi")
-    files.point_to(spark, path, kept.unionByName(fresh.select(*names)))
+    if not there:
+        segments.create(fresh.select(*_NAMES), "chunk_id", _words(), path, _NAMES)
+    else:
+        new = fresh.select(*_NAMES) if counts["new"] + counts["changed"] else None
+        segments.updated(spark, path, new, _words(), states.where("state = 'deleted'").select("chunk_id"), _NAMES)
+        segments.merged(spark, path)
     return counts

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import tokens as token_list
+from .neighbors import nearest  # noqa: F401, the exact one stands beside the other ways to search
 
 K1, B = 1.5, 0.75
 #: Synonyms that are broadcast; a longer dictionary is joined.
@@ -131,54 +131,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 2000) -> DataFrame:
-    """Exact cosine neighbours of a stated query set among all vectors, themselves excluded: ``key, neighbor, rank, sim``.
-
-    Queries are taken in blocks of about ``block``, each sent to all tasks as one matrix; vectors stream by as Arrow batches and are multiplied with it, and a task
-    keeps the k nearest of each query, so what is shuffled is k rows a query and task.  Ties go to the smaller neighbour.  A vector without length has no
-    similarity."""
-    spark, blocks = queries.sparkSession, max(1, -(-queries.count() // block))
-    kind = vectors.schema[key].dataType.simpleString()
-    out = None
-    for i in range(blocks):
-        mine = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i).select(key, vector).toArrow()
-        out_block = _block_nearest(vectors.select(key, vector), spark.sparkContext.broadcast((_names(mine.column(0)), _units(mine.column(1).combine_chunks()), mine.schema.field(0).type)), k, key, kind)
-        out = out_block if out is None else out.unionByName(out_block)
-    return out
-
-
-def _names(ids: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Ids as an array that sorts: numbers, or texts of one width."""
-    return ids.to_numpy(zero_copy_only=False) if isinstance(ids, pa.Array) and pa.types.is_integer(ids.type) else np.array(ids.to_pylist()) if len(ids) else np.zeros(0, np.int64 if pa.types.is_integer(ids.type) else "U1")
-
-
-def _units(vectors: pa.Array) -> np.ndarray:
-    rows = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return rows / np.linalg.norm(rows, axis=1, keepdims=True)
-
-
-def _block_nearest(vectors: DataFrame, sent, k: int, key: str, kind: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, asked, id_type = sent.value
-        best_sim, best_id = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.asarray(ids).dtype)
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            other = _names(batch.column(0))
-            sims = np.round(asked @ _units(batch.column(1)).T, 9)
-            sims[(ids[:, None] == other[None, :]) | np.isnan(sims)] = -np.inf
-            sims, names = np.hstack([best_sim, sims]), np.hstack([best_id, np.broadcast_to(other, (len(ids), len(other)))])
-            at = np.lexsort((names, -sims))[:, :k]
-            best_sim, best_id = np.take_along_axis(sims, at, 1), np.take_along_axis(names, at, 1)
-        found = np.isfinite(best_sim)
-        row = np.nonzero(found)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[row].tolist(), id_type), pa.array(best_id[found].tolist(), id_type), pa.array(best_sim[found])], [key, "neighbor", "sim"])
-
-    sims = vectors.mapInArrow(run, f"{key} {kind}, neighbor {kind}, sim double")
-    return top(sims, [key], [F.col("sim").desc(), F.col("neighbor")], k).select(key, "neighbor", "sim", "rank")
-
-
 def embedded(rows: DataFrame, text: str, out: str, embed: Callable[[list[str]], list[list[float]]], batch: int = 100) -> DataFrame:
     """``rows`` with ``out``, the vectors that ``embed`` gives for the texts, ``batch`` at a time, in each task. Null texts are embedded as empty ones.
 

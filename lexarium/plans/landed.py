@@ -58,7 +58,7 @@ def chunk_metadata(spark, sf_dir):
     path = new_path(spark, "chunks")
     for version in chunk_versions(spark, sf_dir, "true"):
         index.synced(spark, path, version, lengths)
-    return index.chunk_metadata(spark, files.current(spark, path))
+    return index.chunk_metadata(spark, path)
 
 
 @query(

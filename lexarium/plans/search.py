@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import index, search
+from ..operators import index, neighbors, search, segments
 from ..registry import query
 from ..session import table
+from ..storage import new_path
 from .inline import Inline
 from .text import duck_tokens
 
@@ -55,6 +56,43 @@ def bm25_batch_topk(spark, sf_dir):
     return found(spark, sf_dir, asked, 5).withColumn("score", F.round("score", 4))
 
 
+def grown(spark, sf_dir, merge: bool) -> str:
+    """An index that comes to hold the documents in steps: most of them, some with other texts; then the others; then the right texts, and what doesn't belong goes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path, words = new_path(spark, "grown"), text.tokens(F.col("text"))
+    wrong = docs.where("doc_id % 3 <> 0").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("license "), "text")).otherwise(F.col("text")).alias("text"))
+    stray = docs.where("doc_id % 11 = 0").select((-F.col("doc_id") - 1).alias("doc_id"), "text")
+    segments.create(wrong.unionByName(stray), "doc_id", words, path)
+    segments.updated(spark, path, docs.where("doc_id % 3 = 0"), words)
+    segments.updated(spark, path, docs.where("doc_id % 3 <> 0 AND doc_id % 7 = 0"), words, stray.select("doc_id"))
+    if merge:
+        segments.merged(spark, path, [[s["id"] for s in segments.manifest(spark, path).segments]])
+    return path
+
+
+@query("bm25_after_updates", bm25_sql(f"SELECT item_id AS query_id, unnest({duck_tokens('text')}) AS token FROM benchmark", DOCS_SQL, 10))
+def bm25_after_updates(spark, sf_dir):
+    """Three segments and their deletions answer as an index made at once."""
+    asked = search.query_tokens(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return segments.search(spark, grown(spark, sf_dir, False), asked, 10).withColumn("score", F.round("score", 4))
+
+
+@query("bm25_after_merge", bm25_sql(f"SELECT item_id AS query_id, unnest({duck_tokens('text')}) AS token FROM benchmark", DOCS_SQL, 10))
+def bm25_after_merge(spark, sf_dir):
+    """And so does the one segment that they become."""
+    asked = search.query_tokens(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return segments.search(spark, grown(spark, sf_dir, True), asked, 10).withColumn("score", F.round("score", 4))
+
+
+@query("bm25_work", f"SELECT query_id, COUNT(DISTINCT token)::BIGINT AS tokens, TRUE AS skips FROM (SELECT query_id, unnest({duck_tokens('q')}) AS token FROM {ASKED.sql}) WHERE token IN (SELECT unnest({duck_tokens('text')}) FROM documents) GROUP BY query_id")
+def bm25_work(spark, sf_dir):
+    """How much of their lists searches score: never more blocks than there are."""
+    asked = search.query_tokens(ASKED.df(spark), "query_id", "q")
+    path = documents_index(spark, sf_dir)
+    tokens = asked.join(segments.term_stats(spark, path), "token", "left_semi").groupBy("query_id").agg(F.countDistinct("token").alias("tokens"))
+    return segments.opened(spark, path, asked, 10).join(tokens, "query_id").select("query_id", "tokens", (F.col("opened") <= F.col("blocks")).alias("skips"))
+
+
 @query(
     "term_stats",
     f"""WITH p AS (SELECT DISTINCT doc_id, unnest({duck_tokens('text')}) AS token FROM documents), n AS (SELECT COUNT(*) AS total FROM documents)
@@ -116,6 +154,20 @@ def knn_cosine_topk(spark, sf_dir):
     return search.nearest(vectors.where("vec_id % 20 = 0"), vectors, 10).withColumn("sim", F.round("sim", 6))
 
 
+@query(
+    "ann_recall",
+    "SELECT COUNT(*) FILTER (WHERE vec_id % 20 = 0)::BIGINT AS queries, (COUNT(*) FILTER (WHERE vec_id % 20 = 0) * least(10, COUNT(*) - 1))::BIGINT AS neighbors, TRUE AS reached FROM embeddings",
+)
+def ann_recall(spark, sf_dir):
+    """An inverted file finds nine tenths at least of the exact neighbours of all queries; what it probes is measured on a sample of them."""
+    vectors = table(spark, sf_dir, "embeddings")
+    path, asked = new_path(spark, "inverted-file"), vectors.where("vec_id % 20 = 0")
+    neighbors.build(vectors, path)
+    best, found = neighbors.nearest(asked, vectors, 10), neighbors.search(spark, path, asked, 10)
+    hits = best.select("vec_id", "neighbor").join(found.select("vec_id", "neighbor", F.lit(1).alias("hit")), ["vec_id", "neighbor"], "left")
+    return hits.agg(F.countDistinct("vec_id").alias("queries"), F.count("*").alias("neighbors"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("reached"))
+
+
 @query(
     "knn_label_purity",
     f"""SELECT own AS label, COUNT(*)::BIGINT AS n, AVG((own = other)::INT) AS purity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 9) DESC, neighbor) AS rank FROM ({KNN})) WHERE rank <= 10 GROUP BY own""",

@@ -227,14 +227,22 @@ def point_to(spark: SparkSession, path: str, rows: DataFrame) -> str:
     return f"{path}/v{number}"
 
 
-def put_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file in any of Hadoop's file systems."""
+def put_text(spark: SparkSession, path: str, text: str, overwrite: bool = True) -> None:
+    """A small file in any of Hadoop's file systems; without ``overwrite`` one that is there is an error."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, overwrite)
     stream.write(bytearray(text.encode()))
     stream.close()
 
 
+def removed_below(spark: SparkSession, folder: str, keep: set[str]) -> int:
+    """Delete what lies in a folder but for the names in ``keep``; how many entries went."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [entry.getPath() for entry in store.listStatus(at)] if store.exists(at) else []
+    return sum(store.delete(path, True) for path in found if path.getName() not in keep and not path.getName().startswith("."))
+
+
 def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, keys: list[str]) -> str:
     """Incoming rows into a table of versions, in place of those of the same keys. Returns the new version's folder."""
     now = current(spark, path)

@@ -168,7 +168,7 @@ def test_chunk_table_is_brought_up_to_date(spark, tmp_path):
     assert index.synced(spark, path, again, embed, dry_run=True) == {"new": 1, "changed": 1, "unchanged": 1, "deleted": 0}
     index.synced(spark, path, again, embed)
     now = files.current(spark, path)
-    assert {r["chunk_id"]: r["embedding"] for r in spark.read.parquet(now).collect()} == {"a": [1.0], "b": [2.0], "c": [1.0]}
+    assert {r["chunk_id"]: r["embedding"] for r in index.chunks_of(spark, path).collect()} == {"a": [1.0], "b": [2.0], "c": [1.0]}
     assert index.synced(spark, path, again, embed)["unchanged"] == 3 and files.current(spark, path) == now
     assert index.synced(spark, path, chunk([("a", "x")]), embed, recreate=True)["new"] == 1
 

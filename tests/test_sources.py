@@ -127,13 +127,13 @@ def test_feedback_loop(spark, tmp_path):
 
 def test_stored_index_answers_like_the_direct_search(spark, small, tmp_path):
     from lexarium.functions import text
-    from lexarium.operators import index, search
+    from lexarium.operators import index, search, segments
 
     docs = spark.read.parquet(f"{small}/documents.parquet")
     empty = spark.createDataFrame([(10_000, "the of", "en", "s", 6)], docs.schema)
     docs = docs.unionByName(empty)
     path = str(tmp_path / "index")
-    index.write(docs, "doc_id", text.tokens(F.col("text")), path, buckets=8)
+    segments.create(docs, "doc_id", text.tokens(F.col("text")), path)
     asked = search.query_tokens(spark.read.parquet(f"{small}/benchmark.parquet").where("item_id < 5"), "item_id", "text")
     rows = lambda df: [(r["query_id"], r["rank"], r["doc"], round(r["score"], 6)) for r in df.orderBy("query_id", "rank").collect()]
     got = index.search(spark, path, asked, 5)
@@ -148,7 +148,7 @@ def test_an_index_is_written_once_for_each_state(spark, tmp_path):
 
     path = str(tmp_path / "docs")
     spark.createDataFrame([(1, "one two"), (2, "two three")], "doc_id int, text string").write.parquet(path)
-    at = lambda: index.stored(spark.read.parquet(path), "doc_id", "text", text.tokens(F.col("text")), 4)
+    at = lambda: index.stored(spark.read.parquet(path), "doc_id", "text", text.tokens(F.col("text")))
     first = at()
     assert at() == first and index.term_stats(spark, first).where("token = 'two'").first()["df"] == 2
     assert {(r["doc"], r["token"], r["tf"]) for r in index.term_frequencies(spark, first).collect()} == {(1, "one", 1), (1, "two", 1), (2, "two", 1), (2, "three", 1)}
