@@ -108,3 +108,20 @@ def dispatched_once(found: DataFrame, days: int) -> DataFrame:
     times = found.select("id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).where("at IS NOT NULL")
     kept = times.repartition("id").sortWithinPartitions("id", "at").mapInArrow(fold, times.schema)
     return kept.select("id", F.timestamp_micros("at").alias("ts"))
+
+
+def living_counts(rows: DataFrame, key: Column, ts: str, days: int) -> DataFrame:
+    """``key, ts, n``: counters that live ``days`` days after their last row: the count at each time that adds to one, begun anew after a life without a row.
+
+    Rows are first counted by key and time; a key's times are then numbered by lives.  ``n`` is a running sum within a life."""
+    each = rows.select(key.alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at")).where("at IS NOT NULL").groupBy("key", "at").agg(F.count("*").alias("many"))
+    w = Window.partitionBy("key").orderBy("at")
+    begun = each.withColumn("_new", F.coalesce((F.col("at") - F.lag("at").over(w) >= days * 86_400_000_000).cast("int"), F.lit(0)))
+    lives = begun.withColumn("_life", F.sum("_new").over(w))
+    return lives.select("key", F.timestamp_micros("at").alias("ts"), F.sum("many").over(Window.partitionBy("key", "_life").orderBy("at")).alias("n"))
+
+
+def living_now(counts: DataFrame, days: int, now: Column) -> DataFrame:
+    """``key, n`` of the counters of ``living_counts`` that live at a time: their last row by then is less than ``days`` days old."""
+    last = counts.where(F.col("ts") <= now).groupBy("key").agg(F.max("ts").alias("ts"), F.max_by("n", "ts").alias("n"))
+    return last.where(F.unix_micros(now) - F.unix_micros("ts") < days * 86_400_000_000).select("key", "n")

@@ -10,6 +10,8 @@ from ..functions import text
 from ..operators import sessions, validation
 from ..registry import query
 from ..session import table
+from ..storage import new_path
+from ..streaming import mentions, stateful
 from .inline import Grown, Inline
 
 
@@ -161,6 +163,48 @@ def mention_dedupe_ttl(spark, sf_dir):
     return sessions.dispatched_once(rows, 2).select("id", F.unix_micros("ts").alias("at"))
 
 
+def replayed(spark, sf_dir, make):
+    """What a stream of the clicks (``id, ts``) in the events' file gives, written by the batch that it is. A clock, whose id is -1, ticks long after all clicks, so the watermark passes them."""
+    events = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events*.parquet")  # a stream reads a pattern or a folder
+    clock = stream.where("event_id % 100 = 0").select(F.lit(-1).cast("long").alias("id"), (F.col("ts") + F.expr("INTERVAL 1000 DAYS")).alias("ts"))
+    clicks = stream.where("event_type = 'click'").select(F.col("user_id").alias("id"), "ts").unionByName(clock)
+    path = new_path(spark, "stream")
+    mentions.run_once(make(clicks), f"{path}/checkpoint", lambda df, n: df.write.mode("overwrite").parquet(f"{path}/out/batch={n}"))
+    return spark.read.parquet(f"{path}/out").drop("batch")
+
+
+@query(
+    "dispatch_stream",
+    """WITH RECURSIVE e AS (SELECT user_id AS id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events WHERE event_type = 'click'),
+    w(id, ts, n, last, keep) AS (SELECT id, ts, n, ts, true FROM e WHERE n = 1 UNION ALL
+      SELECT e.id, e.ts, e.n, CASE WHEN e.ts - w.last > INTERVAL 2 DAY THEN e.ts ELSE w.last END, e.ts - w.last > INTERVAL 2 DAY FROM w JOIN e ON e.id = w.id AND e.n = w.n + 1)
+    SELECT id, epoch_us(ts)::BIGINT AS at FROM w WHERE keep""",
+)
+def dispatch_stream(spark, sf_dir):
+    """The rule of ``mention_dedupe_ttl`` in a stream: state by id, timers by event time."""
+    return replayed(spark, sf_dir, lambda s: stateful.dispatched_once(s, 2, "0 seconds")).where("id >= 0").select("id", F.unix_micros("ts").alias("at"))
+
+
+LIVING = """WITH e AS (SELECT user_id AS key, ts, COUNT(*) AS many FROM events WHERE event_type = 'click' GROUP BY ALL),
+    g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY key ORDER BY ts) >= INTERVAL 3 DAY THEN 1 ELSE 0 END AS new FROM e),
+    l AS (SELECT *, SUM(new) OVER (PARTITION BY key ORDER BY ts) AS life FROM g)
+    SELECT key, epoch_us(ts)::BIGINT AS at, (SUM(many) OVER (PARTITION BY key, life ORDER BY ts))::BIGINT AS n FROM l"""
+
+
+@query("living_counters", LIVING)
+def living_counters(spark, sf_dir):
+    clicks = table(spark, sf_dir, "events").where("event_type = 'click'")
+    return sessions.living_counts(clicks, F.col("user_id"), "ts", 3).select("key", F.unix_micros("ts").alias("at"), "n")
+
+
+@query("living_counters_stream", LIVING)
+def living_counters_stream(spark, sf_dir):
+    """The same in a stream; states that were forgotten aren't counts."""
+    got = replayed(spark, sf_dir, lambda s: stateful.living_counts(s, F.col("id"), "ts", 3, "0 seconds"))
+    return got.where("key >= 0 AND n > 0").select("key", F.unix_micros("ts").alias("at"), "n")
+
+
 @query("event_windows", "SELECT epoch(time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01'))::BIGINT AS start, event_type, COUNT(*)::BIGINT AS n FROM events GROUP BY ALL")
 def event_windows(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -1,8 +1,8 @@
 """Mention monitor and feedback loop as streams.
 
 Every function takes a streaming DataFrame (or a table) and gives one; ``run_once`` drives it through what is there and ends.
-Time-limited de-duplication is by event time: an id seen within the period is dropped, which bounds the state; the exact rule, where
-a skipped mention doesn't extend the period, is ``sessions.dispatched_once`` on a table."""
+Time-limited de-duplication is by event time. ``dispatches`` keeps the exact rule, where a skipped mention doesn't extend the period, as ``sessions.dispatched_once`` does on a table;
+``fresh_mentions`` drops an id seen within the period of the first, at once and without waiting for the watermark."""
 
 from __future__ import annotations
 
@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.labels import month
+from ..functions.labels import iso_week, month
 from ..operators import sessions
+from . import stateful
 
 FEEDBACK = "event string, timestamp string, user_request string, query string, result_paths array<string>, expected_result string, proposed_solution string"
 
@@ -34,6 +35,22 @@ def fresh_mentions(rows: DataFrame, keywords: list[str], period: str = "7 days")
     return with_event_time(found, "ts", period).dropDuplicatesWithinWatermark(["id"])
 
 
+def dispatches(rows: DataFrame, keywords: list[str], days: int = 7, delay: str = "1 hour") -> DataFrame:
+    """``id, ts`` of the mentions that are dispatched: the first of an id, and any over ``days`` days after its last dispatch."""
+    return stateful.dispatched_once(sessions.mentions(rows, "id", "ts", F.col("text"), keywords), days, delay)
+
+
+def living_months(found: DataFrame, days: int = 90, delay: str = "1 hour") -> DataFrame:
+    """Counters by keyword and month that live ``days`` days after their last mention: ``key`` (``keyword:month``), ``ts, n``."""
+    each = found.select("ts", F.explode("keywords").alias("keyword"))
+    return stateful.living_counts(each, F.concat_ws(":", "keyword", month(F.col("ts"))), "ts", days, delay)
+
+
+def living_weeks(dispatched: DataFrame, days: int = 14, delay: str = "1 hour") -> DataFrame:
+    """Counters of dispatches by ISO week that live ``days`` days after their last: ``key`` (the week), ``ts, n``."""
+    return stateful.living_counts(dispatched, iso_week(F.col("ts")), "ts", days, delay)
+
+
 def monthly_counts(found: DataFrame, late: str = "90 days") -> DataFrame:
     """Counts by keyword and month; state older than ``late`` is dropped."""
     rows = with_event_time(found, "ts", late).select("ts", F.explode("keywords").alias("keyword"))
