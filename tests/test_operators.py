@@ -217,6 +217,36 @@ def test_answers_keep_links_and_nothing_secret(raw, want):
     assert redaction.linked(raw) == want
 
 
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        ('password="a ghp_abcDEF123 b", then', "password=[REDACTED], then"),
+        ("token=https://h.example/x?y=1 end", "token=[REDACTED] end"),
+        ("see https://h.example/a?sig=x)y and token=z.", "see https://h.example/a?sig=[REDACTED])y and token=[REDACTED]."),
+        ("https://h.example/p/ghp_abcDEF123/q#/r?code=1&b=2", "https://h.example/p/[REDACTED]/q#/r?code=[REDACTED]&b=2"),
+        ("https://h.example/a%20b?q=%74oken%3Dabc", "https://h.example/a b?q=[REDACTED]"),
+        ("https://h.example/a?b=c#d.", "https://h.example/a?b=c#d."),
+        ("//host/share/f and \\\\host\\s\\g", "<PATH> and <PATH>"),
+    ],
+)
+def test_spans_that_overlap_hide_all_they_cover(raw, want):
+    assert redaction.linked(raw) == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["ghp_S3CRETabc ", "password=S3CRET ", "https://u:S3CRET@h.example/x?token=S3CRET ", "Authorization: S3CRET\n", "%74oken%3DS3CRET ", "plain words, ", "'/home/S3CRET/x' ", "(", '"', "\n\t", "Bearer S3CRET ", "pat=S3CRET. "]), max_size=8).map("".join))
+def test_no_mix_of_secrets_shows_one(raw):
+    for shown in (redaction.linked(raw), redaction.redacted(raw)[0]):
+        assert "S3CRET" not in shown
+    assert redaction.linked(redaction.linked(raw)) == redaction.linked(raw) or "%" in raw
+
+
+def test_spans_are_put_in_one_pass():
+    span = redaction.Span
+    assert redaction.shown("0123456789", [span(2, 4, "A"), span(3, 6, "B"), span(6, 7, "C"), span(8, 8, "+")]) == "01AC7+89"
+    assert redaction.shown("0123456789", [span(0, 10, "all"), span(1, 2, "x"), span(0, 3, "y")]) == "all"
+
+
 def test_diagnostics_hide_assignments_and_paths():
     assert redaction.redacted("authorization = Basic dXNlcjpwYXNz more")[0] == "Authorization=[REDACTED]"
     assert redaction.redacted("at /srv/x, D:\\a\\b; in /work", places=(("/work", "<ROOT>"),))[0] == "at <PATH>, <PATH>; in <ROOT>"
