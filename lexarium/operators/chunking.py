@@ -8,26 +8,35 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..functions import text
 
 HEADING = r"^#{2,4}\s+"
 
 
-def sections(pages: DataFrame, key: str, content: str) -> DataFrame:
-    """``key, section, heading, body`` of the parts that start at headings of levels two to four; before the first, ``Introduction``.
+def section_list(content: Column) -> Column:
+    """Sections of a page (``section, heading, body``) that start at headings of levels two to four; before the first, ``Introduction``.
 
     A heading line belongs to its section; empty sections go but keep their number; fences aren't looked at, so a heading in one counts."""
-    lines = pages.select(key, F.posexplode(F.split(text.without_front_matter(F.col(content)), text.LINE_BREAK)).alias("i", "line"))
-    w = Window.partitionBy(key).orderBy("i")
-    marked = lines.withColumn("_h", F.col("line").rlike(HEADING)).withColumn("_s", F.sum(F.col("_h").cast("int")).over(w))
-    # text before the first heading is a section of its own if it has any line
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n")
-    name = F.max(F.when(F.col("_h"), text.strip(F.regexp_replace("line", HEADING, ""))))
-    parts = marked.groupBy(key, "_s").agg(F.coalesce(text.or_none(name), F.lit("Introduction")).alias("heading"), text.strip(body).alias("body")).where("body <> ''")
-    return parts.withColumn("section", F.row_number().over(Window.partitionBy(key).orderBy("_s")) - 1).drop("_s")
+    lines = F.split(text.without_front_matter(content), text.LINE_BREAK)
+    begins = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | F.get(lines, i).rlike(HEADING))
+    ends = F.concat(F.slice(begins, 2, F.size(begins)), F.array(F.size(lines)))
+    parts = F.zip_with(begins, ends, lambda a, b: F.slice(lines, a + 1, b - a))
+    named = F.transform(parts, lambda part: F.struct(
+        F.coalesce(text.or_none(F.when(F.get(part, F.lit(0)).rlike(HEADING), text.strip(F.regexp_replace(F.get(part, F.lit(0)), HEADING, "")))), F.lit("Introduction")).alias("heading"),
+        text.strip(F.array_join(part, "\n")).alias("body"),
+    ))
+    return F.transform(F.filter(named, lambda s: s["body"] != ""), lambda s, i: F.struct(i.alias("section"), s["heading"].alias("heading"), s["body"].alias("body")))
+
+
+def sections(pages: DataFrame, key: str, content: str) -> DataFrame:
+    """``key, section, heading, body`` of every page's ``section_list``; a page is cut where it lies."""
+    return pages.select(key, F.inline(section_list(F.col(content)))).select(key, "heading", "body", "section")
 
 
 def windows(line: str, ends: list[int], most: int, overlap: int) -> Iterator[tuple[int, int]]:
@@ -57,12 +66,16 @@ def split_with_overlap(body: str, most: int, overlap: int) -> list[str]:
     return [line[a:b] for a, b in windows(line, ends, most, overlap)]
 
 
+#: Columns of ``chunks``.
+CHUNK = "chunk_id string, path string, title string, description string, heading string, content string, char_count int, content_hash string, section int, part int"
+
+
 def chunks(pages: DataFrame, path: str, content: str, most: int = 4000, overlap: int = 400) -> DataFrame:
-    """``chunk_id, path, title, description, heading, content, char_count, content_hash, section, part``: sections cut with overlap, prefixed by title and heading."""
-    page_title = F.coalesce(text.or_none(text.title(F.col(content))), F.element_at(F.split(path, "/"), -1))
-    meta = pages.select(F.col(path).alias("path"), page_title.alias("title"), text.description(F.col(content)).alias("description"))
-    parts = sections(pages.select(F.col(path).alias("path"), F.col(content).alias("content")), "path", "content").join(meta, "path")
-    whole = parts.withColumn("whole", text.strip(F.concat(F.col("title"), F.lit(" > "), F.col("heading"), F.lit("\n\n"), F.col("body"))))
+    """``chunk_id, path, title, description, heading, content, char_count, content_hash, section, part``: sections cut with overlap, prefixed by title and heading. Each row of ``pages`` is a page of its own."""
+    body = F.col(content)
+    page_title = F.coalesce(text.or_none(text.title(body)), F.element_at(F.split(path, "/"), -1))
+    cut_pages = pages.select(F.col(path).alias("path"), page_title.alias("title"), text.description(body).alias("description"), F.inline(section_list(body)))
+    whole = cut_pages.withColumn("whole", text.strip(F.concat(F.col("title"), F.lit(" > "), F.col("heading"), F.lit("\n\n"), F.col("body"))))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -72,3 +85,35 @@ def chunks(pages: DataFrame, path: str, content: str, most: int = 4000, overlap:
     rows = rows.select("path", "title", "description", "heading", "section", F.posexplode("pieces").alias("part", "content"))
     raw_id = F.concat(F.col("path"), F.lit("#"), text.slug(F.col("heading")), F.lit("#"), F.col("section"), F.lit("-"), F.col("part"))
     return rows.select(text.safe_key(raw_id).alias("chunk_id"), "path", "title", "description", "heading", "content", F.length("content").alias("char_count"), F.sha2(F.encode("content", "UTF-8"), 256).alias("content_hash"), "section", "part")
+
+
+class Pieces:
+    """``SELECT … FROM pieces(TABLE(rows), 'column', most, overlap)``: the rows with ``part`` and ``piece``, the overlapping pieces of a text column; all other columns come along as they are.
+
+    A polymorphic table function: its columns are found when a query is analysed. Null texts give no rows."""
+
+    def __init__(self, analyzed: AnalyzeResult | None = None):
+        self.analyzed = analyzed
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument, column: AnalyzeArgument, most: AnalyzeArgument, overlap: AnalyzeArgument) -> AnalyzeResult:
+        if not rows.isTable:
+            raise ValueError("pieces() takes a table: pieces(TABLE(rows), 'column', most, overlap)")
+        name = next((f.name for f in rows.dataType.fields if f.name.lower() == str(column.value).lower()), None)
+        if name is None:
+            raise ValueError(f"there is no column {column.value}")
+        if not 0 <= (overlap.value or 0) < (most.value or 0):
+            raise ValueError("overlap must be below the most characters of a piece")
+        fields = [*rows.dataType.fields, T.StructField("part", T.IntegerType()), T.StructField("piece", T.StringType())]
+        return AnalyzeResult(schema=T.StructType(fields))
+
+    def eval(self, row: Row, column: str, most: int, overlap: int) -> Iterator[tuple]:
+        name = next(f for f in row.__fields__ if f.lower() == column.lower())
+        if row[name] is not None:
+            for part, piece in enumerate(split_with_overlap(row[name], most, overlap)):
+                yield (*row, part, piece)
+
+
+def registered(spark: SparkSession) -> None:
+    """Make ``pieces`` known to a session's SQL."""
+    spark.udtf.register("pieces", udtf(Pieces))

@@ -71,6 +71,43 @@ def mentions(rows: DataFrame, id_col: str, ts: str, text: Column, keywords: list
     return rows.select(F.col(id_col).alias("id"), F.col(ts).alias("ts"), found.alias("keywords")).where(F.size("keywords") > 0)
 
 
+#: Keywords of one automaton; more are several passes.
+AUTOMATON = 200_000
+
+
+def keyword_hits(rows: DataFrame, key: str, text: str, keywords: DataFrame) -> DataFrame:
+    """``key, keyword`` for every keyword (``keyword``, distinct, of any number) that a text has as a substring whatever the case, by ``F.lower``.
+
+    An automaton of all keywords goes through a text once, however many they are, in place of a search a keyword; rows give each keyword once."""
+    listed = keywords.select(F.lower("keyword").alias("keyword")).where("keyword <> ''").distinct()
+    parts = max(1, -(-listed.count() // AUTOMATON))
+    kind = rows.schema[key].dataType.simpleString()
+    lower = rows.select(key, F.lower(text).alias("_text")).where("_text IS NOT NULL")
+    out = None
+    for i in range(parts):
+        words = [r["keyword"] for r in listed.where(F.pmod(F.xxhash64("keyword"), F.lit(parts)) == i).collect()]  # about ``AUTOMATON``
+        sent = rows.sparkSession.sparkContext.broadcast(words)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for w in sent.value:
+                automaton.add_word(w, w)
+            automaton.make_automaton()
+            for batch in batches:
+                at, found = [], []
+                for n, t in enumerate(batch.column(1).to_pylist()):
+                    hits = {w for _, w in automaton.iter(t)} if sent.value else ()
+                    at += [n] * len(hits)
+                    found += hits
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string())], [key, "keyword"])
+
+        part = lower.mapInArrow(run, f"`{key}` {kind}, keyword string")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def keyword_months(found: DataFrame) -> DataFrame:
     """Mentions by keyword and calendar month."""
     return found.select(F.explode("keywords").alias("keyword"), month(F.col("ts")).alias("month")).groupBy("keyword", "month").agg(F.count("*").alias("n"))

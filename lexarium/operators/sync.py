@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors
 from ..functions.text import digest
+from ..storage import written
 from .ordering import running
 
 ORDER = ("add", "modify", "remove", "preserve")
@@ -108,29 +110,65 @@ def atomic_groups(plan: DataFrame, position: str = "seq") -> DataFrame:
     return running(rows, position, "group_no", starts, F.sum, before=False).drop("hi", "_far")
 
 
+#: Groups of a block of the plan; a block has at least as many as a batch may have files.
+BLOCK = 1 << 16
+
+
 def planned_batches(plan: DataFrame, max_files: int, max_bytes: int, position: str = "seq") -> DataFrame:
     """``plan`` with ``batch_no`` from 1: groups in order fill a batch until a ceiling would be passed (both inclusive).
 
-    Filling is a fold over the groups in order, so it is one task's; it streams, and holds a batch of rows.  A group that
-    alone passes a ceiling is an error."""
+    No task sees the whole order.  Within a block of groups running sums give each group the group where the batch after it would begin, if one began there; a block also has its next ``max_files`` groups, which no
+    batch passes.  Following these pointers from every place where a first batch can begin in the block gives where the first batch of the next block then begins, and how many batches began.  What remains
+    in order is one look-up a block.  A group that alone passes a ceiling is an error, as is one without files."""
     grouped = plan if "group_no" in plan.columns else atomic_groups(plan, position)
     sizes = grouped.groupBy("group_no").agg(F.count("*").alias("files"), F.sum("payload_bytes").alias("bytes"))
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, files, size = 1, 0, 0
-        for batch in batches:
-            numbers = []
-            for group, f, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if f > max_files or b > max_bytes:
-                    raise ValueError(f"group {group} has {f} files and {b} bytes, above {max_files} and {max_bytes}")
-                if files and (files + f > max_files or size + b > max_bytes):
-                    number, files, size = number + 1, 0, 0
-                files, size = files + f, size + b
-                numbers.append(number)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.int64())], ["group_no", "batch_no"])
-
-    ordered = sizes.select("group_no", "files", "bytes").orderBy("group_no").coalesce(1)
-    return grouped.join(ordered.mapInArrow(fold, "group_no long, batch_no long"), "group_no")
+    size = max(BLOCK, max_files)
+    block = F.floor((F.col("group_no") - 1) / size).cast("long")
+    # the first groups of a block stand at the end of the one before too
+    ahead = (F.col("group_no") - 1) % size < max_files
+    both = F.array_compact(F.array(block, F.when(ahead & (block > 0), block - 1)))
+    dealt = written(sizes.select("group_no", "files", "bytes", F.explode(both).alias("block")), "batches")
+
+    def pointers(part: pa.Table) -> tuple[np.ndarray, np.ndarray, int]:
+        """Group numbers in order, the place where the next batch begins for each, and how many groups are the block's own."""
+        part = part.sort_by("group_no")
+        number, files, weight = (part.column(c).to_numpy() for c in ("group_no", "files", "bytes"))
+        bad = (files > max_files) | (weight > max_bytes) | (files < 1)
+        if bad.any():
+            i = int(np.argmax(bad))
+            raise ValueError(f"group {number[i]} has {files[i]} files and {weight[i]} bytes, above {max_files} and {max_bytes}")
+        nexts = []
+        for value, most in ((files, max_files), (weight, max_bytes)):
+            sums = np.concatenate([[0], np.cumsum(value)])
+            nexts.append(np.searchsorted(sums, sums[:-1] + most, side="right") - 1)
+        own = int(np.searchsorted(number, (part.column("block")[0].as_py() + 1) * size, side="right"))
+        return number, np.minimum(*nexts), own
+
+    def exits(part: pa.Table) -> pa.Table:
+        number, after, own = pointers(part)
+        at, begun = np.arange(min(own, max_files)), np.zeros(min(own, max_files), np.int64)
+        while (inside := at < own).any():
+            begun[inside] += 1
+            at[inside] = after[at[inside]]
+        return pa.table({"block": part.column("block").slice(0, 1), "exits": pa.array([(at - own).tolist()], pa.list_(pa.int64())), "begun": pa.array([begun.tolist()], pa.list_(pa.int64()))})
+
+    steps = dealt.groupBy("block").applyInArrow(exits, "block long, exits array<long>, begun array<long>")
+    entry, base, starts = 0, 0, []
+    for r in steps.orderBy("block").toLocalIterator():  # a row for each ``BLOCK`` groups, one at a time
+        starts.append((r["block"], entry, base))
+        entry, base = r["exits"][entry], base + r["begun"][entry]
+
+    def numbered_groups(_, part: pa.Table, start: pa.Table) -> pa.Table:
+        number, after, own = pointers(part)
+        begins, at = np.zeros(own, np.int64), start.column("entry")[0].as_py()
+        while at < own:
+            begins[at] = 1
+            at = int(after[at])
+        return pa.table({"group_no": pa.array(number[:own]), "batch_no": pa.array(np.cumsum(begins) + start.column("base")[0].as_py())})
+
+    known = plan.sparkSession.createDataFrame(starts, "block long, entry long, base long")
+    numbers = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(numbered_groups, "group_no long, batch_no long")
+    return grouped.join(numbers, "group_no")
 
 
 def assigned_once(plan: DataFrame, batches: DataFrame, key: str = "id") -> DataFrame:
@@ -147,22 +185,50 @@ def tree_compare(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.select("path", side.alias("side"), (words(F.col("r")) - words(F.col("l"))).cast("long").alias("word_delta"))
 
 
+def edit_counts(x: list[str], y: list[str]) -> tuple[int, int]:
+    """Lines added and removed by a shortest edit script from ``x`` to ``y``.
+
+    Equal ends and lines that only one side has are settled at once.  On the rest the furthest points by diagonal are carried forward, one more edit at a time, in space that grows with the lines."""
+    n, m = len(x), len(y)
+    head = 0
+    while head < min(n, m) and x[head] == y[head]:
+        head += 1
+    tail = 0
+    while tail < min(n, m) - head and x[n - 1 - tail] == y[m - 1 - tail]:
+        tail += 1
+    a, b = x[head : n - tail], y[head : m - tail]
+    both = {*a} & {*b}
+    number = {line: i for i, line in enumerate(both)}
+    a, b = [number[line] for line in a if line in both], [number[line] for line in b if line in both]
+    common = head + tail + (len(a) + len(b) - _edits(a, b)) // 2
+    return m - common, n - common
+
+
+def _edits(a: list[int], b: list[int]) -> int:
+    """Length of a shortest edit script."""
+    n, m = len(a), len(b)
+    far = {1: 0}
+    for edits in range(n + m + 1):
+        for k in range(-edits, edits + 1, 2):
+            i = far[k + 1] if k == -edits or (k != edits and far[k - 1] < far[k + 1]) else far[k - 1] + 1
+            while i < n and 0 <= i - k < m and a[i] == b[i - k]:
+                i += 1
+            if i >= n and i - k >= m:
+                return edits
+            far[k] = i
+    return n + m
+
+
 def line_diff(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``path, added, removed`` lines of files in both trees, by longest matching blocks of lines."""
+    """``path, added, removed`` lines of files in both trees, by a shortest edit script."""
     both = left.select("path", F.col("content").alias("l")).join(right.select("path", F.col("content").alias("r")), "path").where("l <> r")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from difflib import SequenceMatcher
-
         for frame in frames:
-            out = []
-            for path, a, b in frame[["path", "l", "r"]].itertuples(index=False):
-                x, y = a.splitlines(), b.splitlines()
-                moves = [m for m in SequenceMatcher(None, x, y, autojunk=False).get_opcodes() if m[0] != "equal"]
-                out.append((path, sum(m[4] - m[3] for m in moves), sum(m[2] - m[1] for m in moves)))
+            out = [(path, *edit_counts(a.splitlines(), b.splitlines())) for path, a, b in frame[["path", "l", "r"]].itertuples(index=False)]
             yield pd.DataFrame(out, columns=["path", "added", "removed"])
 
-    return both.mapInPandas(run, "path string, added long, removed long")
+    return both.mapInPandas(run, f"path {left.schema['path'].dataType.simpleString()}, added long, removed long")
 
 
 def within_window(rows: DataFrame, times: list[str], now: Column, days: int) -> DataFrame:

@@ -42,6 +42,19 @@ def section_chunks(spark, sf_dir):
     return alone.select("chunk_id", "path", "title", "heading", "char_count", "content_hash")
 
 
+@query(
+    "chunk_pieces",
+    """WITH RECURSIVE w(id, n, part, s, e) AS (SELECT p_partkey, p_size, 0, 0, least(54, 11 * p_size - 1) FROM part UNION ALL
+      SELECT id, n, part + 1, b, least(11 * ((b + 65) // 11) - 1, 11 * n - 1) FROM (SELECT *, CASE WHEN (e - 15) % 11 = 10 THEN e - 14 ELSE e - 15 END AS b FROM w WHERE e < 11 * n - 1))
+    SELECT id, part::INTEGER AS part, substr(repeat('abcdefghi. ', n), s + 1, e - s) AS piece FROM w""",
+)
+def chunk_pieces(spark, sf_dir):
+    """The table function over texts of equal sentences: five to a piece of 64 characters, the next begins 15 before its end."""
+    chunking.registered(spark)
+    table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr("trim(repeat('abcdefghi. ', p_size))").alias("body")).createOrReplaceTempView("sentences")
+    return spark.sql("SELECT id, part, piece FROM pieces(TABLE(sentences), 'body', 64, 15)")
+
+
 @query(
     "heading_counts",
     r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, (COUNT(*) FILTER (WHERE regexp_matches(line, '^#{2,4}\s+')))::BIGINT AS n FROM l GROUP BY doc_id""",

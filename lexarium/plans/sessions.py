@@ -141,6 +141,16 @@ def dispatch_week(spark, sf_dir):
     return sessions.dispatch_weeks(found(spark, sf_dir))
 
 
+@query(
+    "keyword_automaton",
+    "SELECT doc_id, keyword FROM documents JOIN (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{5,}'))) AS keyword FROM benchmark) ON contains(lower(text), keyword)",
+)
+def keyword_automaton(spark, sf_dir):
+    """Long words of the benchmark, wherever they stand in documents, inside other words too."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), 0)).alias("keyword"))
+    return sessions.keyword_hits(table(spark, sf_dir, "documents"), "doc_id", "text", words)
+
+
 @query(
     "weekly_digest",
     f"""SELECT 'dispatches' AS kind, '2024-W01' AS name, COUNT(*)::BIGINT AS n FROM {FOUND} WHERE len(keywords) > 0 AND strftime(ts, '%G-W%V') = '2024-W01' HAVING COUNT(*) > 0

@@ -119,6 +119,25 @@ def line_diff(spark, sf_dir):
     return sync.line_diff(*trees(spark, sf_dir))
 
 
+@query(
+    "line_diff_edits",
+    """WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
+    SELECT doc_id, COUNT(*) FILTER (WHERE i % 5 = 2 OR i % 11 = 4)::BIGINT AS added, COUNT(*) FILTER (WHERE i % 7 = 3 OR i % 5 = 2)::BIGINT AS removed FROM l GROUP BY doc_id HAVING added + removed > 0""",
+)
+def line_diff_edits(spark, sf_dir):
+    """Edits inside files: lines replaced, deleted and put in. All lines are told apart, so what is kept is the longest common part."""
+    lines = F.transform(F.split("text", "\n"), lambda line, i: F.concat(line, F.lit("~"), i.cast("string")))
+    edit = lambda line, i: (
+        F.when((i + 1) % 5 == 2, F.concat(F.lit("other "), line)).when((i + 1) % 7 != 3, line), F.when((i + 1) % 11 == 4, F.concat(F.lit("new "), line)),
+    )
+    edited = F.array_compact(F.flatten(F.transform(lines, lambda line, i: F.array(*edit(line, i)))))
+    # no other sign that ends a line
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.regexp_replace("text", r"[\r\x0B\f\x1C-\x1E\x85\u2028\u2029]", " "))
+    left = docs.select(F.col("doc_id").alias("path"), F.array_join(lines, "\n").alias("content"))
+    right = docs.select(F.col("doc_id").alias("path"), F.array_join(edited, "\n").alias("content"))
+    return sync.line_diff(left, right).withColumnRenamed("path", "doc_id")
+
+
 @query("churn_order", f"SELECT path, abs({WORDS.format('r')} - {WORDS.format('l')})::BIGINT AS churn, rn::INTEGER AS n FROM (SELECT *, row_number() OVER (ORDER BY abs({WORDS.format('r')} - {WORDS.format('l')}) DESC, path) AS rn FROM {BOTH}) WHERE rn <= 50")
 def churn_order(spark, sf_dir):
     rows = sync.tree_compare(*trees(spark, sf_dir)).withColumn("churn", F.abs("word_delta"))

@@ -5,8 +5,11 @@ Nothing here calls a network: a fetcher lands its answers as files, and these re
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -201,7 +204,55 @@ def fetched_pages(raw: DataFrame, most_bytes: int = 4 << 20) -> DataFrame:
     return raw.select("route", F.when(~failed, F.col("status")).alias("status"), F.when(~failed, F.when(size > most_bytes, cut).otherwise(F.col("body"))).alias("body"), F.when(~failed, F.col("final_url")).alias("final_url"), "error", F.coalesce(size > most_bytes, F.lit(False)).alias("oversize"))
 
 
+# Tokens of JSON.
+JSON_TOKEN = re.compile(r'[ \t\n\r]*(?:(?P<mark>[{}\[\],:])|(?P<text>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(?P<word>true|false|null|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)(?![\w.+-]))')
+
+
+def strict_object(line: str) -> bool:
+    """Whether a line is one JSON object, no object in it repeats a key, and every number is finite.
+
+    Tokens are pulled one at a time: what is held is the names of the open objects, never a value, whatever a line's size."""
+    at, end = 0, len(line.rstrip(" \t\n\r"))
+    open_: list[set | None] = []  # names of an object, nothing of a list
+    wants = "value"  # or: name, name or end, colon, comma, value or end, nothing
+    while at < end:
+        m = JSON_TOKEN.match(line, at)
+        if m is None or wants == "nothing":
+            return False
+        at = m.end()
+        mark = m["mark"]
+        if wants in ("name", "name or end") and m["text"]:
+            name = json.loads(m["text"])
+            if name in open_[-1]:
+                return False
+            open_[-1].add(name)
+            wants = "colon"
+        elif wants == "colon" and mark == ":":
+            wants = "value"
+        elif wants == "comma" and mark == ",":
+            wants = "value" if open_[-1] is None else "name"
+        elif mark in ("}", "]") and wants in ("comma", "name or end" if mark == "}" else "value or end") and open_ and (open_[-1] is None) == (mark == "]"):
+            open_.pop()
+            wants = "comma" if open_ else "nothing"
+        elif wants in ("value", "value or end") and (mark == "{" or open_ and (mark == "[" or not mark)):
+            if mark:
+                open_.append(set() if mark == "{" else None)
+            elif m["word"] and m["word"][0] in "-0123456789" and math.isinf(float(m["word"])):
+                return False
+            wants = "name or end" if mark == "{" else "value or end" if mark == "[" else "comma"
+        else:
+            return False
+    return wants == "nothing"
+
+
 def projected_event(line: Column, schema: str, most: int = 512_000) -> Column:
-    """A JSON event: small ones whole as a variant in ``whole``, large ones only as the fields of ``schema``, in ``fields``; both null for a line that isn't JSON."""
-    small = F.octet_length(line) < most
-    return F.struct(F.when(small, F.try_parse_json(line)).alias("whole"), F.when(F.try_parse_json(line).isNotNull() | ~small, F.from_json(line, schema)).alias("fields"), (~small).alias("large"))
+    """A JSON event: small ones whole as a variant in ``whole``, large ones only as the fields of ``schema``, in ``fields``; both null for a line that isn't one strict JSON object.
+
+    Strict is the same on both sides of the bound: no repeated keys, no NaN or infinity, nothing after the object (``strict_object``)."""
+
+    @F.pandas_udf("boolean")
+    def strict(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda t: t is not None and strict_object(t))
+
+    small, good = F.octet_length(line) < most, strict(line)
+    return F.struct(F.when(small & good, F.try_parse_json(line)).alias("whole"), F.when(good, F.from_json(line, schema)).alias("fields"), (~small).alias("large"))
