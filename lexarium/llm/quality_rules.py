@@ -1,15 +1,11 @@
 """Quality rules over repetition, from suffix arrays of words.
 
-For every document a suffix array of its words is built by prefix doubling (many documents
-at once, so the work is in numpy sorts).  The ranks of each doubling round give the longest
-common prefix of neighbouring suffixes; its intervals are the maximal repeated substrings.
-The union of their spans gives the share of words that lie in a repeat, and the longest
-repeat is the largest common prefix.  Documents never meet: a repeat counts within one text.
+For every document the suffix array of its words is built by prefix doubling (many documents at once, so the work is in numpy sorts), and from it the common prefixes of neighbouring suffixes, in the order of
+the text.  A common prefix that the word before would lengthen is one less than its predecessor's; only the others are compared word by word, which is linear work but for a logarithm.  The larger common
+prefix of a suffix with its two neighbours is the value of the deepest interval it lies in: the longest maximal repeat that begins there.  The union of these spans gives the share of words
+that lie in a repeat, and the longest repeat is the largest common prefix.  Documents never meet: a repeat counts within one text.
 
-Doubling ends at the first power of two over all limits: no rule asks how much longer a repeat is, and every place
-inside a longer one starts a repeat of that length itself, so the union of spans is the same.  That bounds a round's tables, of
-4 bytes a word, to a handful, however long and repetitive a text is.
-"""
+All of it is linear in memory: a handful of whole numbers a word, however long and repetitive a text is."""
 
 from __future__ import annotations
 
@@ -52,20 +48,21 @@ FIELDS = [
 DDL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_long_repeat_words long, longest_repeat long, base_failed boolean, kept boolean"
 
 
-def longest_repeats(row: np.ndarray, code: np.ndarray, enough: int | None = None) -> np.ndarray:
-    """For each word position, the length in words of the longest substring that starts there and occurs
-    elsewhere in the same row: the larger common prefix with the two neighbours in the suffix array.  With ``enough``, lengths of at least that
-    many words are told apart no more: any such is at least ``enough`` and at most the length."""
+#: Words that all pairs are compared by together; what is equal beyond is compared pair by pair, in growing stretches.
+TOGETHER = 48
+
+
+def suffix_array(row: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Positions in the order of the suffixes of their rows; rows in order, a suffix before those it begins."""
     n = len(code)
     if n == 0:
         return np.zeros(0, np.int64)
     end = np.searchsorted(row, row, side="right")  # first position after the row
     count, rank = _group_starts(row, code)
     # a very long text is one slice: big temporaries go as soon as they are used
-    small = np.int32 if n < 1 << 31 else np.int64
-    ranks, width = [rank.astype(small)], 1
-    active = np.flatnonzero(count > 1)
-    while len(active) and (enough is None or width < enough):
+    active, width = np.flatnonzero(count > 1), 1
+    del count
+    while len(active):
         key = rank[active] * (n + 2)
         step = active + width
         inside = step < end[active]
@@ -86,27 +83,65 @@ def longest_repeats(row: np.ndarray, code: np.ndarray, enough: int | None = None
         del at, key, new_rank
         sizes = np.diff(np.append(np.flatnonzero(new_group), len(new_group)))
         active = active[np.repeat(sizes > 1, sizes)]
-        ranks.append(rank.astype(small))
         width *= 2
-    # ties that are left share ``width`` words: any order of them will do
-    suffixes = np.argsort(rank, kind="stable")
-    left, right = suffixes[:-1], suffixes[1:]
-    common = np.zeros(max(0, n - 1), np.int64)
-    live = np.flatnonzero(ranks[0][left] == ranks[0][right]) if n > 1 else np.zeros(0, np.int64)
-    i, j, length = left[live].copy(), right[live].copy(), np.zeros(len(live), np.int64)
-    for k in range(len(ranks) - 1, -1, -1):
-        ok = (i < end[left[live]]) & (j < end[right[live]])
-        ok[ok] = ranks[k][i[ok]] == ranks[k][j[ok]]
-        i[ok] += 1 << k
-        j[ok] += 1 << k
-        length[ok] += 1 << k
-    common[live] = length
-    best = np.zeros(n, np.int64)
-    best[left] = common
-    best[right] = np.maximum(best[right], common)
+    suffixes = np.empty(n, np.int64)
+    suffixes[rank] = np.arange(n)
+    return suffixes
+
+
+def longest_repeats(row: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """For each word position, the length in words of the longest substring that starts there and occurs
+    elsewhere in the same row: the larger common prefix with the two neighbours in the suffix array."""
+    n = len(code)
+    if n == 0:
+        return np.zeros(0, np.int64)
+    suffixes = suffix_array(row, code)
+    before = np.full(n, -1, np.int64)  # the suffix that stands before, in the same row
+    same = row[suffixes[1:]] == row[suffixes[:-1]]
+    before[suffixes[1:][same]] = suffixes[:-1][same]
+    del suffixes, same
+    # where the words before differ the common prefix can't be told from that of the position before
+    alone = np.ones(n, bool)
+    p = np.flatnonzero((before > 0) & (np.arange(n) > 0))
+    q = before[p]
+    alone[p] = (row[p - 1] != row[p]) | (row[q - 1] != row[q]) | (code[p - 1] != code[q - 1])
+    del p, q
+    start = np.flatnonzero(alone & (before >= 0))
+    common = np.zeros(n, np.int64)
+    common[start] = _common(code, np.searchsorted(row, row[start], side="right"), start, before[start])
+    last = np.maximum.accumulate(np.where(alone, np.arange(n), 0))
+    common = common[last] - (np.arange(n) - last)
+    del last, alone
+    best = common.copy()
+    after = np.flatnonzero(before >= 0)
+    best[before[after]] = np.maximum(best[before[after]], common[after])
     return best
 
 
+def _common(code: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the common prefixes of pairs of suffixes of one row, which ends at ``end``."""
+    length, most = np.zeros(len(a), np.int64), end - np.maximum(a, b)
+    left = np.arange(len(a))
+    for k in range(TOGETHER):
+        left = left[most[left] > k]
+        left = left[code[a[left] + k] == code[b[left] + k]]
+        length[left] += 1
+        if not len(left):
+            break
+    for i in left.tolist():
+        x, y, k, stop, step = int(a[i]), int(b[i]), TOGETHER, int(most[i]), 256
+        while k < stop:
+            size = min(step, stop - k)
+            other = code[x + k : x + k + size] != code[y + k : y + k + size]
+            first = int(other.argmax())
+            if other[first]:
+                k += first
+                break
+            k, step = k + size, min(2 * step, 1 << 20)
+        length[i] = k
+    return length
+
+
 def _group_starts(row: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Size of the group of equal (row, code) that a position is in, and where that group starts when sorted."""
     key = row * (int(code.max()) + 1) + code
@@ -140,7 +175,7 @@ def measure(texts: pa.LargeStringArray, limits: Limits = Limits()) -> pa.RecordB
     distinct = np.unique(line_row * (len(flat) + 1) + coded) // (len(flat) + 1)
     dup_lines = np.bincount(line_row, minlength=n) - np.bincount(distinct, minlength=n)
 
-    repeats = longest_repeats(w.row, w.code, max(limits.window, limits.repeat_words, limits.longest_repeat))
+    repeats = longest_repeats(w.row, w.code)
     in_windows = covered(w.row, repeats, limits.window, n)
     in_long = covered(w.row, repeats, limits.repeat_words, n)
     longest = np.zeros(n, np.int64)
@@ -156,8 +191,7 @@ def assess(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     A null or empty text has no words: all counts are 0, it fails.  A null ``doc_id`` and repeated rows pass
     through, one row each; other columns are ignored; an empty table gives an empty result.  A task holds
-    slices of at most 2 MB of text, or one longer text.  ``longest_repeat`` is exact up to the largest limit, and beyond it some number
-    between the limit and the length."""
+    slices of at most 2 MB of text, or one longer text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -191,14 +191,27 @@ def test_fingerprints_equal_a_plain_walk(a, b):
 # ---- quality rules
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.lists(st.sampled_from(["a", "b", "c"]), max_size=60).map(" ".join), min_size=1, max_size=3), st.integers(1, 20))
-def test_bounded_doubling_decides_alike(texts, enough):
+@pytest.mark.parametrize("length", [40, 47, 48, 49, 64, 127, 300, 2000])
+def test_repeats_of_any_length_are_told(length):
+    """A passage that stands after three other words, and again after others."""
+    rng = random.Random(length)
+    passage = [f"p{rng.randrange(900)}" for _ in range(length)]
+    texts = [" ".join(["x", "y", "z", *passage, f"u{i}", "v", *passage, "w"]) for i in range(3)] + [" ".join(passage), "one two", "a " * length]
+    rows = quality_rules.measure(tb.texts_of(pa.array(texts))).to_pylist()
+    assert [r["longest_repeat"] for r in rows[:3]] == [length] * 3 and rows[5]["longest_repeat"] == length - 1
+    w = tb.words(tb.texts_of(pa.array(texts[:1])))
+    got = quality_rules.longest_repeats(w.row, w.code)
+    assert got[3] == length and got[3 + length + 2] == length and got[:3].tolist() == [0, 0, 0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b"]), max_size=120).map(" ".join), min_size=1, max_size=3))
+def test_suffixes_are_in_order(texts):
     w = tb.words(tb.texts_of(pa.array(texts)))
-    full, some = quality_rules.longest_repeats(w.row, w.code), quality_rules.longest_repeats(w.row, w.code, enough)
-    assert (np.minimum(full, enough) == np.minimum(some, enough)).all() and (some <= full).all()
-    for k in range(1, enough + 1):
-        assert (quality_rules.covered(w.row, full, k, len(texts)) == quality_rules.covered(w.row, some, k, len(texts))).all()
+    suffix = lambda p: (w.row[p], w.code[p : np.searchsorted(w.row, w.row[p], side="right")].tolist())
+    got = quality_rules.suffix_array(w.row, w.code).tolist()
+    assert got == sorted(range(len(w.code)), key=suffix)
+    assert [quality_rules.longest_repeats(w.row, w.code)[w.row == i].tolist() for i in range(len(texts))] == [brute.repeats(t) for t in texts]
 
 
 def test_long_repetitive_texts_take_bounded_memory():
@@ -209,7 +222,7 @@ def test_long_repetitive_texts_take_bounded_memory():
 import resource, pyarrow as pa
 from lexarium.llm import quality_rules, textbatch as tb
 row = quality_rules.measure(tb.texts_of(pa.array(["word " * 4_000_000]))).to_pylist()[0]
-assert row["n_repeat_words"] == 4_000_000 and row["longest_repeat"] >= 60 and not row["kept"]
+assert row["n_repeat_words"] == 4_000_000 and row["longest_repeat"] == 3_999_999 and not row["kept"]
 print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)
 """
     got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=200)
