@@ -14,7 +14,7 @@ cost follows the number of distinct words.  N-grams run within a word and its ed
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,7 +41,7 @@ class Training:
 
     docs_per_language: int = 400
     order: int = 4
-    grams: int = 50_000  # of each order and language that are kept: the most frequent, and what those end and begin with
+    grams: int = 50_000  # of each order and language that are kept: the most frequent, and what those end and begin with; back-off weights are then made anew
     group: int = 32  # languages that share a matrix
     alphabet: int = 1024  # characters that an unseen one is taken to be one of
     calibration_part: int = 5  # every fifth sampled document calibrates instead of training
@@ -141,6 +141,9 @@ def fit(words: dict[str, int], setting: Training) -> Fitted:
     for n in range(order, 0, -1):
         often = grams[n] if len(grams[n]) <= setting.grams else sorted(grams[n], key=lambda g: (-grams[n][g], g))[: setting.grams]
         kept[n] = {*often, *(x for g in kept[n + 1] for x in (g[1:], g[:-1]) if x in p[n])}
+    for n in range(1, order + 1):
+        if len(kept[n]) < len(grams[n]):
+            back[n - 1] |= renormalised(kept[n], p[n], lambda g, n=n: p[n - 1][g[1:]])
     out = Fitted([np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)], [], [])
     for n in range(1, order + 1):
         names = list(kept[n])
@@ -159,6 +162,16 @@ def fit(words: dict[str, int], setting: Training) -> Fitted:
     return out
 
 
+def renormalised(kept: set[str], p: dict[str, float], lower: Callable[[str], float]) -> dict[str, float]:
+    """Back-off weights of contexts of which only ``kept`` grams stay: what these leave of the whole, over what they leave of the lower order, so that a context's probabilities sum to one again."""
+    mass, below = Counter(), Counter()
+    for g in kept:
+        mass[g[:-1]] += p[g]
+        below[g[:-1]] += lower(g)
+    # the lowest order is one chance for each character and may be shared out more than once
+    return {h: max(1e-9, 1 - mass[h]) / (1 - below[h] if below[h] < 0.999 else 1.0) for h in mass}
+
+
 def _lower(p: list[dict], back: list[dict], gram: str, n: int) -> float:
     weight = 1.0
     while n and gram not in p[n]:

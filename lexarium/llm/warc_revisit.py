@@ -27,8 +27,8 @@ TRACKING = r"^(utm_[a-z]+|fbclid|gclid|msclkid|mc_eid|ref)="
 # What a revisit's profile says, by the end of its address.
 NOT_MODIFIED, SAME_PAYLOAD = "server-not-modified", "identical-payload-digest"
 TIME_RANGES = 64
-#: Bytes read at once, and the largest block of a record that is given as payload.
-CHUNK, MOST_PAYLOAD = 1 << 20, 256 << 20
+#: Bytes read at once, the largest block of a record that is given as payload, and what is kept of a larger one, for its headers.
+CHUNK, MOST_PAYLOAD, HEAD = 1 << 20, 256 << 20, 1 << 16
 
 
 def canonical_url(url: Column) -> Column:
@@ -178,8 +178,8 @@ class _Plain:
         self.at = end + 1
         return got
 
-    def take(self, size: int, keep: bool) -> bytes | None:
-        """The next ``size`` bytes, or if they aren't kept, just their end; None if the file ends before."""
+    def take(self, size: int, keep: int) -> bytes | None:
+        """The first ``keep`` of the next ``size`` bytes, all of which are passed; None if the file ends before."""
         out = bytearray()
         while size:
             if self.at >= len(self.held):
@@ -189,17 +189,17 @@ class _Plain:
                     return None
                 continue
             got = min(size, len(self.held) - self.at)
-            if keep:
-                out += memoryview(self.held)[self.at : self.at + got]
+            if len(out) < keep:
+                out += memoryview(self.held)[self.at : self.at + min(got, keep - len(out))]
             self.at += got
             size -= got
         return bytes(out)
 
 
-def records_of(stream, most: int = MOST_PAYLOAD) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """(headers with lower-case names, block) of each record of a WARC file, compressed by record, whole or not at all.
+def records_of(stream, most: int = MOST_PAYLOAD) -> Iterator[tuple[dict[str, str], bytes, bool]]:
+    """(headers with lower-case names, block, whether it is whole) of each record of a WARC file, compressed by record, whole or not at all.
 
-    ``stream`` has ``read(n)``; memory holds one record.  A block of more than ``most`` bytes is passed over and given as None.  A broken record ends the
+    ``stream`` has ``read(n)``; memory holds one record.  Of a block of more than ``most`` bytes the first ``HEAD`` are given.  A broken record ends the
     file: what stands before it is given."""
     plain = _Plain(stream)
     while line := plain.line():
@@ -219,10 +219,11 @@ def records_of(stream, most: int = MOST_PAYLOAD) -> Iterator[tuple[dict[str, str
         length = headers.get("content-length", "")
         if not length.isdigit():
             return
-        block = plain.take(int(length), int(length) <= most)
+        whole = int(length) <= most
+        block = plain.take(int(length), most if whole else HEAD)
         if block is None:
             return
-        yield headers, block if int(length) <= most else None
+        yield headers, block, whole
 
 
 def write_record(headers: dict[str, str], block: bytes) -> bytes:
@@ -263,7 +264,7 @@ def read_warc(spark: SparkSession, path: str, most: int = MOST_PAYLOAD) -> DataF
     """Records of WARC files, with the columns of ``FIELDS``; ``ts`` and ``refers_to_ts`` in microseconds.
 
     Spark lists the files, and one file is one task's work: it streams, so neither its size nor that of what it unpacks to matters.  A record of more than
-    ``most`` bytes has no payload and no HTTP headers, and is marked ``truncated`` by ``size``."""
+    ``most`` bytes has a null payload; its status and headers are there, and it counts as the full response that it is.  ``truncated`` is what the record itself says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,10 +272,10 @@ def read_warc(spark: SparkSession, path: str, most: int = MOST_PAYLOAD) -> DataF
                 store, at = store_of(name)
                 rows, held = [], 0
                 with store.open_input_stream(at, compression=None) as stream:
-                    for head, block in records_of(stream, most):
-                        status, headers, body = http_parts(block) if block is not None and head.get("warc-type") in ("response", "revisit") else (None, {}, block)
-                        cut = head.get("warc-truncated") or ("size" if block is None else None)
-                        rows.append((head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), micros(head.get("warc-date")), status, list(headers.items()), body, cut, head.get("warc-profile"), head.get("warc-refers-to-target-uri"), micros(head.get("warc-refers-to-date"))))
+                    for head, block, whole in records_of(stream, most):
+                        status, headers, body = http_parts(block) if head.get("warc-type") in ("response", "revisit") else (None, {}, block)
+                        body = body if whole else None
+                        rows.append((head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), micros(head.get("warc-date")), status, list(headers.items()), body, head.get("warc-truncated"), head.get("warc-profile"), head.get("warc-refers-to-target-uri"), micros(head.get("warc-refers-to-date"))))
                         held += len(body or b"")
                         if len(rows) >= 256 or held >= CHUNK * 16:
                             yield _batch(rows)

@@ -379,9 +379,9 @@ def test_warc_files_stream(monkeypatch):
     bodies = [b"x" * n for n in (0, 1, 63, 64, 65, 500, 5000)]
     records = [warc_revisit.write_record({"WARC-Type": "response", "WARC-Record-ID": f"<{i}>"}, b) for i, b in enumerate(bodies)]
     for data in (b"".join(records), b"".join(map(gzip.compress, records)), gzip.compress(b"".join(records))):
-        got = [(h["warc-record-id"], b) for h, b in warc_revisit.records_of(io.BytesIO(data), 1000)]
+        got = [(h["warc-record-id"], b if whole else None) for h, b, whole in warc_revisit.records_of(io.BytesIO(data), 1000)]
         assert got == [(f"<{i}>", b if len(b) <= 1000 else None) for i, b in enumerate(bodies)]
-        cut = [h["warc-record-id"] for h, _ in warc_revisit.records_of(io.BytesIO(data[:-20]), 1000)]
+        cut = [h["warc-record-id"] for h, *_ in warc_revisit.records_of(io.BytesIO(data[:-20]), 1000)]
         assert cut in ([f"<{i}>" for i in range(6)], [f"<{i}>" for i in range(len(cut))])
     assert list(warc_revisit.records_of(io.BytesIO(b""))) == [] and list(warc_revisit.records_of(io.BytesIO(b"no record"))) == []
 

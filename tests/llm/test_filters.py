@@ -142,6 +142,24 @@ def test_bounded_models_and_ties():
     assert twins.languages == ["a", "b"] and set(language_id.predict(twins, arr(texts[:5]), np.zeros(5, bool))[0]) == {"a"}
 
 
+def test_pruned_contexts_sum_to_one():
+    letters = "abcdefgh"
+    rng = random.Random(4)
+    lower = {c: w / 36 for w, c in enumerate(letters, 1)}
+    p, back = {}, {}
+    for h in "xyz":
+        seen = rng.sample(letters, 5)
+        back[h] = 0.3
+        for c in seen:
+            p[h + c] = 0.7 / 5 + 0.3 * lower[c]
+    kept = {g for g in p if rng.random() < 0.5} | {"xa" if "xa" in p else next(g for g in p if g[0] == "x")}
+    new = language_id.renormalised(kept, p, lambda g: lower[g[1:]])
+    for h in {g[0] for g in kept}:
+        assert sum(p[h + c] if h + c in kept else new[h] * lower[c] for c in letters) == pytest.approx(1, abs=1e-12)
+    whole = language_id.renormalised(set(p), p, lambda g: lower[g[1:]])
+    assert all(whole[h] == pytest.approx(0.3) for h in "xyz")
+
+
 def test_every_language_is_learned_as_train_does(spark):
     rows = [(i, t, f"{k}{v}", "s") for v in range(3) for k in SENTENCES for i, t in enumerate(samples(k, 12, v))]
     docs = spark.createDataFrame(rows + [(99, "123", "none", "s"), (100, None, "de0", "s")], "doc_id long, text string, lang string, source string").repartition(4)

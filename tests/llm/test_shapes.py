@@ -429,6 +429,23 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc_revisit.read_warc(spark, str(tmp_path)).where("kind = 'response'").count() == 2
 
 
+def test_a_large_response_is_still_the_one_that_a_revisit_means(spark, tmp_path):
+    head = "HTTP/1.1 200 OK\r\nETag: \"{}\"\r\nContent-Type: text/html\r\n\r\n"
+    made = lambda i, day, kind, block: warc_revisit.write_record({"WARC-Type": kind, "WARC-Record-ID": f"<{i}>", "WARC-Date": f"2024-01-0{day}T00:00:00Z", "WARC-Target-URI": "http://a.example/"}, block)
+    records = [
+        made(1, 1, "response", head.format("old").encode() + b"x"),
+        made(2, 2, "response", head.format("new").encode() + b"y" * 200_000),
+        made(3, 3, "revisit", b"HTTP/1.1 304 Not Modified\r\nETag: \"new\"\r\n\r\n"),
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    rows = warc_revisit.read_warc(spark, str(tmp_path / "a.warc"), 1000)
+    large = rows.where("record_id = '<2>'").first()
+    assert (large["status"], large["headers"]["etag"], large["payload"], large["truncated"]) == (200, '"new"', None, None)
+    (r,) = warc_revisit.resolve(rows).collect()
+    assert (r["outcome"], r["response_id"]) == ("resolved", "<2>")
+    assert warc_revisit.read_warc(spark, str(tmp_path / "a.warc")).where("length(payload) = 200000").count() == 1
+
+
 # ---- pipeline
 
 
