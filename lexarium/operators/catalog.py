@@ -117,13 +117,15 @@ def grouped_page(visible: DataFrame, by: str, name: str) -> DataFrame:
 
 
 def compared(before: DataFrame, after: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """``change`` per key: added, removed, changed or same; ``changed_fields``: names of fields that differ, null-safely."""
-    a = before.select(*keys, F.struct(*fields).alias("b"))
-    b = after.select(*keys, F.struct(*fields).alias("a"))
-    both = a.join(b, keys, "full_outer")
+    """``change`` per key: added, removed, changed or same; ``changed_fields``: names of fields that differ, null-safely. One aggregate over both sides, so null keys are keys like others.
+
+    Of several rows of a key on one side the least, by its JSON, stands for them."""
+    sides = [rows.select(*keys, F.struct(*fields).alias("_row"), F.to_json(F.struct(*fields)).alias("_text"), F.lit(new).alias("_new")) for rows, new in ((before, False), (after, True))]
+    one = lambda new: F.min_by("_row", F.when(F.col("_new") == new, F.col("_text")))
+    both = sides[0].unionByName(sides[1]).groupBy(*keys).agg(F.bool_or(~F.col("_new")).alias("was"), F.bool_or("_new").alias("came"), one(False).alias("b"), one(True).alias("a"))
     differ = F.array_compact(F.array(*[F.when(~F.col(f"b.{f}").eqNullSafe(F.col(f"a.{f}")), F.lit(f)) for f in fields]))
-    both = both.withColumn("changed_fields", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), differ).otherwise(F.array().cast("array<string>")))
-    change = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(F.size("changed_fields") > 0, "changed").otherwise("same")
+    both = both.withColumn("changed_fields", F.when(F.col("was") & F.col("came"), differ).otherwise(F.array().cast("array<string>")))
+    change = F.when(~F.col("was"), "added").when(~F.col("came"), "removed").when(F.size("changed_fields") > 0, "changed").otherwise("same")
     return both.select(*keys, change.alias("change"), "changed_fields")
 
 

@@ -21,13 +21,11 @@ def required(selectors: list[DataFrame]) -> DataFrame:
 
 
 def completeness(observed: DataFrame, wanted: DataFrame, keys: list[str], valid: str) -> DataFrame:
-    """Every key's ``status``: complete, missing, duplicate, invalid, or unexpected."""
-    seen = observed.groupBy(*keys).agg(F.count("*").alias("n"), F.bool_and(valid).alias("valid")).withColumn("_seen", F.lit(True))
-    both = wanted.withColumn("_wanted", F.lit(True)).join(seen, keys, "full_outer")
-    status = (
-        F.when(F.col("_wanted").isNull(), "unexpected").when(F.col("_seen").isNull(), "missing").when(F.col("n") > 1, "duplicate").when(~F.col("valid"), "invalid").otherwise("complete")
-    )
-    return both.select(*keys, F.coalesce("n", F.lit(0)).alias("n"), status.alias("status"))
+    """Every key's ``status``: complete, missing, duplicate, invalid, or unexpected. One aggregate over both sides, so null keys are keys like others; a key wanted twice is wanted."""
+    sides = observed.select(*keys, F.coalesce(F.expr(valid), F.lit(False)).alias("_valid"), F.lit(1).alias("_seen")).unionByName(wanted.select(*keys, F.lit(None).cast("boolean").alias("_valid"), F.lit(0).alias("_seen")))
+    both = sides.groupBy(*keys).agg(F.sum("_seen").alias("n"), F.bool_and("_valid").alias("_valid"), (F.min("_seen") == 0).alias("_wanted"))
+    status = F.when(~F.col("_wanted"), "unexpected").when(F.col("n") == 0, "missing").when(F.col("n") > 1, "duplicate").when(~F.col("_valid"), "invalid").otherwise("complete")
+    return both.select(*keys, "n", status.alias("status"))
 
 
 def hit_share(expected: Column, found: Column) -> Column:

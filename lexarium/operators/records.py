@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,8 +63,8 @@ def matched_branches(batches: DataFrame, pulls: DataFrame) -> DataFrame:
 def source_tools(observed: DataFrame, configured: DataFrame) -> DataFrame:
     """Observed tools that are a source's: its prefix, a separator, and one of its tools, or just a tool that any source lists. ``configured``: ``prefix, tool``, a short list."""
     parts = observed.withColumn("_prefix", F.regexp_extract("tool", r"^(.*?)(?:-|__|/|\.)", 1)).withColumn("_rest", F.regexp_extract("tool", r"^.*?(?:-|__|/|\.)(.*)$", 1))
-    exact = parts.join(F.broadcast(configured.select(F.col("prefix").alias("_prefix"), F.col("tool").alias("_rest"))).distinct(), ["_prefix", "_rest"], "left_semi")
-    bare = parts.join(F.broadcast(configured.select("tool").distinct()), "tool", "left_semi")
+    exact = parts.join(configured.select(F.col("prefix").alias("_prefix"), F.col("tool").alias("_rest")).distinct(), ["_prefix", "_rest"], "left_semi")
+    bare = parts.join(configured.select("tool").distinct(), "tool", "left_semi")
     return exact.select("tool").unionByName(bare.select("tool")).distinct()
 
 
@@ -101,16 +103,18 @@ def state_of(body: Column, prefix: str, schema: str) -> Column:
 
 
 def hashed_embedding(tokens: Column, size: int = 64) -> Column:
-    """Unit vector of signed token counts by hash: the offline stand-in for a remote embedding, all built-in expressions."""
-    place = lambda t: F.pmod(F.xxhash64(t), F.lit(size))
-    sign = lambda t: F.when(F.pmod(F.shiftright(F.xxhash64(t), 33), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    # each of the ``size`` places adds up what falls there: built-in, at the price of that many passes over the pairs
-    pairs = F.transform(tokens, lambda t: F.struct(place(t).alias("p"), sign(t).alias("s")))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(F.filter(pairs, lambda x: x["p"] == i), F.lit(0.0), lambda acc, x: acc + x["s"]))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    # one-element arrays bind the vector and its norm, so each is computed once
-    scaled = lambda v: F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0)))[0]
-    return F.transform(F.array(dense), scaled)[0]
+    """Unit vector of signed token counts by hash: the offline stand-in for a remote embedding. Tokens are hashed where Catalyst plans it; an Arrow batch of hashes is counted in one pass."""
+
+    @F.pandas_udf("array<double>")
+    def counted(hashes: pd.Series) -> pd.Series:
+        rows = [np.asarray(h if h is not None else (), np.int64) for h in hashes]
+        flat, at = np.concatenate([np.zeros(0, np.int64), *rows]), np.repeat(np.arange(len(rows)), np.array([len(r) for r in rows], np.int64))
+        sign = np.where((flat >> 33) % 2 == 0, 1.0, -1.0)
+        dense = np.bincount(at * size + flat % size, weights=sign, minlength=len(rows) * size).astype(float).reshape(len(rows), size)
+        length = np.linalg.norm(dense, axis=1, keepdims=True)
+        return pd.Series(list(np.divide(dense, length, out=np.zeros_like(dense), where=length > 0)))
+
+    return counted(F.transform(tokens, lambda t: F.xxhash64(t)))
 
 
 def latest_per(rows: DataFrame, by: list[str], order: Column) -> DataFrame:

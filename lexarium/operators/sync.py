@@ -25,10 +25,14 @@ def inventory(rows: DataFrame, path: Column, content: Column) -> DataFrame:
 
 
 def index_diff(incoming: DataFrame, existing: DataFrame, key: str, digest_col: str) -> DataFrame:
-    """``state`` of every key: new, changed, unchanged or deleted. One full outer join."""
-    both = incoming.select(key, F.col(digest_col).alias("_new")).join(existing.select(key, F.col(digest_col).alias("_old")), key, "full_outer")
-    state = F.when(F.col("_old").isNull(), "new").when(F.col("_new").isNull(), "deleted").when(F.col("_new") == F.col("_old"), "unchanged").otherwise("changed")
-    return both.select(key, state.alias("state"))
+    """``state`` of every key: new, changed, unchanged or deleted. One aggregate over both sides, so a null key is a key like others.
+
+    Rows of one key are taken together: they are unchanged if all of both sides have the same digest."""
+    sides = [rows.select(key, F.col(digest_col).alias("_d"), F.lit(new).alias("_new")) for rows, new in ((incoming, True), (existing, False))]
+    seen = sides[0].unionByName(sides[1]).groupBy(key).agg(F.bool_or("_new").alias("came"), F.bool_or(~F.col("_new")).alias("was"), F.min("_d").alias("lo"), F.max("_d").alias("hi"), F.count("_d").alias("known"), F.count("*").alias("n"))
+    alike = F.coalesce(F.col("lo") == F.col("hi"), F.lit(True)) & F.col("known").isin(0, F.col("n"))
+    state = F.when(~F.col("was"), "new").when(~F.col("came"), "deleted").when(alike, "unchanged").otherwise("changed")
+    return seen.select(key, state.alias("state"))
 
 
 def upserted(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:

@@ -49,6 +49,22 @@ def report_errors(text: Column, min_words: int = 150, min_urls: int = 3, prefixe
     return failures(rules)
 
 
+# What says that a run was blocked, and what says why.
+BLOCKED = ("infrastructure blocked", "infrastructure-blocked", "blocked:")
+CAUSES = ("timeout", "timed out", "denied", "unreachable", "refused", "403", "network", "firewall", "playwright", "browser", "dns", "connection")
+
+
+def blocked_errors(text: Column, min_urls: int = 1, prefixes: tuple[str, ...] = ()) -> Column:
+    """Names of the rules that the report of a blocked run breaks, in order: no placeholders, a mark that says so, a cause, and an address that was tried."""
+    rules = [
+        (F.size(placeholder_hits(text)) == 0, "placeholder"),
+        (mentions_any(text, BLOCKED), "no-mark"),
+        (mentions_any(text, CAUSES), "no-cause"),
+        (F.size(addresses(text, prefixes)) >= min_urls, "few-urls"),
+    ]
+    return failures(rules)
+
+
 def page_errors(raw: DataFrame, items: str) -> DataFrame:
     """What breaks a page of a listing's contract: no list, a token that isn't text, members without their parts."""
     members = F.col(items)

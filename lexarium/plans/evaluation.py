@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as ev
 from ..registry import query
 from ..session import table
-from .inline import Inline
+from .inline import Extended, Inline
 
 ROWS = "SELECT c_mktsegment AS server, n_name AS model, o_orderpriority AS category, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS price, o_orderstatus AS status, o_orderdate, round(o_totalprice * 100) > 100000 AS valid FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
 
@@ -115,15 +115,19 @@ def ranking_agreement(spark, sf_dir):
     return ev.rankings_agree(means(spark, sf_dir), "model", "mean", "server")
 
 
-BOARD = Inline({"name": "string", "current": "double", "base": "double"}, [("one", 0.908, 0.906), ("two", 0.904, 0.906), ("three", 0.97, 0.90), ("four", 0.5, 0.5), ("five", None, 0.4)])
+BOARD = Extended(
+    "part", "SELECT 'p' || p_partkey AS name, CASE WHEN p_size % 9 <> 0 THEN p_size / 64.0e0 END AS current, (p_size + p_partkey % 9 - 4) / 64.0e0 AS base FROM part",
+    {"name": "string", "current": "double", "base": "double"}, [("one", 0.908, 0.906), ("two", 0.904, 0.906), ("three", 0.97, 0.90), ("four", 0.5, 0.5), ("five", None, 0.4)])
 
 
 @query("hypothesis_bands", f"SELECT name, CASE WHEN d IS NULL THEN 'untested' WHEN d > 0.05 THEN 'supported' WHEN d > 0 THEN 'marginal' WHEN d = 0 THEN 'neutral' ELSE 'rejected' END AS band FROM (SELECT name, round(current - base, 6) AS d FROM {BOARD.sql})")
 def hypothesis_bands(spark, sf_dir):
-    return BOARD.df(spark).select("name", ev.delta_band(F.round(F.col("current") - F.col("base"), 6)).alias("band"))
+    return BOARD.df(spark, sf_dir).select("name", ev.delta_band(F.round(F.col("current") - F.col("base"), 6)).alias("band"))
 
 
-SCORED = Inline(
+SCORED = Extended(
+    "part", "SELECT p_partkey + 100 AS id, split(p_name, ' ') AS topics, split(p_type, ' ') AS seen_topics, split(p_brand, '#') AS sources, split(p_name || ' 11', ' ') AS seen_sources FROM part",
+    
     {"id": "int", "topics": "array<string>", "seen_topics": "array<string>", "sources": "array<string>", "seen_sources": "array<string>"},
     [(1, ["a", "b"], ["a"], ["x"], ["x", "y"]), (2, [], ["a"], ["x", "y"], []), (3, ["a"], ["a"], [], []), (4, ["a", "b", "c"], ["c", "b"], ["z"], ["q"])],
 )
@@ -137,11 +141,15 @@ SCORED = Inline(
 )
 def composite_scores(spark, sf_dir):
     score = ev.composite([(ev.hit_share(F.col("topics"), F.col("seen_topics")), 0.4), (ev.hit_share(F.col("sources"), F.col("seen_sources")), 0.6)])
-    return SCORED.df(spark).select("id", F.round(score, 6).alias("score"), (F.size(F.array_except("seen_sources", "sources")) == 0).alias("within"))
+    return SCORED.df(spark, sf_dir).select("id", F.round(score, 6).alias("score"), (F.size(F.array_except("seen_sources", "sources")) == 0).alias("within"))
 
 
-TRUST = Inline({"id": "string", "question": "string", "category": "string"}, [("s1", "q1", "c1"), ("s2", "q2", None), ("s3", "q3", "c3")])
-GIVEN = Inline({"id": "string", "question": "string", "category": "string"}, [("s1", "q1", "c1"), ("s2", "q2", None), ("s3", "other", "c9"), ("s9", "q", "c")])
+TRUST = Extended(
+    "part", "SELECT 's' || p_partkey || 'x' AS id, p_name AS question, CASE WHEN p_size % 4 <> 0 THEN p_brand END AS category FROM part",
+    {"id": "string", "question": "string", "category": "string"}, [("s1", "q1", "c1"), ("s2", "q2", None), ("s3", "q3", "c3")])
+GIVEN = Extended(
+    "part", "SELECT 's' || p_partkey || CASE WHEN p_size % 7 = 0 THEN 'y' ELSE 'x' END AS id, CASE WHEN p_size % 5 = 0 THEN p_type ELSE p_name END AS question, p_brand AS category FROM part",
+    {"id": "string", "question": "string", "category": "string"}, [("s1", "q1", "c1"), ("s2", "q2", None), ("s3", "other", "c9"), ("s9", "q", "c")])
 
 
 @query(
@@ -150,44 +158,50 @@ GIVEN = Inline({"id": "string", "question": "string", "category": "string"}, [("
     FROM {GIVEN.sql} g LEFT JOIN {TRUST.sql} t ON t.id = g.id""",
 )
 def trusted_join(spark, sf_dir):
-    t = TRUST.df(spark).select("id", F.col("question").alias("tq"), F.col("category").alias("tc"), F.lit(True).alias("known"))
-    both = GIVEN.df(spark).join(t, "id", "left")
+    t = TRUST.df(spark, sf_dir).select("id", F.col("question").alias("tq"), F.col("category").alias("tc"), F.lit(True).alias("known"))
+    both = GIVEN.df(spark, sf_dir).join(t, "id", "left")
     differs = ev.mismatches([("question", F.col("question"), F.col("tq")), ("category", F.col("category"), F.col("tc"))])
     return both.select("id", F.when(F.col("known").isNull(), "unknown").otherwise(F.array_join(differs, "|")).alias("differs"))
 
 
-EVIDENCE = Inline({"id": "int", "turns": "int", "answer": "string", "tools": "int", "errors": "int"}, [(1, 2, "ok", 1, 0), (2, 0, "ok", 1, 0), (3, 1, "", 0, 2), (4, None, None, None, None), (5, 3, "fine", 1, 1)])
+EVIDENCE = Extended(
+    "part", "SELECT p_partkey + 100 AS id, p_size % 4 AS turns, CASE WHEN p_size % 3 <> 0 THEN p_name ELSE '' END AS answer, p_size % 2 AS tools, p_partkey % 3 AS errors FROM part",
+    {"id": "int", "turns": "int", "answer": "string", "tools": "int", "errors": "int"}, [(1, 2, "ok", 1, 0), (2, 0, "ok", 1, 0), (3, 1, "", 0, 2), (4, None, None, None, None), (5, 3, "fine", 1, 1)])
 RULES_SQL = [("turns > 0", "no-turns"), ("answer <> ''", "no-answer"), ("tools > 0", "no-tool-call"), ("errors = 0", "tool-errors")]
 
 
 @query("row_evidence", f"SELECT id, CASE {' '.join(f"WHEN NOT COALESCE({c}, false) THEN '{r}'" for c, r in RULES_SQL)} END AS reason, array_to_string(list_filter([{', '.join(f"CASE WHEN NOT COALESCE({c}, false) THEN '{r}' END" for c, r in RULES_SQL)}], lambda x: x IS NOT NULL), '|') AS reasons FROM {EVIDENCE.sql}")
 def row_evidence(spark, sf_dir):
     rules = [(F.expr(c), r) for c, r in RULES_SQL]
-    return EVIDENCE.df(spark).select("id", ev.first_failure(rules).alias("reason"), F.array_join(ev.failures(rules), "|").alias("reasons"))
+    return EVIDENCE.df(spark, sf_dir).select("id", ev.first_failure(rules).alias("reason"), F.array_join(ev.failures(rules), "|").alias("reasons"))
 
 
-PROBES = Inline({"route": "string", "failure": "string"}, [(f"r{i:02}", f) for i, f in enumerate(["timeout", "ok", "stale", "timeout", "empty", "stale", "stale", "ok", "dns", "stale"])])
+PROBES = Extended(
+    "part", "SELECT 'p' || p_partkey AS route, CASE p_size % 6 WHEN 0 THEN 'timeout' WHEN 1 THEN 'ok' WHEN 2 THEN 'stale' WHEN 3 THEN 'dns' WHEN 4 THEN 'ok' ELSE 'empty' END AS failure FROM part",
+    {"route": "string", "failure": "string"}, [(f"r{i:02}", f) for i, f in enumerate(["timeout", "ok", "stale", "timeout", "empty", "stale", "stale", "ok", "dns", "stale"])])
 
 
 @query("diagnostic_histogram", f"SELECT failure, COUNT(*)::BIGINT AS n, array_to_string(list_sort(list(route))[1:2], '|') AS first FROM {PROBES.sql} WHERE failure <> 'ok' GROUP BY failure")
 def diagnostic_histogram(spark, sf_dir):
-    bad = PROBES.df(spark).where("failure <> 'ok'")
+    bad = PROBES.df(spark, sf_dir).where("failure <> 'ok'")
     counts, detail = ev.histogram(bad, "failure", ["route"], 2)
     return counts.join(detail.groupBy("failure").agg(F.array_join(F.array_sort(F.collect_list("route")), "|").alias("first")), "failure")
 
 
 @query("host_failure", f"SELECT bool_and(failure IN ('timeout', 'dns')) AS blocked, COUNT(DISTINCT failure)::BIGINT AS kinds, COUNT(*) FILTER (WHERE failure <> 'ok')::BIGINT AS failed FROM {PROBES.sql}")
 def host_failure(spark, sf_dir):
-    return PROBES.df(spark).agg(F.bool_and(F.col("failure").isin("timeout", "dns")).alias("blocked"), F.countDistinct("failure").alias("kinds"), F.count_if(F.col("failure") != "ok").alias("failed"))
+    return PROBES.df(spark, sf_dir).agg(F.bool_and(F.col("failure").isin("timeout", "dns")).alias("blocked"), F.countDistinct("failure").alias("kinds"), F.count_if(F.col("failure") != "ok").alias("failed"))
 
 
-DEPLOYED = Inline({"site": "string", "commit": "string", "expected_commit": "string", "title": "string", "expected_title": "string"}, [("a", "c1", "c1", "T", "T"), ("b", "c0", "c1", "T", "U"), ("c", None, "c1", None, None)])
+DEPLOYED = Extended(
+    "part", "SELECT 'p' || p_partkey AS site, p_brand AS commit, CASE WHEN p_size % 3 = 0 THEN p_type ELSE p_brand END AS expected_commit, p_name AS title, CASE WHEN p_size % 5 <> 0 THEN p_name END AS expected_title FROM part",
+    {"site": "string", "commit": "string", "expected_commit": "string", "title": "string", "expected_title": "string"}, [("a", "c1", "c1", "T", "T"), ("b", "c0", "c1", "T", "U"), ("c", None, "c1", None, None)])
 
 
 @query("deployment_freshness", f"SELECT site, array_to_string(list_filter([CASE WHEN commit IS DISTINCT FROM expected_commit THEN 'commit' END, CASE WHEN title IS DISTINCT FROM expected_title THEN 'title' END], lambda x: x IS NOT NULL), '|') AS mismatches FROM {DEPLOYED.sql}")
 def deployment_freshness(spark, sf_dir):
     pairs = [(n, F.col(n), F.col(f"expected_{n}")) for n in ("commit", "title")]
-    return DEPLOYED.df(spark).select("site", F.array_join(ev.mismatches(pairs), "|").alias("mismatches"))
+    return DEPLOYED.df(spark, sf_dir).select("site", F.array_join(ev.mismatches(pairs), "|").alias("mismatches"))
 
 
 INCIDENTS = Inline({"number": "int", "title": "string", "keyed": "boolean", "state": "string"}, [(9, "Search regression", False, "open"), (4, "Search regression", False, "open"), (7, "other", True, "open"), (5, "Search regression", True, "open"), (12, "misc", False, "open")])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import graph
 from ..registry import query
 from ..session import table
-from .inline import Grown, Inline
+from .inline import Extended, Grown, Inline
 
 NAV = [{"group": "Get started", "pages": ["index", "quickstart", {"group": "Agents", "pages": ["agents/overview", "agents/how-to/deploy"]}]}, {"group": "Models & data", "pages": ["models/catalog", {"group": "Empty", "pages": []}]}, "changelog"]
 NAV_ROWS = Inline(
@@ -153,7 +153,9 @@ def dangling_hrefs(spark, sf_dir):
     return page_hrefs(spark, sf_dir).join(known, "href", "left_anti").select("page_id", "href")
 
 
-REDIRECTS = Inline({"source": "string", "destination": "string"}, [("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("s", "s"), ("p", "a"), ("q", "x")])
+REDIRECTS = Extended(
+    "part", "SELECT 'r' || p_partkey AS source, 'r' || CAST(FLOOR(p_partkey / 2) AS INT) AS destination FROM part WHERE p_partkey > 1",
+    {"source": "string", "destination": "string"}, [("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("s", "s"), ("p", "a"), ("q", "x")])
 
 
 @query(
@@ -163,15 +165,17 @@ REDIRECTS = Inline({"source": "string", "destination": "string"}, [("a", "b"), (
     SELECT source, CASE WHEN NOT bool_or(cyc) THEN arg_max(cur, len(seen)) END AS final FROM w GROUP BY source""",
 )
 def alias_resolution(spark, sf_dir):
-    return graph.resolved_aliases(REDIRECTS.df(spark))
+    return graph.resolved_aliases(REDIRECTS.df(spark, sf_dir))
 
 
-INCLUDES = Inline({"source": "string", "target": "string"}, [("doc1", "inc/a"), ("inc/a", "inc/b"), ("inc/b", "inc/a"), ("doc2", "inc/b"), ("doc2", "inc/c"), ("inc/c", "inc/d"), ("doc3", "doc3")])
+INCLUDES = Extended(
+    "part", "SELECT 'd' || p_partkey AS source, 'd' || CAST(FLOOR(p_partkey / 2) AS INT) AS target FROM part WHERE p_partkey > 1",
+    {"source": "string", "target": "string"}, [("doc1", "inc/a"), ("inc/a", "inc/b"), ("inc/b", "inc/a"), ("doc2", "inc/b"), ("doc2", "inc/c"), ("inc/c", "inc/d"), ("doc3", "doc3")])
 
 
 @query("include_closure", f"WITH RECURSIVE e AS {INCLUDES.sql}, c(root, node) AS (SELECT source, target FROM e WHERE source <> target UNION SELECT c.root, e.target FROM c JOIN e ON e.source = c.node WHERE e.target <> c.root) SELECT root, node FROM c")
 def include_closure(spark, sf_dir):
-    return graph.closure(INCLUDES.df(spark)).select("root", "node")
+    return graph.closure(INCLUDES.df(spark, sf_dir)).select("root", "node")
 
 
 @query(

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import table
+
 
 def _sql(value) -> str:
     if value is None:
@@ -29,7 +31,7 @@ class Inline:
     def __init__(self, columns: dict[str, str], rows: list[tuple]):
         self.columns, self.rows = columns, rows
 
-    def df(self, spark: SparkSession) -> DataFrame:
+    def df(self, spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
         return spark.createDataFrame([tuple(r) for r in self.rows], ", ".join(f"{n} {t}" for n, t in self.columns.items()))
 
     @property
@@ -53,3 +55,20 @@ class Grown(Inline):
     @property
     def sql(self) -> str:
         return f"(SELECT * FROM {super().sql} UNION ALL BY NAME {self.more_sql})"
+
+
+class Extended(Inline):
+    """Literal rows, and those that one SELECT makes from a table: text that Spark and DuckDB read alike."""
+
+    def __init__(self, source: str, select: str, columns: dict[str, str], rows: list[tuple]):
+        super().__init__(columns, rows)
+        self.source, self.select = source, select
+
+    def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = spark.sql(self.select.replace(f"FROM {self.source}", "FROM {made_from}"), made_from=table(spark, sf_dir, self.source))
+        return super().df(spark).unionByName(made.select(*[made[c].cast(t) for c, t in self.columns.items()]))
+
+    @property
+    def sql(self) -> str:
+        casts = ", ".join(f"CAST({n} AS {DUCK[t]}) AS {n}" for n, t in self.columns.items())
+        return f"(SELECT * FROM {super().sql} UNION ALL BY NAME SELECT {casts} FROM ({self.select}))"

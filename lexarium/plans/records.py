@@ -12,7 +12,7 @@ from ..operators import catalog, records, search
 from ..registry import query
 from ..session import table
 from ..sources import files
-from .inline import Inline
+from .inline import Extended, Inline
 from .text import duck_tokens
 
 EVAL = Inline(
@@ -68,22 +68,30 @@ def api_operations(spark, sf_dir):
     return files.operations_of(SPECS.df(spark).unionByName(table(spark, sf_dir, "part").select(spec.alias("content"))), "content")
 
 
-OPS = Inline({"operation": "string", "example": "string"}, [("l", "own"), ("p", None), ("q", None)])
-EXAMPLES = Inline({"operation": "string", "example": "string"}, [("l", "given"), ("p", "given p"), ("z", "unused")])
+OPS = Extended(
+    "part", "SELECT 'o' || p_partkey AS operation, CASE WHEN p_size % 2 = 0 THEN p_name END AS example FROM part",
+    {"operation": "string", "example": "string"}, [("l", "own"), ("p", None), ("q", None)])
+EXAMPLES = Extended(
+    "part", "SELECT 'o' || p_partkey AS operation, p_type AS example FROM part WHERE p_size % 3 <> 0",
+    {"operation": "string", "example": "string"}, [("l", "given"), ("p", "given p"), ("z", "unused")])
 
 
 @query("spec_examples", f"SELECT o.operation, COALESCE(o.example, e.example) AS example FROM {OPS.sql} o LEFT JOIN {EXAMPLES.sql} e ON e.operation = o.operation")
 def spec_examples(spark, sf_dir):
-    return records.with_examples(OPS.df(spark), EXAMPLES.df(spark), "operation", "example")
+    return records.with_examples(OPS.df(spark, sf_dir), EXAMPLES.df(spark, sf_dir), "operation", "example")
 
 
-BATCHES = Inline({"batch": "string", "branch": "string"}, [("b1", "sync/1"), ("b2", "sync/2"), ("b3", "sync/3")])
-HEADS = Inline({"number": "int", "head_ref": "string"}, [(4, "sync/1"), (5, "sync/2"), (6, "sync/2"), (7, "other")])
+BATCHES = Extended(
+    "part", "SELECT 'p' || p_partkey AS batch, 'sync/p' || p_partkey AS branch FROM part",
+    {"batch": "string", "branch": "string"}, [("b1", "sync/1"), ("b2", "sync/2"), ("b3", "sync/3")])
+HEADS = Extended(
+    "part", "SELECT p_partkey + 100 AS number, 'sync/p' || (p_partkey - p_partkey % 3) AS head_ref FROM part WHERE p_size % 2 = 0",
+    {"number": "int", "head_ref": "string"}, [(4, "sync/1"), (5, "sync/2"), (6, "sync/2"), (7, "other")])
 
 
 @query("branch_match", f"SELECT b.batch, CASE WHEN COUNT(h.number) = 1 THEN MIN(h.number) END AS number, CASE WHEN COUNT(h.number) > 1 THEN 'ambiguous' END AS problem FROM {BATCHES.sql} b LEFT JOIN {HEADS.sql} h ON h.head_ref = b.branch GROUP BY b.batch")
 def branch_match(spark, sf_dir):
-    return records.matched_branches(BATCHES.df(spark), HEADS.df(spark))
+    return records.matched_branches(BATCHES.df(spark, sf_dir), HEADS.df(spark, sf_dir))
 
 
 SEEN = Inline({"tool": "string"}, [("docs-search",), ("docs__fetch",), ("search",), ("web-search",), ("docs-delete",), ("other",)])
@@ -126,12 +134,14 @@ def apply_preconditions(spark, sf_dir):
     return records.unmet(plan, now)
 
 
-GATES = Inline({"status": "string", "phase": "string"}, [(s, p) for s in ("pass", "fail", "blocked", "error") for p in ("gate", "report")])
+GATES = Extended(
+    "part", "SELECT CASE p_size % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' WHEN 2 THEN 'blocked' ELSE 'error' END AS status, CASE p_partkey % 2 WHEN 0 THEN 'gate' ELSE 'report' END AS phase FROM part",
+    {"status": "string", "phase": "string"}, [(s, p) for s in ("pass", "fail", "blocked", "error") for p in ("gate", "report")])
 
 
 @query("gate_exit_codes", f"SELECT status, phase, CASE WHEN status IN ('blocked', 'error') THEN 2 WHEN status = 'fail' AND phase = 'gate' THEN 1 ELSE 0 END AS code FROM {GATES.sql}")
 def gate_exit_codes(spark, sf_dir):
-    return GATES.df(spark).select("status", "phase", records.exit_code(F.col("status"), F.col("phase")).alias("code"))
+    return GATES.df(spark, sf_dir).select("status", "phase", records.exit_code(F.col("status"), F.col("phase")).alias("code"))
 
 
 @query("blocked_result", "SELECT 0::BIGINT AS total, 0::BIGINT AS passed, 0.0::DOUBLE AS pass_rate, 0.85::DOUBLE AS threshold, 'blocked' AS status")

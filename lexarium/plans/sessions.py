@@ -12,7 +12,7 @@ from ..registry import query
 from ..session import table
 from ..storage import new_path
 from ..streaming import mentions, stateful
-from .inline import Grown, Inline
+from .inline import Extended, Grown, Inline
 
 
 def _log(*events) -> str:
@@ -231,7 +231,9 @@ def feedback_cases(spark, sf_dir):
 # ---- rule lists
 
 LIST = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in validation.PLACEHOLDERS) + "]"
-REPORTS = Inline(
+REPORTS = Extended(
+    "documents", "SELECT doc_id + 100 AS id, text AS body FROM documents",
+    
     {"id": "int", "body": "string"},
     [
         (1, "I followed the task at https://site.example/a, then https://site.example/b. and (https://site.example/c) which was confusing. Critical issue: broken link. What worked: search. Recommendation: fix it. " + "word " * 150),
@@ -257,7 +259,22 @@ URLS = r"list_distinct(list_filter(list_transform(regexp_extract_all(body, 'http
 def report_rules(spark, sf_dir):
     body = F.col("body")
     errors = validation.report_errors(body, prefixes=("https://site.example/",))
-    return REPORTS.df(spark).select("id", F.array_join(errors, "|").alias("errors"), F.size(text.addresses(body, ("https://site.example/",))).cast("long").alias("n_urls"))
+    return REPORTS.df(spark, sf_dir).select("id", F.array_join(errors, "|").alias("errors"), F.size(text.addresses(body, ("https://site.example/",))).cast("long").alias("n_urls"))
+
+
+OUTAGES = Extended(
+    "events", "SELECT event_id + 100 AS id, CASE event_id % 4 WHEN 0 THEN 'Infrastructure blocked: ' WHEN 1 THEN 'BLOCKED: TBD ' WHEN 2 THEN 'blocked ' ELSE 'infrastructure-blocked ' END || event_type || CASE event_id % 3 WHEN 0 THEN ' timed out' WHEN 1 THEN ' (403)' ELSE '' END || CASE WHEN event_id % 5 <> 0 THEN ' at https://site.example/' || event_id ELSE ' at https://other.example/x' END AS body FROM events",
+    {"id": "int", "body": "string"}, [(1, "Infrastructure blocked: the browser was denied at https://site.example/a."), (2, "blocked"), (3, "infrastructure-blocked, network; https://site.example/a https://other.example/b TODO"), (4, "")],
+)
+
+
+@query(
+    "blocked_report_rules",
+    rf"""SELECT id, array_to_string(list_filter([CASE WHEN len(list_filter({LIST}, lambda p: regexp_matches(lower(body), p))) > 0 THEN 'placeholder' END, CASE WHEN NOT {_any(validation.BLOCKED)} THEN 'no-mark' END,
+    CASE WHEN NOT {_any(validation.CAUSES)} THEN 'no-cause' END, CASE WHEN len({URLS}) < 1 THEN 'few-urls' END], lambda x: x IS NOT NULL), '|') AS errors FROM {OUTAGES.sql}""",
+)
+def blocked_report_rules(spark, sf_dir):
+    return OUTAGES.df(spark, sf_dir).select("id", F.array_join(validation.blocked_errors(F.col("body"), prefixes=("https://site.example/",)), "|").alias("errors"))
 
 
 @query("placeholder_hits", f"SELECT doc_id, array_to_string(list_filter({LIST}, lambda p: regexp_matches(lower(text), p)), ' ') AS hits FROM documents")

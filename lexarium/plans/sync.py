@@ -9,7 +9,7 @@ from ..operators import sync
 from ..operators.ordering import numbered
 from ..registry import query
 from ..session import table
-from .inline import Inline
+from .inline import Extended, Inline
 
 PATH = "source || '/' || (doc_id % 50)::VARCHAR || '/doc' || doc_id::VARCHAR || '.mdx'"
 RULES = [("directory", "src3"), ("file", "src1/1/doc1.mdx"), ("directory", "nowhere")]
@@ -154,14 +154,20 @@ def stale_files(spark, sf_dir):
 PATHS = Inline({"seq": "int", "path": "string", "payload_bytes": "long"}, [(1, "a", 4), (2, "a-b", 6), (3, "a/b", 1), (4, "c/d/e", 9), (5, "c/dd", 2), (6, "c/d", 3), (7, "z", 5), (8, "y/x", 1)])
 
 
-@query("prefix_conflicts", f"SELECT x.path, y.path AS ancestor FROM {PATHS.sql} x JOIN {PATHS.sql} y ON starts_with(x.path, y.path || '/')")
+FOLDERS = Extended(
+    "part", "SELECT p_partkey + 100 AS seq, CASE WHEN p_partkey <= 40 THEN 'k' || p_partkey WHEN p_partkey <= 400 THEN 'k' || (p_partkey % 40) || '/m' || p_partkey ELSE 'k' || (p_partkey % 40) || '/m' || (p_partkey % 400) || '/' || p_partkey END AS path, 1 AS payload_bytes FROM part",
+    PATHS.columns, PATHS.rows,
+)
+
+
+@query("prefix_conflicts", f"SELECT x.path, y.path AS ancestor FROM {FOLDERS.sql} x JOIN {FOLDERS.sql} y ON starts_with(x.path, y.path || '/')")
 def prefix_conflicts(spark, sf_dir):
-    return sync.path_conflicts(PATHS.df(spark))
+    return sync.path_conflicts(FOLDERS.df(spark, sf_dir))
 
 
-@query("minimal_pathspecs", f"SELECT path FROM {PATHS.sql} x WHERE NOT EXISTS (SELECT 1 FROM {PATHS.sql} y WHERE starts_with(x.path, y.path || '/'))")
+@query("minimal_pathspecs", f"SELECT path FROM {FOLDERS.sql} x WHERE NOT EXISTS (SELECT 1 FROM {FOLDERS.sql} y WHERE starts_with(x.path, y.path || '/'))")
 def minimal_pathspecs(spark, sf_dir):
-    return sync.minimal_paths(PATHS.df(spark))
+    return sync.minimal_paths(FOLDERS.df(spark, sf_dir))
 
 
 @query("atomic_groups", "SELECT * FROM (VALUES (1, 1::BIGINT), (2, 1), (3, 1), (4, 2), (5, 2), (6, 2), (7, 3), (8, 4)) AS t(seq, group_no)")
@@ -169,23 +175,25 @@ def atomic_groups(spark, sf_dir):
     return sync.atomic_groups(PATHS.df(spark)).select("seq", "group_no")
 
 
-PULLS = Inline(
+PULLS = Extended(
+    "part", "SELECT p_partkey + 100 AS number, CASE p_size % 3 WHEN 0 THEN 'MERGED' ELSE 'OPEN' END AS state, CASE p_size % 4 WHEN 0 THEN '2026-01-05T00:00:00Z' WHEN 1 THEN 'bad' ELSE '2025-12-0' || (p_size % 9 + 1) || 'T00:00:00Z' END AS created, CASE WHEN p_size % 3 = 0 THEN '2026-01-0' || (p_size % 9 + 1) || 'T10:00:00Z' END AS merged, p_brand AS label FROM part",
+    
     {"number": "int", "state": "string", "created": "string", "merged": "string", "label": "string"},
     [(1, "MERGED", "2026-01-01T00:00:00Z", "2026-01-09T10:00:00Z", "docs"), (1, "MERGED", "2026-01-01T00:00:00Z", "2026-01-09T10:00:00Z", "sync"), (2, "OPEN", "2026-01-08T00:00:00Z", None, "docs"), (3, "OPEN", "2025-12-01T00:00:00Z", None, "docs"), (4, "CLOSED", "bad", "", "sync"), (5, "MERGED", "2025-12-30T00:00:00Z", "2026-01-03T00:00:00Z", "sync"), (6, "OPEN", "2026-01-05T08:00:00Z", None, "sync")],
 )
 RECENT = f"(SELECT DISTINCT number, state, created, merged FROM {PULLS.sql} WHERE COALESCE(TRY_CAST(replace(merged, 'Z', '') AS TIMESTAMP) >= TIMESTAMP '2026-01-03 00:00:00', false) OR COALESCE(TRY_CAST(replace(created, 'Z', '') AS TIMESTAMP) >= TIMESTAMP '2026-01-03 00:00:00', false))"
 
 
-def recent(spark):
-    rows = PULLS.df(spark).drop("label").dropDuplicates(["number"])
+def recent(spark, sf_dir):
+    rows = PULLS.df(spark, sf_dir).drop("label").dropDuplicates(["number"])
     return sync.within_window(rows, ["merged", "created"], F.lit("2026-01-10 00:00:00").cast("timestamp"), 7)
 
 
 @query("pull_window", f"SELECT number, state FROM {RECENT}")
 def pull_window(spark, sf_dir):
-    return recent(spark).select("number", "state")
+    return recent(spark, sf_dir).select("number", "state")
 
 
 @query("merge_rate", f"SELECT COUNT(*)::BIGINT AS created, COUNT(merged)::BIGINT AS merged, round(COUNT(merged) / COUNT(*) * 100, 1) AS rate FROM (SELECT * FROM {RECENT} ORDER BY number LIMIT 3)")
 def merge_rate(spark, sf_dir):
-    return sync.merge_rate(recent(spark), "merged", "created", [F.col("number")], 3)
+    return sync.merge_rate(recent(spark, sf_dir), "merged", "created", [F.col("number")], 3)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import labels, paths, text
 from ..registry import query
 from ..session import table
-from .inline import Grown, Inline
+from .inline import Extended, Grown, Inline
 
 STOP = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
 B = r"[ \t\n\x0B\f\r]"
@@ -136,7 +136,9 @@ def url_host(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", paths.host(u).alias("host"), paths.origin(u).alias("origin"), paths.address_path(u, r"^https?://[^/]+/([^?#]*)").alias("path"))
 
 
-URLS = Inline(
+URLS = Extended(
+    "part", "SELECT CASE p_size % 4 WHEN 0 THEN 'https://' || p_brand || '.example:443/' || p_name WHEN 1 THEN 'HTTP://h' || p_size || '.example:8080?q=' || p_partkey WHEN 2 THEN 'ftp://' || p_name ELSE 'http://u@h' || p_partkey END AS url FROM part",
+    
     {"url": "string"},
     [("HTTPS://Example.Org:443/a",), ("http://example.org:8080/",), ("http://user@example.org/",), ("ftp://example.org",), ("https://a.b",), ("http://a.b:80?x=1",), ("",), ("nonsense",)],
 )
@@ -149,10 +151,12 @@ URLS = Inline(
     SELECT url, CASE WHEN h <> '' THEN s || '://' || h || CASE WHEN p = '' OR (s = 'http' AND p = '80') OR (s = 'https' AND p = '443') THEN '' ELSE ':' || p END END AS origin FROM m""",
 )
 def url_origin(spark, sf_dir):
-    return URLS.df(spark).select("url", paths.origin(F.col("url")).alias("origin"))
+    return URLS.df(spark, sf_dir).select("url", paths.origin(F.col("url")).alias("origin"))
 
 
-NAMES = Inline({"name": "string"}, [("Getting Started!",), ("  What's new?  ",), ("***",), ("A -- B & C",), ("Prompt [flow] (v2)",), ("",), ("Ünïcode näme",), ("tab\there",)])
+NAMES = Extended(
+    "part", "SELECT p_name || CASE p_size % 3 WHEN 0 THEN '!' WHEN 1 THEN ' (' || p_type || ') ' ELSE ' -- ' || p_brand END AS name FROM part",
+    {"name": "string"}, [("Getting Started!",), ("  What's new?  ",), ("***",), ("A -- B & C",), ("Prompt [flow] (v2)",), ("",), ("Ünïcode näme",), ("tab\there",)])
 
 
 @query(
@@ -161,18 +165,22 @@ NAMES = Inline({"name": "string"}, [("Getting Started!",), ("  What's new?  ",),
     regexp_replace(regexp_replace(regexp_replace(replace(lower(name), ' ', '-'), '[?#&%!''"()\\[\\]{{}}]', '', 'g'), '-{{2,}}', '-', 'g'), '^-+|-+$', '', 'g') AS url_slug FROM {NAMES.sql}""",
 )
 def slugs(spark, sf_dir):
-    return NAMES.df(spark).select("name", text.slug(F.col("name")).alias("slug"), text.url_slug(F.col("name")).alias("url_slug"))
+    return NAMES.df(spark, sf_dir).select("name", text.slug(F.col("name")).alias("slug"), text.url_slug(F.col("name")).alias("url_slug"))
 
 
-RAW_KEYWORDS = Inline({"id": "int", "raw": "string"}, [(1, "Agents, RAG ,, fine-tuning"), (2, ""), (3, None), (4, " , "), (5, "ONE")])
+RAW_KEYWORDS = Extended(
+    "part", "SELECT p_partkey + 100 AS id, p_name || CASE p_size % 3 WHEN 0 THEN ', ' WHEN 1 THEN ' ,,' ELSE ',' END || p_type AS raw FROM part",
+    {"id": "int", "raw": "string"}, [(1, "Agents, RAG ,, fine-tuning"), (2, ""), (3, None), (4, " , "), (5, "ONE")])
 
 
 @query("keyword_parse", f"SELECT id, array_to_string(list_filter(list_transform(string_split(COALESCE(raw, ''), ','), lambda k: lower(trim(k))), lambda k: k <> ''), '|') AS keywords FROM {RAW_KEYWORDS.sql}")
 def keyword_parse(spark, sf_dir):
-    return RAW_KEYWORDS.df(spark).select("id", F.array_join(text.keyword_list(F.col("raw")), "|").alias("keywords"))
+    return RAW_KEYWORDS.df(spark, sf_dir).select("id", F.array_join(text.keyword_list(F.col("raw")), "|").alias("keywords"))
 
 
-LINKS = Inline(
+LINKS = Extended(
+    "part", "SELECT CASE p_size % 3 WHEN 0 THEN '/r/' || p_name WHEN 1 THEN 'https://h.example/' || p_partkey ELSE '' END AS path FROM part",
+    
     {"path": "string"},
     [("",), ("/r/x/comments/1",), ("https://elsewhere.example/1",), (None,)],
 )
@@ -180,7 +188,7 @@ LINKS = Inline(
 
 @query("permalinks", f"SELECT path, CASE WHEN COALESCE(path, '') = '' OR starts_with(path, 'https://') THEN COALESCE(path, '') ELSE 'https://site.example' || path END AS link FROM {LINKS.sql}")
 def permalinks(spark, sf_dir):
-    return LINKS.df(spark).select("path", text.permalink(F.col("path"), "https://site.example").alias("link"))
+    return LINKS.df(spark, sf_dir).select("path", text.permalink(F.col("path"), "https://site.example").alias("link"))
 
 
 @query("body_snippets", "SELECT conv_id, turn, substr(text, 1, 60) AS snippet, CASE WHEN length(text) > 60 THEN substr(text, 1, 57) || '...' ELSE text END AS bounded FROM conversations")
@@ -203,23 +211,29 @@ def time_labels(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", labels.iso_week(F.col("ts")).alias("iso_week"), labels.month(F.col("ts")).alias("month"))
 
 
-DAYS = Inline({"day": "string"}, [(f"{y}-{md}",) for y in (2019, 2020, 2024, 2025, 2026, 2027, 2030) for md in ("01-01", "01-04", "06-15", "12-28", "12-31")])
+DAYS = Extended(
+    "orders", "SELECT CAST(CAST(o_orderdate AS DATE) AS STRING) AS day FROM orders",
+    {"day": "string"}, [(f"{y}-{md}",) for y in (2019, 2020, 2024, 2025, 2026, 2027, 2030) for md in ("01-01", "01-04", "06-15", "12-28", "12-31")])
 
 
 @query("iso_week_edges", f"SELECT day, strftime(day::DATE, '%G-W%V') AS iso_week FROM {DAYS.sql}")
 def iso_week_edges(spark, sf_dir):
-    return DAYS.df(spark).select("day", labels.iso_week(F.col("day").cast("date")).alias("iso_week"))
+    return DAYS.df(spark, sf_dir).select("day", labels.iso_week(F.col("day").cast("date")).alias("iso_week"))
 
 
-TIMES = Inline({"raw": "string"}, [("2025-01-02T03:04:05Z",), ("2025-01-02T03:04:05",), ("yesterday",), ("",), (None,)])
+TIMES = Extended(
+    "orders", "SELECT CAST(CAST(o_orderdate AS DATE) AS STRING) || CASE o_orderkey % 3 WHEN 0 THEN 'T03:04:05Z' WHEN 1 THEN ' 01:02:03' ELSE 'Tx' END AS raw FROM orders",
+    {"raw": "string"}, [("2025-01-02T03:04:05Z",), ("2025-01-02T03:04:05",), ("yesterday",), ("",), (None,)])
 
 
 @query("time_parse", f"SELECT raw, epoch(TRY_CAST(replace(raw, 'Z', '') AS TIMESTAMP))::BIGINT AS seconds FROM {TIMES.sql}")
 def time_parse(spark, sf_dir):
-    return TIMES.df(spark).select("raw", F.unix_seconds(labels.parsed_time(F.col("raw"))).alias("seconds"))
+    return TIMES.df(spark, sf_dir).select("raw", F.unix_seconds(labels.parsed_time(F.col("raw"))).alias("seconds"))
 
 
-STATUSES = Inline({"status": "int"}, [(200,), (204,), (301,), (401,), (403,), (404,), (429,), (500,), (503,), (None,)])
+STATUSES = Extended(
+    "part", "SELECT p_size * 12 AS status FROM part",
+    {"status": "int"}, [(200,), (204,), (301,), (401,), (403,), (404,), (429,), (500,), (503,), (None,)])
 
 
 @query(
@@ -228,18 +242,22 @@ STATUSES = Inline({"status": "int"}, [(200,), (204,), (301,), (401,), (403,), (4
     WHEN status = 429 THEN 'rate-limited' WHEN status >= 500 THEN 'server-error' ELSE 'unexpected' END AS label FROM {STATUSES.sql}""",
 )
 def http_classes(spark, sf_dir):
-    return STATUSES.df(spark).select("status", labels.http_class(F.col("status")).alias("label"))
+    return STATUSES.df(spark, sf_dir).select("status", labels.http_class(F.col("status")).alias("label"))
 
 
-VALUES = Inline({"id": "int", "raw": "string"}, [(1, "128000"), (2, "12k"), (3, ""), (4, None), (5, " 7 "), (6, "a, b,,c ")])
+VALUES = Extended(
+    "part", "SELECT p_partkey + 100 AS id, CASE p_size % 4 WHEN 0 THEN p_name WHEN 1 THEN CAST(p_partkey AS STRING) WHEN 2 THEN p_brand || ', ' || p_type ELSE p_size || 'k' END AS raw FROM part",
+    {"id": "int", "raw": "string"}, [(1, "128000"), (2, "12k"), (3, ""), (4, None), (5, " 7 "), (6, "a, b,,c ")])
 
 
 @query("safe_casts", f"SELECT id, TRY_CAST(raw AS BIGINT) AS n, array_to_string(list_filter(list_transform(string_split(COALESCE(raw, ''), ','), lambda k: trim(k)), lambda k: k <> ''), '|') AS items FROM {VALUES.sql}")
 def safe_casts(spark, sf_dir):
-    return VALUES.df(spark).select("id", labels.int_or_none(F.col("raw")).alias("n"), F.array_join(labels.text_list(F.col("raw")), "|").alias("items"))
+    return VALUES.df(spark, sf_dir).select("id", labels.int_or_none(F.col("raw")).alias("n"), F.array_join(labels.text_list(F.col("raw")), "|").alias("items"))
 
 
-HREFS = Inline(
+HREFS = Extended(
+    "part", "SELECT CASE p_size % 5 WHEN 0 THEN '../' || p_name || '.md' WHEN 1 THEN './x/../' || p_partkey || '.yml' WHEN 2 THEN '/site/own/' || p_name WHEN 3 THEN '/site/' || p_partkey || '.md?x#y' ELSE 'https://' || p_name END AS href, 'f' || p_size || '/g' AS folder FROM part",
+    
     {"href": "string", "folder": "string"},
     [("../a/b.md?x#y", "c/d"), ("./e.md", "c"), ("../../../up.md", "c"), ("/abs/f.md", "c"), ("g//h/../i.md", "c"), ("", "c"), ("toc.yml", ""), ("https://x.example/y", "c"), ("/site/own/z", "c"), ("/site/else", "c"), ("/api/q", "c"), ("x.yaml#t", "c")],
 )
@@ -257,20 +275,24 @@ WALK = """list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(w,
 )
 def path_resolve(spark, sf_dir):
     h = F.col("href")
-    return HREFS.df(spark).select(
+    return HREFS.df(spark, sf_dir).select(
         "href", "folder", paths.resolved(h, F.col("folder")).alias("resolved"), paths.reference_kind(h, ("/site/own/",), ("/site/", "/rest/")).alias("kind"), paths.absolute_to_page(h, "/site/", "articles/").alias("page")
     )
 
 
-EXPECTED = Inline({"value": "string"}, [("/docs/agents/overview.mdx",), ("agents/overview",), ("docs/a/",), ("/x.mdx",), ("",)])
+EXPECTED = Extended(
+    "part", "SELECT CASE p_size % 3 WHEN 0 THEN '/docs/' ELSE '' END || p_name || CASE p_size % 2 WHEN 0 THEN '.mdx' ELSE '/' END AS value FROM part",
+    {"value": "string"}, [("/docs/agents/overview.mdx",), ("agents/overview",), ("docs/a/",), ("/x.mdx",), ("",)])
 
 
 @query("expected_paths", f"SELECT value, regexp_replace(regexp_replace(regexp_replace(value, '^/+|/+$', '', 'g'), '^docs/', ''), '\\.mdx$', '') AS path FROM {EXPECTED.sql}")
 def expected_paths(spark, sf_dir):
-    return EXPECTED.df(spark).select("value", paths.expected_path(F.col("value")).alias("path"))
+    return EXPECTED.df(spark, sf_dir).select("value", paths.expected_path(F.col("value")).alias("path"))
 
 
-ENTRIES = Inline({"section": "string", "source_path": "string"}, [("Agents & Tools", "articles/x/how-to.md"), ("Known", "a/b.c.md"), ("Set up?", "readme")])
+ENTRIES = Extended(
+    "part", "SELECT CASE p_size % 4 WHEN 0 THEN 'Known' ELSE p_name || ' & more?' END AS section, 'a/' || p_partkey || CASE p_size % 3 WHEN 0 THEN '.b.md' WHEN 1 THEN '.md' ELSE '' END AS source_path FROM part",
+    {"section": "string", "source_path": "string"}, [("Agents & Tools", "articles/x/how-to.md"), ("Known", "a/b.c.md"), ("Set up?", "readme")])
 
 
 @query(
@@ -279,10 +301,12 @@ ENTRIES = Inline({"section": "string", "source_path": "string"}, [("Agents & Too
     regexp_replace(string_split(source_path, '/')[-1], '(.)\\.[^.]*$', '\\1')) AS path FROM {ENTRIES.sql}""",
 )
 def output_paths(spark, sf_dir):
-    return ENTRIES.df(spark).select("section", "source_path", paths.output_path(F.col("section"), F.col("source_path"), {"Known": "known-slug"}).alias("path"))
+    return ENTRIES.df(spark, sf_dir).select("section", "source_path", paths.output_path(F.col("section"), F.col("source_path"), {"Known": "known-slug"}).alias("path"))
 
 
-ROUTES = Inline({"value": "string"}, [("agents/overview",), ("a.mdx",), ("/abs",), ("a/../b",), ("a?b",), (" a",), ("https://x",), ("a//b",), ("",), ("v1.2/x",), ("/root/ok",), ("//x",)])
+ROUTES = Extended(
+    "part", "SELECT CASE p_size % 6 WHEN 0 THEN 'a/' || p_partkey WHEN 1 THEN '/' || p_partkey || '/x' WHEN 2 THEN p_partkey || '/../b' WHEN 3 THEN 'p' || p_partkey || '.md' WHEN 4 THEN 'q?' || p_name ELSE '//' || p_name END AS value FROM part",
+    {"value": "string"}, [("agents/overview",), ("a.mdx",), ("/abs",), ("a/../b",), ("a?b",), (" a",), ("https://x",), ("a//b",), ("",), ("v1.2/x",), ("/root/ok",), ("//x",)])
 
 
 @query(
@@ -292,7 +316,7 @@ ROUTES = Inline({"value": "string"}, [("agents/overview",), ("a.mdx",), ("/abs",
 )
 def route_rules(spark, sf_dir):
     v = F.col("value")
-    return ROUTES.df(spark).select("value", paths.page_route(v).alias("page_route"), paths.root_route(v).alias("root_route"))
+    return ROUTES.df(spark, sf_dir).select("value", paths.page_route(v).alias("page_route"), paths.root_route(v).alias("root_route"))
 
 
 @query("empty_pages", f"""SELECT path, {duck_strip(r"regexp_replace(regexp_replace(regexp_replace(content, '(?s)^---\n.*?\n---\s*(?:\n|$)', ''), '(?s)\{/\*.*?\*/\}', '', 'g'), '(?s)<!--.*?-->', '', 'g')")} = '' AS empty FROM {PAGES.sql}""")

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexarium.operators import chunking, redaction, sessions, sync
+from lexarium.operators import catalog, chunking, evaluation, records, redaction, sessions, sync
 from lexarium.sources import landed
 
 # ---- batches
@@ -152,3 +152,29 @@ def test_the_verdict_is_the_same_on_both_sides_of_the_bound(spark, most):
     got = {r["i"]: r for r in rows.select("i", e.alias("e")).select("i", "e.large", F.col("e.fields").isNotNull().alias("good"), F.col("e.whole").isNotNull().alias("whole"), "e.fields.type").collect()}
     assert [i for i, r in got.items() if r["good"]] == [0] and got[0]["type"] == "a"
     assert [i for i, r in got.items() if r["whole"]] == ([] if most == 10 else [0])
+
+
+# ---- both sides in one aggregate
+
+
+def test_null_and_repeated_keys_are_compared(spark):
+    old = spark.createDataFrame([(None, "a"), ("k", "1"), ("k", "1"), ("m", "1"), ("n", None), ("gone", "x")], "key string, d string")
+    new = spark.createDataFrame([(None, "a"), ("k", "1"), ("m", "1"), ("m", "2"), ("n", None), ("new", "x")], "key string, d string")
+    assert {r["key"]: r["state"] for r in sync.index_diff(new, old, "key", "d").collect()} == {None: "unchanged", "k": "unchanged", "m": "changed", "n": "unchanged", "gone": "deleted", "new": "new"}
+    assert sync.index_diff(new, old, "key", "d").count() == 6
+    got = {r["key"]: (r["change"], r["changed_fields"]) for r in catalog.compared(old, new, ["key"], ["d"]).collect()}
+    assert got == {None: ("same", []), "k": ("same", []), "m": ("same", []), "n": ("same", []), "gone": ("removed", []), "new": ("added", [])}
+    seen = spark.createDataFrame([(None, True), ("a", True), ("b", False), ("c", True), ("c", True), ("x", True), ("d", None)], "key string, ok boolean")
+    wanted = spark.createDataFrame([(None,), ("a",), ("a",), ("b",), ("c",), ("z",), ("d",)], "key string")
+    assert {r["key"]: (r["n"], r["status"]) for r in evaluation.completeness(seen, wanted, ["key"], "ok").collect()} == {None: (1, "complete"), "a": (1, "complete"), "b": (1, "invalid"), "c": (2, "duplicate"), "x": (1, "unexpected"), "z": (0, "missing"), "d": (1, "invalid")}
+
+
+def test_hashed_embeddings_count_tokens(spark):
+    rows = spark.createDataFrame([(1, ["a", "b", "a"]), (2, []), (3, None)], "i int, t array<string>")
+    got = {r["i"]: r["v"] for r in rows.select("i", records.hashed_embedding(F.col("t")).alias("v")).collect()}
+    hashes = {r["w"]: r["h"] for r in spark.createDataFrame([("a",), ("b",)], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    want = [0.0] * 64
+    for w in ("a", "b", "a"):
+        want[hashes[w] % 64] += 1.0 if (hashes[w] >> 33) % 2 == 0 else -1.0
+    length = sum(x * x for x in want) ** 0.5
+    assert got[1] == pytest.approx([x / length for x in want]) and got[2] == [0.0] * 64 == got[3]
