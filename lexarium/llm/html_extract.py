@@ -67,6 +67,12 @@ DOUBTFUL_NAMES = frozenset(
     "banner header rail widget widgets toc promo promoted promotion alert overlay register social share sharing shares sharebar related recommended recommendations "
     "respond replies reply discussion toolbar skip form hidden copyright legal disclaimer".split()
 )
+#: Words that after such a name say where or how it is laid out; any other word after it names something else: an ad-hoc analysis, a login tutorial.
+LAYOUT = frozenset(
+    "a active area bar block body bottom box btn button card cell center closed col collapsed column component container content count dark default depth desktop end even fixed first fluid form frame full group "
+    "head heading icon id image in inline inner input item items label large last layer layout left level light line link links list main message mobile modal module nav odd open outer page panel part "
+    "parent placeholder position primary right root row secondary section sections show slot small social stack sticky submit tab text thread title toggle top unit view visible wrap wrapper zone".split()
+)
 #: After such a word the name only says that the part has, or is about, one.
 NOT_ITSELF = frozenset("has with no without not hide show category tag type format status".split())
 #: What names an article that is a reader's comment.
@@ -107,19 +113,26 @@ def evidence(tag: str, raw: str, in_article: bool) -> int:
     for token in f"{told.get('class', '')} {told.get('id', '')}".split():
         words = [w.lower() for w in _NAME.findall(token)]
         if tag in ARTICLE_TAGS:
-            if words and words[0] in COMMENT_NAMES:
+            if words and words[0] in COMMENT_NAMES and itself(words[1:]):
                 return OTHER
             continue
-        for before, word in zip(["", *words], words, strict=False):
-            if before in NOT_ITSELF:
+        for i, word in enumerate(words):
+            if i and words[i - 1] in NOT_ITSELF:
                 continue
             if word in PLAIN_NAMES:
-                return OTHER
+                if itself(words[i + 1 :]):
+                    return OTHER
+                worst = DOUBT
             if word in DOUBTFUL_NAMES and not (in_article and word in ("banner", "header")):
                 worst = DOUBT
     return worst
 
 
+def itself(after: list[str]) -> bool:
+    """Whether a name with these words after it still names the thing, and not something about it."""
+    return all(w in LAYOUT or w in PLAIN_NAMES or w in DOUBTFUL_NAMES or len(w) < 2 for w in after)
+
+
 @dataclass
 class Block:
     text: str

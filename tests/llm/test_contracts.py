@@ -234,6 +234,15 @@ print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)
 SALE = "SALE buy cheap pills now limited offer discount percent click order today free shipping worldwide best price deal"
 WORDS = "one two three"
 SHAPES = [
+    (f"<article class='comment-on-the-news'><p>{LONG}</p></article>", [LONG]),
+    (f"<article class='comment-body depth-2'><p>{LONG}</p></article><article><p>{LONG} too</p></article>", [f"{LONG} too"]),
+    (f"<article><div class='ad-hoc-analysis'><p>{LONG}</p></div></article>", [LONG]),
+    (f"<section id='login-tutorial'><p>{LONG}</p></section>", [LONG]),
+    (f"<section class='menu-engineering'><p>{LONG}</p></section>", [LONG]),
+    (f"<div class='notice-board'><p>{LONG}</p></div>", [LONG]),
+    (f"<div class='notices-of-1848'><p>{LONG}</p></div>", [LONG]),
+    (f"<article><p>{LONG}</p><div class='ad-slot-left'><p>{LONG} too</p></div><div id='mainMenu2'><p>{LONG}</p></div></article>", [LONG]),
+    (f"<article><p>{LONG}</p><form><p>Your mail</p><p>Sign up now</p></form></article>", [LONG]),
     (f"<article class='post-12 category-social tag-comments'><p>{LONG}</p></article>", [LONG]),
     (f"<article><p title='a hidden gem'>{LONG}</p></article>", [LONG]),
     (f"<article><p data-id='ad-1'>{LONG}</p></article>", [LONG]),
