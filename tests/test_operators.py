@@ -290,8 +290,8 @@ def test_hash_embeddings_are_unit_vectors(spark):
 def test_plans_prune_columns_and_limit_groups_early(spark, small):
     from lexarium import registry
 
-    plan = registry.QUERIES["bm25_batch_topk"](spark, small)._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan) and "WindowGroupLimit" in plan and "documents" not in plan
+    plan = registry.QUERIES["bm25_topk"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*kind", plan) and "EqualTo(token" in plan and "WindowGroupLimit" in plan and "documents" not in plan
     plan = registry.QUERIES["bm25_unindexed"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and "WindowGroupLimit" in plan and "CartesianProduct" not in plan
     plan = registry.QUERIES["content_hash"](spark, small)._jdf.queryExecution().executedPlan().toString()
