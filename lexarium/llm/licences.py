@@ -1,11 +1,19 @@
 """Texts of public licences, and the sentences by which works name their licence.
 
 Fixed values throughout: the licences' own words.  A body's paragraphs are parted by blank lines.  ``BODIES``: label, family, text.  Licences of
-one family share paragraphs; of those found in one text the one with most words found counts.
+one family share paragraphs; of those found in one text the one with most words found counts.  Long licences lie whole in ``texts``; the notices by
+which files refer to them are bodies of their own, in families of their own.
 """
 
 from __future__ import annotations
 
+from importlib import resources
+
+
+def _whole(label: str) -> str:
+    return (resources.files(__package__) / "texts" / f"{label}.txt").read_text("utf-8")
+
+
 MIT = """
 Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -173,6 +181,7 @@ BODIES = (
     ("AGPL-3.0", "AGPL", _gnu_notice("Affero General Public License", "3")),
     ("MPL-2.0", "MPL", MPL_NOTICE),
     ("CC0-1.0", "CC", CC0_NOTICE),
+    *((label, family, _whole(label)) for label, family in (("GPL-2.0", "GNU"), ("GPL-3.0", "GNU"), ("LGPL-2.1", "GNU"), ("LGPL-3.0", "GNU"), ("MPL-2.0", "MPL"), ("CC0-1.0", "CC"))),
 )
 
 #: Sentences and notes that name a licence: label, family, text.

@@ -5,12 +5,14 @@ statistics: at every word the length of the longest template substring that ends
 where that length reaches the phrase's and the automaton's state, or one of its suffix links, is the phrase's.
 Long matches, each located in its templates, are chained per template when they follow one another in both
 the text and the template; the chain's covered share of the template decides whether the licence is there.  Templates are whole
-licences, their paragraphs, and the sentences that name a licence (``licences``).
+licences, their paragraphs, and the sentences that name a licence (``licences``).  Paragraphs are stretches of the licences that hold them, and get the parts of
+their matches, so a clause is told inside a longer match too.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,6 +36,7 @@ class Template:
     label: str
     family: str  # of the labels that a family's templates give one counts
     words: tuple[str, ...]
+    within: tuple[tuple[int, int], ...] = ()  # of a paragraph: the templates that hold it, by number, and its first word there
 
 
 @dataclass(frozen=True)
@@ -57,13 +60,17 @@ def words_of(text: str) -> tuple[str, ...]:
 def templates_of(bodies=licences.BODIES, notes=licences.NOTES, least: int = Rules.paragraph) -> tuple[Template, ...]:
     """Whole licences, their paragraphs, and notes.  A paragraph that several labels of a family share gives the family's name."""
     out = [Template(label, family, words_of(text)) for label, family, text in (*bodies, *notes)]
-    owners: dict[tuple[str, tuple[str, ...]], list[str]] = {}
-    for label, family, text in bodies:
+    owners: dict[tuple[str, tuple[str, ...]], list[tuple[int, int]]] = {}
+    for k, (_, family, text) in enumerate(bodies):
+        first = 0
         for part in text.split("\n\n"):
             words = words_of(part)
-            if len(words) >= least and words != words_of(text):
-                owners.setdefault((family, words), []).append(label)
-    out += [Template(labels[0] if len(set(labels)) == 1 else family, family, words) for (family, words), labels in owners.items()]
+            if least <= len(words) < len(out[k].words):
+                owners.setdefault((family, words), []).append((k, first))
+            first += len(words)
+    for (family, words), within in owners.items():
+        labels = {out[k].label for k, _ in within}
+        out.append(Template(labels.pop() if len(labels) == 1 else family, family, words, tuple(within)))
     return tuple(out)
 
 
@@ -75,6 +82,7 @@ class Automaton:
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
     places: list[set[tuple[int, int]]] = field(default_factory=lambda: [set()])  # (template, end) of a state's strings
+    ends: list[dict[int, list[int]]] = field(default_factory=list)  # the same once closed: by template, in order
 
     def add(self, template: int, words: list[int]) -> None:
         last = 0
@@ -110,10 +118,55 @@ class Automaton:
             self.link[state] = q if self.length[q] == self.length[p] + 1 else self._clone(p, word, q)
         return state
 
-    def close(self) -> None:
-        """Every state gets the places of the states that link to it."""
+    def close(self, least: int, templates: int) -> None:
+        """Every state gets the places of the states that link to it, in the first ``templates`` sequences.  States of strings under ``least`` words, which
+        common words fill, keep none."""
         for state in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
-            self.places[self.link[state]] |= self.places[state] if self.link[state] > 0 else set()
+            if self.length[self.link[state]] >= least:
+                self.places[self.link[state]] |= self.places[state]
+        for size, places in zip(self.length, self.places, strict=True):
+            ends: dict[int, list[int]] = {}
+            for template, end in sorted(places) if size >= least else ():
+                if template < templates:
+                    ends.setdefault(template, []).append(end)
+            self.ends.append(ends)
+        self.places.clear()
+
+
+#: Pairs of chains and places that are compared one by one; more are compared as a matrix.
+FEW = 64
+
+
+def _grown(chains: list[tuple[int, int, int, int]], end: int, length: int, places: list[int]) -> list[tuple[int, int, int, int]]:
+    """The longest chain (text end, template end, covered, text start) that ends with a match at each of its template places: on its own, or after one of ``chains``."""
+    if len(chains) * len(places) <= FEW:
+        out = []
+        for at in places:
+            here = (end, at, length, end - length + 1)
+            for text_end, template_end, covered, start in chains:
+                new = min(length, end - text_end, at - template_end)
+                if new > 0 and covered + new > here[2]:
+                    here = (end, at, covered + new, start)
+            out.append(here)
+        return out
+    text_end, template_end, covered, start = np.array(chains, np.int64).T
+    at = np.array(places, np.int64)
+    new = np.minimum(np.minimum(length, end - text_end)[:, None], at[None, :] - template_end[:, None])
+    total = np.where(new > 0, covered[:, None] + new, 0)
+    which = total.argmax(axis=0)
+    most = total[which, np.arange(len(at))]
+    after = most > length
+    return list(zip([end] * len(at), places, np.where(after, most, length).tolist(), np.where(after, start[which], end - length + 1).tolist(), strict=True))
+
+
+def _useful(grown: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Without those that cover no more than one of the same text end that ends earlier in the template: whatever follows fits that one as well."""
+    out, most = [], 0
+    for chain in grown:
+        if chain[2] > most:
+            most = chain[2]
+            out.append(chain)
+    return out
 
 
 @dataclass
@@ -124,6 +177,7 @@ class Scanner:
     phrase_at: list[list[tuple[int, int]]]  # by state: (words, phrase) of the phrases that are suffixes of its strings
     templates: tuple[Template, ...]
     lengths: list[int]  # of the templates
+    parts: list[list[tuple[int, int, int]]]  # by template: its paragraphs in order, as (first word, end, template)
     rules: Rules
     pairs: np.ndarray  # whether a word follows another somewhere in a template or phrase; the last row and column: unknown words
 
@@ -136,9 +190,14 @@ class Scanner:
         automaton = Automaton()
         sequences = [coded(t.words) for t in templates]
         own = [(coded(p.split()), label) for p, label in phrases]
+        parts: list[list[tuple[int, int, int]]] = [[] for _ in templates]
+        for k, template in enumerate(templates):
+            for whole, first in template.within:
+                parts[whole].append((first, first + len(template.words), k))
         for k, words in enumerate([*sequences, *(w for w, _ in own)]):
-            automaton.add(k, words)
-        automaton.close()
+            if k >= len(templates) or not templates[k].within:
+                automaton.add(k, words)
+        automaton.close(rules.least_match, len(sequences))
         at: list[list[tuple[int, int]]] = [[] for _ in automaton.length]
         for k, (words, _) in enumerate(own):
             state = 0
@@ -151,7 +210,7 @@ class Scanner:
         pairs = np.zeros((len(vocabulary) + 1, len(vocabulary) + 1), bool)
         for words in [*sequences, *(w for w, _ in own)]:
             pairs[words[:-1], words[1:]] = True
-        return Scanner(vocabulary, automaton, own, at, templates, [len(s) for s in sequences], rules, pairs)
+        return Scanner(vocabulary, automaton, own, at, templates, [len(s) for s in sequences], [sorted(p) for p in parts], rules, pairs)
 
     def statistics(self, words: list[int], breaks: list[bool]) -> Iterator[tuple[int, int, int]]:
         """(index, state, length) of the longest match that ends at each word. ``breaks``: no match spans this word and the one before."""
@@ -193,29 +252,43 @@ class Scanner:
         """Matches are joined per template while both their text places and their template places rise."""
         best = 0.0
         found: dict[int, list[tuple[int, int, int]]] = {}
-        ends: dict[int, list[tuple[int, int, int, int]]] = {}  # template -> chains: text end, template end, covered, text start
-        for end, state, length in matches:
-            for template, at in self.automaton.places[state]:
-                if template >= len(self.lengths) or at < length:
-                    continue
-                chains = [c for c in ends.get(template, ()) if end - length + 1 - c[0] <= self.rules.gap + 1]
-                here = (end, at, length, end - length + 1)
-                for text_end, template_end, covered, start in chains:
-                    new = min(length, end - text_end, at - template_end)
-                    if new > 0 and covered + new > here[2]:
-                        here = (end, at, covered + new, start)
-                chains.append(here)
-                ends[template] = chains  # all of them end within the gap before this match
-                share = here[2] / self.lengths[template]
-                best = max(best, share)
-                if share >= self.least(template):
-                    spans, span = found.setdefault(template, []), (here[2], here[3], end)
-                    if not spans or here[3] > spans[-1][2]:
-                        spans.append(span)
-                    elif here[2] > spans[-1][0]:
-                        spans[-1] = span
+        for template, located in self._located(matches).items():
+            starts = np.array([end - length + 1 for end, length, _ in located])
+            needed = np.minimum.accumulate(starts[::-1])[::-1].tolist()  # the first word of this match and those that follow
+            chains: list[tuple[int, int, int, int]] = []  # text end, template end, covered, text start
+            for (end, length, places), needs in zip(located, needed, strict=True):
+                near = lambda first: [c for c in chains if first - c[0] <= self.rules.gap + 1]  # noqa: B023, E731
+                grown = _useful(_grown(near(end - length + 1), end, length, places))
+                chains = near(needs) + grown
+                for _, _, covered, start in grown:
+                    share = covered / self.lengths[template]
+                    best = max(best, share)
+                    if share >= self.least(template):
+                        spans, span = found.setdefault(template, []), (covered, start, end)
+                        if not spans or start > spans[-1][2]:
+                            spans.append(span)
+                        elif covered > spans[-1][0]:
+                            spans[-1] = span
         return min(best, 1.0), found
 
+    def _located(self, matches: list[tuple[int, int, int]]) -> dict[int, list[tuple[int, int, list[int]]]]:
+        """By template its matches as (text end, length, template ends), in the text's order.  A match in a licence is one in each of the paragraphs that it meets
+        as well, so far as it lies in them."""
+        at: dict[int, dict[tuple[int, int], set[int]]] = {}
+        for end, state, length in matches:
+            for template, places in self.automaton.ends[state].items():
+                at.setdefault(template, {}).setdefault((end, length), set()).update(places)
+                parts = self.parts[template]
+                for place in places if parts else ():
+                    k = max(0, bisect_right(parts, (place - length, len(self.templates), 0)) - 1)
+                    while k < len(parts) and parts[k][0] < place:
+                        first, stop, part = parts[k]
+                        inside = min(place, stop) - max(place - length, first)
+                        if inside >= self.rules.least_match:
+                            at.setdefault(part, {}).setdefault((end - place + min(place, stop), inside), set()).add(min(place, stop) - first)
+                        k += 1
+        return {template: [(end, length, sorted(places)) for (end, length), places in sorted(found.items())] for template, found in at.items()}
+
     def labels_of(self, found: dict[int, list[tuple[int, int, int]]]) -> set[str]:
         """Of each family the label of the template with most words covered, of equals that with the larger share, then the first."""
         most: dict[str, tuple] = {}

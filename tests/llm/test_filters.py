@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -326,6 +328,9 @@ def test_toxicity_query_on_held_out_rows(spark):
 PHRASES = [(p.split(), label) for p, label in license_scan.PHRASES]
 
 
+whole_scanner = functools.cache(license_scan.Scanner.build)
+
+
 def brute_places(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", brute.lower(text))
     found = [(i, label) for i in range(len(words)) for p, label in PHRASES if words[i : i + len(p)] == p]
@@ -336,7 +341,7 @@ def brute_places(text):
 @settings(max_examples=120, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("mit license apache general public MIT License gnu the é zz".split()), max_size=30).map(lambda w: "-".join(w)), min_size=1, max_size=4))
 def test_licence_places(texts):
-    scanner = license_scan.Scanner.build()
+    scanner = whole_scanner()
     assert [r[:5] for r in license_scan.scan_texts(scanner, arr(texts))] == [brute_places(t) for t in texts]
 
 
@@ -356,7 +361,7 @@ def test_matching_statistics():
 
 
 def scanned(*texts):
-    return license_scan.scan_texts(license_scan.Scanner.build(), arr(list(texts)))
+    return license_scan.scan_texts(whole_scanner(), arr(list(texts)))
 
 
 def test_whole_licences_are_told_apart():
@@ -369,6 +374,30 @@ def test_whole_licences_are_told_apart():
     assert [r[5] for r in scanned(two, three)] == ["BSD-2-Clause", "BSD-3-Clause"]
 
 
+def test_sections_of_long_licences():
+    whole = {label: license_scan.licences._whole(label) for label in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0")}
+    names = "GPL,GNU,LGPL,AGPL,MPL,CC0,BSD,MIT,Apache".split(",")
+    for label, row in zip(whole, scanned(*whole.values()), strict=True):
+        others = {x for x in row[5].split(",") if any(x.startswith(n) for n in names)} - {label}
+        assert label in row[5].split(",") and not others, (label, row[5])
+    gpl = whole["GPL-3.0"]
+    fourth = gpl[gpl.index("4. Conveying Verbatim Copies") : gpl.index("5. Conveying Modified")]
+    first = whole["CC0-1.0"][whole["CC0-1.0"].index("2. Waiver.") : whole["CC0-1.0"].index("3. Public License")]
+    shared = whole["GPL-2.0"][whole["GPL-2.0"].index("Each time you redistribute the Program") :][:60]
+    rows = scanned(fourth, " ".join(fourth.split()[:12]), first, shared)
+    assert "GPL-3.0" in rows[0][5].split(",") and rows[1][5] == "" and rows[2][5] == "CC0-1.0" and rows[3][5] == ""
+
+
+def test_chains_of_many_places():
+    chains = [(i, 3 * (i % 7), 2 + i % 5, i // 2) for i in range(30)]
+    places = list(range(4, 40, 3))
+    slow = [c for at in places for c in license_scan._grown(chains[:30], 32, 4, [at])]
+    assert license_scan._grown(chains, 32, 4, places) == slow and len(chains) * len(places) > license_scan.FEW >= len(chains)
+    began = time.perf_counter()
+    scanned("of this license " * 4_000)
+    assert time.perf_counter() - began < 60
+
+
 def test_edited_licences_and_single_clauses():
     mit = license_scan.licences.MIT
     words = mit.split()
