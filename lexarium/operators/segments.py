@@ -32,8 +32,10 @@ from ..sources import files
 from ..storage import exists
 from .search import K1, B, idf
 
-#: Documents of a shard, and token occurrences after which a shard of long documents ends.
-SHARD_DOCS, SHARD_TOKENS = 1 << 14, 1 << 23
+#: Documents of a shard, and token occurrences after which a shard of long documents ends: they bound what a task that makes or searches a shard holds.
+SHARD_DOCS, SHARD_TOKENS = 1 << 14, 1 << 22
+#: Token occurrences that are counted at a time, and postings that are written at a time; a longer document or list goes by itself.
+FOLD_TOKENS, LISTED = 1 << 18, 1 << 18
 #: Ordinals of a block.
 WINDOW = 128
 #: Segments of a size class that are merged into one, and by which size classes differ.
@@ -109,22 +111,30 @@ def _listed(flat: np.ndarray, bounds: np.ndarray, a: int, b: int) -> pa.ListArra
 
 
 def _lists(shard: int, vocabulary: pa.Array, token: np.ndarray, ords: np.ndarray, tf: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of a shard's lists; postings come sorted by token and ordinal, ``n`` is the length by ordinal."""
-    count = len(vocabulary)
-    bounds, window, length = np.searchsorted(token, np.arange(count + 1)), ords // WINDOW, n[ords]
+    """Rows of a shard's lists, some tokens at a time; postings come sorted by token and ordinal, ``n`` is the length by ordinal."""
+    count, a = len(vocabulary), 0
+    places = np.searchsorted(token, np.arange(count + 1, dtype=token.dtype))
+    while a < count:
+        b = min(count, a + ROWS, max(a + 1, int(np.searchsorted(places, places[a] + LISTED, side="right")) - 1))
+        some = slice(places[a], places[b])
+        yield _listed_rows(shard, vocabulary.slice(a, b - a), token[some] - a, ords[some], tf[some], n[ords[some]])
+        a = b
+
+
+def _listed_rows(shard: int, vocabulary: pa.Array, token: np.ndarray, ords: np.ndarray, tf: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    count, window = len(vocabulary), ords // WINDOW
+    bounds = np.searchsorted(token, np.arange(count + 1, dtype=token.dtype))
     new = np.concatenate([[True], (np.diff(token) != 0) | (np.diff(window) != 0)]) if len(token) else np.zeros(0, bool)
     first, block = np.flatnonzero(new), np.cumsum(new) - 1
-    block_bounds = np.searchsorted(token[first], np.arange(count + 1))
+    block_bounds = np.searchsorted(token[first], np.arange(count + 1, dtype=token.dtype))
     front = _fronts(block, tf, length)
     front_first = np.searchsorted(block[front], np.arange(len(first)))
     front_bounds = np.concatenate([front_first, [len(front)]])[block_bounds]
     within = lambda at, of: at - np.repeat(of[:-1], np.diff(block_bounds))
     starts, front_starts = within(first, bounds), within(front_first, front_bounds)
-    for a in range(0, count, ROWS):
-        b = min(count, a + ROWS)
-        columns = {"ords": (ords, bounds), "tfs": (tf, bounds), "ns": (length, bounds), "windows": (window[first], block_bounds), "starts": (starts, block_bounds), "front_starts": (front_starts, block_bounds), "front_tfs": (tf[front], front_bounds), "front_ns": (length[front], front_bounds)}
-        rows = [pa.array(np.full(b - a, shard)), vocabulary.slice(a, b - a).cast(pa.string()), pa.array(np.diff(bounds[a : b + 1]).astype(np.int32)), *(_listed(*columns[c], a, b) for c in _INTS)]
-        yield pa.RecordBatch.from_arrays(rows, _LIST_NAMES)
+    columns = {"ords": (ords, bounds), "tfs": (tf, bounds), "ns": (length, bounds), "windows": (window[first], block_bounds), "starts": (starts, block_bounds), "front_starts": (front_starts, block_bounds), "front_tfs": (tf[front], front_bounds), "front_ns": (length[front], front_bounds)}
+    rows = [pa.array(np.full(count, shard)), vocabulary.cast(pa.string()), pa.array(np.diff(bounds).astype(np.int32)), *(_listed(*columns[c], 0, count) for c in _INTS)]
+    return pa.RecordBatch.from_arrays(rows, _LIST_NAMES)
 
 
 def _documents(shard: int, docs: pa.Array, n: np.ndarray) -> pa.RecordBatch:
@@ -149,26 +159,65 @@ def _kinds(shape: T.StructType) -> dict[str, pa.DataType]:
     return {f.name: f.type for f in to_arrow_schema(shape)}
 
 
+@dataclass
+class _Fold:
+    """Counted tokens of some documents: ``code`` is a token's place in ``vocabulary``, ``row`` a document's among the keys."""
+
+    docs: pa.Array
+    sizes: np.ndarray
+    vocabulary: pa.Array
+    code: np.ndarray
+    row: np.ndarray
+    tf: np.ndarray
+
+
+def _folds(batch: pa.RecordBatch) -> Iterator[_Fold]:
+    """A batch of documents (``doc, tokens``), counted; nothing of it stays in memory by its folds."""
+    sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] - sizes[a] + FOLD_TOKENS, side="right")))
+        coded, n = batch.column(1).slice(a, b - a).flatten().cast(pa.large_string()).dictionary_encode(), b - a
+        key = coded.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), sizes[a:b])
+        key, tf = np.unique(key, return_counts=True)
+        # taken, as a slice would keep the whole batch
+        yield _Fold(batch.column(0).take(pa.array(np.arange(a, b))), sizes[a:b], coded.dictionary, (key // n).astype(np.int32), (key % n).astype(np.int32), tf.astype(np.int32))
+        a = b
+
+
 def _shards_of(rows: DataFrame, kind: str) -> DataFrame:
-    """Rows of both kinds for documents (``doc, tokens``), made where they lie."""
+    """Rows of both kinds for documents (``doc, tokens``), made where they lie.
+
+    Tokens are counted as they come; a task holds the postings of one shard, twelve bytes each and some more while they are sorted."""
     shape = _schema(kind)
     names, kinds = shape.names, _kinds(shape)
 
-    def close(held: list[pa.RecordBatch], shard: int) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held).combine_chunks()
-        docs, lists = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns)
+    def close(held: list[_Fold], shard: int) -> Iterator[pa.RecordBatch]:
+        docs = pa.concat_arrays([f.docs for f in held])
         order = pc.sort_indices(docs).to_numpy().astype(np.int64)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        coded = lists.flatten().cast(pa.large_string()).dictionary_encode()
-        ords = place[pc.list_parent_indices(lists).to_numpy().astype(np.int64)]
-        n = np.bincount(ords, minlength=len(order)).astype(np.int64)
+        n = np.concatenate([f.sizes for f in held])[order]
+        coded = pa.concat_arrays([f.vocabulary for f in held]).dictionary_encode()
         by_name = pc.sort_indices(coded.dictionary).to_numpy().astype(np.int64)
         rank = np.empty(len(by_name), np.int64)
         rank[by_name] = np.arange(len(by_name))
-        key, tf = np.unique(rank[coded.indices.to_numpy().astype(np.int64)] * len(order) + ords, return_counts=True)
+        rank = rank[coded.indices.to_numpy()]
+        key, tf = np.empty(sum(len(f.tf) for f in held), np.int64), np.empty(sum(len(f.tf) for f in held), np.int32)
+        at = names_at = docs_at = 0
+        for i, f in enumerate(held):
+            some = slice(at, at + len(f.tf))
+            key[some] = rank[names_at + f.code] * len(order) + place[docs_at + f.row]
+            tf[some] = f.tf
+            at, names_at, docs_at = some.stop, names_at + len(f.vocabulary), docs_at + len(f.docs)
+            held[i] = None
+        sorted_ = np.argsort(key)
+        key, tf = key[sorted_], tf[sorted_]
+        del sorted_
+        token, ords = (key // len(order)).astype(np.int32), (key % len(order)).astype(np.int32)
+        del key
         yield _whole(_documents(shard, docs.take(pa.array(order)), n), names, kinds, "docs")
-        for batch in _lists(shard, coded.dictionary.take(pa.array(by_name)), key // len(order), key % len(order), tf, n):
+        for batch in _lists(shard, coded.dictionary.take(pa.array(by_name)), token, ords, tf, n):
             yield _whole(batch, names, kinds, "lists")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +227,9 @@ def _shards_of(rows: DataFrame, kind: str) -> DataFrame:
                 sizes = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy())
                 take = max(1 if not docs else 0, min(SHARD_DOCS - docs, int(np.searchsorted(sizes, SHARD_TOKENS - tokens, side="right"))))
                 if take:
-                    held.append(batch.slice(0, take))
-                    docs, tokens = docs + held[-1].num_rows, tokens + int(sizes[held[-1].num_rows - 1])
+                    taken = batch.slice(0, take)
+                    held += _folds(taken)
+                    docs, tokens = docs + taken.num_rows, tokens + int(sizes[taken.num_rows - 1])
                     batch = batch.slice(take)
                 if batch.num_rows:
                     yield from close(held, shard)
@@ -636,7 +686,7 @@ def _joined(spark: SparkSession, path: str, state: Manifest, group: list[str]) -
                     continue
                 if n is None:
                     yield from settle()
-                if word != token and size >= 1 << 20:
+                if word != token and size >= LISTED:
                     yield from close()
                     held, size = [], 0
                 token = word

@@ -214,3 +214,24 @@ def test_facade_indexes_its_pages_once(spark, tmp_path, monkeypatch):
     assert paths(one, "apple") == ["a"] and paths(two, "apple") == ["c"] and paths(one, "cherry") == ["b"] and paths(one, "zzz") == []
     assert len(made) == 2
     assert search.bm25 and [r["title"] for r in one.search_docs("apple").collect()] is not None
+
+
+def test_a_shard_is_counted_and_listed_by_parts(monkeypatch):
+    """No step of building holds more than its part of a batch's tokens or of a shard's postings, and parts are what the whole is."""
+    pa, rng = segments.pa, random.Random(4)
+    texts = [rng.choices(WORDS, k=rng.choice([0, 3, 20, 90])) for _ in range(50)]
+    batch = pa.record_batch({"doc": pa.array(range(50)), "tokens": pa.array(texts, pa.list_(pa.string()))})
+    monkeypatch.setattr(segments, "FOLD_TOKENS", 100)
+    monkeypatch.setattr(segments, "LISTED", 40)
+    folds = list(segments._folds(batch.slice(5)))
+    assert len(folds) > 10 and all(f.sizes.sum() <= 100 or len(f.sizes) == 1 for f in folds)
+    assert all(f.docs.get_total_buffer_size() < batch.get_total_buffer_size() / 5 for f in folds)
+    counted = {(d, f.vocabulary[int(c)].as_py()): int(tf) for f in folds for c, r, tf in zip(f.code, f.row, f.tf, strict=True) for d in [f.docs[int(r)].as_py()]}
+    assert counted == {(i, t): n for i, words in enumerate(texts) if i >= 5 for t, n in Counter(words).items()}
+    token = np.sort(np.array([rng.randrange(30) for _ in range(400)], np.int32))
+    ords, tf, n = np.concatenate([np.arange(c) * 9 for c in np.bincount(token)]), np.ones(400, np.int32), np.arange(1000)
+    names = pa.array([f"t{i:02}" for i in range(30)], pa.large_string())
+    parts = list(segments._lists(3, names, token, ords, tf, n))
+    assert len(parts) > 8 and all(sum(p.column(2).to_pylist()) <= 40 or p.num_rows == 1 for p in parts)
+    monkeypatch.setattr(segments, "LISTED", 1 << 18)
+    assert pa.Table.from_batches(parts).to_pylist() == pa.Table.from_batches(segments._lists(3, names, token, ords, tf, n)).to_pylist()
