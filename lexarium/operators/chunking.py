@@ -7,7 +7,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,21 +15,23 @@ from pyspark.sql.functions import udtf
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..functions import text
+from .batches import sliced
 
 HEADING = r"^#{2,4}\s+"
+#: A break before a heading line; lines hold no white space but blanks and tabs.
+BREAK = r"\n(?=#{2,4}[ \t])"
 
 
 def section_list(content: Column) -> Column:
     """Sections of a page (``section, heading, body``) that start at headings of levels two to four; before the first, ``Introduction``.
 
-    A heading line belongs to its section; empty sections go but keep their number; fences aren't looked at, so a heading in one counts."""
-    lines = F.split(text.without_front_matter(content), text.LINE_BREAK)
-    begins = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | F.get(lines, i).rlike(HEADING))
-    ends = F.concat(F.slice(begins, 2, F.size(begins)), F.array(F.size(lines)))
-    parts = F.zip_with(begins, ends, lambda a, b: F.slice(lines, a + 1, b - a))
+    A heading line belongs to its section; empty sections go but keep their number; fences aren't looked at, so a heading in one counts.
+    A page is split once, at its headings: what a lambda names of the page would be made again for every line."""
+    parts = F.split(F.regexp_replace(text.without_front_matter(content), text.LINE_BREAK, "\n"), BREAK)
+    first = lambda part: F.substring_index(part, "\n", 1)
     named = F.transform(parts, lambda part: F.struct(
-        F.coalesce(text.or_none(F.when(F.get(part, F.lit(0)).rlike(HEADING), text.strip(F.regexp_replace(F.get(part, F.lit(0)), HEADING, "")))), F.lit("Introduction")).alias("heading"),
-        text.strip(F.array_join(part, "\n")).alias("body"),
+        F.coalesce(text.or_none(F.when(first(part).rlike(HEADING), text.strip(F.regexp_replace(first(part), HEADING, "")))), F.lit("Introduction")).alias("heading"),
+        text.strip(part).alias("body"),
     ))
     return F.transform(F.filter(named, lambda s: s["body"] != ""), lambda s, i: F.struct(i.alias("section"), s["heading"].alias("heading"), s["body"].alias("body")))
 
@@ -74,15 +76,18 @@ def chunks(pages: DataFrame, path: str, content: str, most: int = 4000, overlap:
     """``chunk_id, path, title, description, heading, content, char_count, content_hash, section, part``: sections cut with overlap, prefixed by title and heading. Each row of ``pages`` is a page of its own."""
     body = F.col(content)
     page_title = F.coalesce(text.or_none(text.title(body)), F.element_at(F.split(path, "/"), -1))
-    cut_pages = pages.select(F.col(path).alias("path"), page_title.alias("title"), text.description(body).alias("description"), F.inline(section_list(body)))
-    whole = cut_pages.withColumn("whole", text.strip(F.concat(F.col("title"), F.lit(" > "), F.col("heading"), F.lit("\n\n"), F.col("body"))))
-
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(pieces=[split_with_overlap(t, most, overlap) for t in frame["whole"]]).drop(columns="whole")
-
-    rows = whole.select("path", "title", "description", "heading", "section", "whole").mapInPandas(cut, "path string, title string, description string, heading string, section int, pieces array<string>")
-    rows = rows.select("path", "title", "description", "heading", "section", F.posexplode("pieces").alias("part", "content"))
+    cut_pages = pages.select(F.col(path).alias("path"), page_title.alias("title"), text.description(body).alias("description"), section_list(body).alias("_sections"))
+    listed = cut_pages.select("path", "title", "description", F.inline("_sections"))
+    whole = listed.withColumn("whole", text.strip(F.concat(F.col("title"), F.lit(" > "), F.col("heading"), F.lit("\n\n"), F.col("body"))))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 5):
+            pieces = [split_with_overlap(t, most, overlap) for t in batch.column(5).to_pylist()]
+            row = pa.array([i for i, p in enumerate(pieces) for _ in p], pa.int32())
+            own = [batch.column(i).take(row) for i in range(5)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([n for p in pieces for n in range(len(p))], pa.int32()), pa.array([t for p in pieces for t in p], pa.string())], [*batch.schema.names[:5], "part", "content"])
+
+    rows = whole.select("path", "title", "description", "heading", "section", "whole").mapInArrow(cut, "path string, title string, description string, heading string, section int, part int, content string")
     raw_id = F.concat(F.col("path"), F.lit("#"), text.slug(F.col("heading")), F.lit("#"), F.col("section"), F.lit("-"), F.col("part"))
     return rows.select(text.safe_key(raw_id).alias("chunk_id"), "path", "title", "description", "heading", "content", F.length("content").alias("char_count"), F.sha2(F.encode("content", "UTF-8"), 256).alias("content_hash"), "section", "part")
 

@@ -296,3 +296,28 @@ def test_plans_prune_columns_and_limit_groups_early(spark, small):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and "WindowGroupLimit" in plan and "CartesianProduct" not in plan
     plan = registry.QUERIES["content_hash"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "source:string" not in plan
+
+
+def test_a_page_is_split_once_however_many_lines_it_has(spark):
+    """A long page of one section, and one of many: seconds, not hours; sections as a plain walk over the lines cuts them."""
+    import re
+    import time
+
+    from lexarium.functions import text
+    from lexarium.operators import chunking
+
+    lines = [f"## head {i}" if i % 50 == 0 else ("####\tdeep" if i % 77 == 0 else "##") if i % 7 == 0 else f"line {i} of it" for i in range(40_000)]
+    pages = [(1, "\n".join(lines)), (2, "\r\n".join(["no heading"] * 40_000)), (3, "##\nx\x0b## y   ##### z\n#### \n"), (4, None), (5, "")]
+    began = time.perf_counter()
+    got = {(r["k"], r["section"]): (r["heading"], r["body"]) for r in chunking.sections(spark.createDataFrame(pages, "k int, t string"), "k", "t").collect()}
+    assert time.perf_counter() - began < 60
+    want = {}
+    for key, page in pages:
+        parts: list[list[str]] = []
+        for line in re.split(text.LINE_BREAK, page) if page is not None else ():
+            if not parts or re.match(r"#{2,4}[ \t]", line):
+                parts.append([])
+            parts[-1].append(line)
+        bodies = [(re.sub(r"^#{2,4}[ \t]+", "", p[0]).strip() if re.match(r"#{2,4}[ \t]", p[0]) else "", "\n".join(p).strip(" \t\n\x0b\f\r")) for p in parts]
+        want |= {(key, i): (h or "Introduction", b) for i, (h, b) in enumerate(x for x in bodies if x[1])}
+    assert got == want
