@@ -93,25 +93,32 @@ def _cut(df: DataFrame) -> DataFrame:
 def resolved_aliases(redirects: DataFrame) -> DataFrame:
     """``source, final`` of every redirect; a cycle, or a walk into one, has no final route. Of a repeated source, the smallest destination counts.
 
-    Pointer doubling: every round doubles the steps of each walk. A walk longer than the number of sources visits one again, so the rounds
-    end by themselves: what is then still at a source is in a cycle."""
-    walks = _cut(redirects.groupBy("source").agg(F.min("destination").alias("at")))
+    Pointer doubling: every round doubles the steps of each walk. If after some steps so many walks are still at a source, then a walk that ends does so within
+    as many steps more, as all on its way but the last are among them; what is at a source after that is in a cycle. Tables of this size are merged, not sent through the driver."""
+    walks = _cut(redirects.groupBy("source").agg(F.min("destination").alias("at")).withColumn("moving", F.lit(True)))
     steps, most = 1, walks.count()
     while steps <= most:
-        jump = walks.select(F.col("source").alias("at"), F.col("at").alias("next"))
-        walks = _cut(walks.join(jump, "at", "left").select("source", F.coalesce("next", "at").alias("at")))
+        jump = walks.select(F.col("source").alias("at"), F.col("at").alias("next")).hint("merge")
+        walks = _cut(walks.join(jump, "at", "left").select("source", F.coalesce("next", "at").alias("at"), F.col("next").isNotNull().alias("moving")))
+        moving = walks.where("moving").count()
+        most = min(most, steps + moving) if moving else 0
         steps *= 2
-    cyclic = walks.select(F.col("source").alias("at"), F.lit(True).alias("cycle"))
+    cyclic = walks.select(F.col("source").alias("at"), F.lit(True).alias("cycle")).hint("merge")
     return walks.join(cyclic, "at", "left").select("source", F.when(F.col("cycle").isNull(), F.col("at")).alias("final"))
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """``root, node, depth``: all that a node reaches, each with its least depth.
 
-    A breadth-first loop: every step joins the frontier to the edges and drops what is known; it ends when nothing is new, however deep.
+    Roots from which there is one way only, that ends, reach every node once: nothing of theirs is held against what is known (``_ways``).
+    The others go breadth first: every step joins the frontier to the edges and drops what is known; it ends when nothing is new, however deep.
     The frontier is cut from its lineage at every step, what is known now and then."""
     pairs = _cut(edges.where("source <> target").select("source", "target").distinct())
-    known = frontier = pairs.select(F.col("source").alias("root"), F.col("target").alias("node"), F.lit(1).alias("depth"))
+    degree = pairs.groupBy("source").agg(F.count("*").alias("n"), F.min("target").alias("destination"))
+    ends = resolved_aliases(degree.where("n = 1").select("source", "destination")).where("final IS NOT NULL")
+    lone = _cut(ends.join(degree.where("n > 1").select(F.col("source").alias("final")), "final", "left_anti").select("source"))
+    ways = _ways(pairs.join(lone.hint("merge"), "source", "left_semi"))
+    known = frontier = pairs.join(lone.hint("merge"), "source", "left_anti").select(F.col("source").alias("root"), F.col("target").alias("node"), F.lit(1).alias("depth"))
     depth = 1
     while not frontier.isEmpty():
         depth += 1
@@ -120,7 +127,20 @@ def closure(edges: DataFrame) -> DataFrame:
         known = known.unionByName(frontier)
         if depth % 8 == 0:
             known = _cut(known)
-    return known
+    return ways.unionByName(known)
+
+
+def _ways(pairs: DataFrame) -> DataFrame:
+    """The ``closure`` of sources with one target each and no cycle: a round doubles the depth, and makes each pair once, so what is moved goes with what comes out."""
+    known = newest = _cut(pairs.select(F.col("source").alias("root"), F.col("target").alias("node"), F.lit(1).alias("depth")))
+    reach = 1
+    while True:
+        more = known.select(F.col("root").alias("node"), F.col("node").alias("target"), F.col("depth").alias("further")).hint("merge")
+        farthest = newest.where(F.col("depth") == reach)
+        newest = _cut(farthest.join(more, "node").select("root", F.col("target").alias("node"), (F.col("depth") + F.col("further")).alias("depth")))
+        if newest.isEmpty():
+            return known
+        known, reach = known.unionByName(newest), 2 * reach
 
 
 def lookup(pages: DataFrame, asked: DataFrame, path: str = "path") -> DataFrame:

@@ -321,3 +321,45 @@ def test_a_page_is_split_once_however_many_lines_it_has(spark):
         bodies = [(re.sub(r"^#{2,4}[ \t]+", "", p[0]).strip() if re.match(r"#{2,4}[ \t]", p[0]) else "", "\n".join(p).strip(" \t\n\x0b\f\r")) for p in parts]
         want |= {(key, i): (h or "Introduction", b) for i, (h, b) in enumerate(x for x in bodies if x[1])}
     assert got == want
+
+
+def test_walks_end_soon_and_lone_ways_meet_nothing_known(spark, monkeypatch):
+    """Random graphs with cycles, lone ways and branches against a plain walk; rounds go with the depth of walks, not with their number."""
+    import random
+
+    from lexarium.operators import graph
+
+    cuts = []
+    monkeypatch.setattr(graph, "_cut", lambda df, cut=graph._cut: cuts.append(1) or cut(df))
+    for seed in range(3):
+        rng = random.Random(seed)
+        edges = [(f"a{i}", f"a{i // 2}") for i in range(2, 60)] + [(f"c{i}", f"c{i + 1}") for i in range(21)]
+        edges += [("x", "y"), ("y", "z"), ("z", "x"), ("w", "x"), ("s", "s"), ("a1", "b0"), ("c21", "b3")][: 7 - seed]
+        edges += [(f"b{rng.randrange(12)}", f"b{rng.randrange(12)}") for _ in range(14)]
+        out = {}
+        for a, b in edges:
+            out.setdefault(a, set()).add(b)
+        want = set()
+        for root in out:
+            seen, now, depth = {root}, {root}, 0
+            while now:
+                depth += 1
+                now = {b for a in now for b in out.get(a, ())} - seen
+                seen |= now
+                want |= {(root, node, depth) for node in now}
+        got = [tuple(r) for r in graph.closure(spark.createDataFrame(edges, "source string, target string")).select("root", "node", "depth").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        at = {a: min(b) for a, b in out.items()}
+        final = {}
+        for a in at:
+            node, seen = a, set()
+            while node in at and node not in seen:
+                seen.add(node)
+                node = at[node]
+            final[a] = None if node in at else node
+        assert {r["source"]: r["final"] for r in graph.resolved_aliases(spark.createDataFrame(edges, "source string, destination string")).collect()} == final
+    cuts.clear()
+    many = spark.range(20_000).selectExpr("concat('r', id) AS source", "concat('t', id % 7) AS destination")
+    found = graph.resolved_aliases(many.unionByName(spark.createDataFrame([("p", "q"), ("q", "p")], "source string, destination string")))
+    assert len(cuts) <= 4 and found.where("final IS NULL").count() == 2
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
