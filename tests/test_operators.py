@@ -363,3 +363,21 @@ def test_walks_end_soon_and_lone_ways_meet_nothing_known(spark, monkeypatch):
     found = graph.resolved_aliases(many.unionByName(spark.createDataFrame([("p", "q"), ("q", "p")], "source string, destination string")))
     assert len(cuts) <= 4 and found.where("final IS NULL").count() == 2
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_assignments_are_found_as_by_their_shape():
+    """Only places before a sign are tried: the same matches as those of the whole shape, and none of its work on words without a secret's name."""
+    import random
+    import time
+
+    from lexarium.operators import redaction
+
+    rng = random.Random(3)
+    bits = ["token", "api_key", "Api-Key", "client_secret", "sig", "signature", "authorization", "=", ":", "=", " ", "\n", "'", '"', "x", "_", "-", "9", "a" * 100, "b" * 129, "é", "ſecret", "abc", "}", ",", "."]
+    for _ in range(1500):
+        text = "".join(rng.choices(bits, k=rng.randrange(1, 14)))
+        assert [m.span() for m in redaction.assignments(text)] == [m.span() for m in redaction.ASSIGNMENT.finditer(text)]
+    prose = ("some_longer_words_" * 7 + " and-more of them: ") * 5_000
+    began = time.perf_counter()
+    assert redaction.secrets(prose) == []
+    assert time.perf_counter() - began < 3
