@@ -361,3 +361,16 @@ def test_line_granular_json_and_spec_examples(spark, tmp_path):
     got = json.loads(files.enriched_spec(json.dumps(spec), {"l": {"x": 1}, "p": "given"}, {"l": [{"lang": "py"}]}))["paths"]["/w"]
     assert got["get"]["responses"]["200"]["content"]["application/json"] == {"example": {"x": 1}} and got["get"]["responses"]["404"]["content"]["application/json"] == {}
     assert got["post"]["responses"]["201"]["content"]["application/json"] == {"example": "own"} and got["get"]["x-codeSamples"] == [{"lang": "py"}]
+
+
+def test_wide_batches_are_converted_by_slices():
+    """Rows in order, no slice above its bytes but single rows, nothing lost; empty batches and nulls too."""
+    import pyarrow as pa
+
+    from lexarium.operators import batches
+
+    texts = ["é" * n for n in (0, 3, 50, 400, 1, 1, 90)] + [None, "x" * 120, None]
+    whole = pa.record_batch({"k": pa.array(range(10)), "t": pa.array(texts)})
+    got = list(batches.sliced(iter([whole.slice(1), whole.slice(0, 0), whole.slice(0, 1)]), 1, 200))
+    assert [k for b in got for k in b.column(0).to_pylist()] == [*range(1, 10), 0] and [t for b in got for t in b.column(1).to_pylist()] == [*texts[1:], ""]
+    assert len(got) > 3 and all(b.num_rows == 1 or sum(len((t or "").encode()) for t in b.column(1).to_pylist()) <= 200 for b in got)
