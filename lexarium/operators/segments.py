@@ -583,7 +583,7 @@ def due(state: Manifest, fan: int = FAN) -> list[list[str]]:
 def merged(spark: SparkSession, path: str, groups: list[list[str]] | None = None) -> Manifest:
     """The index after the groups of segments, those that are ``due`` unless they are given, became one segment each.
 
-    Shards are joined up to their size again; deleted documents stay behind.  A shard's task reads the keys of the shards that it joins, and then one token's postings at a time."""
+    Shards are joined up to their size again, in documents and in tokens; deleted documents stay behind.  A shard's task reads the keys of the shards that it joins, and then one token's postings at a time."""
     state = manifest(spark, path)
     groups = due(state) if groups is None else groups
     if not groups:
@@ -613,15 +613,17 @@ def _joined(spark: SparkSession, path: str, state: Manifest, group: list[str]) -
     with_bits = lambda df: df.join(bits, ["segment", "shard"], "left") if bits is not None else df.withColumn("bits", F.lit(None).cast("binary"))
     docs = with_bits(_read(spark, path, state, "docs", group))
     dead = _dead(spark, path, state)
-    lost = dead.groupBy("segment", "shard").agg(F.count("*").alias("lost")) if dead is not None else spark.createDataFrame([], "segment string, shard long, lost long")
-    sizes = docs.select("segment", "shard", "df").join(lost, ["segment", "shard"], "left").select("segment", "shard", (F.col("df") - F.coalesce("lost", F.lit(0))).alias("live"))
-    # a row a shard; small shards in order fill one of the full size
-    to, number, filled = {}, 0, 0
+    lost = dead.groupBy("segment", "shard").agg(F.count("*").alias("lost"), F.sum("n").alias("lost_tokens")) if dead is not None else spark.createDataFrame([], "segment string, shard long, lost long, lost_tokens long")
+    had = docs.select("segment", "shard", "df", F.aggregate("ns", F.lit(0).cast("long"), lambda a, n: a + n).alias("tokens"))
+    left = lambda of, gone: F.col(of) - F.coalesce(gone, F.lit(0))
+    sizes = had.join(lost, ["segment", "shard"], "left").select("segment", "shard", left("df", "lost").alias("live"), left("tokens", "lost_tokens").alias("tokens"))
+    # a row a shard; small shards in order fill one of the full size, in documents or in tokens
+    to, number, filled, tokens = {}, 0, 0, 0
     for r in sorted(sizes.collect(), key=lambda r: (group.index(r["segment"]), r["shard"])):
-        if filled and filled + r["live"] > SHARD_DOCS:
-            number, filled = number + 1, 0
+        if filled and (filled + r["live"] > SHARD_DOCS or tokens + r["tokens"] > SHARD_TOKENS):
+            number, filled, tokens = number + 1, 0, 0
         to[(r["segment"], r["shard"])] = number
-        filled += r["live"]
+        filled, tokens = filled + r["live"], tokens + r["tokens"]
     places = spark.createDataFrame([(*k, v) for k, v in to.items()], "segment string, shard long, into int")
     everything = docs.unionByName(with_bits(_read(spark, path, state, "lists", group))).join(places, ["segment", "shard"])
     shape = _schema(state.kind)

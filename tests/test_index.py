@@ -113,6 +113,22 @@ def test_updates_write_their_segment_only_and_merges_change_no_score(spark, tmp_
     assert segments.vacuumed(spark, path) > 0 and found(spark, path) == plain_search(list(docs.items()), ASKED, 7)
 
 
+def test_merged_shards_end_at_their_tokens(spark, tmp_path, monkeypatch):
+    """A shard of long documents is no longer after a merge than one that is built; what was deleted doesn't count for it."""
+    monkeypatch.setattr(segments, "SHARD_TOKENS", 500)
+    rng, path = random.Random(7), str(tmp_path / "i")
+    docs = {i: " ".join(rng.choices(WORDS, k=rng.choice([60, 90, 120]))) for i in range(24)}
+    segments.create(frame(spark, list(docs.items()), 8), "id", tokens(), path)
+    segments.updated(spark, path, None, gone=spark.createDataFrame([(i,) for i in docs if i % 3 == 0], "id long"))
+    docs = {i: t for i, t in docs.items() if i % 3}
+    state = segments.merged(spark, path, [[s["id"] for s in segments.manifest(spark, path).segments]])
+    sizes = [r["n"] for r in segments.documents(spark, path, state).groupBy("shard").agg(F.sum("n").alias("n")).orderBy("shard").collect()]
+    assert len(sizes) >= 3 and sum(sizes) == sum(len(t.split()) for t in docs.values()) and max(sizes) <= 500
+    # each took what it could
+    assert all(a + b > 500 for a, b in zip(sizes[:-1], sizes[1:], strict=True))
+    assert found(spark, path) == plain_search(list(docs.items()), ASKED, 7)
+
+
 def test_nothing_to_do_and_nothing_left(spark, tmp_path):
     path = str(tmp_path / "i")
     state = segments.create(frame(spark, corpus(3, 5)), "id", tokens(), path)
